@@ -1,0 +1,100 @@
+"""Exchange of the distinct keys of document blocks.
+
+Documents are read in blocks of bounded size. A block sends each of its distinct keys (words, n-grams,
+anchors) once to the key's owner, a slice of the key space; the owner answers what it knows of the key over
+the whole corpus, and the block is put together again with the answers. A key costs one entry a block however
+often it occurs, so that a word which a third of all tokens share moves once a block, and no group holds more
+than a block or a slice. Keys travel as packed arrays, one row for a block and owner.
+
+Blocks are numbered by task and order; a task that is run again makes the same blocks as long as its input
+rows come in the same order, as they do from a file scan. Materialise other inputs first.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+ROW = "dest long, block long, kind int, n1 long, n2 long, n3 long, n4 long, data binary"
+FIELDS = ["dest", "block", "kind", "n1", "n2", "n3", "n4", "data"]
+#: A block ends with the document that takes it to so many characters.
+BLOCK_CHARS = 16 << 20
+PAYLOAD, KEYS, REPLY, STATS = 0, 1, 2, 3
+
+
+def row(dest, block, kind, data, n=(0, 0, 0, 0)):
+    return (dest, block, kind, *map(int, n), data)
+
+
+def _arrow(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows))
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=FIELDS)
+
+
+def owner(part: int) -> int:
+    """The destination of a slice of the keys; blocks have the numbers from 0 up."""
+    return -1 - part
+
+
+def build(docs: DataFrame, make: Callable[[list, list], Iterable[tuple[int, int, bytes]]], columns=("doc_id", "text"), block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Rows of ROW. ``make(ids, texts)`` gives (destination or None for the block itself, kind, data) of a block."""
+    first, text = columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, n = TaskContext.get().partitionId() << 32, 0
+        ids, texts, size = [], [], 0
+
+        def flush():
+            out, held = [], 0
+            for dest, kind, data in make(ids, texts):
+                out.append(row(base + n if dest is None else dest, base + n, kind, data))
+                held += len(data)
+                if held > 8 << 20:
+                    yield _arrow(out)
+                    out, held = [], 0
+            if out:
+                yield _arrow(out)
+
+        for batch in batches:
+            for i, t in zip(batch.column(0), batch.column(1)):
+                t = t.as_py()
+                ids.append(i.as_py())
+                texts.append(t)
+                size += len(t)
+                if size >= block_chars:
+                    yield from flush()
+                    n += 1
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield from flush()
+
+    return docs.select(first, text).mapInArrow(run, ROW)
+
+
+def own(rows: DataFrame, answer: Callable[[int, list[int], list[bytes]], Iterable[tuple]]) -> DataFrame:
+    """``answer(part, blocks, datas)`` gives rows of ROW for each owner; what is meant for blocks passes through."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if key[0] >= 0:
+            return pdf
+        return pd.DataFrame(list(answer(-1 - int(key[0]), pdf["block"].tolist(), pdf["data"].tolist())), columns=FIELDS)
+
+    return rows.groupBy("dest").applyInPandas(run, ROW)
+
+
+def finish(rows: DataFrame, done: Callable[[bytes, dict[int, bytes]], pd.DataFrame], schema: str) -> DataFrame:
+    """``done(payload, {part: reply})`` gives the result rows of each block."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        kinds = pdf["kind"].tolist()
+        payload = pdf["data"].iloc[kinds.index(PAYLOAD)]
+        replies = {int(p): d for k, p, d in zip(kinds, pdf["n1"], pdf["data"]) if k == REPLY}
+        return done(payload, replies)
+
+    return rows.where(F.col("kind") != STATS).groupBy("dest").applyInPandas(run, schema)
