@@ -17,6 +17,7 @@ U64 = np.uint64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    configure(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def configure(spark: SparkSession) -> None:
+    """Arrow batches of at most 500 rows: texts are long, and a batch should fit a Python worker many times over."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 500:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -60,7 +67,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def pack(obj) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(obj, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(obj, protocol=5))
 
 
 def unpack(data: bytes):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from proselab.llm.common import table
 
 
@@ -31,6 +33,70 @@ def op10_secret_scan(spark, sf_dir):
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark, sf_dir):
+    from proselab.llm import mixing
+
+    return mixing.plan(table(spark, sf_dir, "documents")).drop("print")
+
+
+def op3_pivot_topk(spark, sf_dir):
+    from proselab.llm import pivot_search
+
+    return pivot_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op4_html_text(spark, sf_dir):
+    from proselab.llm import html_text
+
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+def op7_near_dedup(spark, sf_dir):
+    from proselab.llm import near_dedup
+
+    return near_dedup.classes(table(spark, sf_dir, "documents")).drop("print")
+
+
+def op8_quality(spark, sf_dir):
+    from proselab.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.train(docs))
+
+
+def op9_repeats(spark, sf_dir):
+    from proselab.llm import repeats
+
+    return repeats.remove(table(spark, sf_dir, "documents"), digest=True)
+
+
+OP2_SQL = """
+WITH units AS (
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '\\S+'))) AS BIGINT) AS n_tokens
+  FROM documents GROUP BY ALL),
+sources AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS n FROM units GROUP BY source),
+-- largest / smallest to the power of 1 - x is the repetition of the smallest source
+e AS (SELECT max(n) AS most, CASE WHEN max(n) = min(n) THEN 0 ELSE greatest(0, ceil(10000 * (1 - ln(1.5) / ln(max(n) / min(n)))) / 10000) END AS x FROM sources WHERE n > 0),
+shares AS (SELECT source, n, CASE WHEN n > 0 THEN CAST(round(n * pow(most / n, 1 - x)) AS BIGINT) ELSE 0 END AS budget FROM sources, e),
+parts AS (SELECT source, n, CASE WHEN n > 0 THEN budget // n ELSE 1 END AS passes, CASE WHEN n > 0 THEN budget % n ELSE 0 END AS rest FROM shares),
+whole AS (SELECT u.doc_id, u.source, u.n_tokens, unnest(range(passes)) AS epoch FROM units u JOIN parts p USING (source)),
+part AS (
+  SELECT u.doc_id, u.source, u.n_tokens, p.passes AS epoch, p.rest, sum(u.n_tokens) OVER (PARTITION BY source ORDER BY md5('0:' || passes || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), n_tokens ROWS UNBOUNDED PRECEDING) AS upto
+  FROM units u JOIN parts p USING (source) WHERE p.rest > 0),
+taken AS (SELECT doc_id, source, n_tokens, epoch FROM whole UNION ALL SELECT doc_id, source, n_tokens, epoch FROM part WHERE upto <= rest)
+SELECT doc_id, source, n_tokens, epoch, md5('0:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place,
+       CAST(('0x' || md5('0:' || epoch || ':' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:3]) AS INTEGER) AS block
+FROM taken
+"""
+
+OP3_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 OP6_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -66,8 +132,14 @@ FROM documents d LEFT JOIN by_blob b ON sha256(coalesce(d.text, '')) = b.blob
 
 QUERIES = {
     "op1_lm_score": op1_lm_score,
+    "op2_mixing": op2_mixing,
+    "op3_pivot_topk": op3_pivot_topk,
+    "op4_html_text": op4_html_text,
     "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_near_dedup": op7_near_dedup,
+    "op8_quality": op8_quality,
+    "op9_repeats": op9_repeats,
     "op10_secret_scan": op10_secret_scan,
 }
-SQL = {"op6_exact_dedup": OP6_SQL, "op10_secret_scan": _op10_sql()}
+SQL = {"op2_mixing": OP2_SQL, "op3_pivot_topk": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op10_secret_scan": _op10_sql()}
