@@ -6,6 +6,7 @@ import gc
 import os
 import pickle
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -43,11 +44,14 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     written files are known to the planner. Shuffle files of the finished stages become free.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/proselab/{tag}-{uuid.uuid4().hex}"
+    path, schema = f"{shared_dir(spark)}/proselab/{tag}-{uuid.uuid4().hex}", df.schema
     df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    for _ in range(2):  # Spark drops a shuffle's files when the driver has collected what refers to it
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+    return spark.read.schema(schema).parquet(path)
 
 
 def documents(df: DataFrame) -> DataFrame:
