@@ -10,10 +10,10 @@ bias, as weights are whole numbers, and the work follows the number of distinct
 the weights.
 
 Bands of the signature propose pairs; pairs are verified on the shingles themselves, so no false pair stays.
-Documents with equal bags are one node. Within a bucket all nodes are first compared with its smallest node; the
-components of what is verified so far are found, and then the pairs of different components that share a bucket
-are compared, which leaves no proposed link between different texts out and never expands a group of copies
-into its pairs.
+Documents with equal bags are one node. Within a bucket all nodes are first compared with its smallest node, then
+those of other components with a node drawn by a hash; after each turn the components of what is verified so far
+are found. Then the pairs of different components that share a bucket are compared, which leaves no proposed
+link between different texts out and never expands a group of copies into its pairs.
 
 With 32 bands of 4, a pair at similarity 0.8 is proposed with probability 1 - 5e-8, at 0.6 with 0.99.
 
@@ -39,6 +39,8 @@ from proselab.llm.graphs import components
 
 WORDS = 5
 BANDS, ROWS = 32, 4
+#: Turns in which one node of a bucket meets the others, before all pairs of components left in it meet.
+STARS = 3
 #: Documents are taken in groups of about so many characters.
 GROUP_CHARS = 1 << 20
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x27D4EB2F165667C5], U64)
@@ -196,17 +198,32 @@ def classes(df: DataFrame, least: float = 0.8, width: int = WORDS) -> DataFrame:
     # rows that repeat an id and a text have one bag, and so one node
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_print"))).select("node", "text")
     bag_table = materialise(_bag_table(texts, width).dropDuplicates(["node"]), "bags")
-    star = shared.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    star = materialise(shared.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "star")
     links = materialise(verified(star, bag_table, least), "links")
     label = components(links)
+
+    def parted() -> DataFrame:
+        """key, node, part: the shared buckets with their nodes' components so far."""
+        return materialise(shared.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("part")), "placed")
+
+    tried = star
+    for turn in range(STARS - 1):
+        # another node of each bucket that still holds several components meets the nodes of the other components
+        placed = parted()
+        open_keys = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "part")).alias("c")).where("low < high")
+        open_keys = materialise(open_keys.select("key", F.col("c.node").alias("centre"), F.col("c.part").alias("centre_part")), "centres")
+        met = placed.join(open_keys, "key").where("part != centre_part").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+        met = materialise(met.join(tried, ["a", "b"], "left_anti"), "met")
+        links = materialise(links.unionByName(verified(met, bag_table, least)), "links")
+        label, tried = components(links), tried.unionByName(met)
     # what is left: pairs of different components in a bucket, and only they, by the components that each bucket holds
-    placed = materialise(shared.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("part")), "placed")
+    placed = parted()
     held = placed.select("key", "part").distinct()
     other = held.withColumnRenamed("part", "other")
     meets = materialise(held.join(other, "key").where("part < other"), "meets")
     left = meets.join(placed.withColumnRenamed("node", "a"), ["key", "part"]).select("key", "other", "a")
     cross = left.join(placed.select("key", F.col("node").alias("b"), F.col("part").alias("other")), ["key", "other"])
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = materialise(verified(cross, bag_table, least), "links")
     if more.limit(1).count():
         label = components(links.unionByName(more))
