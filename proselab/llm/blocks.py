@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 ROW = "dest long, block long, kind int, n1 long, n2 long, n3 long, n4 long, data binary"
 FIELDS = ["dest", "block", "kind", "n1", "n2", "n3", "n4", "data"]
 #: A block ends with the document that takes it to so many characters.
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 6 << 20
 PAYLOAD, KEYS, REPLY, STATS = 0, 1, 2, 3
 
 

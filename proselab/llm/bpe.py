@@ -166,4 +166,5 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digest: bool = False)
         return frame.astype({"doc_id": "Int64"})
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded binary"
-    return blocks.finish(blocks.own(blocks.build(docs, make), answer), done, schema)
+    # larger blocks than elsewhere: a block holds little beside its positions, and fewer blocks repeat fewer words
+    return blocks.finish(blocks.own(blocks.build(docs, make, block_chars=16 << 20), answer), done, schema)
