@@ -188,7 +188,7 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, development: int =
     def make(ids, texts):
         return _count(ids, texts, parts, lambda i: fold_of(i, folds, held_out, development))
 
-    rows = materialise(blocks.own(blocks.build(docs, make), _merge), "lm")
+    rows = materialise(blocks.own(blocks.build(docs, make, block_chars=8 << 20), _merge), "lm")
     total = rows.where(F.col("kind") == blocks.STATS).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n1", "n2", "n3", "n4"))).first()
     n_all, v_all, n_kept, v_kept = map(int, total)
 
