@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from proselab.plans import fingerprints, scores
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for _module in (fingerprints, scores):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
