@@ -57,7 +57,7 @@ def advantage(r: Column, window) -> Column:
 
 
 def _unit(x: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
 def _num(raw: Column, path: str) -> Column:

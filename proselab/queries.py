@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from proselab.plans import fingerprints, scores
+from proselab.plans import corpora, fingerprints, scores
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (fingerprints, scores):
+for _module in (fingerprints, scores, corpora):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

@@ -1,0 +1,138 @@
+"""Selection, facts, logs, sources and streams on small rows."""
+
+import json
+from collections import defaultdict, deque
+
+import pytest
+from pyspark.sql import functions as F
+
+from proselab.functions import text as tx
+from proselab.operators import corpus, facts, logs, scoring, selection
+from proselab.sources import readers
+
+
+def imperative(rows, threshold, early, floor, need, rounds):
+    """The rejection loop for one document, as a program."""
+    best, attempts, calls = (1.0, None), 0, 0
+    for r in range(rounds):
+        group = sorted((x for x in rows if x[0] == r), key=lambda x: x[1])
+        attempts += len(group)
+        kept = [x for x in group if x[2] >= floor and (need <= 0 or x[3] >= need)]
+        choice = None
+        for x in kept:
+            calls += 1
+            if choice is None or x[4] < choice[4]:
+                choice = x
+            if x[4] < early:
+                choice = x
+                break
+        if choice is None:
+            continue
+        if choice[4] < best[0]:
+            best = (choice[4], choice)
+        if choice[4] < threshold:
+            return True, r + 1, attempts, calls, choice[0], choice[1]
+    if best[1] is None:
+        return False, rounds, attempts, calls + 1, None, None
+    return False, rounds, attempts, calls, best[1][0], best[1][1]
+
+
+@pytest.mark.parametrize(("threshold", "early", "need"), [(0.2, 0.05, 0.0), (0.1, 0.3, 0.5), (0.05, 0.0, 0.0)])
+def test_rejection(spark, threshold, early, need):
+    rows = []
+    for d in range(60):
+        for r in range(4):
+            for c in range(0 if (d + r) % 7 == 0 else 4):
+                k = d * 31 + r * 17 + c * 23
+                rows.append((d, r, c, 0.6 + k * 7 % 40 / 100, k * 3 % 11 / 10, 1.0 if d % 11 == 0 else k % 101 / 100))
+    cand = spark.createDataFrame(rows, "doc_id long, round int, cand_idx int, sim double, overlap double, p_ai double")
+    docs = spark.range(61).withColumnRenamed("id", "doc_id")
+    by = defaultdict(list)
+    for d, *x in rows:
+        by[d].append(tuple(x))
+    for r in selection.rejection(cand, docs, threshold, early, facts=need).collect():
+        assert (r.passed, r.rounds_used, r.attempts, r.judge_calls, r["round"], r.cand_idx) == imperative(by[r.doc_id], threshold, early, 0.78, need, 4), r
+
+
+def test_fact_overlap(spark):
+    rows = [("She paid $5,000 in 2019.", "She paid 5000 dollars in 2019.", 1.0), ("no facts here", "none", 1.0), ("He ran 12 laps and 40 more.", "He ran 12 laps.", 2 / 3), ("It cost 15% of 99.", "nothing", 0.0)]
+    df = spark.createDataFrame(rows, "a string, b string, want double")
+    both = facts.extract(facts.extract(df, "a", "fa"), "b", "fb")
+    for r in both.select("want", "fa", facts.overlap("fa", "fb", F.col("b")).alias("got")).collect():
+        assert r.got == pytest.approx(r.want), r
+
+
+def test_priority_of_kinds(spark):
+    df = spark.createDataFrame([("On January 5, 2024 OpenAI paid USD 1,200.50, or 12% of 300.",)], "text string")
+    f = facts.extract(df).first().facts
+    assert f.date == ["january 5 2024"] and f.currency == ["usd 1200.50"] and f.pct == ["12%"] and f.number == ["300"] and f.year == [] and "OpenAI" in f.proper_noun
+
+
+def test_rate_limiter(spark):
+    seen, got = deque(), []
+    for t in (0.0, 0.1, 0.2, 0.3, 1.05, 1.15):
+        got.append(logs.allow(seen, t, 3, 1.0))
+    assert [g[0] for g in got] == [200, 200, 200, 429, 200, 200]
+    assert got[0][1] == 2 and got[3][2] == 1
+
+
+def test_rates(spark):
+    df = spark.createDataFrame([("3/second",), ("10 / minute",)], "s string")
+    assert [tuple(r.r) for r in df.select(tx.rate("s").alias("r")).collect()] == [(3, 1), (10, 60)]
+    with pytest.raises(Exception, match="not a rate"):
+        spark.createDataFrame([("3/fortnight",)], "s string").select(tx.rate("s")["seconds"].alias("x")).collect()
+
+
+def test_chunks():
+    text = " ".join(f"Sentence number {i} has six words." for i in range(30))
+    found = corpus.chunks(text, 20, 30)
+    assert " ".join(found).split() == text.split() and all(20 <= len(c.split()) <= 30 for c in found)
+    assert corpus.chunks("Too short.", 20, 30) == []
+
+
+def test_ensemble_weights(spark):
+    rows = [(1, "a", 1.0, 0.0), (1, "b", 3.0, 1.0), (2, "a", 0.0, 0.3)]
+    e = scoring.ensemble(spark.createDataFrame(rows, "doc_id int, detector string, weight double, p_ai double"), "doc_id")
+    assert {r.doc_id: r["aggregate"] for r in e.collect()} == {1: 0.75, 2: 1.0}
+
+
+def test_sources(spark, tmp_path):
+    good = {"ai": "x", "human": "y", "source": "s", "prompt_idx": 1, "human_idx": 2}
+    (tmp_path / "p.jsonl").write_text(json.dumps(good) + "\n\nnot json\n")
+    assert readers.pairs(spark, str(tmp_path / "p.jsonl")).count() == 1
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        readers.pairs(spark, str(tmp_path / "p.jsonl"), strict=True).collect()
+    part = {"outputs": ["a", "b"], "p_ai_ensemble": [0.1, 0.2], "similarity": [0.9, 0.8], "pattern": [0.3, 0.4]}
+    (tmp_path / "e.json").write_text(json.dumps({"base": part, "trained": part}, indent=1))
+    assert readers.eval_json(spark, str(tmp_path / "e.json")).count() == 4
+    assert readers.variant_scores(spark, [str(tmp_path / "none.json")]).count() == 0
+
+
+def test_provider(spark):
+    def call(text):
+        if text == "bad":
+            raise ValueError
+        return text.upper()
+
+    df = spark.createDataFrame([("ok",), ("bad",)], "text string")
+    rows = {(r.text, r.cand_idx): r.output for r in readers.provided(df, call, n=2, failed="").collect()}
+    assert rows == {("ok", 0): "OK", ("ok", 1): "OK", ("bad", 0): "", ("bad", 1): ""}
+
+
+def test_refine(spark):
+    df = spark.createDataFrame([(1, 0.9), (2, 0.3)], "doc_id int, p double")
+    out = selection.refine(df, lambda d: d.withColumn("p", F.col("p") - 0.25), F.col("p") <= 0.2, 3)
+    assert {r.doc_id: round(r.p, 2) for r in out.collect()} == {1: 0.15, 2: 0.05}
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    from proselab.streaming import jobs
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = jobs.rate_limited(jobs.read(spark, str(tmp_path / "in"), events.schema), 3, 3600.0)
+    q = stream.writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    names = ["key", "ident", "status", "remaining", "retry_after"]
+    batch = logs.rate_limited(events, "user_id", "ts", "event_id", 3, 3600.0)
+    assert sorted(map(tuple, spark.table("limited").select(names).collect())) == sorted(map(tuple, batch.select(names).collect()))
