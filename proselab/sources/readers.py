@@ -32,8 +32,8 @@ def pairs(spark: SparkSession, path: str, strict: bool = False, schema: str = PA
     """S-03, S-04: JSON lines; bad lines are an error if ``strict`` and left out otherwise."""
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    rows = spark.read.schema(schema + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.where(F.col("_corrupt").isNull()).drop("_corrupt")
+    lines = spark.read.text(path).where((F.trim("value") != "") & F.try_parse_json("value").isNotNull())
+    return lines.select(F.from_json("value", schema).alias("v")).select("v.*")
 
 
 def eval_json(spark: SparkSession, path: str, arrays: str = "outputs array<string>, p_ai_ensemble array<double>, similarity array<double>, pattern array<double>") -> DataFrame:
@@ -75,7 +75,7 @@ def provided(df: DataFrame, call: Callable[[str], str], text: str = "text", out:
 
     ``call`` gets a text and is tried again ``retries`` times; the answer is ``failed`` where all tries fail.
     """
-    schema = df.schema.add("cand_idx", "int").add(out, "string")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", cand_idx int, `{out}` string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def one(t):
