@@ -27,9 +27,20 @@ SENTENCES = (
 )
 
 
+#: A table under so many bytes a core, in fewer files than cores, is dealt out to all cores before heavy text work.
+SMALL = 8 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A small table in one file is often one task; a large one is left as its scan splits it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < SMALL * cores and len(df.inputFiles()) < cores else df
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, text."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text"))
     n = len(SENTENCES)
     sentence = F.element_at(F.array(*map(F.lit, SENTENCES)), (F.pmod("doc_id", F.lit(n)) + 1).cast("int"))
     times = (F.pmod(F.floor(F.col("doc_id") / n), F.lit(3)) + 1).cast("int")
