@@ -34,7 +34,7 @@ SMALL = 8 << 20
 def dealt(df: DataFrame) -> DataFrame:
     """A small table in one file is often one task; a large one is left as its scan splits it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < SMALL * cores and len(df.inputFiles()) < cores else df
 
 
