@@ -104,12 +104,12 @@ def fingerprint(spark, sf_dir):
 
 @query(
     "fingerprint_by_source",
-    f"WITH {PRINT_SQL} SELECT lang, source, count(*) AS n, round(avg(round(aggregate, 6)), 6) AS mean_aggregate, round(avg(CASE WHEN len(flagged) = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_flag_share FROM prints GROUP BY lang, source",
+    f"WITH {PRINT_SQL} SELECT lang, source, count(*) AS n, round(avg(aggregate), 6) AS mean_aggregate, round(avg(CASE WHEN len(flagged) = 0 THEN 1.0 ELSE 0.0 END), 6) AS zero_flag_share FROM prints GROUP BY lang, source",
 )
 def fingerprint_by_source(spark, sf_dir):
     """Mean aggregate and share without a flag (A-09) by language and source."""
-    f = fp.fingerprint(corpus(spark, sf_dir)).withColumn("a", r6("aggregate"))
-    return f.groupBy("lang", "source").agg(F.count("*").alias("n"), r6(F.avg("a")).alias("mean_aggregate"), r6(F.avg((F.size("flagged") == 0).cast("double"))).alias("zero_flag_share"))
+    f = fp.fingerprint(corpus(spark, sf_dir))
+    return f.groupBy("lang", "source").agg(F.count("*").alias("n"), r6(F.avg("aggregate")).alias("mean_aggregate"), r6(F.avg((F.size("flagged") == 0).cast("double"))).alias("zero_flag_share"))
 
 
 @query("flag_histogram", f"WITH {PRINT_SQL} SELECT flag, count(*) AS n FROM (SELECT unnest(flagged) AS flag FROM prints) GROUP BY flag ORDER BY n DESC, flag LIMIT 13")
