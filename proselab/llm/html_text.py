@@ -28,7 +28,8 @@ from proselab.llm.common import materialise
 
 #: Comments, declarations and tags; quoted attribute values may hold the sign that ends a tag.
 TAG = re.compile(r"""<!--(?s:.*?)(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""")
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One name with its value, read from left to right, so that names inside quoted values are not seen; a quote left open ends with the tag.
+ATTRIBUTE = re.compile(r"""([^\s/>="'][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())

@@ -272,6 +272,20 @@ def test_html(html, text):
     assert html_text.extract(html, None) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<body style='overflow:hidden'><article><p>one</p><p>two</p></article></body>", "one two"),
+        ("<article><div class=box style=\"overflow: hidden; color: red\"><p>one</p></div><p aria-hidden='false'>two</p><p title='a hidden gem'>three</p></article>", "one two three"),
+        ("<article><p data-hidden=1>one</p><p data-x=hidden>two</p><p title=\"a 'hidden' b>c\">three</p><p data-class=ad>four</p></article>", "one two three four"),
+        ("<article><p>one</p><p hidden>a</p><p HIDDEN=''>b</p><p class=x hidden>c</p><p class='x'hidden>d</p><p id=y\nhidden=hidden>e</p><div class='top ad' style=x>f</div></article>", "one"),
+        ("<article><p>one</p><div role='navigation'><p>a</p></div><p class='x' title='role=\"search\"'>two</p><p title='it is hidden>three</p></article>", "one two three"),
+    ],
+)
+def test_html_attributes(html, text):
+    assert html_text.extract(html, None) == text
+
+
 def test_html_votes(spark):
     good = "<div class='c1 story'><p>" + "long text here " * 20 + "</p></div><div class=box><p>short</p></div>"
     odd = "<div class='c2 story'><p>tiny</p></div><div class=box><p>" + "words of a long teaser " * 20 + "</p></div>"
