@@ -12,6 +12,7 @@ import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,7 +28,8 @@ _COORDINATOR = re.compile(r",\s+(?:and|but|so|yet|or)\s+")
 _LIST = re.compile(r"\b([\w-]+(?:\s[\w-]+){0,3}),\s+([\w-]+(?:\s[\w-]+){0,3}),\s+(and|or)\s+([\w-]+(?:\s[\w-]+){0,5})")
 _ARTICLE = re.compile(r"\b(an?)(\s+)([a-z][a-z'-]*)", re.I)
 _STEM = re.compile(r"\b(\w{4,})\w*\s+\1\w*\b", re.I)
-_QUOTED = re.compile(r'"[^"]*"|“[^”]*”')
+_SIGNS = "".join(map(chr, range(0xE000, 0xF900)))
+_MASKED = re.compile(rf'"[^"]*"|“[^”]*”|[{_SIGNS[0]}-{_SIGNS[-1]}]')
 
 
 @dataclass(frozen=True)
@@ -203,18 +205,22 @@ def _article(m: re.Match) -> str:
 
 
 def outside_quotes(text: str, change: Callable[[str], str]) -> str:
-    """``change`` on the text with every double-quoted span as one sign of its own; spans come back unchanged."""
-    spans = _QUOTED.findall(text)
+    """``change`` on the text with every double-quoted span as a sign of its own; spans come back unchanged.
+
+    Signs are private-use ones, which no rule matches, and the text's own of those are masked alike. With more
+    spans than signs, each span is a number of two or more signs, so that there is no limit.
+    """
+    spans = _MASKED.findall(text)
     if not spans:
         return change(text)
-    free = [chr(c) for c in range(0xE000, 0xE000 + len(spans) + text.count("")) if chr(c) not in text] if len(spans) < 6000 else []
-    if len(free) < len(spans):
-        return text
-    marks = iter(free)
-    used: list[str] = []
-    masked = _QUOTED.sub(lambda m: used.append(next(marks)) or used[-1], text)
-    back = dict(zip(used, spans))
-    return "".join(back.get(c, c) for c in change(masked))
+    width = 1
+    while len(_SIGNS) ** width < len(spans):
+        width += 1
+    numbers = map("".join, product(_SIGNS, repeat=width))
+    back = dict(zip(numbers, spans))
+    marks = iter(back)
+    masked = _MASKED.sub(lambda m: next(marks), text)
+    return re.sub(f"[{_SIGNS[0]}-{_SIGNS[-1]}]{{{width}}}", lambda m: back[m[0]], change(masked))
 
 
 def scrub(text: str, how: ScrubConfig = ScrubConfig()) -> tuple[str, dict[str, int]]:
