@@ -1,9 +1,13 @@
 """HTML extraction by consensus host paths.
 
-Each page's containers are scored by the running text that their paragraphs hold, and the best one's path,
+Each page's containers are scored by the running text that their paragraphs hold. The best one stands for the
+whole it is a part of: the article or main around it or, without either, the outermost element around it with
+paragraphs of its own, so that titles, leads and closing paragraphs beside it are kept. That element's path,
 generalised to tags and classes without numbers, gets the page's vote on its host. Spark counts the votes and
 every page of a host is extracted again from the elements at the host's winning path; a page that has none of
-them, as one from another template, falls back on its own best container, then on its body.
+them, as one from another template, or only empty ones falls back on its own best container, then on its body.
+Without article and main, a div beside the best one that no paragraph of their common parent joins to it is taken
+for a page's other box, not for a part of the article.
 
 Within the container, navigation, headers, footers, sidebars, forms, scripts, styles, adverts, notices and
 reader comments are left out, by tag or by a word of their class or id. Character references are decoded, white
@@ -148,6 +152,43 @@ def best_container(root: Node) -> tuple[Node | None, float]:
     return nodes[key], scores[key]
 
 
+def whole(node: Node, root: Node) -> Node:
+    """The element that holds the rest of the article of which ``node`` is a part."""
+    line = list(_line(node))
+    top = next((e for e in reversed(line) if e.name == "article"), None)
+    main = next((e for e in reversed(line) if e.name == "main"), None)
+    if top is None and main is None:
+        held = _with_paragraphs(root)
+        return next((e for e in reversed(line) if id(e) in held), node)
+    if top is None or main is None or any(e is top for e in _line(main)):
+        return top or main
+    # a main with more articles lists them; one around a single article holds its title and the like
+    others = (x for x, _ in _tree(main) if isinstance(x, Node) and x.name == "article" and not x.out)
+    return top if any(all(e is not top for e in _line(x)) for x in others) else main
+
+
+def elected(root: Node) -> tuple[Node | None, float]:
+    """The element that a page votes for, and the score of its best container."""
+    node, score = best_container(root)
+    return node and whole(node, root), score
+
+
+def _with_paragraphs(root: Node) -> set[int]:
+    """Containers with paragraphs of their own; a section is a part of the container around it."""
+    held: set[int] = set()
+    for x, parent in _tree(root):
+        if isinstance(x, Node) or not unescape(x).strip() or any(e.name == "a" for e in _line(parent)):
+            continue
+        running = False
+        for e in _line(parent):
+            running |= e.name in PARAGRAPHS
+            if e is root or e.name in CONTAINERS and e.name != "section":
+                if running:
+                    held.add(id(e))
+                break
+    return held
+
+
 def text_of(node: Node) -> str:
     """The blocks of an element, white space made single spaces, joined by one space."""
     pieces: list[str] = []
@@ -169,13 +210,15 @@ def text_of(node: Node) -> str:
 def extract(html: str, path: str | None) -> str:
     root = parse(html)
     chosen = [x for x, _ in _tree(root) if isinstance(x, Node) and x.path == path and not x.out] if path else []
-    # an element inside another at the same path is part of it
+    chosen = list({id(x): x for x in (whole(x, root) for x in chosen)}.values())
+    # an element inside another chosen one is part of it
     held = {id(x) for x in chosen}
     chosen = [x for x in chosen if not any(id(e) in held for e in _line(x.parent))]
-    if not chosen:
+    text = " ".join(filter(None, map(text_of, chosen)))
+    if not text:
         own, _ = best_container(root)
-        chosen = [own or root]
-    return " ".join(filter(None, map(text_of, chosen)))
+        text = text_of(whole(own, root)) if own else ""
+    return text or text_of(root)
 
 
 def _pages(df: DataFrame) -> DataFrame:
@@ -188,7 +231,7 @@ def host_paths(df: DataFrame) -> DataFrame:
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [best_container(parse(h)) for h in b["html"]]
+            found = [elected(parse(h)) for h in b["html"]]
             rows = [(h, node.path, score) for h, (node, score) in zip(b["host"], found) if node is not None]
             yield pd.DataFrame(rows, columns=["host", "path", "score"]).groupby(["host", "path"], as_index=False).agg(votes=("score", "size"), score=("score", "sum"))
 

@@ -286,6 +286,36 @@ def test_html_attributes(html, text):
     assert html_text.extract(html, None) == text
 
 
+LONG = " ".join(f"body{k}" for k in range(60))
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<body><article><h1>T</h1><p>lead</p><div class=body><p>{LONG}</p></div><p>end</p></article><div class=box><p>x</p></div></body>", f"T lead {LONG} end"),
+        (f"<article><section><p>intro</p></section><section><p>{LONG}</p></section><section><p>outro</p></section></article>", f"intro {LONG} outro"),
+        (f"<main><h1>T</h1><article><div><p>{LONG}</p></div></article><aside>x</aside></main>", f"T {LONG}"),
+        (f"<main><article><p>x</p></article><article><h1>T</h1><div><p>{LONG}</p></div></article></main>", f"T {LONG}"),
+        (f"<main><div><p>lead</p></div><div><p>{LONG}</p></div></main>", f"lead {LONG}"),
+        (f"<body><div class=page><h1>T</h1><div class=body><p>{LONG}</p></div><p>end</p></div><div class=box><p>x</p></div></body>", f"T {LONG} end"),
+        (f"<div><section><p>intro</p></section><section><p>{LONG}</p></section></div>", f"intro {LONG}"),
+        (f"<h1>T</h1><div><p>{LONG}</p></div>", f"T {LONG}"),
+        (f"<body><div class=story><p>{LONG}</p></div><div class=box><p>x</p></div></body>", LONG),
+    ],
+)
+def test_html_whole_article(html, text):
+    assert html_text.extract(html, None) == text
+
+
+def test_html_empty_winner(spark):
+    page = f"<body><article><h1>T</h1><div class=body><p>{LONG}</p></div></article></body>"
+    empty = f"<body><article> <br></article><div class=text><p>{LONG}</p></div></body>"
+    links = "<body><article></article><a href=x>link</a></body>"
+    df = spark.createDataFrame([(i, "http://a.b/x", h) for i, h in enumerate([page, page, page, empty, links])], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    assert got == {0: f"T {LONG}", 1: f"T {LONG}", 2: f"T {LONG}", 3: LONG, 4: "link"}
+
+
 def test_html_votes(spark):
     good = "<div class='c1 story'><p>" + "long text here " * 20 + "</p></div><div class=box><p>short</p></div>"
     odd = "<div class='c2 story'><p>tiny</p></div><div class=box><p>" + "words of a long teaser " * 20 + "</p></div>"
