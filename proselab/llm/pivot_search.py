@@ -10,11 +10,12 @@ whole numbers; bounds have a margin for rounding.
 
 Pivots are spread over a sample of at most ``SAMPLE`` vectors by farthest-first choice; they only steer the
 order, so the sample never costs a result. All vectors are indexed. A vector that very many rows repeat fills
-several annuli, as the sort goes on by a hash of its id.
+several annuli, as the sort goes on by a hash of its id and its row.
 
 Vectors that are null or hold null, NaN or infinite components take no part, nor do rows without an id. Vectors
-of different length have no inner product and are not paired. Rows that repeat an id count once, with the
-smallest of their vectors. A query's own row is not its candidate; equal scores go to the smaller id. With
+of different length have no inner product and are not paired. Rows that repeat an id each count, as candidates
+and as queries, whose results share one ranking. Rows with a query's own id are not its candidates; equal scores
+go to the smaller id. With
 fewer candidates than k all are returned. An empty table gives an empty result. Whole numbers are exact while inner products stay below 2^42.
 """
 
@@ -43,7 +44,7 @@ def quantised(df: DataFrame, scale: int) -> DataFrame:
     fit = x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding")).where(F.col("vec_id").isNotNull() & F.coalesce(fit, F.lit(False)))
     v = F.transform("embedding", lambda e: F.floor(F.lit(float(scale)) * e.cast("double")))
-    return rows.select("vec_id", v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("sq", F.aggregate("v", F.lit(0).cast("long"), lambda a, e: a + e * e))
+    return rows.select("vec_id", v.alias("v")).withColumn("sq", F.aggregate("v", F.lit(0).cast("long"), lambda a, e: a + e * e))
 
 
 def _spread_pivots(sample: list, most: int) -> dict[int, np.ndarray]:
@@ -90,10 +91,10 @@ def _bounds(sq_q, most, d, low, high):
 
 def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of each query. ``is_query`` is a condition on vec_id."""
-    rows = materialise(quantised(df, scale), "vectors")
+    rows = materialise(quantised(df, scale).withColumn("copy", F.monotonically_increasing_id()), "vectors")
     n, most = rows.agg(F.count("*"), F.max("sq")).first()
     most = float(most or 0)
-    sample = [r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()]
+    sample = [r.v for r in rows.orderBy(F.xxhash64("vec_id", "copy"), "vec_id").limit(SAMPLE).select("v").collect()]
     pivots = _spread_pivots(sample, PIVOTS)
 
     def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,9 +108,9 @@ def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> Dat
                     near[own], dist[own] = d.argmin(1), d.min(1)
                 else:
                     dist[own] = np.sqrt(most)
-            yield b[["vec_id", "v", "query"]].assign(size=size, pivot=near, dist=dist)
+            yield b[["vec_id", "copy", "v", "query"]].assign(size=size, pivot=near, dist=dist)
 
-    keyed = rows.select("vec_id", "v", is_query.alias("query")).mapInPandas(key, "vec_id long, v array<long>, query boolean, size int, pivot int, dist double")
+    keyed = rows.select("vec_id", "copy", "v", is_query.alias("query")).mapInPandas(key, "vec_id long, copy long, v array<long>, query boolean, size int, pivot int, dist double")
     slabs = max(1, -(-n // (ANNULUS * SLAB)))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,7 +146,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> Dat
         if len(held):
             yield annulus(held, count)
 
-    sorted_rows = keyed.repartitionByRange(slabs, "size", "pivot", "dist", F.xxhash64("vec_id")).sortWithinPartitions("size", "pivot", "dist")
+    sorted_rows = keyed.repartitionByRange(slabs, "size", "pivot", "dist", F.xxhash64("vec_id", "copy")).sortWithinPartitions("size", "pivot", "dist")
     index = materialise(sorted_rows.mapInPandas(cut, "slab long, kind int, size int, pivot int, low double, high double, spare double, data binary"), "annuli")
     summary = index.where("kind = 0").groupBy("slab", "size", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     known = [tuple(r) for r in summary.limit(SUMMARIES + 1).collect()]

@@ -257,6 +257,24 @@ def test_pivot_search(spark, monkeypatch):
     assert pivot_search.search(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_pivot_search_repeated_ids(spark, monkeypatch):
+    import duckdb
+    import pandas as pd
+
+    from proselab.llm.queries import OP3_SQL
+
+    monkeypatch.setattr(pivot_search, "ANNULUS", 64)
+    monkeypatch.setattr(pivot_search, "SLAB", 2)
+    rng = np.random.default_rng(5)
+    data = [(i % 150, [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(600)]
+    data += [(200, [2.0] * 6)] * 300 + [(7, [3.0] * 6), (7, [3.0] * 6), (50, [1.0] * 6), (50, [-1.0] * 6)]
+    embeddings = pd.DataFrame(data, columns=["vec_id", "embedding"])
+    want = duckdb.query(OP3_SQL).fetchall()
+    assert len(embeddings) == 904 and len(want) == 20
+    got = pivot_search.search(spark.createDataFrame(data, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [
