@@ -6,7 +6,8 @@ any label; a pattern's posterior labels its documents. The posteriors of a bound
 on hashed token shapes, which then scores every document, also where the labellers say nothing.
 
 The counts of patterns cover all documents; there are at most 3 to the number of labellers. The sample that
-trains the scorer has about ``SAMPLE`` documents, chosen by a hash of the doc_id.
+trains the scorer has at most ``SAMPLE`` different pairs of doc_id and text, those whose hashes are smallest; a
+row that others repeat in both is drawn once.
 
 A null or empty text has no token: it scores 0 and is rejected. Null and repeated doc_ids and repeated rows are
 documents like others. Texts are read whole. An empty table gives an empty result and a scorer that keeps what
@@ -177,14 +178,20 @@ def train(df: DataFrame, sample: int = SAMPLE) -> Scorer:
     posterior, _, _ = learn_labellers(patterns)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
         for b in batches:
+            b = b.drop_duplicates("place")
+            b = b[~b["place"].isin(seen)]
+            seen.update(b["place"])
             found = [features(t) for t in b["text"]]
-            yield pd.DataFrame({"votes": [votes(t) for t in b["text"]], "at": [a for a, _ in found], "value": [v for _, v in found]})
-
-    n = sum(patterns.values())
-    chosen = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(8)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(n, 1)))
-    rows = docs.where(chosen).mapInPandas(describe, "votes string, at array<int>, value array<double>").toPandas()
-    rows = rows.sort_values("votes", kind="stable")
+            yield pd.DataFrame({"place": b["place"].to_numpy(), "votes": [votes(t) for t in b["text"]], "at": [a for a, _ in found], "value": [v for _, v in found]})
+
+    placed = docs.select("text", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text", F.lit(8)).alias("place"))
+    # the bound is on hashes alone, so that no text is sorted or sent
+    last = placed.select("place").distinct().orderBy("place").limit(sample).agg(F.max("place")).first()[0]
+    chosen = placed.where(F.col("place") <= F.lit(last).cast("long")).mapInPandas(describe, "place long, votes string, at array<int>, value array<double>")
+    rows = chosen.dropDuplicates(["place"]).toPandas()
+    rows = rows.sort_values(["votes", "place"])
     pairs = [(np.asarray(a, np.int64), np.asarray(v)) for a, v in zip(rows["at"], rows["value"])]
     weight, bias = train_scorer(pairs, np.array([posterior[v] for v in rows["votes"]]))
     return Scorer(posterior, weight, bias)

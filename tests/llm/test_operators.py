@@ -345,6 +345,18 @@ def test_html_votes(spark):
     assert html_text.main_text(df.where("false")).count() == 0
 
 
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(quality, "train_scorer", lambda rows, target: drawn.append(len(rows)) or (np.zeros(quality.DIMENSIONS), 0.0))
+    texts = [prose(k, 30) for k in range(400)]
+    ids = {"null": [None] * 400, "one": [7] * 400, "own": list(range(400)), "third": [None if k % 3 == 0 else k for k in range(400)]}
+    for column in ids.values():
+        quality.train(spark.createDataFrame(list(zip(column, texts)), "doc_id long, text string"), 100)
+    assert drawn == [100] * 4
+    quality.train(spark.createDataFrame([(None, texts[k % 3]) for k in range(400)], "doc_id long, text string"), 100)
+    assert drawn[4:] == [3]
+
+
 def test_quality(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
