@@ -1,4 +1,4 @@
-"""Request and training logs (W-01, W-02, W-08, A-18, A-19, A-22, A-25, ST-01 to ST-06)."""
+"""Request and training logs (W-01, W-02, W-08, A-18, A-19, A-22, A-25, ST-01 to ST-04, ST-06)."""
 
 from __future__ import annotations
 
