@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proselab.llm.common import materialise
+from proselab.llm.common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node of its component) of all nodes of ``edges`` (a, b).
 
-    Each round takes the smallest label among a node's neighbours and then the label of that label, so that
+    Each round takes the smallest of a node's label, its neighbours' labels and the label of its label, so that
     long chains shorten by half or more. Minima are taken by partial aggregation and every join's inputs are
     plain exchanges, which Spark splits where one node has a large share of the edges.
     """
@@ -19,9 +19,12 @@ def components(edges: DataFrame) -> DataFrame:
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
-        lower = materialise(labels.join(near, "node").select("node", "label", F.least("label", "low").alias("next")), "lower")
-        target = lower.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        moved = materialise(lower.join(target, "next").select("node", F.col("far").alias("label"), (F.col("far") != F.col("label")).alias("changed")), "labels")
-        labels = moved.select("node", "label")
-        if not moved.where("changed").limit(1).count():
-            return labels
+        far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        lower = labels.join(near, "node").join(far, "label").select("node", F.least("label", "low", "far").alias("next"), "label")
+        moved = materialise(lower.select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("changed")), "labels")
+        done = moved.where("changed").isEmpty()
+        discard(labels)
+        labels = moved
+        if done:
+            discard(both)
+            return labels.select("node", "label")

@@ -10,12 +10,17 @@ bias, as weights are whole numbers, and the work follows the number of distinct
 the weights.
 
 Bands of the signature propose pairs; pairs are verified on the shingles themselves, so no false pair stays.
-Documents with equal bags are one node. Within a bucket all nodes are first compared with its smallest node, then
-those of other components with a node drawn by a hash; after each turn the components of what is verified so far
-are found. Then the pairs of different components that share a bucket are compared, which leaves no proposed
-link between different texts out and never expands a group of copies into its pairs.
-
-With 32 bands of 4, a pair at similarity 0.8 is proposed with probability 1 - 5e-8, at 0.6 with 0.99.
+Documents with equal bags are one node. A band is ``ROWS`` components that a fixed rule draws; each component
+serves several bands. All nodes of a bucket meet its smallest node (a star). A bucket whose nodes are not all
+linked to that one is compared whole: its nodes come together in cells of bounded size, a cell finds the multiset
+overlap of all its nodes at once as a product of matrices over the shingles that two or more of them have, and
+gives a spanning forest of its links. So no proposed pair goes uncompared, and what leaves a bucket is at most one
+link a node, whatever the number of its pairs. A bucket that a cell cannot hold is dealt to blocks by a hash, and
+each two blocks meet in a cell.
+
+A pair at similarity 0.8 is proposed with probability 0.9997, at 0.85 with 1 - 1e-6, at 0.5 with 0.3. Nodes whose
+weights differ by more than the wanted similarity allows are not compared with a star's centre, as they cannot
+reach it. Shingles are told apart by 48-bit hashes when two bags are compared, by 64 bits within a bag.
 
 A null text counts as empty; all documents without a word are one class. Null and repeated doc_ids and repeated
 rows each get a row; of a class the row with the smallest doc_id stays (a null one is the smallest), one row
@@ -31,16 +36,17 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proselab.llm.common import U64, documents, materialise, mix64
+from proselab.llm.common import U64, discard, documents, materialise, mix64, runs, spread
 from proselab.llm.graphs import components
 
 WORDS = 5
-BANDS, ROWS = 32, 4
-#: Turns in which one node of a bucket meets the others, before all pairs of components left in it meet.
-STARS = 3
+#: Components of a signature; bands, and components of a band.
+SIZE, BANDS, ROWS = 128, 48, 7
+#: A star or a cell has about so many nodes and so many shingles at most.
+CELL_NODES, CELL_SHINGLES = 512, 1 << 19
 #: Documents are taken in groups of about so many characters.
 GROUP_CHARS = 1 << 20
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x27D4EB2F165667C5], U64)
@@ -79,7 +85,7 @@ def _uniform(seed: np.ndarray, k: int) -> np.ndarray:
     return ((mix64(seed + U64(k * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> U64(11)).astype(float) + 0.5) * 2.0**-53
 
 
-def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, size: int = BANDS * ROWS) -> np.ndarray:
+def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, size: int = SIZE) -> np.ndarray:
     """First times of the components, one row a document; infinite for documents without a shingle."""
     best = np.full((n, size), np.inf)
     total = np.bincount(doc, weight, n)
@@ -118,11 +124,21 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int,
     return best
 
 
-def band_keys(best: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    bits = best.view(U64).reshape(len(best), bands, rows)
-    key = np.broadcast_to(np.arange(1, bands + 1, dtype=U64), bits.shape[:2]) * U64(0x9E3779B97F4A7C15)
-    for r in range(rows):
-        key = mix64(key + bits[:, :, r])
+def band_rows(size: int = SIZE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """The components of each band: as many permutations as needed, each cut into bands without a common component."""
+    each = size // rows
+    found = []
+    for k in range(-(-bands // each)):
+        order = np.argsort(mix64(np.arange(1, size + 1, dtype=U64) + U64((k + 1) << 32)), kind="stable")
+        found.append(order[: each * rows].reshape(each, rows))
+    return np.concatenate(found)[:bands]
+
+
+def band_keys(best: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    bits = best.view(U64)
+    key = np.broadcast_to(np.arange(1, len(chosen) + 1, dtype=U64), (len(best), len(chosen))) * U64(0x9E3779B97F4A7C15)
+    for r in range(chosen.shape[1]):
+        key = mix64(key + bits[:, chosen[:, r]])
     return key.view(np.int64)
 
 
@@ -134,7 +150,8 @@ def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def signed(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """row, doc_id, print (of the text), bag (a hash of it), keys: the band keys."""
+    """row, doc_id, print (of the text), bag (a hash of it), total (weight), n (distinct shingles), keys: the band keys."""
+    chosen = band_rows()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         row = TaskContext.get().partitionId() << 33
@@ -143,45 +160,133 @@ def signed(docs: DataFrame, width: int = WORDS) -> DataFrame:
             best = signatures(doc, shingle, weight, len(b))
             cuts = np.searchsorted(doc, np.arange(len(b) + 1))
             names = [xxhash.xxh3_128_digest(shingle[i:j].tobytes() + weight[i:j].astype("<i8").tobytes()) for i, j in zip(cuts, cuts[1:])]
-            keys = [k if i < j else [] for k, i, j in zip(band_keys(best), cuts, cuts[1:])]
-            yield pd.DataFrame({"row": row + np.arange(len(b)), "doc_id": b["doc_id"].astype("Int64"), "print": b["print"], "bag": names, "keys": keys})
+            keys = [k if i < j else [] for k, i, j in zip(band_keys(best, chosen), cuts, cuts[1:])]
+            total = np.bincount(doc, weight, len(b)).astype(np.int64)
+            yield pd.DataFrame({"row": row + np.arange(len(b)), "doc_id": b["doc_id"].astype("Int64"), "print": b["print"], "bag": names, "total": total, "n": np.diff(cuts), "keys": keys})
             row += len(b)
 
-    return docs.withColumn("print", F.xxhash64("text")).mapInPandas(run, "row long, doc_id long, print long, bag binary, keys array<long>")
+    return docs.withColumn("print", F.xxhash64("text")).mapInPandas(run, "row long, doc_id long, print long, bag binary, total long, n long, keys array<long>")
+
+
+def packed(shingle: np.ndarray, weight: np.ndarray) -> tuple[bytes, bytes]:
+    """A bag as the first 48 bits of its shingles, and its weights, none where all are 1."""
+    six = np.ascontiguousarray((shingle >> U64(16)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
+    return six.tobytes(), b"" if (weight == 1).all() else weight.astype("<u4").tobytes()
+
+
+def unpacked(shingles: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    six = np.frombuffer(shingles, np.uint8).reshape(-1, 6)
+    wide = np.zeros((len(six), 8), np.uint8)
+    wide[:, :6] = six
+    return wide.view("<u8").reshape(-1), np.frombuffer(weights, "<u4").astype(np.int64) if weights else np.ones(len(six), np.int64)
 
 
 def _bag_table(texts: DataFrame, width: int) -> DataFrame:
-    """node, bag (shingles and weights, packed) of each row (node, text)."""
+    """node, its bag of each row (node, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _groups(batches):
             doc, shingle, weight = bags(b["text"].tolist(), width)
             cuts = np.searchsorted(doc, np.arange(len(b) + 1))
-            yield pd.DataFrame({"node": b["node"], "shingles": [shingle[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], "weights": [weight[i:j].astype("<u4").tobytes() for i, j in zip(cuts, cuts[1:])]})
+            both = [packed(shingle[i:j], weight[i:j]) for i, j in zip(cuts, cuts[1:])]
+            yield pd.DataFrame({"node": b["node"], "shingles": [x for x, _ in both], "weights": [x for _, x in both]})
 
     return texts.mapInPandas(run, "node long, shingles binary, weights binary")
 
 
-def similarity(sa: bytes, wa: bytes, sb: bytes, wb: bytes) -> float:
-    """Weighted Jaccard similarity: the sum of the smaller weights over that of the larger."""
-    (sa, sb), (wa, wb) = (np.frombuffer(s, U64) for s in (sa, sb)), (np.frombuffer(w, "<u4").astype(np.int64) for w in (wa, wb))
-    _, i, j = np.intersect1d(sa, sb, assume_unique=True, return_indices=True)
-    common = int(np.minimum(wa[i], wb[j]).sum())
-    return common / (int(wa.sum()) + int(wb.sum()) - common)
+def star_overlaps(centre: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The multiset overlap of one bag with each of others, none of which is empty."""
+    shingle, weight = (np.concatenate(x) for x in zip(*others))
+    at = np.minimum(np.searchsorted(centre[0], shingle), len(centre[0]) - 1)
+    common = np.where(centre[0][at] == shingle, np.minimum(centre[1][at], weight), 0)
+    return np.add.reduceat(common, np.cumsum([0] + [len(s) for s, _ in others[:-1]]))
+
+
+def cell_overlaps(found: list[tuple[np.ndarray, np.ndarray]], room: int = 1 << 22) -> np.ndarray:
+    """The multiset overlaps of all bags with each other.
+
+    A shingle of weight w is w elements, so that the overlap is the number of common elements: a product of
+    the matrix of bags and elements with itself, over ``room`` of its places at a time.
+    """
+    k = len(found)
+    shingle, weight = (np.concatenate(x) for x in zip(*found))
+    bag = np.repeat(np.repeat(np.arange(k), [len(s) for s, _ in found]), weight)
+    level = spread(np.zeros(len(weight), np.int64), weight).astype(U64)
+    _, element, holders = np.unique(mix64(np.repeat(shingle, weight) + level * U64(0x9E3779B97F4A7C15)), return_inverse=True, return_counts=True)
+    wanted = holders > 1
+    place = np.cumsum(wanted) - 1
+    keep = wanted[element]
+    element, bag = place[element[keep]], bag[keep]
+    order = np.argsort(element, kind="stable")
+    element, bag = element[order], bag[order]
+    out, width = np.zeros((k, k)), max(room // k, 1)
+    for first in range(0, int(wanted.sum()), width):
+        a, b = np.searchsorted(element, (first, first + width))
+        m = np.zeros((k, min(width, int(wanted.sum()) - first)), np.float32)
+        m[bag[a:b], element[a:b] - first] = 1
+        out += m @ m.T
+    np.fill_diagonal(out, [w.sum() for _, w in found])
+    return out
+
+
+def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the graph that a symmetric matrix of links gives."""
+    left, out = np.ones(len(linked), bool), []
+    for root in range(len(linked)):
+        todo = [root] if left[root] else []
+        left[root] = False
+        while todo:
+            a = todo.pop()
+            found = np.flatnonzero(linked[a] & left)
+            left[found] = False
+            out += [(a, b) for b in found.tolist()]
+            todo += found.tolist()
+    return out
+
+
+_LINKS = "a long, b long"
+_CELL = ["c1", "c2", "c3"]
+
+
+def _gathered(cells: DataFrame, bag_table: DataFrame) -> DataFrame:
+    """Rows (c1, c2, c3, side, node) with their bags, one cell after another."""
+    return cells.join(bag_table, "node").repartition(*_CELL).sortWithinPartitions(*_CELL, "side", "node")
+
+
+def _star_links(cells: DataFrame, bag_table: DataFrame, least: float) -> DataFrame:
+    """Links of each cell's node on side 0 with those on side 1."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, c in runs(batches, _CELL):
+            found = [unpacked(*x) for x in zip(c["shingles"], c["weights"])]
+            total = np.array([int(w.sum()) for _, w in found])
+            common = star_overlaps(found[0], found[1:])
+            good = np.flatnonzero(common / (total[0] + total[1:] - common) >= least) + 1
+            if len(good):
+                yield pd.DataFrame({"a": c["node"][0], "b": np.array(c["node"])[good]})
+
+    return _gathered(cells, bag_table).mapInPandas(run, _LINKS)
 
 
-def verified(pairs: DataFrame, bag_table: DataFrame, least: float) -> DataFrame:
-    """a, b, similarity of the pairs that reach ``least``."""
+def _cell_links(cells: DataFrame, bag_table: DataFrame, least: float) -> DataFrame:
+    """A spanning forest of the links of each cell."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            s = np.array([similarity(*x) for x in zip(b["sa"], b["wa"], b["sb"], b["wb"])], float)
-            yield b[["a", "b"]].assign(similarity=s)[s >= least]
+        for _, c in runs(batches, _CELL):
+            found = [unpacked(*x) for x in zip(c["shingles"], c["weights"])]
+            total = np.array([int(w.sum()) for _, w in found])
+            common = cell_overlaps(found)
+            linked = common / (total[:, None] + total - common) >= least
+            np.fill_diagonal(linked, False)
+            tree = spanning(linked)
+            if tree:
+                yield pd.DataFrame([(c["node"][a], c["node"][b]) for a, b in tree], columns=["a", "b"])
 
-    def side(x):
-        return bag_table.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"), F.col("weights").alias(f"w{x}"))
+    return _gathered(cells, bag_table).mapInPandas(run, _LINKS)
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "wa", "sb", "wb").mapInPandas(run, "a long, b long, similarity double")
+
+def _pieces(count: Column, volume: Column) -> Column:
+    return F.greatest(F.ceil(count / CELL_NODES), F.ceil(volume / CELL_SHINGLES)).cast("long")
 
 
 def classes(df: DataFrame, least: float = 0.8, width: int = WORDS) -> DataFrame:
@@ -190,44 +295,40 @@ def classes(df: DataFrame, least: float = 0.8, width: int = WORDS) -> DataFrame:
     rows = materialise(signed(docs, width), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("id_known"), "doc_id", "row"))
     nodes = materialise(rows.groupBy("bag").agg(F.min("row").alias("node"), first.alias("first"), F.count("*").alias("size")), "nodes")
-    own = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
-    banded = materialise(own.select(F.col("row").alias("node"), F.explode("keys").alias("key")), "bands")
-    buckets = materialise(banded.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre"), "buckets")
-    shared = materialise(banded.join(buckets, "key").select("key", "centre", "node"), "shared")
+    own = materialise(rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "total", "n", "keys"), "own")
+    banded = own.select("node", "total", "n", F.explode("keys").alias("key"))
+    buckets = banded.groupBy("key").agg(F.min(F.struct("node", "total")).alias("c"), F.count("*").alias("held")).where("held > 1")
+    buckets = materialise(buckets.select("key", F.col("c.node").alias("centre"), F.col("c.total").alias("centre_total")), "buckets")
+    shared = materialise(banded.join(buckets, "key").select("key", "centre", "centre_total", "node", "total", "n"), "shared")
+    discard(own, buckets)
     wanted = rows.join(shared.select(F.col("node").alias("row")).distinct(), "row", "left_semi").select(F.col("row").alias("node"), F.col("doc_id").alias("_id"), F.col("print").alias("_print"))
     # rows that repeat an id and a text have one bag, and so one node
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_print"))).select("node", "text")
     bag_table = materialise(_bag_table(texts, width).dropDuplicates(["node"]), "bags")
-    star = materialise(shared.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    links = materialise(verified(star, bag_table, least), "links")
-    label = components(links)
-
-    def parted() -> DataFrame:
-        """key, node, part: the shared buckets with their nodes' components so far."""
-        return materialise(shared.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("part")), "placed")
-
-    tried = star
-    for turn in range(STARS - 1):
-        # another node of each bucket that still holds several components meets the nodes of the other components
-        placed = parted()
-        open_keys = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("h"), "node", "part")).alias("c")).where("low < high")
-        open_keys = materialise(open_keys.select("key", F.col("c.node").alias("centre"), F.col("c.part").alias("centre_part")), "centres")
-        met = placed.join(open_keys, "key").where("part != centre_part").select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-        met = materialise(met.join(tried, ["a", "b"], "left_anti"), "met")
-        links = materialise(links.unionByName(verified(met, bag_table, least)), "links")
-        label, tried = components(links), tried.unionByName(met)
-    # what is left: pairs of different components in a bucket, and only they, by the components that each bucket holds
-    placed = parted()
-    held = placed.select("key", "part").distinct()
-    other = held.withColumnRenamed("part", "other")
-    meets = materialise(held.join(other, "key").where("part < other"), "meets")
-    left = meets.join(placed.withColumnRenamed("node", "a"), ["key", "part"]).select("key", "other", "a")
-    cross = left.join(placed.select("key", F.col("node").alias("b"), F.col("part").alias("other")), ["key", "other"])
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialise(verified(cross, bag_table, least), "links")
-    if more.limit(1).count():
-        label = components(links.unionByName(more))
+
+    # every node of a bucket with its smallest one
+    light, heavy = F.least("total", "centre_total"), F.greatest("total", "centre_total")
+    spokes = materialise(shared.where((F.col("node") != F.col("centre")) & (light >= F.lit(least) * heavy)).select("centre", "node", "n").distinct(), "spokes")
+    stars = spokes.groupBy("centre").agg(_pieces(F.count("*"), F.sum("n")).alias("pieces"))
+    dealt = spokes.join(stars, "centre").select(F.col("centre").alias("c1"), F.pmod(F.xxhash64("node"), F.col("pieces")).alias("c2"), F.lit(0).cast("long").alias("c3"), F.lit(1).alias("side"), "node")
+    cells = materialise(dealt.unionByName(dealt.select("c1", "c2", "c3", F.lit(0).alias("side"), F.col("c1").alias("node")).distinct()), "stars")
+    links = materialise(_star_links(cells, bag_table, least), "links")
+
+    # the rest of each bucket whose nodes are not all linked to that one, whole
+    joined = links.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.lit(1).alias("linked"))
+    rest = materialise(shared.where("node != centre").join(joined, ["centre", "node"], "left").select("key", "node", "n", "linked"), "rest")
+    opened = rest.groupBy("key").agg(F.count("*").alias("held"), F.count("linked").alias("linked"), _pieces(F.count("*"), F.sum("n")).alias("pieces")).where("linked < held and held > 1")
+    placed = rest.select("key", "node").join(opened.select("key", "pieces"), "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("pieces")))
+    # with two blocks or more each meets every other one, also those of its own, which are in all its cells
+    other = F.when(F.col("pieces") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1), lambda x: x != F.col("block")))
+    whole = placed.select("key", "node", "block", F.explode(other).alias("other"))
+    cells2 = materialise(whole.select(F.col("key").alias("c1"), F.least("block", "other").alias("c2"), F.greatest("block", "other").alias("c3"), F.lit(0).alias("side"), "node"), "cells")
+    more = materialise(_cell_links(cells2, bag_table, least), "links")
+    discard(shared, spokes, cells, rest, cells2, bag_table)
+    label = components(links.unionByName(more))
+
     classed = materialise(nodes.join(label, "node", "left").select("bag", "first", "size", F.coalesce("label", "node").alias("class")), "classed")
     heads = materialise(classed.groupBy("class").agg(F.min("first").alias("head"), F.sum("size").alias("class_size")), "heads")
     named = materialise(classed.select("bag", "class").join(heads, "class").select("bag", "head", "class_size"), "named")
+    discard(links, more, nodes, classed, heads)
     return rows.select("row", "doc_id", "print", "bag").join(named, "bag").select("doc_id", "print", F.col("head.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("head.row")).alias("kept"))

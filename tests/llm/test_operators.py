@@ -27,6 +27,7 @@ def rows():
     near = base.replace("word7", "word8", 1)
     out = [(i, prose(100 + i, 30 + i)) for i in range(20)]
     out += [(20, base), (21, base), (22, near), (23, f"{prose(3, 20)} {passage} {prose(4, 20)}"), (24, f"{prose(5, 9)} {passage}"), (25, None), (26, ""), (27, "   \n"), (28, "one"), (29, "x" * 300)]
+    out += [(None, prose(8, 25)), (None, None), (None, base), (35, prose(9, 60_000)), (36, "x" * 200_000), (2, prose(102, 32)), (2, prose(102, 32))]
     out += [(30, "ab" * 100), (31, "ba" * 60), (32, prose(6, 3000)), (33, "日本語 текст é 👍🏽  \n\n tabs\t"), (20, base), (34, 'password = "abcdef1"; token: ab\nAKIA' + "B" * 16 + " " + "0f" * 14)]
     return out
 
@@ -111,32 +112,75 @@ def test_chunks_are_the_text(spark):
     assert sum(lens) == len(text) and max(lens) <= exact_dedup.MAX and len(lens) > 10
 
 
-def test_near_dedup(docs, empty):
-    bags = {}
-    for i, t in rows():
+def by_brute_force(data):
+    """The smallest id of each document's class, by comparing all pairs."""
+    bags = []
+    for _, t in data:
         w = (t or "").lower().split()
-        bags[i] = collections.Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) if w else collections.Counter()
-    ids = sorted(bags)
-    top = {i: i for i in ids}
+        bags.append(collections.Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) if w else collections.Counter())
+    top = list(range(len(data)))
 
     def find(x):
         while top[x] != x:
             x = top[x]
         return x
 
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            common = sum((bags[a] & bags[b]).values())
-            every = sum((bags[a] | bags[b]).values())
-            if (bags[a] == bags[b]) or (every and common / every >= 0.8):
+    for a in range(len(data)):
+        for b in range(a):
+            common, every = sum((bags[a] & bags[b]).values()), sum((bags[a] | bags[b]).values())
+            if bags[a] == bags[b] or (every and common / every >= 0.8):
                 x, y = find(a), find(b)
                 top[max(x, y)] = min(x, y)
+    low = {}
+    for k, (i, _) in enumerate(data):
+        low.setdefault(find(k), []).append(i)
+    return [(i, None if None in low[find(k)] else min(low[find(k)])) for k, (i, _) in enumerate(data)], len(low)
+
+
+def as_keys(pairs):
+    return sorted(pairs, key=lambda p: [(x is not None, x or 0) for x in p])
+
+
+def test_near_dedup(docs, empty):
+    want, n = by_brute_force(rows())
     got = near_dedup.classes(docs).collect()
-    assert {r.doc_id: r.class_id for r in got} == {i: find(i) for i in ids}
-    assert sum(r.kept for r in got) == len({find(i) for i in ids})
+    assert as_keys((r.doc_id, r.class_id) for r in got) == as_keys(want)
+    assert sum(r.kept for r in got) == n
     assert near_dedup.classes(empty).count() == 0
 
 
+@pytest.mark.parametrize("nodes", [512, 16])
+def test_near_dedup_of_a_group_of_many_unlinked_copies(spark, monkeypatch, nodes):
+    """Copies of one text with so many changes that most pairs share a bucket and few are linked; small cells split it."""
+    monkeypatch.setattr(near_dedup, "CELL_NODES", nodes)
+    rng, base = np.random.default_rng(7), [f"w{i}" for i in range(150)]
+    data = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.integers(0, 150, rng.integers(1, 9)):
+            words[at] = f"x{rng.integers(0, 3)}"
+        data.append((i, " ".join(words)))
+    want, n = by_brute_force(data)
+    got = near_dedup.classes(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert 5 < n < 145 and sorted((r.doc_id, r.class_id) for r in got) == want
+
+
+def test_overlaps():
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 12, rng.integers(3, 80))) for _ in range(40)]
+    doc, shingle, weight = near_dedup.bags(texts, 2)
+    packs = [near_dedup.packed(shingle[doc == k], weight[doc == k]) for k in range(40)]
+    found = [near_dedup.unpacked(*p) for p in packs]
+    words = [collections.Counter(zip(t.split(), t.split()[1:])) for t in texts]
+    want = [[sum((a & b).values()) for b in words] for a in words]
+    assert near_dedup.cell_overlaps(found, room=300).tolist() == want
+    assert near_dedup.star_overlaps(found[3], found[5:]).tolist() == want[3][5:]
+    linked = np.array(want) >= 30
+    np.fill_diagonal(linked, False)
+    tree = near_dedup.spanning(linked)
+    assert all(linked[a, b] for a, b in tree) and len({b for _, b in tree}) == len(tree)
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     off = []
@@ -145,8 +189,8 @@ def test_signatures_are_unbiased():
         b = [w if rng.random() > 0.04 else "new" for w in a]
         a += a[:6] * 20
         doc, shingle, weight = near_dedup.bags([" ".join(a), " ".join(b + b[:6] * 9)])
-        parts = [(shingle[doc == k].tobytes(), weight[doc == k].astype("<u4").tobytes()) for k in (0, 1)]
-        j = near_dedup.similarity(*parts[0], *parts[1])
+        common = near_dedup.cell_overlaps([(shingle[doc == k], weight[doc == k]) for k in (0, 1)])
+        j = common[0, 1] / (common[0, 0] + common[1, 1] - common[0, 1])
         s = near_dedup.signatures(doc, shingle, weight, 2, size=1024)
         off.append(((s[0] == s[1]).mean() - j) / math.sqrt(max(j * (1 - j), 1e-3) / 1024))
     assert abs(np.mean(off)) < 0.6 and np.std(off) < 1.6
