@@ -384,7 +384,7 @@ def test_html_votes(spark):
     data = [(i, "http://a.b/x", good) for i in range(5)] + [(5, "http://a.b/y", odd), (6, None, None), (7, "http://c.d/", "<main><p>m</p></main>"), (None, "http://a.b/z", good)]
     df = spark.createDataFrame([(*r, "p") for r in data], "page_id long, url string, html string, path string")
     got = {r.page_id: r for r in html_text.main_text(df).collect()}
-    assert got[5].text == "tiny" and got[6].text == "" and got[7].text == "m" and len(got) == 8
+    assert got[5].text == "tiny" and got[6].text == "" and got[7].text == "m" and len(got) == 9
     assert got[0].text == ("long text here " * 20).strip() and got[0].n_chars == len(got[0].text)
     assert html_text.main_text(df.where("false")).count() == 0
 
