@@ -254,14 +254,14 @@ _PATH = "CASE event_type WHEN 'view' THEN '/detect' WHEN 'click' THEN '/humanize
 _K = "coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0)"
 
 
-@query("cost_by_path", f"SELECT {_PATH} AS path, count(*) AS n, round(sum(CASE event_type WHEN 'click' THEN {_K} * 0.001 + {_K} * 2 * 0.003 WHEN 'view' THEN 0.003 WHEN 'purchase' THEN {_K} * 0.001 ELSE 0 END), 6) AS cost FROM events GROUP BY 1")
+@query("cost_by_path", f"SELECT {_PATH} AS path, count(*) AS n, round(sum(CAST(CASE event_type WHEN 'click' THEN {_K} * 0.001 + {_K} * 2 * 0.003 WHEN 'view' THEN 0.003 WHEN 'purchase' THEN {_K} * 0.001 ELSE 0 END AS DOUBLE)), 6) AS cost FROM events GROUP BY 1")
 def cost_by_path(spark, sf_dir):
     """A-22."""
     e = read(spark, sf_dir, "events").select(F.expr(_PATH).alias("path"), F.coalesce(F.get_json_object("props", "$.k").cast("int"), F.lit(0)).alias("k"))
     return e.groupBy("path").agg(F.count("*").alias("n"), r6(F.sum(logs.path_cost(F.col("path"), F.col("k"), F.col("k") * 2))).alias("cost"))
 
 
-@query("estimates", "SELECT n AS candidates, r AS rounds, round(n * 0.004, 6) AS expected, round(n * r * 0.004, 6) AS worst FROM range(1, 17) AS a(n), range(1, 9) AS b(r)")
+@query("estimates", "SELECT n AS candidates, r AS rounds, round(CAST(n * 0.004 AS DOUBLE), 6) AS expected, round(CAST(n * r * 0.004 AS DOUBLE), 6) AS worst FROM range(1, 17) AS a(n), range(1, 9) AS b(r)")
 def estimates(spark, sf_dir):
     """A-22, A-23, V-04, P-09: every request that the ranges allow."""
     g = spark.range(1, 17).withColumnRenamed("id", "candidates").withColumn("rounds", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(8).cast("long"))))

@@ -27,6 +27,19 @@ def r6(c):
     return F.round(c, 6)
 
 
+def r9(c):
+    return F.round(c, 9)
+
+
+def mean_of_hundredths(c):
+    """The mean of hundredths from a whole-number sum, one division; nine digits leave no tie to round."""
+    return F.sum(F.round(c * 100).cast("long")) / (F.count(c) * 100)
+
+
+def mean_sql(c):
+    return f"CAST(sum(CAST(round(({c}) * 100) AS BIGINT)) AS DOUBLE) / (count({c}) * 100)"
+
+
 DETECTORS = (("alpha", 1.0, 37, 101), ("beta", 2.0, 53, 97), ("gamma", 0.5, 71, 89))
 
 
@@ -79,22 +92,22 @@ def eval_summary(spark, sf_dir):
 
 @query(
     "strategy_comparison",
-    f"WITH {CAND} SELECT round, count(*) AS n, round(avg(sim), 6) AS mean_sim, round(avg(p_ai), 6) AS mean_p, round(avg(CASE WHEN p_ai < 0.5 THEN 1.0 ELSE 0.0 END), 6) AS rate FROM cand GROUP BY round",
+    f"WITH {CAND} SELECT round, count(*) AS n, round({mean_sql('sim')}, 9) AS mean_sim, round({mean_sql('p_ai')}, 9) AS mean_p, round(avg(CASE WHEN p_ai < 0.5 THEN 1.0 ELSE 0.0 END), 9) AS rate FROM cand GROUP BY round",
 )
 def strategy_comparison(spark, sf_dir):
     """A-06, E-02."""
-    return candidates(spark, sf_dir).groupBy("round").agg(F.count("*").alias("n"), r6(F.avg("sim")).alias("mean_sim"), r6(F.avg("p_ai")).alias("mean_p"), r6(sc.success_rate("p_ai")).alias("rate"))
+    return candidates(spark, sf_dir).groupBy("round").agg(F.count("*").alias("n"), r9(mean_of_hundredths(F.col("sim"))).alias("mean_sim"), r9(mean_of_hundredths(F.col("p_ai"))).alias("mean_p"), r9(sc.success_rate("p_ai")).alias("rate"))
 
 
 @query(
     "run_reduction",
-    f"WITH {CAND}, r AS (SELECT round, avg(CASE WHEN cand_idx = 0 THEN p_ai END) AS before, avg(CASE WHEN cand_idx > 0 THEN p_ai END) AS after FROM cand GROUP BY round) SELECT round, round(before, 6) AS before, round(after, 6) AS after, round((before - after) / before, 6) AS reduction, round(after - min(after) OVER (), 6) AS over_best FROM r",
+    f"WITH {CAND}, r AS (SELECT round, {mean_sql('CASE WHEN cand_idx = 0 THEN p_ai END')} AS before, {mean_sql('CASE WHEN cand_idx > 0 THEN p_ai END')} AS after FROM cand GROUP BY round) SELECT round, round(before, 9) AS before, round(after, 9) AS after, round((before - after) / before, 9) AS reduction, round(after - min(after) OVER (), 9) AS over_best FROM r",
 )
 def run_reduction(spark, sf_dir):
     """A-07, A-15, J-11, E-03: means before and after by run, relative reduction, distance from the best run."""
-    r = candidates(spark, sf_dir).groupBy("round").agg(F.avg(F.when(F.col("cand_idx") == 0, F.col("p_ai"))).alias("before"), F.avg(F.when(F.col("cand_idx") > 0, F.col("p_ai"))).alias("after"))
+    r = candidates(spark, sf_dir).groupBy("round").agg(mean_of_hundredths(F.when(F.col("cand_idx") == 0, F.col("p_ai"))).alias("before"), mean_of_hundredths(F.when(F.col("cand_idx") > 0, F.col("p_ai"))).alias("after"))
     best = Window.partitionBy(F.lit(0))
-    return r.select("round", r6("before").alias("before"), r6("after").alias("after"), r6((F.col("before") - F.col("after")) / F.col("before")).alias("reduction"), r6(F.col("after") - F.min("after").over(best)).alias("over_best"))
+    return r.select("round", r9("before").alias("before"), r9("after").alias("after"), r9((F.col("before") - F.col("after")) / F.col("before")).alias("reduction"), r9(F.col("after") - F.min("after").over(best)).alias("over_best"))
 
 
 @query(
