@@ -3,24 +3,30 @@
 Components become floor(scale * x) as whole numbers. One more component, sqrt(M - |v|^2) with M the largest
 squared length, makes every vector as long as every other, so that the largest inner product is the smallest
 distance (a query's own extra component is zero). The index keys each vector by its nearest pivot and its
-distance to it, sorts by that key, and cuts the order into annuli of bounded size, some annuli to a slab. A
-query first sees its own annulus, which gives it a k-th best score; it then goes only to slabs, and within
+distance to it, sorts by that key, and cuts the order into annuli of bounded size, some annuli to a slab. A query
+first sees its own annulus, which gives it a k-th best score; it then goes only to slabs, and within
 them, nearest annuli first, only to annuli that the triangle inequality lets beat that score. Scores are exact
 whole numbers; bounds have a margin for rounding.
 
-Pivots are spread over a sample of at most ``SAMPLE`` vectors by farthest-first choice; they only steer the
-order, so the sample never costs a result. All vectors are indexed. A vector that very many rows repeat fills
-several annuli, as the sort goes on by a hash of its id and its row.
+Pivots, about an eighth of the root of the number of vectors, are spread over a bounded sample by farthest-first
+choice; they only steer the order, so the sample never costs a result. All vectors are indexed. A vector that very
+many rows repeat fills several annuli, as the sort goes on by a hash of its id and its row. The summaries of the
+slabs are a table in blocks; batches of queries meet every block. Queries move to slabs; a slab that many batches
+want is served by several tasks, each with a bounded number of batches, so that copies of slabs grow with the
+batches sent.
 
 Vectors that are null or hold null, NaN or infinite components take no part, nor do rows without an id. Vectors
 of different length have no inner product and are not paired. Rows that repeat an id each count, as candidates
 and as queries, whose results share one ranking. Rows with a query's own id are not its candidates; equal scores
 go to the smaller id. With
-fewer candidates than k all are returned. An empty table gives an empty result. Whole numbers are exact while inner products stay below 2^42.
+fewer candidates than k all are returned. An empty table gives an empty result. Scores are exact over the whole
+range of long: by products of doubles where all stay below 2^53, else of 64-bit, else of unbounded whole numbers.
+A component or a score beyond the range counts as the nearest number in it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,20 +37,24 @@ from pyspark.sql import functions as F
 
 from proselab.llm.common import materialise, pack, unpack
 
-PIVOTS, SAMPLE = 32, 2048
+#: At least and at most so many pivots, and vectors of the sample for each.
+PIVOTS, MOST_PIVOTS, SAMPLE = 32, 1024, 16
+LEAST_SAMPLE = 2048
+#: Vectors of an annulus, annuli of a slab.
 ANNULUS, SLAB = 2048, 16
-#: Queries of a group of search, and slabs whose summaries are sent to all tasks; with more, queries go to every slab.
-GROUP, SUMMARIES = 65_536, 65_536
-KEY_BITS = 20
+#: Summaries of a block, batches of queries that a block or a slab meets in one task.
+SUMMARIES, BATCHES = 65_536, 64
+LONG = 2**63 - 1
+NONE = -(2**63)
 
 
 def quantised(df: DataFrame, scale: int) -> DataFrame:
-    """vec_id, v: array of whole numbers, sq: squared length, of the vectors that take part."""
+    """vec_id, v: array of whole numbers, sq: squared length as a double, of the vectors that take part."""
     x = F.col("embedding")
     fit = x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e.cast("double")) & (F.abs(e.cast("double")) < float("inf")))
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding")).where(F.col("vec_id").isNotNull() & F.coalesce(fit, F.lit(False)))
     v = F.transform("embedding", lambda e: F.floor(F.lit(float(scale)) * e.cast("double")))
-    return rows.select("vec_id", v.alias("v")).withColumn("sq", F.aggregate("v", F.lit(0).cast("long"), lambda a, e: a + e * e))
+    return rows.select("vec_id", v.alias("v")).withColumn("sq", F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double")))
 
 
 def _spread_pivots(sample: list, most: int) -> dict[int, np.ndarray]:
@@ -68,24 +78,35 @@ def _pivot_distances(m: np.ndarray, pivots: np.ndarray, most: float, query: bool
     return np.sqrt(np.maximum(d, 0))
 
 
+def _products(a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
+    """Inner products of the rows of two matrices of whole numbers, none above ``most``, as longs."""
+    if most < 2**52:
+        return np.rint(a.astype(float) @ b.T.astype(float)).astype(np.int64)
+    if most < 2**62:
+        return a @ b.T
+    return np.array([[max(-LONG, min(LONG, x)) for x in row] for row in (a.astype(object) @ b.T.astype(object)).tolist()], np.int64).reshape(len(a), len(b))
+
+
 def _highest(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int):
     """The k best (score, id) of each row of ``scores``; ``ids`` ascend, so that equal scores go to the first."""
-    key = (scores.astype(np.int64) << KEY_BITS) + ((1 << KEY_BITS) - 1 - np.arange(len(ids)))
-    key[own[:, None] == ids] = np.iinfo(np.int64).min
+    scores = np.where(own[:, None] == ids, NONE, scores)
+    bits = len(ids).bit_length()
     if len(ids) > k:
-        at = np.argpartition(-(key + 1), k - 1, axis=1)[:, :k]
+        usable = scores[scores > NONE]
+        if not len(usable) or max(abs(int(usable.min())), abs(int(usable.max()))) < 1 << (62 - bits):
+            # score and place fit one number; the query's own rows come last
+            key = np.where(scores > NONE, scores, -(1 << (62 - bits))) * (1 << bits) + (len(ids) - 1 - np.arange(len(ids)))
+            at = np.argpartition(-key, k - 1, axis=1)[:, :k]
+        else:
+            at = np.argsort(~scores, axis=1, kind="stable")[:, :k]
     else:
         at = np.broadcast_to(np.arange(len(ids)), scores.shape)
-    best = np.take_along_axis(key, at, 1)
-    return np.where(best == np.iinfo(np.int64).min, np.iinfo(np.int64).min, best >> KEY_BITS), ids[at]
-
-
-NONE = np.iinfo(np.int64).min
+    return np.take_along_axis(scores, at, 1), ids[at]
 
 
 def _bounds(sq_q, most, d, low, high):
     """Upper bounds of the inner product of queries with an annulus, from their distances to its pivot."""
-    least = np.maximum(np.maximum(low - d, d - high) - 1e-6 * (1 + d), 0)
+    least = np.maximum(np.maximum(low - d, d - high) - 1e-6 * (1 + d + np.sqrt(most)), 0)
     return (sq_q + most - least**2) / 2 + 1e-6 * (1 + sq_q + most)
 
 
@@ -93,9 +114,15 @@ def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> Dat
     """query_id, rank, vec_id, score: the k best of each query. ``is_query`` is a condition on vec_id."""
     rows = materialise(quantised(df, scale).withColumn("copy", F.monotonically_increasing_id()), "vectors")
     n, most = rows.agg(F.count("*"), F.max("sq")).first()
-    most = float(most or 0)
-    sample = [r.v for r in rows.orderBy(F.xxhash64("vec_id", "copy"), "vec_id").limit(SAMPLE).select("v").collect()]
-    pivots = _spread_pivots(sample, PIVOTS)
+    most = float(most or 0) * (1 + 1e-9)
+    wanted = min(MOST_PIVOTS, max(PIVOTS, math.isqrt(n) // 8))
+
+    def flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"data": [np.asarray(v, np.int64).tobytes() for v in b["v"]]})
+
+    drawn = rows.orderBy(F.xxhash64("vec_id", "copy"), "vec_id").limit(max(LEAST_SAMPLE, SAMPLE * wanted)).select("v")
+    pivots = _spread_pivots([np.frombuffer(r.data, np.int64) for r in drawn.mapInPandas(flat, "data binary").collect()], wanted)
 
     def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -115,88 +142,96 @@ def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> Dat
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Annuli of a slab, and its queries with the k-th best score of their own annulus."""
-        slab, count, held = TaskContext.get().partitionId(), 0, []
+        slab, held = TaskContext.get().partitionId(), []
 
-        def annulus(part: pd.DataFrame, number: int) -> pd.DataFrame:
+        def annulus(part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values("vec_id")
             m, ids = np.array(part["v"].tolist(), np.int64).reshape(len(part), int(part["size"].iloc[0])), part["vec_id"].to_numpy()
             s, p = int(part["size"].iloc[0]), int(part["pivot"].iloc[0])
-            out = [(slab, 0, s, p, float(part["dist"].min()), float(part["dist"].max()), 0.0, pack((ids, m)))]
+            out = [(slab, 0, s, p, float(part["dist"].min()), float(part["dist"].max()), pack((ids, m)))]
             asks = np.flatnonzero(part["query"].to_numpy(bool))
             if len(asks):
-                scores, _ = _highest(np.rint(m[asks].astype(float) @ m.T.astype(float)), ids, ids[asks], k)
-                kth = np.where((scores > NONE).sum(1) >= k, scores.min(1), NONE) if scores.shape[1] >= k else np.full(len(asks), NONE)
-                out.append((slab, 1, s, p, 0.0, 0.0, 0.0, pack((ids[asks], m[asks], kth))))
-            return pd.DataFrame(out, columns=["slab", "kind", "size", "pivot", "low", "high", "spare", "data"])
+                scores, _ = _highest(_products(m[asks], m, most), ids, ids[asks], k)
+                kth = scores.min(1) if scores.shape[1] >= k else np.full(len(asks), NONE)
+                out.append((slab, 1, s, p, 0.0, 0.0, pack((ids[asks], m[asks], kth))))
+            return pd.DataFrame(out, columns=["slab", "kind", "size", "pivot", "low", "high", "data"])
 
         for b in batches:
             held = pd.concat([held, b]) if len(held) else b
-            while True:
+            while len(held):
                 same = (held["size"].to_numpy() == held["size"].iloc[0]) & (held["pivot"].to_numpy() == held["pivot"].iloc[0])
                 run = len(held) if same.all() else int((~same).argmax())
                 if run == len(held) and run < ANNULUS:
                     break
                 run = min(run, ANNULUS)
-                yield annulus(held.iloc[:run], count)
-                count, held = count + 1, held.iloc[run:]
-                if not len(held):
-                    break
-            if not len(held):
-                held = []
+                yield annulus(held.iloc[:run])
+                held = held.iloc[run:]
         if len(held):
-            yield annulus(held, count)
+            yield annulus(held)
 
     sorted_rows = keyed.repartitionByRange(slabs, "size", "pivot", "dist", F.xxhash64("vec_id", "copy")).sortWithinPartitions("size", "pivot", "dist")
-    index = materialise(sorted_rows.mapInPandas(cut, "slab long, kind int, size int, pivot int, low double, high double, spare double, data binary"), "annuli")
-    summary = index.where("kind = 0").groupBy("slab", "size", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    known = [tuple(r) for r in summary.limit(SUMMARIES + 1).collect()]
-    every = index.where("kind = 0").agg(F.max("slab")).first()[0] if len(known) > SUMMARIES else None
-    groups = max(1, -(-n // (50 * GROUP)))
+    index = materialise(sorted_rows.mapInPandas(cut, "slab long, kind int, size int, pivot int, low double, high double, data binary"), "annuli")
+
+    # each batch of queries meets every block of summaries; a task has one block and some batches
+    summary = materialise(index.where("kind = 0").groupBy("slab", "size", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high")), "summaries")
+    asking = index.where("kind = 1").select("size", "data")
+    n_blocks, n_salts = max(1, -(-summary.count() // SUMMARIES)), max(1, -(-asking.count() // BATCHES))
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def every(number: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(number - 1)))
+
+    blocked = summary.withColumn("part", F.pmod(F.xxhash64("slab"), F.lit(n_blocks)).cast("int")).withColumn("salt", every(n_salts))
+    batched = asking.withColumn("salt", F.pmod(F.xxhash64("data"), F.lit(n_salts)).cast("int")).withColumn("part", every(n_blocks))
+
+    def route(batches: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         """The queries that each slab may serve better than their own annulus did."""
+        out = []
+        for size, data in zip(batches["size"], batches["data"]):
+            ids, m, kth = unpack(data)
+            fit = known[known["size"] == size]
+            slab, pivot = fit["slab"].to_numpy(), fit["pivot"].to_numpy()
+            hit = np.ones((len(ids), len(fit)), bool)
+            if size in pivots:
+                sq, d = (m.astype(float) ** 2).sum(1), _pivot_distances(m.astype(float), pivots[size], most, True)
+                hit = (_bounds(sq[:, None], most, d[:, pivot], fit["low"].to_numpy(), fit["high"].to_numpy()) >= kth[:, None]) | (pivot < 0)
+            for to in np.unique(slab[hit.any(0)]).tolist():
+                some = hit[:, slab == to].any(1)
+                out.append((to, 1, size, 0, 0.0, 0.0, pack((ids[some], m[some], kth[some]))))
+        return pd.DataFrame(out, columns=["slab", "kind", "size", "pivot", "low", "high", "data"])
+
+    routed = batched.groupBy("part", "salt").cogroup(blocked.groupBy("part", "salt")).applyInPandas(route, "slab long, kind int, size int, pivot int, low double, high double, data binary")
+    asked = materialise(routed, "asked")
+    pieces = materialise(asked.groupBy("slab").agg(F.ceil(F.count("*") / BATCHES).cast("int").alias("pieces")), "pieces")
+    dealt = asked.join(pieces, "slab").withColumn("piece", F.pmod(F.xxhash64("data"), F.col("pieces")).cast("int")).drop("pieces")
+    served = index.where("kind = 0").join(pieces, "slab").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+
+    def serve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A slab's annuli against the batches of queries sent to it, nearest annuli first for each batch."""
+        rings, now = [], None
         for b in batches:
-            for size, data in zip(b["size"], b["data"]):
+            for slab, piece, kind, size, p, low, high, data in b[["slab", "piece", "kind", "size", "pivot", "low", "high", "data"]].itertuples(index=False):
+                if (slab, piece) != now:
+                    rings, now = [], (slab, piece)
+                if kind == 0:
+                    rings.append((size, p, low, high, unpack(data)))
+                    continue
                 ids, m, kth = unpack(data)
                 sq = (m.astype(float) ** 2).sum(1)
                 d = _pivot_distances(m.astype(float), pivots[size], most, True) if size in pivots else None
-                wanted: dict[int, np.ndarray] = {}
-                for slab, s, p, low, high in known if every is None else ():
-                    if s == size:
-                        hit = (_bounds(sq, most, d[:, p], low, high) >= kth) if p >= 0 else np.ones(len(ids), bool)
-                        wanted[slab] = wanted.get(slab, False) | hit
-                if every is not None:
-                    wanted = dict.fromkeys(range(every + 1), np.ones(len(ids), bool))
-                group = int(ids[0]) % groups
-                out = [(slab, group, 1, size, 0, 0.0, 0.0, pack((ids[hit], m[hit], kth[hit]))) for slab, hit in wanted.items() if hit.any()]
-                yield pd.DataFrame(out, columns=["slab", "grp", "kind", "size", "pivot", "low", "high", "data"])
-
-    asked = index.where("kind = 1").select("size", "data").mapInPandas(route, "slab long, grp long, kind int, size int, pivot int, low double, high double, data binary")
-    served = index.where("kind = 0").select("slab", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("grp"), "kind", "size", "pivot", "low", "high", "data")
-
-    def serve(pdf: pd.DataFrame) -> pd.DataFrame:
-        """A slab's annuli against the queries sent to it, nearest annuli first for each batch of queries."""
-        out = []
-        rings = [(s, p, low, high, unpack(x)) for s, p, low, high, x in pdf.loc[pdf["kind"] == 0, ["size", "pivot", "low", "high", "data"]].itertuples(index=False)]
-        for size, data in pdf.loc[pdf["kind"] == 1, ["size", "data"]].itertuples(index=False):
-            ids, m, kth = unpack(data)
-            m = m.astype(float)
-            sq = (m**2).sum(1)
-            d = _pivot_distances(m, pivots[size], most, True) if size in pivots else None
-            bounds = [(_bounds(sq, most, d[:, p], low, high) if p >= 0 else np.full(len(ids), np.inf), ring) for s, p, low, high, ring in rings if s == size]
-            best, names = np.full((len(ids), k), NONE), np.full((len(ids), k), np.iinfo(np.int64).max)
-            for bound, (vec_ids, vectors) in sorted(bounds, key=lambda x: -x[0].max()):
-                ask = np.flatnonzero(bound >= np.maximum(kth, best[:, -1]))
-                if not len(ask):
-                    continue
-                s, i = _highest(np.rint(m[ask] @ vectors.T.astype(float)), vec_ids, ids[ask], k)
-                s, i = np.concatenate([best[ask], s], 1), np.concatenate([names[ask], i], 1)
-                order = np.lexsort((i, -(s + 1)), axis=1)[:, :k]
-                best[ask], names[ask] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            q, j = np.nonzero(best > NONE)
-            out.append(pd.DataFrame({"query_id": ids[q], "vec_id": names[q, j], "score": best[q, j]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-
-    found = served.unionByName(asked).groupBy("slab", "grp").applyInPandas(serve, "query_id long, vec_id long, score long")
+                bounds = [(_bounds(sq, most, d[:, p], low, high) if p >= 0 else np.full(len(ids), np.inf), ring) for s, p, low, high, ring in rings if s == size]
+                best, names = np.full((len(ids), k), NONE), np.full((len(ids), k), LONG)
+                for bound, (vec_ids, vectors) in sorted(bounds, key=lambda x: -x[0].max()):
+                    ask = np.flatnonzero(bound >= np.maximum(kth, best[:, -1]))
+                    if not len(ask):
+                        continue
+                    s, i = _highest(_products(m[ask], vectors, most), vec_ids, ids[ask], k)
+                    s, i = np.concatenate([best[ask], s], 1), np.concatenate([names[ask], i], 1)
+                    order = np.lexsort((i, ~s), axis=1)[:, :k]
+                    best[ask], names[ask] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+                q, j = np.nonzero(best > NONE)
+                yield pd.DataFrame({"query_id": ids[q], "vec_id": names[q, j], "score": best[q, j]})
+
+    met = served.unionByName(dealt).repartition("slab", "piece").sortWithinPartitions("slab", "piece", "kind")
+    found = met.mapInPandas(serve, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

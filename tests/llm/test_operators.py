@@ -319,6 +319,35 @@ def test_pivot_search_repeated_ids(spark, monkeypatch):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
 
 
+def nearest(ok, k=5):
+    """query_id, rank, vec_id, score by comparing whole numbers of any size, each within the range of long."""
+    out = []
+    for q, a in ok.items():
+        if q % 50 == 0:
+            best = sorted((-max(-pivot_search.LONG, min(pivot_search.LONG, sum(x * y for x, y in zip(a, v)))), i) for i, v in ok.items() if i != q)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("step", [1.0, 1e5, 3.3e5, 1e7, 1.2e7, 1e8, 1e15])
+def test_pivot_search_large_scores(spark, step):
+    """Scores from small ones over 2^43, 2^53 and 2^62 to beyond a long; many ties at the end of the range."""
+    data = [(i, [step * i, 1.0 - i % 3]) for i in range(150)]
+    got = pivot_search.search(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    ok = {i: [min(pivot_search.LONG, math.floor(256 * x)) for x in v] for i, v in data}
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == nearest(ok)
+
+
+def test_pivot_search_blocks_and_pieces(spark, monkeypatch):
+    """Several blocks of summaries and several tasks a slab give what one gives."""
+    for name, value in {"ANNULUS": 8, "SLAB": 2, "SUMMARIES": 7, "BATCHES": 3}.items():
+        monkeypatch.setattr(pivot_search, name, value)
+    rng = np.random.default_rng(11)
+    data = [(i, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(700)]
+    got = pivot_search.search(spark.createDataFrame(data, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == nearest({i: [math.floor(256 * x) for x in v] for i, v in data})
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [
