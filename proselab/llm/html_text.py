@@ -9,7 +9,7 @@ them, as one from another template, or only empty ones falls back on its own bes
 Without article and main, a div beside the best one that no paragraph of their common parent joins to it is taken
 for a page's other box, not for a part of the article.
 
-Within the container, navigation, headers, footers, sidebars, forms, scripts, styles, adverts, notices and
+Within the container, navigation, headers (but the article's own), footers, sidebars, forms, scripts, styles, adverts, notices and
 reader comments are left out, by tag or by a word of their class or id. Character references are decoded, white
 space inside a block becomes one space, and blocks are joined in page order by one space.
 
@@ -37,7 +37,8 @@ ATTRIBUTE = re.compile(r"""([^\s/>="'][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not markup.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-#: Never part of the text.
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
+#: Never part of the text; a header inside an article is part of it.
 OUT = RAW | frozenset("nav header footer aside form button select option noscript template svg math canvas object audio video menu dialog head fieldset label datalist".split())
 BLOCK = frozenset("address article aside blockquote body br button canvas caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 CONTAINERS = frozenset("article main section div td body".split())
@@ -54,12 +55,47 @@ CLOSED_BY = {"p": BLOCK - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt",
 SCOPE = frozenset("article main section div td th table body html ul ol dl aside form nav footer header".split())
 
 
+#: The names whose open elements a start tag closes.
+CLOSES = {name: tuple(k for k, by in CLOSED_BY.items() if name in by) for name in {n for by in CLOSED_BY.values() for n in by}}
+
+
 class Node:
-    __slots__ = ("children", "name", "out", "parent", "path")
+    """An element, with what a walk to the root would tell: no step of the work follows the depth of a page.
+
+    box and hold are the nearest container, and the nearest one that is no section (or the root); article and
+    main the outermost such elements around it; link and inside tell whether it is in a link and in a paragraph,
+    running whether a paragraph stands between it and hold. The path is kept as a 64-bit hash, keyed by process.
+    """
+
+    __slots__ = ("article", "box", "children", "hold", "inside", "key", "link", "main", "name", "out", "parent", "running", "step")
 
     def __init__(self, name: str, parent: Node | None, step: str, out: bool):
-        self.name, self.parent, self.out, self.children = name, parent, out, []
-        self.path = f"{parent.path}/{step}" if parent else step
+        self.name, self.parent, self.step, self.out, self.children = name, parent, step, out, []
+        self.key = hash((parent.key if parent else 0, step))
+        paragraph, up = name in PARAGRAPHS, parent or self
+        self.link = name == "a" or bool(parent) and parent.link
+        self.inside = paragraph or bool(parent) and parent.inside
+        self.box = self if name in CONTAINERS else parent.box if parent else None
+        holds = parent is None or name in CONTAINERS and name != "section"
+        self.hold = self if holds else up.hold
+        self.running = paragraph or not holds and up.running
+        self.article = parent and parent.article or (self if name == "article" else None)
+        self.main = parent and parent.main or (self if name == "main" else None)
+
+    @property
+    def path(self) -> str:
+        steps, x = [], self
+        while x is not None:
+            steps.append(x.step)
+            x = x.parent
+        return "/".join(reversed(steps))
+
+
+def _key(path: str) -> int:
+    key = 0
+    for step in path.split("/"):
+        key = hash((key, step))
+    return key
 
 
 def _step(name: str, attributes: dict[str, str]) -> str:
@@ -68,125 +104,151 @@ def _step(name: str, attributes: dict[str, str]) -> str:
     return ".".join([name, *classes])
 
 
+class _Open:
+    """The open elements: a stack, and the places of each name in it, so that none is searched for."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places, self.scopes = [root], {}, [0]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.stack))
+        if node.name in SCOPE:
+            self.scopes.append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, name: str) -> int:
+        places = self.places.get(name)
+        return places[-1] if places else 0
+
+    def close(self, place: int) -> None:
+        """Close the element at ``place`` and all in it."""
+        while len(self.stack) > place:
+            name = self.stack.pop().name
+            self.places[name].pop()
+            if name in SCOPE:
+                self.scopes.pop()
+
+
 def parse(html: str) -> Node:
     """The tree of elements; texts are children as strings."""
-    root = node = Node("html", None, "html", False)
+    root = Node("html", None, "html", False)
+    opened = _Open(root)
     at, n = 0, len(html)
     while at < n:
         m = TAG.search(html, at)
         if m is None:
-            node.children.append(html[at:])
+            opened.stack[-1].children.append(html[at:])
             break
         if m.start() > at:
-            node.children.append(html[at : m.start()])
+            opened.stack[-1].children.append(html[at : m.start()])
         at, name = m.end(), (m[2] or "").lower()
         if not name:
             continue
         if m[1]:
-            up = node
-            while up is not root and up.name != name and not (up.name in SCOPE and name not in SCOPE):
-                up = up.parent
-            if up.name == name and up is not root:
-                node = up.parent
+            place = opened.last(name)
+            if place and (name in SCOPE or place > opened.scopes[-1]):
+                opened.close(place)
             continue
-        if name in ("html", "body") and (name == "html" or any(x.name == "body" for x in _line(node))):
+        if name == "html" or name == "body" and opened.last("body"):
             continue
-        while node is not root:
-            up = node
-            while up is not root and up.name not in SCOPE and name not in CLOSED_BY.get(up.name, ()):
-                up = up.parent
-            if up is root or name not in CLOSED_BY.get(up.name, ()):
+        for _ in range(len(opened.stack)):
+            place = max((opened.last(k) for k in CLOSES.get(name, ())), default=0)
+            if not place or place < opened.scopes[-1]:
                 break
-            node = up.parent
+            opened.close(place)
+        node = opened.stack[-1]
         attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[3])} if m[3] else {}
         marks = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-        out = name in OUT or "hidden" in attributes or name not in ("body", "html", "article", "main") and marks != " " and bool(AWAY.search(marks))
+        out = name in OUT and not (name == "header" and node.article) or "hidden" in attributes or name not in ("body", "html", "article", "main") and marks != " " and bool(AWAY.search(marks))
         own = Node(name, node, _step(name, attributes), out or attributes.get("role", "") in ("navigation", "banner", "complementary", "contentinfo", "search"))
         node.children.append(own)
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(html, at)
+            end = RAW_END[name].search(html, at)
             at = n if end is None else end.start()
         elif name not in VOID and not m[3].endswith("/"):
-            node = own
+            opened.push(own)
     return root
 
 
-def _line(node: Node | None) -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.parent
-
-
-def _tree(root: Node) -> Iterator[tuple[Node | str, Node | None]]:
+def _tree(root: Node, within=None) -> Iterator[tuple[Node | str, Node | None]]:
     """Nodes and texts with their parents in page order, without what is left out."""
     stack: list = [(root, None)]
     while stack:
         x, parent = stack.pop()
         yield x, parent
-        if isinstance(x, Node) and not x.out:
+        if isinstance(x, Node) and not x.out and (within is None or within(x)):
             stack.extend((c, x) for c in reversed(x.children))
 
 
-def best_container(root: Node) -> tuple[Node | None, float]:
-    """The container whose own paragraphs hold the most text; an outer one gets half of an inner one's."""
-    scores: dict[int, float] = {}
-    nodes: dict[int, Node] = {}
-    for x, parent in _tree(root):
-        if isinstance(x, Node) or not x.strip():
-            continue
-        line = list(_line(parent))
-        if any(e.name == "a" for e in line):
-            continue
-        weight = len(x.strip()) * (1.0 if any(e.name in PARAGRAPHS for e in line) else 0.25)
-        share = 1.0
-        for e in line:
-            if e.name in CONTAINERS:
-                scores[id(e)] = scores.get(id(e), 0.0) + weight * share
-                nodes[id(e)] = e
-                share /= 2
-                if share < 0.2:
-                    break
-    if not scores:
-        return None, 0.0
-    key = max(scores, key=scores.get)
-    return nodes[key], scores[key]
-
-
-def whole(node: Node, root: Node) -> Node:
-    """The element that holds the rest of the article of which ``node`` is a part."""
-    line = list(_line(node))
-    top = next((e for e in reversed(line) if e.name == "article"), None)
-    main = next((e for e in reversed(line) if e.name == "main"), None)
-    if top is None and main is None:
-        held = _with_paragraphs(root)
-        return next((e for e in reversed(line) if id(e) in held), node)
-    if top is None or main is None or any(e is top for e in _line(main)):
-        return top or main
-    # a main with more articles lists them; one around a single article holds its title and the like
-    others = (x for x, _ in _tree(main) if isinstance(x, Node) and x.name == "article" and not x.out)
-    return top if any(all(e is not top for e in _line(x)) for x in others) else main
-
-
-def elected(root: Node) -> tuple[Node | None, float]:
-    """The element that a page votes for, and the score of its best container."""
-    node, score = best_container(root)
-    return node and whole(node, root), score
-
-
-def _with_paragraphs(root: Node) -> set[int]:
-    """Containers with paragraphs of their own; a section is a part of the container around it."""
-    held: set[int] = set()
-    for x, parent in _tree(root):
-        if isinstance(x, Node) or not unescape(x).strip() or any(e.name == "a" for e in _line(parent)):
-            continue
-        running = False
-        for e in _line(parent):
-            running |= e.name in PARAGRAPHS
-            if e is root or e.name in CONTAINERS and e.name != "section":
-                if running:
-                    held.add(id(e))
-                break
-    return held
+class Page:
+    """A parsed page and what its elements say about its article."""
+
+    def __init__(self, html: str):
+        self.root = parse(html)
+        scores: dict[Node, float] = {}
+        self._held: set[Node] = set()
+        #: The outermost articles in each main.
+        self._articles: dict[Node, set[Node]] = {}
+        for x, parent in _tree(self.root):
+            if isinstance(x, Node):
+                if x.name == "article" and x.main is not None and not x.out:
+                    self._articles.setdefault(x.main, set()).add(x.article)
+                continue
+            if parent.link or not x.strip():
+                continue
+            # an outer container gets half of what an inner one gets
+            weight, share, e = len(x.strip()) * (1.0 if parent.inside else 0.25), 1.0, parent.box
+            while e is not None and share >= 0.2:
+                scores[e] = scores.get(e, 0.0) + weight * share
+                share, e = share / 2, e.parent.box if e.parent else None
+            if parent.running and unescape(x).strip():
+                self._held.add(parent.hold)
+        self.best = max(scores, key=scores.get) if scores else None
+        self.score = scores[self.best] if scores else 0.0
+        self._outermost: dict[Node, Node | None] = {}
+
+    def _outer(self, node: Node) -> Node:
+        """The outermost element around ``node`` with paragraphs of its own, or itself."""
+        line, x = [], node
+        while x is not None and x not in self._outermost:
+            line.append(x)
+            x = x.parent
+        found = self._outermost[x] if x is not None else None
+        for x in reversed(line):
+            found = found or (x if x in self._held else None)
+            self._outermost[x] = found
+        return found or node
+
+    def whole(self, node: Node) -> Node:
+        """The element that holds the rest of the article of which ``node`` is a part.
+
+        The article or main around it or, without either, the outermost element with paragraphs of its own.
+        A section is a part of the container around it.
+        """
+        top, main = node.article, node.main
+        if top is None and main is None:
+            return self._outer(node)
+        if top is None or main is None or main.article is top:
+            return top or main
+        # a main with more articles lists them; one around a single article holds its title and the like
+        return top if self._articles.get(main, set()) - {top} else main
+
+    def elected(self) -> Node | None:
+        """The element that the page votes for."""
+        return self.best and self.whole(self.best)
+
+    def text(self, path: str | None) -> str:
+        """The text of the elements at ``path``, else of the page's own best container, else of the page."""
+        wanted, text = _key(path) if path else None, ""
+        if path:
+            found = [x for x, _ in _tree(self.root) if isinstance(x, Node) and x.key == wanted and not x.out]
+            chosen = {self.whole(x) for x in found}
+            # an element inside another chosen one is part of it
+            tops = [x for x, _ in _tree(self.root, lambda x: x not in chosen) if isinstance(x, Node) and x in chosen]
+            text = " ".join(filter(None, map(text_of, tops)))
+        if not text and self.best is not None:
+            text = text_of(self.whole(self.best))
+        return text or text_of(self.root)
 
 
 def text_of(node: Node) -> str:
@@ -208,17 +270,7 @@ def text_of(node: Node) -> str:
 
 
 def extract(html: str, path: str | None) -> str:
-    root = parse(html)
-    chosen = [x for x, _ in _tree(root) if isinstance(x, Node) and x.path == path and not x.out] if path else []
-    chosen = list({id(x): x for x in (whole(x, root) for x in chosen)}.values())
-    # an element inside another chosen one is part of it
-    held = {id(x) for x in chosen}
-    chosen = [x for x in chosen if not any(id(e) in held for e in _line(x.parent))]
-    text = " ".join(filter(None, map(text_of, chosen)))
-    if not text:
-        own, _ = best_container(root)
-        text = text_of(whole(own, root)) if own else ""
-    return text or text_of(root)
+    return Page(html).text(path)
 
 
 def _pages(df: DataFrame) -> DataFrame:
@@ -231,8 +283,8 @@ def host_paths(df: DataFrame) -> DataFrame:
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [elected(parse(h)) for h in b["html"]]
-            rows = [(h, node.path, score) for h, (node, score) in zip(b["host"], found) if node is not None]
+            found = ((h, p, p.elected()) for h, p in zip(b["host"], map(Page, b["html"])))
+            rows = [(h, node.path, p.score) for h, p, node in found if node is not None]
             yield pd.DataFrame(rows, columns=["host", "path", "score"]).groupby(["host", "path"], as_index=False).agg(votes=("score", "size"), score=("score", "sum"))
 
     votes = _pages(df).select("host", "html").mapInPandas(vote, "host string, path string, votes long, score double")

@@ -418,6 +418,46 @@ def test_html_votes(spark):
     assert html_text.main_text(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    ["<div class=a>" * 30_000 + "<p>x</p>", "<b>" * 20_000 + "x", "<p>" + "<i>" * 30_000 + "x", "<ul>" + "<li><div>" * 20_000 + "x", "</b>" * 30_000 + "<div>" * 20_000 + "x", "<a href='" * 20_000 + "'>x</a>"],
+)
+def test_html_deep_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    assert html_text.extract(page, None).endswith("x") and html_text.Page(page).root is not None
+    assert time.process_time() - began < 5
+
+
+def test_html_headers_of_articles_stay():
+    page = "<body><header>Site</header><article><header><h1>Title</h1></header><p>one</p><nav>x</nav></article></body>"
+    assert html_text.extract(page, None) == "Title one"
+
+
+def test_html_against_a_plain_program(spark):
+    """Votes counted and pages extracted in a loop; repeated pages, ties of votes and pages without a url among them."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").limit(40).collect()
+    one, two = ("<div class=%s><p>" % c + "words of text " * 9 + "</p></div>" for c in ("one", "two"))
+    data = [tuple(r) for r in pages] + [tuple(pages[0])] * 3 + [(900, "http://t.t/", one), (901, "http://t.t/", two), (902, "http://t.t/", two + "<p>x</p>"), (903, None, one), (904, None, None), (None, "x", two)]
+    votes = collections.defaultdict(lambda: collections.defaultdict(lambda: [0, 0.0]))
+
+    def host(url):
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", url or "")
+        return m[1].lower() if m else ""
+
+    for _, url, html in data:
+        p = html_text.Page(html or "")
+        if p.elected() is not None:
+            v = votes[host(url)][p.elected().path]
+            v[0], v[1] = v[0] + 1, v[1] + p.score
+    best = {h: min(found, key=lambda x: (-found[x][0], -round(found[x][1], 3), x)) for h, found in votes.items()}
+    want = [(i, url, html_text.extract(html or "", best.get(host(url)))) for i, url, html in data]
+    got = html_text.main_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
+    assert sorted(map(repr, ((r.page_id, r.url, r.text) for r in got))) == sorted(map(repr, want))
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
 def test_quality_sample_is_bounded(spark, monkeypatch):
     drawn = []
     monkeypatch.setattr(quality, "train_scorer", lambda rows, target: drawn.append(len(rows)) or (np.zeros(quality.DIMENSIONS), 0.0))
