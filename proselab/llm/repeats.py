@@ -11,7 +11,9 @@ with the smallest doc_id that has it. The owner sorts the suffixes of its snippe
 counts), finds in suffix order the nearest neighbours from smaller documents before and behind, and with them
 the longest previous factor of each suffix. What it answers says which strings an earlier document has; the
 block marks what they cover in all its documents. A passage that very many documents share costs one snippet a
-block, and no group holds more than a block or a slice of the names.
+block. A phrase with ever new text around it would bring one owner as many snippets: the owners of the names see
+how many different snippets a name has (by the highest rank of their hashes, which blocks need only send once a
+name), and strings under a name with hundreds of them go one by one to owners by a hash of the whole string.
 
 A null text counts as empty. A null doc_id counts as smaller than any. Rows with the same doc_id are one
 document's, so they never remove each other's bytes. Texts may have any length; an empty table gives an empty
@@ -35,6 +37,8 @@ WINDOW = LENGTH - GRAM + 1
 #: Strings whose hashes are computed at a time.
 CHUNK = 1 << 19
 NO_ID = -(2**63)
+#: A name is common from this rank of its snippets' hashes on, which means some 2^9 different snippets.
+COMMON = 9
 #: Beside the kinds of rows that all exchanges have: a block's runs whose names others share.
 RUNS = 4
 
@@ -108,6 +112,25 @@ def _names(buf: np.ndarray, anchors: np.ndarray, parts: int):
     return np.unique(part << U64(32) | h >> U64(32), return_inverse=True)
 
 
+def _ranks(buf: np.ndarray, firsts: np.ndarray, counts: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
+    """For each name the most trailing zeros of its runs' hashes, by their first and last GRAM bytes."""
+    words, out = _words(buf), np.zeros(n, np.uint8)
+    h = mix64(_hash(words, firsts) * U64(0x9E3779B97F4A7C15) + _hash(words, firsts + counts + WINDOW - 2))
+    np.maximum.at(out, which, np.bitwise_count((h & (~h + U64(1))) - U64(1)).astype(np.uint8))
+    return out
+
+
+def _apart(buf: np.ndarray, firsts: np.ndarray, counts: np.ndarray, part: np.ndarray, common: np.ndarray, parts: int):
+    """The runs with each common one cut into its strings, whose parts come from all their bytes."""
+    each = np.where(common, counts, 1)
+    firsts = spread(firsts, each)
+    common = np.repeat(common, each)
+    words, at = _words(buf), firsts[common]
+    part = np.repeat(part, each)
+    part[common] = mix64(_hash(words, at) * U64(0x9E3779B97F4A7C15) + _hash(words, at + LENGTH - GRAM)) % U64(parts)
+    return firsts, np.where(common, 1, np.repeat(counts, each)), part
+
+
 def _by_part(names: np.ndarray):
     """(part, first, last + 1) of the sorted names."""
     part = (names >> U64(32)).astype(np.int64)
@@ -129,20 +152,26 @@ def _declare(ids: list, texts: list[str], parts: int):
     low, high = np.full(len(names), 2**63 - 1), np.full(len(names), NO_ID)
     np.minimum.at(low, which, key)
     np.maximum.at(high, which, key)
+    ranks = _ranks(buf, firsts, counts, which, len(names))
     yield None, blocks.PAYLOAD, pack((ids, lens, joined, planes(np.diff(firsts, prepend=0).astype(np.uint32)), planes(counts.astype(np.uint32)), planes((anchors - firsts).astype(np.uint8))))
     for p, a, b in _by_part(names):
-        yield blocks.owner(p), blocks.KEYS, pack((planes(np.diff((names[a:b] & U64(0xFFFFFFFF)).astype(np.int64), prepend=0).astype(np.uint32)), np.packbits(low[a:b] < high[a:b])))
+        yield blocks.owner(p), blocks.KEYS, pack((planes(np.diff((names[a:b] & U64(0xFFFFFFFF)).astype(np.int64), prepend=0).astype(np.uint32)), np.packbits(low[a:b] < high[a:b]), ranks[a:b].tobytes()))
 
 
 def _shared(part, senders, datas):
+    """For each block, which of its names another document holds, and which of them are common."""
     got = [unpack(d) for d in datas]
-    keys = [np.cumsum(unplanes(k).astype(np.int64)) for k, _ in got]
-    several = np.concatenate([np.unpackbits(f, count=len(k)) for k, (_, f) in zip(keys, got)])
-    _, which, uses = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    keys = [np.cumsum(unplanes(k).astype(np.int64)) for k, *_ in got]
+    several = np.concatenate([np.unpackbits(f, count=len(k)) for k, (_, f, _) in zip(keys, got)])
+    names, which, uses = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
     shared = (uses > 1) | (np.bincount(which, several) > 0)
+    rank = np.zeros(len(names), np.uint8)
+    np.maximum.at(rank, which, np.concatenate([np.frombuffer(r, np.uint8) for *_, r in got]))
+    common = shared & (rank >= COMMON)
     at = 0
     for block, k in zip(senders, keys):
-        yield blocks.row(block, block, blocks.REPLY, pack(np.packbits(shared[which[at : at + len(k)]])), (part, 0, 0, 0))
+        own = which[at : at + len(k)]
+        yield blocks.row(block, block, blocks.REPLY, pack((np.packbits(shared[own]), np.packbits(common[own]))), (part, 0, 0, 0))
         at += len(k)
 
 
@@ -151,12 +180,15 @@ def _send(payload: bytes, replies: dict[int, bytes], parts: int):
     ids, lens, joined, *runs = unpack(payload)
     firsts, counts, offs = (unplanes(r).astype(np.int64) for r in runs)
     firsts = np.cumsum(firsts)
-    names, which = _names(np.frombuffer(joined, np.uint8), firsts + offs, parts)
-    shared = np.zeros(len(names), bool)
+    buf = np.frombuffer(joined, np.uint8)
+    names, which = _names(buf, firsts + offs, parts)
+    shared, common = np.zeros(len(names), bool), np.zeros(len(names), bool)
     for p, a, b in _by_part(names):
-        shared[a:b] = np.unpackbits(unpack(replies[p]), count=b - a)
+        for mask, bits in zip((shared, common), unpack(replies[p])):
+            mask[a:b] = np.unpackbits(bits, count=b - a)
     own = np.flatnonzero(shared[which])
-    firsts, counts, which = firsts[own], counts[own], which[own]
+    which = which[own]
+    firsts, counts, part = _apart(buf, firsts[own], counts[own], (names[which] >> U64(32)).astype(np.uint32), common[which], parts)
     key = np.array([NO_ID if i is None else i for i in ids], np.int64)
     doc = key[np.searchsorted(np.cumsum(lens), firsts, side="right")] if len(firsts) else np.zeros(0, np.int64)
     number: dict[bytes, int] = {}
@@ -165,7 +197,7 @@ def _send(payload: bytes, replies: dict[int, bytes], parts: int):
         snippet[i] = number.setdefault(joined[a : a + n], len(number))
     # documents stand in the order of their ids, so a snippet's first run has the smallest
     _, first = np.unique(snippet, return_index=True)
-    low, part = doc[first], (names[which[first]] >> U64(32)).astype(np.uint32)
+    low, part = doc[first], part[first].astype(np.uint32)
     yield None, RUNS, pack((planes(firsts.astype(np.uint32)), planes(counts.astype(np.uint32)), planes(snippet), low, planes(part)))
     texts = list(number)
     order = np.argsort(part, kind="stable")
