@@ -18,8 +18,6 @@ read; ``realise`` returns all columns of the input.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,29 +45,38 @@ def _bisected(fits) -> float:
     return high / GRID
 
 
+def _over_grid(held: DataFrame, measure) -> float:
+    """The smallest exponent on the grid at which ``measure``, an aggregate that does not grow, is at most 0; else 1.
+
+    Two jobs: every hundredth exponent, then those between two of them.
+    """
+    low, high = 0, GRID
+    for step in (GRID // 100, 1):
+        tried = range(low, high + 1, step)
+        found = held.agg(*(measure(F.lit(k / GRID)).alias(f"m{k}") for k in tried)).first()
+        fit = next((k for k in tried if found[f"m{k}"] <= 0), high)
+        low, high = max(low, fit - step + 1), fit
+    return high / GRID
+
+
 def exponent(sources: DataFrame, repetition: float | None, entropy: float | None, total: int | None) -> float:
     """The exponent for ``sources`` (source, n), which must be written already."""
     held = sources.where("n > 0")
     least, most, every = held.agg(F.min("n"), F.max("n"), F.sum("n")).first()
     if not every:
         return 1.0
+    n = F.col("n").cast("double")
     if entropy is not None:
 
-        def weights_entropy(x: float) -> float:
-            p = F.pow(F.col("n") / every, F.lit(x))
-            z, s = held.agg(F.sum(p), F.sum(p * F.log(p))).first()
-            return math.log(z) - s / z
+        def over(x: Column) -> Column:
+            p = F.pow(n / every, x)
+            return F.log(F.sum(p)) - F.sum(p * F.log(p)) / F.sum(p) - entropy
 
         # the entropy falls as the exponent grows: the largest exponent that reaches the target
-        return max(0.0, _bisected(lambda x: weights_entropy(x) < entropy or x == 1) - (0 if weights_entropy(1.0) >= entropy else 1 / GRID))
-
-    def repeats(x: float) -> float:
-        if total is None:
-            return (most / least) ** (1 - x)
-        z = held.agg(F.sum(F.pow(F.col("n").cast("double"), F.lit(x)))).first()[0]
-        return total * least ** (x - 1) / z
-
-    return _bisected(lambda x: x == 1 or repeats(x) <= repetition)
+        return max(0.0, _over_grid(held, lambda x: F.when(over(x) >= 0, 1.0).otherwise(-1.0)) - 1 / GRID) if held.agg(over(F.lit(1.0)).alias("m")).first().m < 0 else 1.0
+    if total is None:
+        return _bisected(lambda x: x == 1 or (most / least) ** (1 - x) <= repetition)
+    return _over_grid(held, lambda x: F.lit(float(total)) * F.pow(F.lit(float(least)), x - 1) / F.sum(F.pow(n, x)) - repetition)
 
 
 def shares(sources: DataFrame, repetition: float | None = 1.5, entropy: float | None = None, total: int | None = None) -> DataFrame:

@@ -282,10 +282,25 @@ def test_secret_ledger_scans_only_new_blobs(docs):
     _, ledger = secret_scan.update_ledger(docs)
     _, again = secret_scan.update_ledger(docs, ledger)
     assert again.count() == ledger.count()
-    _, newer = secret_scan.update_ledger(docs, ledger, version="rules-2")
+    _, newer = secret_scan.update_ledger(docs, ledger, secret_scan.BASE)
     assert newer.count() == 2 * ledger.count()
 
 
+def test_secret_ledger_across_versions_of_a_corpus(docs):
+    """A report with yesterday's ledger, and with one of other rules, is a report from scratch."""
+    part = docs.where("doc_id % 2 = 0")
+    want = sorted(map(repr, secret_scan.report(docs).collect()))
+    _, ledger = secret_scan.update_ledger(part)
+    _, ledger = secret_scan.update_ledger(part, ledger, secret_scan.BASE[:1])
+    assert sorted(map(repr, secret_scan.report(docs, ledger).collect())) == want
+
+
+def test_secrets_in_a_text_with_very_many_matches(spark):
+    text = " ".join(f"é token={'ab' * (k % 5)} {'0f' * 13}" for k in range(3000))
+    spans = secret_scan.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
+    assert spans == ",".join(f"{k}:{a}:{b}" for a, _, k, b in base_spans(text))
+
+
 def test_too_short_matches_are_consumed(spark):
     df = spark.createDataFrame([(1, 'secret=token": abcdefgh'), (2, "éé token=abcdefg")], "doc_id long, text string")
     got = {r.doc_id: r.spans for r in secret_scan.report(df).collect()}
@@ -311,6 +326,29 @@ def test_mixing(docs, empty):
     assert mixing.plan(empty).count() == 0
 
 
+def test_mixing_to_a_total_and_an_entropy(spark):
+    """Budgets by whole passes and a partial one, also of a source without a name and one without tokens."""
+    data = [(i, "w " * (1 + i % 7), ["a", "b", None, "a", "a", "a"][i % 6]) for i in range(300)] + [(900, "", "c"), (901, None, "c")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    n = collections.Counter()
+    for _, t, s in data:
+        n[s or ""] += len((t or "").split())
+    for how in ({"total": 3000, "repetition": 2.0}, {"repetition": None, "entropy": 1.0}):
+        taken, largest = collections.Counter(), 0
+        plan = mixing.plan(df, **how).collect()
+        for r in plan:
+            taken[r.source] += r.n_tokens
+        x = mixing.exponent(spark.createDataFrame(list(n.items()), "source string, n long"), how["repetition"], how.get("entropy"), how.get("total"))
+        z = sum(c**x for c in n.values() if c)
+        for s, c in n.items():
+            budget = round(how["total"] * c**x / z if "total" in how else c * (max(n.values()) / c) ** (1 - x)) if c else 0
+            assert 0 <= budget - taken[s] < 7, (s, budget, taken[s])
+        assert {r.doc_id for r in plan if r.source == "c"} == {900, 901}
+        if "entropy" in how:
+            p = np.array([c**x / z for c in n.values() if c])
+            assert -(p * np.log(p)).sum() >= 1.0
+
+
 def test_mixing_entropy(spark):
     s = spark.createDataFrame([("a", 1000), ("b", 100), ("c", 10)], "source string, n long")
 
