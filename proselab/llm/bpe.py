@@ -23,10 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from proselab.llm import blocks
-from proselab.llm.common import documents, pack, parts_for, planes, spread, text_bytes, unpack, unplanes
-
-#: The pattern over texts whose characters all lie below U+0100, with its classes written out for the
-#: standard library's matcher, which is several times as fast; other texts take the full pattern.
+from proselab.llm.common import documents, pack, planes, spread, text_bytes, unpack, unplanes
+
+#: Larger blocks than elsewhere: a block holds little beside its positions, and fewer blocks repeat fewer words.
+BLOCK_CHARS = 16 << 20
+#: The pattern of byte-level vocabularies, and the same over texts whose characters all lie below U+0100, with its
+#: classes written out for the standard library's matcher, which is several times as fast; other texts, and other
+#: patterns, take the pattern given.
+COMMON = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _LETTER, _NUMBER, _SPACE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
 LATIN1 = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
@@ -39,11 +43,14 @@ def _splitter(pattern: str):
 
 
 def pretokens(text: str, pattern: str) -> list[str]:
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return _splitter(pattern).findall(text)
-    return LATIN1.findall(text)
+    if pattern == COMMON:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            pass
+        else:
+            return LATIN1.findall(text)
+    return _splitter(pattern).findall(text)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -69,7 +76,7 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(by_id), np.uint8), np.cumsum(lens) - lens, lens
 
 
-def _positions(ids: list, texts: list[str], pattern: str, parts: int):
+def _positions(ids: list, texts: list[str], pattern: str, x: blocks.Exchange):
     """A block's positions (its own payload) and its distinct words for their owners."""
 
     class Numbers(dict):
@@ -89,47 +96,31 @@ def _positions(ids: list, texts: list[str], pattern: str, parts: int):
     rank[by_use] = np.arange(len(numbers), dtype=np.uint32)
     found = list(numbers)
     words = [found[i].encode() for i in by_use.tolist()]
-    part = np.fromiter((zlib.crc32(w) % parts for w in words), np.uint32, len(words))
-    order = np.argsort(part, kind="stable")
+    part = np.fromiter((zlib.crc32(w) % x.parts for w in words), np.uint32, len(words))
     yield None, blocks.PAYLOAD, pack((ids, np.array([len(d) for d in docs], np.int64), planes(rank[flat]), planes(part)))
-    bounds = np.flatnonzero(np.diff(part[order], prepend=-1, append=parts + 1))
-    for a, b in zip(bounds, bounds[1:]):
-        own = [words[i] for i in order[a:b]]
-        yield blocks.owner(int(part[order[a]])), blocks.KEYS, pack((planes(np.array([len(w) for w in own], np.uint32)), b"".join(own)))
+    yield from blocks.asked(x, [(part, [words])])
 
 
-def _encode(part: int, senders: list[int], datas: list[bytes], path: str, pattern: str):
-    """The owner of some words: encodes each distinct one once and answers each block."""
+def _encode(words: blocks.Ragged, path: str, pattern: str) -> blocks.Ragged:
+    """The owner of some words: encodes each distinct one once."""
     encode, known = _encoding(path, pattern).encode_ordinary, {}
-    for block, data in zip(senders, datas):
-        lens, flat = unpack(data)
-        ends = np.cumsum(unplanes(lens)).tolist()
-        found, a = [], 0
-        for b in ends:
-            word, a = flat[a:b], b
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = encode(word.decode())
-            found.append(ids)
-        sizes = np.fromiter(map(len, found), np.uint32, len(found))
-        flat_ids = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
-        yield blocks.row(block, block, blocks.REPLY, pack((planes(sizes), planes(flat_ids))), (part, 0, 0, 0))
-
-
-def _block_ids(payload: bytes, replies: dict[int, bytes]):
+    flat, found = words.data.tobytes(), []
+    for a, n in zip(words.starts.tolist(), words.lens.tolist()):
+        word = flat[a : a + n]
+        ids = known.get(word)
+        if ids is None:
+            ids = known[word] = encode(word.decode())
+        found.append(ids)
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    return blocks.Ragged.of(sizes, np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum())))
+
+
+def _block_ids(x: blocks.Exchange, payload: bytes, replies: dict[int, bytes]):
     """(doc_id, ids) of each document of a block, put together by position."""
     doc_ids, counts, positions, part = unpack(payload)
     positions, part = unplanes(positions), unplanes(part)
-    sizes, starts, flat, base = np.zeros(len(part), np.int64), np.zeros(len(part), np.int64), [], 0
-    order = np.argsort(part, kind="stable")
-    at = 0
-    for p in np.unique(part).tolist():
-        n, ids = map(unplanes, unpack(replies[p]))
-        mine = order[at : at + len(n)]
-        sizes[mine], starts[mine] = n, base + np.cumsum(n) - n
-        flat.append(ids)
-        base, at = base + len(ids), at + len(n)
-    flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+    none = np.zeros(0, np.uint32)
+    sizes, flat, starts = blocks.answered(x, [part], replies)[0][0] if len(part) else (none, none, none)
     ends = np.cumsum(counts)
     for doc_id, a, b in zip(doc_ids, (ends - counts).tolist(), ends.tolist()):
         own = positions[a:b]
@@ -144,18 +135,18 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digest: bool = False)
     integers) and decoded_sha256 instead, so that long documents do not move again.
     """
     docs = documents(docs)
-    parts = parts_for(text_bytes(docs))
+    x = blocks.exchange(text_bytes(docs), block_chars=BLOCK_CHARS)
 
     def make(ids, texts):
-        return _positions(ids, texts, pattern, parts)
+        return _positions(ids, texts, pattern, x)
 
-    def answer(part, senders, datas):
-        return _encode(part, senders, datas, vocabulary, pattern)
+    def answer(channels):
+        return [[_encode(channels[0][0], vocabulary, pattern)]], []
 
-    def done(payload, replies):
+    def done(kept, replies):
         table, starts, lens = token_bytes(vocabulary)
         out = []
-        for doc_id, ids in _block_ids(payload, replies):
+        for doc_id, ids in _block_ids(x, kept[blocks.PAYLOAD], replies):
             decoded = table[spread(starts[ids], lens[ids])].tobytes()
             if digest:
                 out.append((doc_id, len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
@@ -166,5 +157,4 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, digest: bool = False)
         return frame.astype({"doc_id": "Int64"})
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded binary"
-    # larger blocks than elsewhere: a block holds little beside its positions, and fewer blocks repeat fewer words
-    return blocks.finish(blocks.own(blocks.build(docs, make, block_chars=16 << 20), answer), done, schema)
+    return blocks.finish(blocks.own(x, blocks.build(x, docs, make, block_chars=BLOCK_CHARS), answer), done, schema)

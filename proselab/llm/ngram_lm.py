@@ -1,18 +1,22 @@
 """Language-model scoring by deleted interpolation.
 
-A bigram model over ASCII-lower-cased words that end at white space, with one end token a text. The
-probability of a word after a context mixes the bigram and unigram maximum-likelihood estimates and a uniform
-share over the known words and one unknown word. The weights depend on a bucket of the context's frequency
-(its binary logarithm) and are learned by expectation-maximisation: one fold of the training documents is held
-out of the counts, and the weights maximise the likelihood of its counts under the estimates from the other
-folds. The scores then use the counts of all training documents with these weights.
+A trigram model over ASCII-lower-cased words that end at white space, with one end token a text. The probability
+of a word mixes the trigram, bigram and unigram maximum-likelihood estimates and a uniform share over the known
+words and one unknown word. A pair of words is a trigram's context from its second occurrence on; before, and at a
+text's first word, the bigram is the highest estimate. The weights depend on a bucket of the context's frequency
+(its binary logarithm, apart for pairs and single words) and are learned by expectation-maximisation: one fold of
+the training documents is held out of the counts, and the weights maximise the likelihood of its counts under the
+estimates from the other folds. The scores then use the counts of all training documents with these weights.
 
-Counts cover every training document. Words are told apart by 128-bit hashes, bigrams by 48 bits beside the
-slice that owns them. The expectation-maximisation reads the held-out tokens' estimates grouped in steps of a
-quarter in their binary logarithms, a table whose size the steps bound.
+Counts cover every training document. Words are told apart by 128-bit hashes, bigrams and trigrams by 56 bits, of
+which some name the slice that owns them. The expectation-maximisation reads the held-out tokens' estimates grouped
+in steps of a half in their binary logarithms, a table whose size the steps bound.
+
+Blocks of documents ask the owners of words and bigrams first, and then those of the trigrams whose contexts these
+counts allow.
 
 A null or empty text has its end token alone. A null doc_id counts as training. Repeated rows each count;
-texts may have any length; an empty table gives an empty result.
+texts may have any length; an empty table gives an empty result. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -26,13 +30,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proselab.llm import blocks
-from proselab.llm.common import U64, documents, materialise, mix64, pack, parts_for, planes, text_bytes, unpack, unplanes
+from proselab.llm.common import U64, discard, documents, materialise, mix64, pack, planes, text_bytes, unpack, unplanes
 
 #: Stand-ins that no word can equal, as words hold no white space; the start is a context only.
 END, START = b" ", b"\t"
 TEST, DEVELOPMENT, TRAIN = 2, 1, 0
 #: Steps for a factor of two in the estimates that the expectation-maximisation sees.
-STEPS = 4
+STEPS = 2
+#: Occurrences from which on a pair of words is a context.
+LEAST_CONTEXT = 2
+#: Buckets of pairs start here; those of single words are below.
+PAIRS = 64
+NO_ESTIMATE = -1_000_000
+BLOCK_CHARS = 8 << 20
+#: Beside the kinds of rows that all exchanges have: answers about trigrams.
+TRIGRAMS = 4
 
 
 def fold_of(doc_id, folds: int, held_out: int, development: int) -> int:
@@ -62,80 +74,115 @@ def _sequences(texts):
     return numbers, seqs
 
 
-def _pairs(flat: np.ndarray, n: int):
-    """The distinct (context, word) codes of a block in order, which of them stands at each place, and the places."""
-    at = np.flatnonzero(flat[:-1] != 1)
-    codes, which = np.unique(flat[at].astype(np.int64) * n + flat[at + 1], return_inverse=True)
-    return codes, which, at
+def _slices(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Parts by the high bits of hashes, so that sorted keys have sorted parts."""
+    return ((keys >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
+
+
+class Block:
+    """A block's documents as numbers of its words, its distinct bigrams, and the hashes of both."""
+
+    def __init__(self, ids: list, folds: np.ndarray, lens: np.ndarray, flat: np.ndarray, short: np.ndarray):
+        self.ids, self.folds, self.lens, self.flat, self.short = ids, folds, lens, flat, short
+        n = len(short)
+        #: The places of all contexts; a text's start is one, its end is none.
+        self.at = np.flatnonzero(flat != 1)
+        self.fold = np.repeat(folds, lens)
+        self.word = flat[self.at + 1]
+        codes, self.pair = np.unique(flat[self.at].astype(np.int64) * n + self.word, return_inverse=True)
+        self.pair_key = mix64(short[codes // n] * U64(0x9E3779B97F4A7C15) + short[codes % n])
 
+    @classmethod
+    def read(cls, payload: bytes) -> Block:
+        ids, folds, lens, flat, short = unpack(payload)
+        return cls(ids, folds, lens, unplanes(flat), np.frombuffer(short, U64))
 
-def _six(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    def payload(self) -> bytes:
+        return pack((self.ids, self.folds, self.lens, planes(self.flat), self.short.tobytes()))
 
+    def trigrams(self, pair_count: np.ndarray):
+        """Which places have a pair as context, their distinct trigrams, and the hashes of these."""
+        some = np.flatnonzero(self.flat[self.at] != 0)
+        some = some[pair_count[self.pair[some - 1]] >= LEAST_CONTEXT]
+        n = len(self.short)
+        codes, which = np.unique(self.pair[some - 1] * n + self.word[some], return_inverse=True)
+        return some, which, mix64(self.pair_key[codes // n] * U64(0xC2B2AE3D27D4EB4F) + self.short[codes % n])
 
-def _unsix(data: bytes) -> np.ndarray:
-    a = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(a), 8), np.uint8)
-    out[:, :6] = a
-    return out.view("<u8").reshape(-1)
 
+def _by_fold(which: np.ndarray, fold: np.ndarray, n: int) -> list[np.ndarray]:
+    return [np.bincount(which[fold == f], minlength=n) for f in (TRAIN, DEVELOPMENT)]
 
-def _count(ids, texts, parts, fold):
+
+def _channel(x: blocks.Exchange, keys: np.ndarray, counts: list[np.ndarray], first: list[np.ndarray] | None = None):
+    """A channel of counted keys in the order of their hashes."""
+    order = np.argsort(keys)
+    own = [c[order] for c in first] if first else [keys[order] >> U64(8)]
+    return _slices(keys[order], x.parts), own + [c[order].astype(U64) for c in counts]
+
+
+def _answers(x: blocks.Exchange, keys: list[np.ndarray], replies: dict[int, bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By channel, the counts of keys in all training documents and in those without the development fold."""
+    orders = [np.argsort(k) for k in keys]
+    out = []
+    for order, columns in zip(orders, blocks.answered(x, [_slices(k[o], x.parts) for k, o in zip(keys, orders)], replies)):
+        both, dev = (np.zeros(len(order), np.int64) for _ in range(2))
+        if columns:
+            both[order], dev[order] = (c.astype(np.int64) for c in columns)
+        out.append((both, both - dev))
+    return out
+
+
+def _count(ids, texts, x: blocks.Exchange, fold):
     numbers, seqs = _sequences(texts)
-    folds = np.array([fold(i) for i in ids], np.int8)
+    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in numbers), U64).reshape(-1, 2)
     lens = np.array([len(s) for s in seqs], np.int64)
-    flat, n = np.concatenate(seqs), len(numbers)
-    per = np.repeat(folds, lens)
-    digests = [xxhash.xxh3_128_digest(w) for w in numbers]
-    short = np.frombuffer(b"".join(digests), "<u8")[::2]
-    uni_part = (short % U64(parts)).astype(np.uint32)
-    uni = [np.bincount(flat[per == f], minlength=n).astype(np.uint32) for f in (TRAIN, DEVELOPMENT)]
-    codes, which, at = _pairs(flat, n)
-    keys = mix64(short[codes // n] * U64(0x9E3779B97F4A7C15) + short[codes % n])
-    bi_part = (mix64(keys ^ U64(0x5851F42D4C957F2D)) % U64(parts)).astype(np.uint32)
-    bi = [np.bincount(which[per[at] == f], minlength=len(codes)).astype(np.uint32) for f in (TRAIN, DEVELOPMENT)]
-    yield None, blocks.PAYLOAD, pack((ids, folds, lens, planes(flat), planes(uni_part), planes(bi_part)))
-    uo, bo = np.argsort(uni_part, kind="stable"), np.argsort(bi_part, kind="stable")
-    ub, bb = (np.searchsorted(p[o], np.arange(parts + 1)) for p, o in ((uni_part, uo), (bi_part, bo)))
-    for p in range(parts):
-        u, b = uo[ub[p] : ub[p + 1]], bo[bb[p] : bb[p + 1]]
-        if len(u) or len(b):
-            yield blocks.owner(p), blocks.KEYS, pack((b"".join(digests[i] for i in u), [planes(c[u]) for c in uni], _six(keys[b]), [planes(c[b]) for c in bi]))
-
-
-def _merge(part, senders, datas):
-    """The owner adds up the counts of its words and bigrams and answers (all training, without development) counts."""
-    got = [unpack(d) for d in datas]
-    answers = []
-    for k, read in ((0, lambda x: np.frombuffer(x, "S16")), (2, _unsix)):
-        keys = [read(g[k]) for g in got]
-        train, dev = (np.concatenate([unplanes(g[k + 1][f]) for g in got]).astype(np.int64) for f in (0, 1))
-        distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
-        kept = np.bincount(which, train, len(distinct)).astype(np.uint32)
-        both = np.bincount(which, train + dev, len(distinct)).astype(np.uint32)
-        if k == 0:
-            token = distinct != np.bytes_(xxhash.xxh3_128_digest(START))
-            yield blocks.row(-1, -1, blocks.STATS, b"", (both[token].sum(), (both[token] > 0).sum(), kept[token].sum(), (kept[token] > 0).sum()))
-        cuts = np.cumsum([len(x) for x in keys])[:-1]
-        answers.append([np.split(c[which], cuts) for c in (both, kept)])
-    for i, block in enumerate(senders):
-        yield blocks.row(block, block, blocks.REPLY, pack([[planes(c[i]) for c in a] for a in answers]), (part, 0, 0, 0))
-
-
-def _counts(payload, replies):
-    ids, folds, lens, flat, *parts = unpack(payload)
-    flat, parts = unplanes(flat), [unplanes(p) for p in parts]
-    got = {p: unpack(d) for p, d in replies.items()}
-    uni, bi = [], []
-    for k, (part, out) in enumerate(zip(parts, (uni, bi))):
-        order, own = np.argsort(part, kind="stable"), np.unique(part).tolist()
-        for version in (0, 1):
-            c = np.zeros(len(part), np.int64)
-            if own:
-                c[order] = np.concatenate([unplanes(got[p][k][version]) for p in own])
-            out.append(c)
-    codes, which, at = _pairs(flat, len(uni[0]))
-    return ids, folds, lens, flat, uni, bi, which, at
+    b = Block(ids, np.array([fold(i) for i in ids], np.int8), lens, np.concatenate(seqs), np.ascontiguousarray(digests[:, 0]))
+    yield None, blocks.PAYLOAD, b.payload()
+    words = _channel(x, b.short, _by_fold(b.flat, b.fold, len(b.short)), [b.short, np.ascontiguousarray(digests[:, 1])])
+    yield from blocks.asked(x, [words, _channel(x, b.pair_key, _by_fold(b.pair, b.fold[b.at], len(b.pair_key)))])
+
+
+def _total(keys: np.ndarray, train: np.ndarray, dev: np.ndarray):
+    """The distinct keys, the place of each key among them, and their counts in training and in development."""
+    distinct, which = np.unique(keys, return_inverse=True)
+    return distinct, which, *(np.bincount(which, c, len(distinct)).astype(U64) for c in (train, dev))
+
+
+def _merge(channels):
+    """The owner adds up the counts of its words and bigrams."""
+    (low, high, *counts), pairs = channels
+    distinct, which, train, dev = _total(np.column_stack([low, high]).view("S16").ravel(), *counts)
+    both, token = train + dev, distinct != np.bytes_(xxhash.xxh3_128_digest(START))
+    stats = (both[token].sum(), (both[token] > 0).sum(), train[token].sum(), (train[token] > 0).sum())
+    return [[both[which], dev[which]], _merge_keys([pairs])[0][0]], [stats]
+
+
+def _merge_keys(channels):
+    _, which, train, dev = _total(*channels[0])
+    return [[(train + dev)[which], dev[which]]], []
+
+
+class Counts:
+    """What a block knows of its tokens: numbers of contexts, and estimates, by all training or without development."""
+
+    def __init__(self, x: blocks.Exchange, payload: bytes, replies: dict[int, bytes], more: dict[int, bytes]):
+        self.block = b = Block.read(payload)
+        self.words, self.pairs = _answers(x, [b.short, b.pair_key], replies)
+        self.some, self.which, keys = b.trigrams(self.pairs[0])
+        self.triples = _answers(x, [keys], more)[0] if len(keys) else (np.zeros(0, np.int64),) * 2
+
+    def estimates(self, version: int, n_tokens: int):
+        """bucket, trigram, bigram and unigram estimate of each token; version 0: of all training documents, 1: without development."""
+        b, words, pairs = self.block, self.words[version], self.pairs[version]
+        context, word = words[b.flat[b.at]], words[b.word]
+        two = pairs[b.pair] / np.maximum(context, 1)
+        three, bucket = np.zeros(len(b.at)), _bucket(context)
+        pair = pairs[b.pair[self.some - 1]]
+        used = pair >= LEAST_CONTEXT
+        some = self.some[used]
+        three[some] = self.triples[version][self.which][used] / pair[used]
+        bucket[some] = PAIRS + _bucket(pair[used])
+        return bucket, three, two, word / max(n_tokens, 1)
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -143,30 +190,31 @@ def _bucket(context: np.ndarray) -> np.ndarray:
 
 
 def _step(x: np.ndarray, base: float) -> np.ndarray:
-    """Estimates in steps of their logarithm against the uniform share; -1000000 for none."""
-    return np.where(x > 0, np.round(STEPS * np.log2(np.maximum(x, 1e-300) / base)), -1_000_000).astype(np.int64)
-
-
-def _held_out(payload, replies, n_tokens: int, n_words: int) -> pd.DataFrame:
-    """How often the development fold's tokens have each (bucket, bigram estimate, unigram estimate)."""
-    ids, folds, lens, flat, uni, bi, which, at = _counts(payload, replies)
-    dev = np.repeat(folds, lens)[at] == DEVELOPMENT
-    context, word = uni[1][flat[at[dev]]], uni[1][flat[at[dev] + 1]]
-    base = 1 / (n_words + 1)
-    cells = np.stack([_bucket(context), _step(bi[1][which[dev]] / np.maximum(context, 1), base), _step(word / max(n_tokens, 1), base)])
-    cells, n = np.unique(cells, axis=1, return_counts=True)
-    return pd.DataFrame({"bucket": cells[0], "bi": cells[1], "uni": cells[2], "n": n})
-
-
-def learn_weights(cells: pd.DataFrame, rounds: int = 60, least: int = 100) -> dict[int, tuple[float, float, float]]:
-    """(bigram, unigram, uniform) weights by expectation-maximisation for each bucket; -1 is for buckets with fewer
-    than ``least`` held-out tokens, whose weights come from all of them."""
-    out = {}
-    groups = {-1: cells} | {int(k): g for k, g in cells.groupby("bucket") if k > 0 and g["n"].sum() >= least}
+    """Estimates in steps of their logarithm against the uniform share."""
+    return np.where(x > 0, np.round(STEPS * np.log2(np.maximum(x, 1e-300) / base)), NO_ESTIMATE).astype(np.int64)
+
+
+CELL = ["bucket", "tri", "bi", "uni"]
+
+
+def _held_out(counts: Counts, n_tokens: int, n_words: int) -> pd.DataFrame:
+    """How often the development fold's tokens have each (bucket, trigram, bigram and unigram estimate)."""
+    b = counts.block
+    dev = b.fold[b.at] == DEVELOPMENT
+    bucket, *found = (v[dev] for v in counts.estimates(1, n_tokens))
+    cells, n = np.unique(np.stack([bucket, *(_step(v, 1 / (n_words + 1)) for v in found)]), axis=1, return_counts=True)
+    return pd.DataFrame(dict(zip(CELL, cells))).assign(n=n)
+
+
+def learn_weights(cells: pd.DataFrame, rounds: int = 60, least: int = 100) -> dict[int, tuple[float, ...]]:
+    """(trigram, bigram, unigram, uniform) weights by expectation-maximisation for each bucket; -1 and -2 are for
+    buckets of pairs and of words with fewer than ``least`` held-out tokens, whose weights come from all of their kind."""
+    out, pairs = {}, cells["bucket"] >= PAIRS
+    groups = {-1: cells[pairs], -2: cells[~pairs]} | {int(k): g for k, g in cells.groupby("bucket") if k > 0 and g["n"].sum() >= least}
     for k, g in groups.items():
         n = g["n"].to_numpy(float)
-        odds = np.stack([np.where(g[c] > -1_000_000, 2.0 ** (np.maximum(g[c], -4000) / STEPS), 0.0) for c in ("bi", "uni")] + [np.ones(len(g))])
-        w = np.full(3, 1 / 3)
+        odds = np.stack([np.where(g[c] > NO_ESTIMATE, 2.0 ** (np.maximum(g[c], -4000) / STEPS), 0.0) for c in CELL[1:]] + [np.ones(len(g))])
+        w = np.full(4, 1 / 4)
         for _ in range(rounds if len(g) else 0):
             share = w[:, None] * odds
             w = (share / share.sum(0) * n).sum(1)
@@ -175,6 +223,14 @@ def learn_weights(cells: pd.DataFrame, rounds: int = 60, least: int = 100) -> di
     return out
 
 
+def _weight_table(weights: dict[int, tuple[float, ...]], most: int) -> np.ndarray:
+    """The weights of all buckets; an estimate that a kind of bucket does not have gives its weight to the others."""
+    table = np.array([weights.get(k, weights[-1 if k >= PAIRS else -2]) for k in range(max(most, PAIRS) + 1)])
+    table[:PAIRS, 0] = 0.0
+    table[0, 1] = 0.0
+    return table / np.maximum(table.sum(1, keepdims=True), 1e-300)
+
+
 def score(docs: DataFrame, folds: int = 7, held_out: int = 2, development: int = 6) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document.
 
@@ -183,36 +239,48 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, development: int =
     unigram log10 probability of all tokens, score that of the interpolated model.
     """
     docs = documents(docs)
-    parts = parts_for(text_bytes(docs))
+    x = blocks.exchange(text_bytes(docs), block_chars=BLOCK_CHARS)
 
     def make(ids, texts):
-        return _count(ids, texts, parts, lambda i: fold_of(i, folds, held_out, development))
+        return _count(ids, texts, x, lambda i: fold_of(i, folds, held_out, development))
 
-    rows = materialise(blocks.own(blocks.build(docs, make, block_chars=8 << 20), _merge), "lm")
+    rows = materialise(blocks.own(x, blocks.build(x, docs, make, block_chars=BLOCK_CHARS), _merge), "lm")
     total = rows.where(F.col("kind") == blocks.STATS).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n1", "n2", "n3", "n4"))).first()
     n_all, v_all, n_kept, v_kept = map(int, total)
-
-    def held(payload, replies):
-        return _held_out(payload, replies, n_kept, v_kept)
-
-    cells = blocks.finish(rows, held, "bucket long, bi long, uni long, n long").groupBy("bucket", "bi", "uni").agg(F.sum("n").alias("n")).toPandas()
-    weights = learn_weights(cells)
-
-    def done(payload, replies):
-        ids, fold, lens, flat, uni, bi, which, at = _counts(payload, replies)
-        context, word = uni[0][flat[at]], uni[0][flat[at + 1]]
-        bucket = _bucket(context)
-        table = np.array([weights.get(k, weights[-1]) for k in range(int(bucket.max(initial=0)) + 1)])
-        none = table[0]
-        table[0] = (0.0, *(none[1:] / max(none[1:].sum(), 1e-300)))
-        w = table[bucket]
-        p = w[:, 0] * bi[0][which] / np.maximum(context, 1) + w[:, 1] * word / max(n_all, 1) + w[:, 2] / (v_all + 1)
-        n = lens - 1
+    rows = rows.where(F.col("kind") != blocks.STATS)
+
+    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, replies = blocks.gathered(pdf)
+        b = Block.read(own[blocks.PAYLOAD])
+        some, which, keys = b.trigrams(_answers(x, [b.short, b.pair_key], replies)[1][0])
+        asked = blocks.asked(x, [_channel(x, keys, _by_fold(which, b.fold[b.at[some]], len(keys)))])
+        return pd.DataFrame(list(blocks.sent(x, int(pdf["dest"].iloc[0]), asked)), columns=blocks.FIELDS)
+
+    more = materialise(blocks.own(x, rows.groupBy("dest").applyInPandas(ask, blocks.ROW), _merge_keys).withColumn("kind", F.lit(TRIGRAMS)), "trigrams")
+
+    def finish(done, schema: str) -> DataFrame:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            third = pdf["kind"] == TRIGRAMS
+            own, replies = blocks.gathered(pdf[~third])
+            return done(Counts(x, own[blocks.PAYLOAD], replies, {int(g): d for g, d in zip(pdf["n1"][third], pdf["data"][third])}))
+
+        return rows.unionByName(more).groupBy("dest").applyInPandas(run, schema)
+
+    cells = finish(lambda counts: _held_out(counts, n_kept, v_kept), "bucket long, tri long, bi long, uni long, n long").groupBy(*CELL).agg(F.sum("n").alias("n"))
+    cells = materialise(cells, "cells")
+    weights = learn_weights(cells.toPandas())
+    discard(cells)
+
+    def done(counts: Counts) -> pd.DataFrame:
+        b, (bucket, three, two, one) = counts.block, counts.estimates(0, n_all)
+        w = _weight_table(weights, int(bucket.max(initial=0)))[bucket]
+        p = w[:, 0] * three + w[:, 1] * two + w[:, 2] * one + w[:, 3] / (v_all + 1)
+        word, n = counts.words[0][b.word], b.lens - 1
         first = np.cumsum(n) - n
         base = np.log10((word + 1) / (n_all + v_all + 1))
         return pd.DataFrame({
-            "doc_id": pd.array(ids, "Int64"), "held_out": fold == TEST, "n_tokens": n, "n_known": np.add.reduceat((word > 0).astype(np.int64), first),
+            "doc_id": pd.array(b.ids, "Int64"), "held_out": b.folds == TEST, "n_tokens": n, "n_known": np.add.reduceat((word > 0).astype(np.int64), first),
             "train_tokens": n_all, "base_score": np.add.reduceat(base, first), "score": np.add.reduceat(np.log10(p), first),
         })
 
-    return blocks.finish(rows, done, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return finish(done, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

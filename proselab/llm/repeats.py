@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proselab.llm import blocks
-from proselab.llm.common import U64, documents, materialise, mix64, pack, parts_for, planes, spread, text_bytes, unpack, unplanes
+from proselab.llm.common import U64, documents, materialise, mix64, pack, planes, spread, text_bytes, unpack, unplanes
 
 LENGTH, GRAM = 50, 28
 WINDOW = LENGTH - GRAM + 1
@@ -131,14 +131,7 @@ def _apart(buf: np.ndarray, firsts: np.ndarray, counts: np.ndarray, part: np.nda
     return firsts, np.where(common, 1, np.repeat(counts, each)), part
 
 
-def _by_part(names: np.ndarray):
-    """(part, first, last + 1) of the sorted names."""
-    part = (names >> U64(32)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(part, prepend=-1, append=1 << 40))
-    return [(int(part[a]), a, b) for a, b in zip(cuts.tolist(), cuts.tolist()[1:])]
-
-
-def _declare(ids: list, texts: list[str], parts: int):
+def _declare(ids: list, texts: list[str], x: blocks.Exchange):
     """A block's documents and runs, and its names for their owners, marked where two of its documents hold them."""
     order = sorted(range(len(ids)), key=lambda i: NO_ID if ids[i] is None else ids[i])
     ids, datas = [ids[i] for i in order], [texts[i].encode() for i in order]
@@ -146,7 +139,7 @@ def _declare(ids: list, texts: list[str], parts: int):
     joined = b"".join(datas)
     buf = np.frombuffer(joined, np.uint8)
     firsts, counts, anchors = _runs(buf, _inside(lens))
-    names, which = _names(buf, anchors, parts)
+    names, which = _names(buf, anchors, x.parts)
     doc = np.searchsorted(np.cumsum(lens), firsts, side="right")
     key = np.array([NO_ID if i is None else i for i in ids], np.int64)[doc] if len(doc) else np.zeros(0, np.int64)
     low, high = np.full(len(names), 2**63 - 1), np.full(len(names), NO_ID)
@@ -154,41 +147,30 @@ def _declare(ids: list, texts: list[str], parts: int):
     np.maximum.at(high, which, key)
     ranks = _ranks(buf, firsts, counts, which, len(names))
     yield None, blocks.PAYLOAD, pack((ids, lens, joined, planes(np.diff(firsts, prepend=0).astype(np.uint32)), planes(counts.astype(np.uint32)), planes((anchors - firsts).astype(np.uint8))))
-    for p, a, b in _by_part(names):
-        yield blocks.owner(p), blocks.KEYS, pack((planes(np.diff((names[a:b] & U64(0xFFFFFFFF)).astype(np.int64), prepend=0).astype(np.uint32)), np.packbits(low[a:b] < high[a:b]), ranks[a:b].tobytes()))
+    yield from blocks.asked(x, [((names >> U64(32)).astype(np.int64), [(names & U64(0xFFFFFFFF)).astype(np.uint32), low < high, ranks])])
 
 
-def _shared(part, senders, datas):
-    """For each block, which of its names another document holds, and which of them are common."""
-    got = [unpack(d) for d in datas]
-    keys = [np.cumsum(unplanes(k).astype(np.int64)) for k, *_ in got]
-    several = np.concatenate([np.unpackbits(f, count=len(k)) for k, (_, f, _) in zip(keys, got)])
-    names, which, uses = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    shared = (uses > 1) | (np.bincount(which, several) > 0)
+def _shared(keys: np.ndarray, several: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """For each name 1 if another document holds it, and 2 more if it is common."""
+    names, which, uses = np.unique(keys, return_inverse=True, return_counts=True)
+    shared = (uses > 1) | (np.bincount(which, several, len(names)) > 0)
     rank = np.zeros(len(names), np.uint8)
-    np.maximum.at(rank, which, np.concatenate([np.frombuffer(r, np.uint8) for *_, r in got]))
-    common = shared & (rank >= COMMON)
-    at = 0
-    for block, k in zip(senders, keys):
-        own = which[at : at + len(k)]
-        yield blocks.row(block, block, blocks.REPLY, pack((np.packbits(shared[own]), np.packbits(common[own]))), (part, 0, 0, 0))
-        at += len(k)
+    np.maximum.at(rank, which, ranks)
+    return (shared + 2 * (shared & (rank >= COMMON))).astype(np.uint8)[which]
 
 
-def _send(payload: bytes, replies: dict[int, bytes], parts: int):
+def _send(payload: bytes, replies: dict[int, bytes], x: blocks.Exchange):
     """The block's runs whose names others share, and each distinct snippet for its owner."""
     ids, lens, joined, *runs = unpack(payload)
     firsts, counts, offs = (unplanes(r).astype(np.int64) for r in runs)
     firsts = np.cumsum(firsts)
     buf = np.frombuffer(joined, np.uint8)
-    names, which = _names(buf, firsts + offs, parts)
-    shared, common = np.zeros(len(names), bool), np.zeros(len(names), bool)
-    for p, a, b in _by_part(names):
-        for mask, bits in zip((shared, common), unpack(replies[p])):
-            mask[a:b] = np.unpackbits(bits, count=b - a)
+    names, which = _names(buf, firsts + offs, x.parts)
+    state = blocks.answered(x, [(names >> U64(32)).astype(np.int64)], replies)[0][0] if len(names) else np.zeros(0, np.uint8)
+    shared, common = state > 0, state > 1
     own = np.flatnonzero(shared[which])
     which = which[own]
-    firsts, counts, part = _apart(buf, firsts[own], counts[own], (names[which] >> U64(32)).astype(np.uint32), common[which], parts)
+    firsts, counts, part = _apart(buf, firsts[own], counts[own], (names[which] >> U64(32)).astype(np.uint32), common[which], x.parts)
     key = np.array([NO_ID if i is None else i for i in ids], np.int64)
     doc = key[np.searchsorted(np.cumsum(lens), firsts, side="right")] if len(firsts) else np.zeros(0, np.int64)
     number: dict[bytes, int] = {}
@@ -199,13 +181,7 @@ def _send(payload: bytes, replies: dict[int, bytes], parts: int):
     _, first = np.unique(snippet, return_index=True)
     low, part = doc[first], part[first].astype(np.uint32)
     yield None, RUNS, pack((planes(firsts.astype(np.uint32)), planes(counts.astype(np.uint32)), planes(snippet), low, planes(part)))
-    texts = list(number)
-    order = np.argsort(part, kind="stable")
-    bounds = np.flatnonzero(np.diff(part[order].astype(np.int64), prepend=-1, append=1 << 40)).tolist()
-    for a, b in zip(bounds, bounds[1:]):
-        mine = order[a:b]
-        own = [texts[i] for i in mine.tolist()]
-        yield blocks.owner(int(part[mine[0]])), blocks.KEYS, pack((low[mine], planes(np.array([len(t) for t in own], np.uint32)), b"".join(own)))
+    yield from blocks.asked(x, [(part.astype(np.int64), [low, list(number)])])
 
 
 def suffix_order(buf: np.ndarray, starts: np.ndarray, length: int = LENGTH):
@@ -248,39 +224,21 @@ def previous_factors(buf: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> n
     return out
 
 
-def _judge(part, senders, datas):
-    got = [unpack(d) for d in datas]
-    low = np.concatenate([g[0] for g in got])
-    lens = np.concatenate([unplanes(g[1]) for g in got]).astype(np.int64)
-    buf = np.frombuffer(b"".join([g[2] for g in got]), np.uint8)
-    windows = lens - LENGTH + 1
-    starts = spread(np.cumsum(lens) - lens, windows)
-    found = previous_factors(buf, starts, np.repeat(low, windows))
-    at = 0
-    for block, g in zip(senders, got):
-        n = int((unplanes(g[1]).astype(np.int64) - LENGTH + 1).sum())
-        yield blocks.row(block, block, blocks.REPLY, pack(np.packbits(found[at : at + n])), (part, 0, 0, 0))
-        at += n
+def _judge(low: np.ndarray, snippets: blocks.Ragged) -> blocks.Ragged:
+    """For each string of each snippet whether an earlier document has it."""
+    windows = snippets.lens - LENGTH + 1
+    starts = spread(snippets.starts, windows)
+    return blocks.Ragged.of(windows, previous_factors(snippets.data, starts, np.repeat(low, windows)).astype(np.uint8))
 
 
-def _marked(payload: bytes, shared: bytes, replies: dict[int, bytes]):
+def _marked(payload: bytes, shared: bytes, replies: dict[int, bytes], x: blocks.Exchange):
     """doc_id, bytes, and mask of the removed ones, of each document."""
     ids, lens, joined, *_ = unpack(payload)
     *runs, low, part = unpack(shared)
     firsts, counts, snippet = (unplanes(r).astype(np.int64) for r in runs)
-    part = unplanes(part)
-    sizes = np.zeros(len(low), np.int64)
-    sizes[snippet] = counts
-    bits, begins, base, at = [], np.zeros(len(low), np.int64), 0, 0
-    order = np.argsort(part, kind="stable")
-    for p in np.unique(part).tolist():
-        mine = order[at : at + int((part == p).sum())]
-        at += len(mine)
-        n = sizes[mine]
-        begins[mine] = base + np.cumsum(n) - n
-        bits.append(np.unpackbits(unpack(replies[p]), count=int(n.sum())))
-        base += int(n.sum())
-    bits = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
+    none = np.zeros(0, np.int64)
+    _, bits, begins = blocks.answered(x, [unplanes(part).astype(np.int64)], replies)[0][0] if len(low) else (none, none, none)
+    bits = bits.astype(bool)
     key = np.array([NO_ID if i is None else i for i in ids], np.int64)
     ends = np.cumsum(lens)
     doc = key[np.searchsorted(ends, firsts, side="right")] if len(firsts) else np.zeros(0, np.int64)
@@ -301,24 +259,24 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
     With ``digest``, doc_id, n_bytes, n_removed, n_spans and kept_sha256 instead, so that texts do not move again.
     """
     docs = documents(docs)
-    parts = parts_for(text_bytes(docs))
+    x = blocks.exchange(text_bytes(docs))
 
     def declare(ids, texts):
-        return _declare(ids, texts, parts)
+        return _declare(ids, texts, x)
+
+    def shared(channels):
+        return [[_shared(*channels[0])]], []
 
-    def split(pdf: pd.DataFrame):
-        kinds = pdf["kind"].tolist()
-        one = {k: d for k, d in zip(kinds, pdf["data"]) if k != blocks.REPLY}
-        return one, {int(p): d for k, p, d in zip(kinds, pdf["n1"], pdf["data"]) if k == blocks.REPLY}
+    def judge(channels):
+        return [[_judge(*channels[0])]], []
 
     def send(pdf: pd.DataFrame) -> pd.DataFrame:
-        (one, replies), block = split(pdf), int(pdf["dest"].iloc[0])
-        rows = [blocks.row(block if dest is None else dest, block, kind, data) for dest, kind, data in _send(one[blocks.PAYLOAD], replies, parts)]
-        return pd.DataFrame(rows, columns=blocks.FIELDS)
+        (one, replies), block = blocks.gathered(pdf), int(pdf["dest"].iloc[0])
+        return pd.DataFrame(list(blocks.sent(x, block, _send(one[blocks.PAYLOAD], replies, x))), columns=blocks.FIELDS)
 
-    def done(pdf: pd.DataFrame) -> pd.DataFrame:
-        (one, replies), out = split(pdf), []
-        for doc_id, data, gone in _marked(one[blocks.PAYLOAD], one[RUNS], replies):
+    def done(one: dict[int, bytes], replies: dict[int, bytes]) -> pd.DataFrame:
+        out = []
+        for doc_id, data, gone in _marked(one[blocks.PAYLOAD], one[RUNS], replies, x):
             edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
             kept = data[~gone].tobytes()
             if digest:
@@ -329,7 +287,7 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
         return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else "doc_id long, kept binary, spans array<struct<start:long,end:long>>"
-    held = materialise(blocks.own(blocks.build(docs, declare), _shared), "names")
-    judged = materialise(blocks.own(held.groupBy("dest").applyInPandas(send, blocks.ROW), _judge), "factors")
+    held = materialise(blocks.own(x, blocks.build(x, docs, declare), shared), "names")
+    judged = materialise(blocks.own(x, held.groupBy("dest").applyInPandas(send, blocks.ROW), judge), "factors")
     # the texts move from the first table, where their blocks stand, to meet the answers
-    return held.where(F.col("kind") == blocks.PAYLOAD).unionByName(judged).groupBy("dest").applyInPandas(done, schema)
+    return blocks.finish(held.where(F.col("kind") == blocks.PAYLOAD).unionByName(judged), done, schema)

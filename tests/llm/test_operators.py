@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import pickle
 import re
 import struct
 import zlib
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from proselab.llm import bpe, exact_dedup, html_text, mixing, near_dedup, ngram_lm, pivot_search, quality, repeats, secret_scan
+from proselab.llm import blocks, bpe, exact_dedup, html_text, mixing, near_dedup, ngram_lm, pivot_search, quality, repeats, secret_scan
 
 WORDS = [f"word{i}" for i in range(40)] + ["Été", "naïve", "don't", "3,000", "—"]
 
@@ -85,11 +86,92 @@ def test_language_model(docs, empty):
     assert ngram_lm.score(empty).count() == 0
 
 
+def plain_scores(data):
+    """Deleted interpolation by counters over all tokens, with an expectation-maximisation of its own."""
+
+    def fold(i):
+        return -1 if i is None else zlib.crc32(str(i).encode()) % 7
+
+    seqs = [(fold(i), ["<s>", *(t or "").encode().lower().split(), "</s>"]) for i, t in data]
+
+    def counted(kept):
+        uni, bi, tri = collections.Counter(), collections.Counter(), collections.Counter()
+        for f, w in seqs:
+            if f != 2 and (f != 6 or not kept):
+                uni.update(w)
+                bi.update(zip(w, w[1:]))
+                tri.update(zip(w, w[1:], w[2:]))
+        n = sum(c for x, c in uni.items() if x != "<s>")
+        return uni, bi, tri, n, sum(x != "<s>" for x in uni)
+
+    def tokens(model, w):
+        uni, bi, tri, n, v = model
+        for k in range(1, len(w)):
+            c, pair = uni[w[k - 1]], bi[w[k - 2], w[k - 1]] if k > 1 else 0
+            two, one = (bi[w[k - 1], w[k]] / c if c else 0.0), uni[w[k]] / n
+            if pair >= 2:
+                yield 64 + pair.bit_length(), tri[w[k - 2], w[k - 1], w[k]] / pair, two, one
+            else:
+                yield c.bit_length(), 0.0, two, one
+
+    held = counted(True)
+    step = lambda p: 2 ** (round(2 * math.log2(p * (held[4] + 1))) / 2) if p else 0.0
+    seen = [(b, *map(step, p), 1.0) for f, w in seqs if f == 6 for b, *p in tokens(held, w)]
+
+    def learn(cells):
+        w = [0.25] * 4
+        for _ in range(60 if cells else 0):
+            new = [0.0] * 4
+            for _, *odds in cells:
+                total = sum(x * o for x, o in zip(w, odds))
+                new = [a + x * o / total for a, x, o in zip(new, w, odds)]
+            w = [x / len(cells) for x in new]
+        return w
+
+    def weights(bucket, cache={}):
+        if bucket not in cache:
+            own = [c for c in seen if c[0] == bucket]
+            if len(own) < 100 or not bucket:
+                own = [c for c in seen if (c[0] >= 64) == (bucket >= 64)]
+            w = learn(own)
+            if bucket < 64:
+                w[0] = 0.0
+            if not bucket:
+                w[1] = 0.0
+            cache[bucket] = [x / sum(w) for x in w]
+        return cache[bucket]
+
+    model, out = counted(False), []
+    for (i, _), (_, w) in zip(data, seqs):
+        out.append((i, sum(math.log10(sum(x * p for x, p in zip(weights(b), (*found, 1 / (model[4] + 1))))) for b, *found in tokens(model, w))))
+    return out
+
+
+@pytest.mark.parametrize("how", [None, (3, 2, 2)])
+def test_interpolated_score(spark, monkeypatch, how):
+    """Against a plain program, on texts of a grammar whose trigrams matter, in several blocks, directly and by relays."""
+    if how:
+        monkeypatch.setattr(blocks, "exchange", lambda *_, **__: blocks.Exchange(*how))
+    monkeypatch.setattr(ngram_lm, "BLOCK_CHARS", 4000)
+    rng, data = np.random.default_rng(12), []
+    for i in range(120):
+        w = ["a", "b"]
+        for _ in range(int(rng.integers(0, 60))):
+            w.append(f"{w[-1][0]}{w[-2][0]}{rng.integers(0, 3)}" if rng.random() < 0.8 else str(rng.choice(list("abcdefg"))))
+        data.append((i, " ".join(w)))
+    data += [(None, data[3][1]), (3, data[3][1]), (500, None), (501, ""), (502, "never seen words")]
+    got = ngram_lm.score(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    want = sorted((repr(i), round(x, 4)) for i, x in plain_scores(data))
+    assert [a for a, _ in want] == [a for a, _ in sorted((repr(r.doc_id), round(r.score, 4)) for r in got)]
+    assert [b for _, b in sorted((repr(r.doc_id), r.score) for r in got)] == pytest.approx([b for _, b in want], abs=2e-4)
+
+
 def test_weights_sum_to_one():
     import pandas as pd
 
-    w = ngram_lm.learn_weights(pd.DataFrame({"bucket": [3, 3, 3], "bi": [20, -1_000_000, 8], "uni": [8, 4, -1_000_000], "n": [500, 300, 20]}))
-    assert set(w) == {-1, 3} and all(sum(x) == pytest.approx(1) for x in w.values())
+    none = ngram_lm.NO_ESTIMATE
+    w = ngram_lm.learn_weights(pd.DataFrame({"bucket": [3, 3, 70], "tri": [none, none, 9], "bi": [20, none, 8], "uni": [8, 4, none], "n": [500, 300, 20]}))
+    assert set(w) == {-1, -2, 3} and all(sum(x) == pytest.approx(1) for x in w.values()) and w[3][0] < 1e-9
 
 
 def test_exact_dedup(docs, empty):
@@ -223,29 +305,78 @@ def test_repeats_spreads_a_phrase_in_many_contexts():
     phrase = "this very common phrase of forty-one byte"
     noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
     texts = [noise(40) + phrase + noise(40) for _ in range(20_000)]
-    sent = {dest: data for dest, kind, data in repeats._declare(list(range(len(texts))), texts, parts)}
-    payload = sent.pop(None)
-    replies = {-1 - dest: next(repeats._shared(-1 - dest, [0], [data]))[-1] for dest, data in sent.items()}
-    sizes = [len(repeats.unpack(data)[2]) for dest, _, data in repeats._send(payload, replies, parts) if dest is not None]
+    x = blocks.Exchange(parts, 1, 1)
+    payload, replies = asked_once(repeats._declare(list(range(len(texts))), texts, x), lambda c: [[repeats._shared(*c[0])]], x)
+    sizes = [len(channel[1][1].data) for dest, _, data in repeats._send(payload[blocks.PAYLOAD], replies, x) if dest is not None for channel in blocks._read(data)]
     assert len(sizes) == parts and max(sizes) < 1.5 * np.median(sizes)
 
 
+def asked_once(made, answer, x):
+    """A block's own rows and the answers to its messages, without Spark."""
+    own, replies = {}, {}
+    for dest, kind, data in made:
+        if dest is None:
+            own[kind] = data
+        else:
+            got = blocks._read(data)
+            replies[-1 - dest] = blocks._message([(np.array([c.sum()]), a) for (c, _), a in zip(got, answer([v for _, v in got]))])
+    return own, replies
+
+
 def test_repeats_of_common_names(docs, spark, monkeypatch):
     """The same result where every shared string goes on its own."""
     plain = sorted(map(tuple, (r for r in repeats.remove(docs.where("doc_id is not null"), digest=True).collect())))
-    send = repeats._send
     monkeypatch.setattr(repeats, "COMMON", 0)
-    data = [(r.doc_id, r.text) for r in docs.where("doc_id is not null").collect()]
-    parts, rows_ = 7, []
-    sent = list(repeats._declare([i for i, _ in data], [t or "" for _, t in data], parts))
-    payload = sent[0][2]
-    replies = {-1 - dest: next(repeats._shared(-1 - dest, [0], [d]))[-1] for dest, _, d in sent[1:]}
-    runs, *asked = send(payload, replies, parts)
-    judged = {-1 - dest: next(repeats._judge(-1 - dest, [0], [d]))[-1] for dest, _, d in asked}
-    for doc_id, b, gone in repeats._marked(payload, runs[2], judged):
+    data = [(r.doc_id, r.text or "") for r in docs.where("doc_id is not null").collect()]
+    x, out = blocks.Exchange(7, 1, 1), []
+    kept, replies = asked_once(repeats._declare(*map(list, zip(*data)), x), lambda c: [[repeats._shared(*c[0])]], x)
+    runs, judged = asked_once(repeats._send(kept[blocks.PAYLOAD], replies, x), lambda c: [[repeats._judge(*c[0])]], x)
+    for doc_id, b, gone in repeats._marked(kept[blocks.PAYLOAD], runs[repeats.RUNS], judged, x):
         edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-        rows_.append((doc_id, len(b), int(gone.sum()), len(edges) // 2, hashlib.sha256(b[~gone].tobytes()).hexdigest()))
-    assert sorted(rows_) == plain and any(r[2] for r in rows_)
+        out.append((doc_id, len(b), int(gone.sum()), len(edges) // 2, hashlib.sha256(b[~gone].tobytes()).hexdigest()))
+    assert sorted(out) == plain and any(r[2] for r in out)
+
+
+@pytest.mark.parametrize("how", [(256, 1, 1), (5, 4, 3)])
+def test_exchange(spark, how):
+    """Words counted over all blocks, directly and by relays; no block or relay has more messages than groups or slices."""
+    x = blocks.Exchange(*how)
+    data = [(i, prose(i % 9, 20 + i % 7)) for i in range(60)] + [(60, "")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+
+    def make(ids, texts):
+        words = sorted({w for t in texts for w in t.split()})
+        part = np.array([zlib.crc32(w.encode()) % x.parts for w in words], np.int64)
+        yield None, blocks.PAYLOAD, pickle.dumps((ids, words, part))
+        if len(words):
+            n = collections.Counter(w for t in texts for w in t.split())
+            yield from blocks.asked(x, [(part, [[w.encode() for w in words], np.array([n[w] for w in words], np.uint32)]), (part[:1], [np.array([7], np.uint64)])])
+
+    def answer(channels):
+        (words, n), (sevens,) = channels
+        names = [words.data[a : a + k].tobytes() for a, k in zip(words.starts, words.lens)]
+        total = collections.Counter()
+        for w, k in zip(names, n.tolist()):
+            total[w] += k
+        return [[np.array([total[w] for w in names], np.int64), blocks.Ragged.from_bytes(names)], [sevens * 2]], [(len(total), sum(total.values()), 0, 0)]
+
+    def done(own, replies):
+        import pandas as pd
+
+        ids, words, part = pickle.loads(own[blocks.PAYLOAD])
+        if not words:
+            return pd.DataFrame({"word": [], "n": []}).astype({"n": "int64"})
+        (n, names), (fourteen,) = blocks.answered(x, [part, part[:1]], replies)
+        assert [names.data[a : a + k].tobytes().decode() for a, k in zip(names.starts, names.lens)] == words and fourteen.tolist() == [14]
+        return pd.DataFrame({"word": words, "n": n})
+
+    rows_ = blocks.own(x, blocks.build(x, df, make, block_chars=300), answer).cache()
+    total = collections.Counter(w for _, t in data for w in t.split())
+    assert {tuple(r) for r in blocks.finish(rows_, done, "word string, n long").collect()} == set(total.items())
+    stats = rows_.where(F.col("kind") == blocks.STATS).agg(F.sum("n1"), F.sum("n2")).first()
+    assert tuple(stats) == (len(total), sum(total.values()))
+    messages = blocks.build(x, df, make, block_chars=300).where(F.col("kind") == blocks.KEYS).groupBy("block").count().agg(F.max("count")).first()[0]
+    assert messages <= x.groups
 
 
 def test_previous_factors():
