@@ -8,8 +8,8 @@ text's first word, the bigram is the highest estimate. The weights depend on a b
 the training documents is held out of the counts, and the weights maximise the likelihood of its counts under the
 estimates from the other folds. The scores then use the counts of all training documents with these weights.
 
-Counts cover every training document. Words are told apart by 128-bit hashes, bigrams and trigrams by 56 bits, of
-which some name the slice that owns them. The expectation-maximisation reads the held-out tokens' estimates grouped
+Counts cover every training document. Words are told apart by 128-bit hashes, bigrams and trigrams by 40 bits
+beside the slice that owns them, which holds about a million. The expectation-maximisation reads the held-out tokens' estimates grouped
 in steps of a half in their binary logarithms, a table whose size the steps bound.
 
 Blocks of documents ask the owners of words and bigrams first, and then those of the trigrams whose contexts these
@@ -42,7 +42,9 @@ LEAST_CONTEXT = 2
 #: Buckets of pairs start here; those of single words are below.
 PAIRS = 64
 NO_ESTIMATE = -1_000_000
-BLOCK_CHARS = 8 << 20
+#: Bits of a bigram's or trigram's hash that tell it apart within its slice.
+KEY_BITS = 40
+BLOCK_CHARS = 6 << 20
 #: Beside the kinds of rows that all exchanges have: answers about trigrams.
 TRIGRAMS = 4
 
@@ -89,7 +91,8 @@ class Block:
         self.at = np.flatnonzero(flat != 1)
         self.fold = np.repeat(folds, lens)
         self.word = flat[self.at + 1]
-        codes, self.pair = np.unique(flat[self.at].astype(np.int64) * n + self.word, return_inverse=True)
+        codes, pair = np.unique(flat[self.at].astype(np.int64) * n + self.word, return_inverse=True)
+        self.pair = pair.astype(np.int32)
         self.pair_key = mix64(short[codes // n] * U64(0x9E3779B97F4A7C15) + short[codes % n])
 
     @classmethod
@@ -105,8 +108,8 @@ class Block:
         some = np.flatnonzero(self.flat[self.at] != 0)
         some = some[pair_count[self.pair[some - 1]] >= LEAST_CONTEXT]
         n = len(self.short)
-        codes, which = np.unique(self.pair[some - 1] * n + self.word[some], return_inverse=True)
-        return some, which, mix64(self.pair_key[codes // n] * U64(0xC2B2AE3D27D4EB4F) + self.short[codes % n])
+        codes, which = np.unique(self.pair[some - 1].astype(np.int64) * n + self.word[some], return_inverse=True)
+        return some, which.astype(np.int32), mix64(self.pair_key[codes // n] * U64(0xC2B2AE3D27D4EB4F) + self.short[codes % n])
 
 
 def _by_fold(which: np.ndarray, fold: np.ndarray, n: int) -> list[np.ndarray]:
@@ -116,7 +119,7 @@ def _by_fold(which: np.ndarray, fold: np.ndarray, n: int) -> list[np.ndarray]:
 def _channel(x: blocks.Exchange, keys: np.ndarray, counts: list[np.ndarray], first: list[np.ndarray] | None = None):
     """A channel of counted keys in the order of their hashes."""
     order = np.argsort(keys)
-    own = [c[order] for c in first] if first else [keys[order] >> U64(8)]
+    own = [c[order] for c in first] if first else [keys[order] >> U64(max(0, 64 - KEY_BITS - (x.parts - 1).bit_length()))]
     return _slices(keys[order], x.parts), own + [c[order].astype(U64) for c in counts]
 
 
@@ -273,8 +276,10 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, development: int =
 
     def done(counts: Counts) -> pd.DataFrame:
         b, (bucket, three, two, one) = counts.block, counts.estimates(0, n_all)
-        w = _weight_table(weights, int(bucket.max(initial=0)))[bucket]
-        p = w[:, 0] * three + w[:, 1] * two + w[:, 2] * one + w[:, 3] / (v_all + 1)
+        table = _weight_table(weights, int(bucket.max(initial=0)))
+        p = table[:, 3][bucket] / (v_all + 1)
+        for k, found in enumerate((three, two, one)):
+            p += table[:, k][bucket] * found
         word, n = counts.words[0][b.word], b.lens - 1
         first = np.cumsum(n) - n
         base = np.log10((word + 1) / (n_all + v_all + 1))
