@@ -8,7 +8,7 @@ text's first word, the bigram is the highest estimate. The weights depend on a b
 the training documents is held out of the counts, and the weights maximise the likelihood of its counts under the
 estimates from the other folds. The scores then use the counts of all training documents with these weights.
 
-Counts cover every training document. Words are told apart by 128-bit hashes, bigrams and trigrams by 40 bits
+Counts cover every training document. Words are told apart by 64-bit hashes, bigrams and trigrams by 40 bits
 beside the slice that owns them, which holds about a million. The expectation-maximisation reads the held-out tokens' estimates grouped
 in steps of a half in their binary logarithms, a table whose size the steps bound.
 
@@ -116,11 +116,10 @@ def _by_fold(which: np.ndarray, fold: np.ndarray, n: int) -> list[np.ndarray]:
     return [np.bincount(which[fold == f], minlength=n) for f in (TRAIN, DEVELOPMENT)]
 
 
-def _channel(x: blocks.Exchange, keys: np.ndarray, counts: list[np.ndarray], first: list[np.ndarray] | None = None):
-    """A channel of counted keys in the order of their hashes."""
+def _channel(x: blocks.Exchange, keys: np.ndarray, counts: list[np.ndarray], bits: int = KEY_BITS):
+    """A channel of counted keys in the order of their hashes, cut to ``bits`` beside those that name the slice."""
     order = np.argsort(keys)
-    own = [c[order] for c in first] if first else [keys[order] >> U64(max(0, 64 - KEY_BITS - (x.parts - 1).bit_length()))]
-    return _slices(keys[order], x.parts), own + [c[order].astype(U64) for c in counts]
+    return _slices(keys[order], x.parts), [keys[order] >> U64(max(0, 64 - bits - (x.parts - 1).bit_length())), *(c[order].astype(U64) for c in counts)]
 
 
 def _answers(x: blocks.Exchange, keys: list[np.ndarray], replies: dict[int, bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -137,11 +136,11 @@ def _answers(x: blocks.Exchange, keys: list[np.ndarray], replies: dict[int, byte
 
 def _count(ids, texts, x: blocks.Exchange, fold):
     numbers, seqs = _sequences(texts)
-    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in numbers), U64).reshape(-1, 2)
+    short = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), U64, len(numbers))
     lens = np.array([len(s) for s in seqs], np.int64)
-    b = Block(ids, np.array([fold(i) for i in ids], np.int8), lens, np.concatenate(seqs), np.ascontiguousarray(digests[:, 0]))
+    b = Block(ids, np.array([fold(i) for i in ids], np.int8), lens, np.concatenate(seqs), short)
     yield None, blocks.PAYLOAD, b.payload()
-    words = _channel(x, b.short, _by_fold(b.flat, b.fold, len(b.short)), [b.short, np.ascontiguousarray(digests[:, 1])])
+    words = _channel(x, b.short, _by_fold(b.flat, b.fold, len(b.short)), 64)
     yield from blocks.asked(x, [words, _channel(x, b.pair_key, _by_fold(b.pair, b.fold[b.at], len(b.pair_key)))])
 
 
@@ -153,9 +152,9 @@ def _total(keys: np.ndarray, train: np.ndarray, dev: np.ndarray):
 
 def _merge(channels):
     """The owner adds up the counts of its words and bigrams."""
-    (low, high, *counts), pairs = channels
-    distinct, which, train, dev = _total(np.column_stack([low, high]).view("S16").ravel(), *counts)
-    both, token = train + dev, distinct != np.bytes_(xxhash.xxh3_128_digest(START))
+    words, pairs = channels
+    distinct, which, train, dev = _total(*words)
+    both, token = train + dev, distinct != U64(xxhash.xxh3_64_intdigest(START))
     stats = (both[token].sum(), (both[token] > 0).sum(), train[token].sum(), (train[token] > 0).sum())
     return [[both[which], dev[which]], _merge_keys([pairs])[0][0]], [stats]
 
