@@ -122,6 +122,8 @@ def plan(df: DataFrame, repetition: float | None = 1.5, entropy: float | None =
 
 def realise(df: DataFrame, **how) -> DataFrame:
     """The rows of ``df`` as often as the mix takes them, with all their columns."""
-    taken = plan(df, **how).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("print").alias("_print"))
-    same = df["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.coalesce(df["source"], F.lit("")) == F.col("_source")) & (F.xxhash64(F.coalesce(df["text"], F.lit(""))) == F.col("_print"))
+    # names of our own would clash with the input's
+    taken = plan(df, **how).select("doc_id", "source", "print").toDF(*(f"{c} of the mix" for c in ("doc_id", "source", "print")))
+    names = [taken[f"`{c}`"] for c in taken.columns]
+    same = df["doc_id"].cast("long").eqNullSafe(names[0]) & (F.coalesce(df["source"], F.lit("")) == names[1]) & (F.xxhash64(F.coalesce(df["text"], F.lit(""))) == names[2])
     return df.join(taken, same).select(*(df[f"`{c}`"] for c in df.columns))

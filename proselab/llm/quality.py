@@ -121,7 +121,7 @@ def learn_labellers(patterns: dict[str, int], rounds: int = 100) -> tuple[dict[s
     """Each pattern's posterior of good, the labellers' vote probabilities (class, labeller, vote), the share of good."""
     names = sorted(patterns)
     n = np.array([patterns[p] for p in names], float)
-    hot = np.array([[[v == k for k in (GOOD, BAD, NONE)] for v in p] for p in names], float).reshape(len(names), -1, 3)
+    hot = np.array([[[v == k for k in (GOOD, BAD, NONE)] for v in p] for p in names], float).reshape(len(names), len(names[0]) if names else len(LABELLERS), 3)
     post = np.array([0.1 if p.count(BAD) > 1 or p.count(GOOD) == 0 else 0.9 for p in names])
     table, prior = np.full((2, hot.shape[1], 3), 1 / 3), 0.5
     for _ in range(rounds if len(names) else 0):

@@ -679,6 +679,54 @@ def test_quality_sample_is_bounded(spark, monkeypatch):
     assert drawn[4:] == [3]
 
 
+def test_labellers_by_a_plain_program():
+    """The expectation-maximisation, document by document."""
+    rng, patterns = np.random.default_rng(21), collections.Counter()
+    for _ in range(400):
+        good = rng.random() < 0.7
+        patterns["".join("0" if rng.random() < 0.3 else ("+" if (rng.random() < 0.85) == good else "-") for _ in range(4))] += 1
+    docs = sorted(patterns.elements())
+    post = [0.1 if d.count("-") > 1 or d.count("+") == 0 else 0.9 for d in docs]
+    for _ in range(100):
+        weight = [sum(post), len(docs) - sum(post)]
+        chance = [[{v: (sum(p if c == 0 else 1 - p for p, d in zip(post, docs) if d[j] == v) + 0.5) / (weight[c] + 1.5) for v in "+-0"} for j in range(4)] for c in (0, 1)]
+        prior = (sum(post) + 1) / (len(docs) + 2)
+        new = []
+        for d in docs:
+            a, b = prior * math.prod(chance[0][j][v] for j, v in enumerate(d)), (1 - prior) * math.prod(chance[1][j][v] for j, v in enumerate(d))
+            new.append(a / (a + b))
+        post = new
+    got, table, share = quality.learn_labellers(patterns)
+    assert [got[d] for d in docs] == pytest.approx(post, abs=1e-6) and share == pytest.approx(prior, abs=1e-6)
+    assert table[0][2][0] == pytest.approx(chance[0][2]["+"], abs=1e-6)
+
+
+def test_scorer_descends():
+    """The scorer's loss on soft labels is below that of the constant share, and repeated rows move nothing."""
+    texts = [prose(k, 40) for k in range(40)] + ["BUY NOW !!! " * 9] * 20
+    rows_ = [quality.features(t) for t in texts]
+    target = np.array([0.9] * 40 + [0.1] * 20)
+    weight, bias = quality.train_scorer(rows_, target)
+    p = np.array([1 / (1 + np.exp(-(weight[a] * v).sum() - bias)) for a, v in rows_])
+    loss = lambda q: -(target * np.log(q) + (1 - target) * np.log(1 - q)).mean()
+    assert loss(p) < loss(np.full(60, target.mean())) - 0.2 and len(set(p[40:])) == 1
+
+
+def test_quality_of_odd_tables(spark):
+    schema = "doc_id long, text string, score int, votes string, place long"
+    empty = spark.createDataFrame([], schema)
+    model = quality.train(empty)
+    assert quality.scored(empty, model).count() == 0 and quality.keep(empty, model).columns == empty.columns
+    data = [(None, None), (None, ""), (5, prose(1, 40)), (5, prose(1, 40)), (5, prose(2, 40)), (None, prose(3, 30_000)), (6, "!!! " * 200)] * 3
+    df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in data], schema)
+    got = quality.scored(df, quality.train(df)).collect()
+    assert len(got) == len(data) and sum(r.score == 0 for r in got) == 6 and all(0 <= r.score <= 1 for r in got)
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r.doc_id, r.votes].add(round(r.score, 9))
+    assert all(len(x) <= 2 for x in by.values())
+
+
 def test_quality(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

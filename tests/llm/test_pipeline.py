@@ -35,3 +35,43 @@ def test_pipeline(spark, tmp_path):
     assert left[3] == left[2] == left[4]
     assert "n_tokens" in docs.columns
     assert cp.run(spark, str(tmp_path)).count() == docs.count()
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _id string, _sha string, _print string, `row` int, print string, `digest of the pipeline` int"
+
+
+def odd_rows():
+    texts = [prose(k) for k in range(6)]
+    data = [(k, texts[k], "en", "s", 1) for k in range(6)]
+    data += [(k, texts[k], "en", "s", 1) for k in (2, 2, 3)] + [(20, texts[2], "en", None, None), (None, texts[4], None, "s", 1), (None, texts[4], None, "s", 1)]
+    data += [(30, None, "en", "s", 1), (31, "", None, None, None), (31, "", None, None, None), (None, None, None, None, None), (40, texts[5] + " tail", "en", "t", 1), (41, prose(9, 20_000), "en", "t", 1)]
+    return [(*r, "a", "b", "c", k, "d", 7) for k, r in enumerate(data)]
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and ids, and columns with names that clash."""
+    data = odd_rows()
+    docs = spark.createDataFrame(data, SCHEMA).repartition(2)
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    key = lambda x: (x is not None, x or 0)
+    groups = {}
+    for r in data:
+        groups.setdefault(r[1] or "", []).append(r[0])
+    for name, stage in cp.STAGES[:4]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
+    kept = cp.exact(spark, docs, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text or "") for r in kept), key=repr) == sorted(((max(ids, key=key), t) for t, ids in groups.items()), key=repr)
+    kept = cp.near(spark, docs, str(tmp_path)).collect()
+    tail = prose(5) + " tail"
+    want = [(min(ids + (groups[tail] if t == prose(5) else []), key=key), t) for t, ids in groups.items() if t != tail]
+    assert sorted(((r.doc_id, r.text or "") for r in kept), key=repr) == sorted(want, key=repr)
+    assert {(r.doc_id, r.text) for r in cp.mixed(spark, docs, str(tmp_path)).collect()} == {(r[0], r[1]) for r in data}
+    assert all((r.text or "").strip() for r in cp.quality_classifier(spark, docs, str(tmp_path)).collect())
+    assert cp.encoded(spark, docs, str(tmp_path)).count() == len(data)
+
+
+def test_stages_on_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], SCHEMA)
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0, name
