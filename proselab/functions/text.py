@@ -113,6 +113,25 @@ def chat(system: str, user: Column | str, assistant: Column | str) -> Column:
     return F.array(turn("system", F.lit(system)), turn("user", col(user)), turn("assistant", col(assistant)))
 
 
+def rendered(turns: Column, open_answer: bool = False) -> Column:
+    """T-18: turns as one string; with ``open_answer`` only up to where the assistant's answer begins."""
+    begin, end = "<|im_start|>", "<|im_end|>\n"
+    whole = F.transform(turns, lambda t: F.concat(F.lit(begin), t["role"], F.lit("\n"), t["content"], F.lit(end)))
+    if not open_answer:
+        return F.array_join(whole, "")
+    return F.concat(F.array_join(F.slice(whole, 1, 2), ""), F.lit(begin + "assistant\n"))
+
+
+def masked_lengths(whole: Column, prompt: Column, most: int) -> Column:
+    """T-18: struct of input (tokens after truncation from the end), masked (those of the prompt) and learned ones.
+
+    ``whole`` and ``prompt`` are the numbers of tokens of the rendered example and of its part before the answer.
+    """
+    n = F.least(whole, F.lit(most))
+    masked = F.least(prompt, n)
+    return F.struct(n.alias("input"), masked.alias("masked"), (n - masked).alias("learned"))
+
+
 def collapsed_stems(text: Column | str) -> Column:
     """T-20: of two adjacent words with a common beginning of four letters or more the first stays."""
     return F.regexp_replace(col(text), r"(?iuU)\b((\w{4,})\w*)\s+\2\w*\b", "$1")

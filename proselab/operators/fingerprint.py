@@ -108,7 +108,7 @@ def aggregate(weights=lx.WEIGHTS) -> Column:
 
 def flagged(least: float = lx.FLAG_FROM) -> Column:
     """F-15: names of the signals at ``least`` or more, in the order of the weights."""
-    names = F.array(*(F.when(F.round(F.col(name), 6) >= least, F.lit(name)) for name, _ in lx.WEIGHTS))
+    names = F.array(*(F.when(F.col(name) >= least, F.lit(name)) for name, _ in lx.WEIGHTS))
     return F.filter(names, lambda x: x.isNotNull())
 
 
@@ -119,19 +119,37 @@ def fingerprint(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def explain(df: DataFrame) -> DataFrame:
-    """F-16: a fingerprint's report as text."""
-    lines = [F.concat(F.rpad(F.lit(name), 28, " "), F.format_number(F.col(name), 2), F.lit("  "), tx.bar(name)) for name, _ in lx.WEIGHTS]
-    head = F.concat(F.lit("aggregate "), F.format_number("aggregate", 2))
-    return df.withColumn("report", F.concat_ws("\n", head, *lines, F.concat(F.lit("flagged: "), F.array_join("flagged", ", "))))
+    """F-16: a fingerprint's report as text: aggregate, a line a signal with its bar, and the flags if there are any."""
+    lines = [F.concat(F.lit("  "), F.format_number(F.col(name), 2), F.lit(" "), F.rpad(tx.bar(name), 20, " "), F.lit("  " + lx.SIGNAL_NOTES[name])) for name, _ in lx.WEIGHTS]
+    head = F.concat(F.lit("Aggregate AI-likeness: "), F.format_number("aggregate", 2))
+    tail = F.when(F.size("flagged") > 0, F.concat(F.lit("Flagged: "), F.array_join("flagged", ", ")))
+    return df.withColumn("report", F.concat_ws("\n", head, *lines, tail))
 
 
 #: F-17: the five signals of training runs and their weights.
 REDUCED = (("burstiness", 1.5), ("stiff_transitions", 1.3), ("favorite_words", 1.6), ("hedging", 1.2), ("contraction_deficit", 1.0))
 
 
+def reduced_signals(text: str = "text") -> dict[str, Column]:
+    """F-17's signals over the columns of ``with_features``: smaller word lists, and no least number of contractions."""
+    c = {k: F.col(k) for k in FEATURES}
+    favourites = F.size(F.filter(c["tok"], lambda t: t.isin(*lx.REDUCED_FAVOURITES)))
+    contracted, expanded = tx.matches(c["body"], lx.REDUCED_CONTRACTED, True), tx.matches(c["body"], lx.REDUCED_EXPANDED, True)
+    return {
+        "burstiness": F.when(F.size(c["sents"]) < 3, 0.5).otherwise(_unit(1 - spread(c["sent_words"]) / 0.7)),
+        "stiff_transitions": tx.logistic(_per_100(tx.count_all(c["body"], lx.REDUCED_TRANSITIONS), c["wc"]), 0.8),
+        "favorite_words": tx.logistic(_per_100(favourites, F.greatest(F.size(c["tok"]), F.lit(1))), 1.0),
+        "hedging": tx.logistic(_per_100(tx.count_all(c["low"], lx.REDUCED_HEDGES), c["wc"]), 0.4),
+        "contraction_deficit": F.coalesce(expanded / F.nullif(contracted + expanded, F.lit(0)), F.lit(0.0)),
+    }
+
+
 def reduced_aggregate(text: str = "text") -> Column:
-    """F-17 over the signals' columns; an empty text scores 1."""
-    return F.when(tx.strip(F.coalesce(F.col(text), F.lit(""))) == "", 1.0).otherwise(aggregate(REDUCED))
+    """F-17 over the columns of ``with_features``; an empty text scores 1."""
+    found, total = reduced_signals(text), F.lit(0.0)
+    for name, w in REDUCED:
+        total = total + found[name] * w
+    return F.when(tx.strip("body") == "", 1.0).otherwise(total / sum(w for _, w in REDUCED))
 
 
 def sentence_stats(df: DataFrame, text: str = "text") -> DataFrame:

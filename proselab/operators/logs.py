@@ -1,4 +1,9 @@
-"""Request and training logs (W-01, W-02, W-08, A-18, A-19, A-22, A-25, ST-01 to ST-04, ST-06)."""
+"""Request and training logs (W-01, W-02, W-08, W-09, A-18, A-19, A-22, A-25, ST-01 to ST-07).
+
+Windows over the rows before one are dealt by key and by runs of the key's order, so that a log of few keys is not
+a few tasks: rows are numbered by counts of hours, numbers are cut into runs, and each run gets the rows before it
+that its first windows reach.
+"""
 
 from __future__ import annotations
 
@@ -8,30 +13,79 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proselab.functions import lexicon as lx
+
 
 def micros(ts: Column) -> Column:
     """Microseconds since the epoch, also of times without a zone."""
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def trailing_mean(value: str, by: str, order: list, rows: int = 30) -> Column:
-    """W-01."""
-    return F.avg(value).over(Window.partitionBy(by).orderBy(*order).rowsBetween(1 - rows, 0))
+#: Rows of a run.
+RUN = 50_000
+
+
+def numbered(df: DataFrame, by: str, ts: str, order: list) -> DataFrame:
+    """``df`` with place: a key's rows numbered from 0 in their order, which must begin with ``ts``. An hour is a task's share."""
+    hour = F.date_trunc("hour", ts)
+    rows = df.withColumn("_hour", hour)
+    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.groupBy(by, "_hour").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0))).select(F.col(by).alias("_by"), F.col("_hour").alias("_h"), "_before")
+    within = F.row_number().over(Window.partitionBy(by, "_hour").orderBy(*order))
+    joined = rows.withColumn("_within", within).join(starts, F.col(by).eqNullSafe(F.col("_by")) & F.col("_hour").eqNullSafe(F.col("_h")))
+    return joined.withColumn("place", F.col("_before") + F.col("_within") - 1).drop("_hour", "_within", "_by", "_h", "_before")
+
+
+def over_last(df: DataFrame, by: str, ts: str, order: list, rows: int, columns, run: int = RUN) -> DataFrame:
+    """``df`` with ``columns(window)``, columns over the last ``rows`` rows of a key up to and with each one."""
+    run = max(run, rows)
+    n = numbered(df, by, ts, order).withColumn("_run", F.floor(F.col("place") / run))
+    reach = n.where(F.col("place") % run >= run - rows + 1).withColumn("_run", F.col("_run") + 1).withColumn("_own", F.lit(False))
+    dealt = n.withColumn("_own", F.lit(True)).unionByName(reach)
+    window = Window.partitionBy(by, "_run").orderBy("place").rowsBetween(1 - rows, 0)
+    return dealt.withColumns(columns(window)).where("_own").drop("_own", "_run", "place")
+
 
+def trailing_mean(df: DataFrame, value: str, by: str, ts: str, order: list, rows: int = 30, run: int = RUN) -> DataFrame:
+    """W-01, W-09: ``df`` with n and mean of the last ``rows`` values."""
+    return over_last(df, by, ts, order, rows, lambda w: {"n": F.count("*").over(w), "mean": F.avg(value).over(w)}, run)
 
-def gaps(df: DataFrame, by: str, ts: str, order: list, limit_s: float) -> DataFrame:
+
+def gaps(df: DataFrame, by: str, ts: str, order: list, limit_s: float, run: int = RUN) -> DataFrame:
     """W-08, ST-06: ``df`` with gap_s since the row before and stalled where it exceeds the limit."""
-    before = F.lag(ts).over(Window.partitionBy(by).orderBy(*order))
-    gap = micros(F.col(ts)) / 1e6 - micros(before) / 1e6
-    return df.withColumn("gap_s", gap).withColumn("stalled", F.coalesce(F.col("gap_s") > limit_s, F.lit(False)))
+    rows = over_last(df, by, ts, order, 2, lambda w: {"_first": F.first(ts).over(w), "_n": F.count("*").over(w)}, run)
+    gap = F.when(F.col("_n") > 1, micros(F.col(ts)) / 1e6 - micros(F.col("_first")) / 1e6)
+    return rows.withColumn("gap_s", gap).withColumn("stalled", F.coalesce(F.col("gap_s") > limit_s, F.lit(False))).drop("_first", "_n")
 
 
 def ends(df: DataFrame, by: str, value: str, order: list, n: int = 5) -> DataFrame:
-    """A-19: means of the first and the last n rows."""
-    up = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    down = F.row_number().over(Window.partitionBy(by).orderBy(*(F.col(c).desc() for c in order)))
-    r = df.withColumns({"up": up, "down": down})
-    return r.groupBy(by).agg(F.avg(F.when(F.col("up") <= n, F.col(value))).alias("first"), F.avg(F.when(F.col("down") <= n, F.col(value))).alias("last"))
+    """A-19: means of the first and the last n rows; Spark keeps n rows a key before they move."""
+
+    def some(*keys):
+        return df.withColumn("_at", F.row_number().over(Window.partitionBy(by).orderBy(*keys))).where(F.col("_at") <= n)
+
+    both = some(*order).select(by, F.lit("first").alias("_end"), value).unionByName(some(*(F.col(c).desc() for c in order)).select(by, F.lit("last").alias("_end"), value))
+    return both.groupBy(by).agg(*(F.avg(F.when(F.col("_end") == e, F.col(value))).alias(e) for e in ("first", "last")))
+
+
+def guarded(df: DataFrame, by: str, ts: str, idle_min: float, grace_min: float, cap_h: float, now) -> DataFrame:
+    """ST-06, ST-07: by run its last step, and whether a guard ends it at ``now`` and why.
+
+    A run is stalled when it had no step for ``idle_min`` minutes, counted from the end of its grace period at the
+    earliest, and capped when it has lasted ``cap_h`` hours.
+    """
+    r = df.groupBy(by).agg(F.min(ts).alias("began"), F.max(ts).alias("last_step"), F.count("*").alias("steps"))
+    at, begun = micros(now) / 1e6, micros(F.col("began")) / 1e6
+    idle = (at - F.greatest(micros(F.col("last_step")) / 1e6, begun + grace_min * 60)) / 60
+    why = F.when((at - begun) / 3600 >= cap_h, "cap").when(idle >= idle_min, "stall")
+    return r.withColumn("idle_min", F.floor(F.greatest(idle, F.lit(0.0))).cast("long")).withColumn("ended", why)
+
+
+def step_lines(lines: DataFrame, line: str = "value") -> DataFrame:
+    """ST-05: the numbers of a training log's step lines; other lines go."""
+    part = lambda k, kind: F.regexp_extract(line, lx.STEP_LINE, k).cast(kind)
+    names = (("step", "long"), ("total", "long"), ("mean_reward", "double"), ("max_reward", "double"), ("p_ai", "double"), ("kl", "double"), ("loss", "double"), ("seconds", "double"))
+    return lines.where(F.regexp_like(line, F.lit(lx.STEP_LINE))).withColumns({n: part(k + 1, t) for k, (n, t) in enumerate(names)})
 
 
 #: A-22: judge and generation calls of each path, in dollars.

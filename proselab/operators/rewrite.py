@@ -342,6 +342,11 @@ def contractions_native(text: Column) -> Column:
     return native_chain(text, lx.PLAIN_CONTRACTIONS, "(?iU)")
 
 
+def worker_contractions(text: Column) -> Column:
+    """B-06: twelve contractions."""
+    return native_chain(text, lx.WORKER_CONTRACTIONS, "(?iU)")
+
+
 def stems_native(text: Column) -> Column:
     """R-12 by built-in expressions."""
     return tx.collapsed_stems(text)

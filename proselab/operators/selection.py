@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proselab.sources.readers import settled
+
 LAST = 1_000_000
 
 
@@ -67,10 +69,14 @@ def qa_gate(stages: Column, floor: float = 0.70) -> Column:
 
 
 def refine(df: DataFrame, step, finished: Column, passes: int = 3) -> DataFrame:
-    """Q-07, Q-03's passes: ``step`` on the rows that are not finished, at most ``passes`` times; all rows come back."""
+    """Q-07, Q-03's passes: ``step`` on the rows that are not finished, at most ``passes`` times; all rows come back.
+
+    Each pass is written before it is read by the next and by the result, so that a provider in ``step`` is called
+    once for each row and pass.
+    """
     done, rest = [], df
     for _ in range(passes):
-        rest = step(rest)
+        rest = settled(step(rest))
         done.append(rest.where(finished))
         rest = rest.where(~F.coalesce(finished, F.lit(False)))
     out = rest
@@ -81,5 +87,11 @@ def refine(df: DataFrame, step, finished: Column, passes: int = 3) -> DataFrame:
 
 def guidance(flagged: Column, advice: dict[str, str]) -> Column:
     """Q-08: the instruction lines of the flagged signals."""
-    table = F.create_map(*(F.lit(x) for pair in advice.items() for x in pair))
+    table = F.create_map(*(F.lit(x) for name, line in advice.items() for x in (name, "- " + line)))
     return F.concat_ws("\n", F.filter(F.transform(flagged, lambda f: F.try_element_at(table, f)), lambda x: x.isNotNull()))
+
+
+def refine_input(flagged: Column, text: Column, advice: dict[str, str]) -> Column:
+    """Q-08: the prompt of a refining pass; the text alone where nothing is flagged."""
+    head = "This draft still reads as AI on these axes — fix THESE specifically:\n"
+    return F.when(F.size(flagged) == 0, text).otherwise(F.concat(F.lit(head), guidance(flagged, advice), F.lit("\n\nDraft:\n"), text))

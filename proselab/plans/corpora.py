@@ -230,7 +230,7 @@ _EVENTS = "e AS (SELECT *, epoch_us(ts) AS us FROM events)"
 @query("trailing30", "SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS 29 PRECEDING), 6) AS mean FROM events")
 def trailing30(spark, sf_dir):
     """W-01."""
-    return read(spark, sf_dir, "events").select("event_id", r6(logs.trailing_mean("value", "event_type", ["ts", "event_id"])).alias("mean"))
+    return logs.trailing_mean(read(spark, sf_dir, "events"), "value", "event_type", "ts", ["ts", "event_id"]).select("event_id", r6("mean").alias("mean"))
 
 
 @query(
@@ -285,13 +285,10 @@ def step_log(spark, sf_dir):
     return e.groupBy(F.date_trunc("day", "ts").alias("step")).agg(r6(F.avg("value")).alias("mean"), r6(F.max("value")).alias("highest"), F.count_if(F.col("event_type") == "error").alias("gated"), F.max_by("event_id", F.struct("value", "event_id")).alias("best"))
 
 
-@query("rolling_200", "SELECT event_id, count(*) OVER w AS n, round(avg(value) OVER w, 9) AS mean FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS 199 PRECEDING)")
+@query("rolling_200", "SELECT event_id, count(*) OVER w AS n, round(avg(value) OVER w, 9) AS mean FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS 199 PRECEDING)")
 def rolling_200(spark, sf_dir):
     """W-09, ST-09."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("event_type").orderBy("event_id").rowsBetween(-199, 0)
-    return read(spark, sf_dir, "events").select("event_id", F.count("*").over(w).alias("n"), F.round(F.avg("value").over(w), 9).alias("mean"))
+    return logs.trailing_mean(read(spark, sf_dir, "events"), "value", "event_type", "ts", ["ts", "event_id"], 200).select("event_id", "n", F.round("mean", 9).alias("mean"))
 
 
 @query("telemetry_records", f"SELECT {_PATH} AS path, CASE WHEN event_id % 10 = 0 THEN 413 ELSE 200 END AS status, CASE WHEN event_id % 10 = 0 THEN 'http_413' END AS error, count(*) AS n, sum(CASE WHEN event_id % 10 = 0 THEN NULL ELSE {_K} END) AS attempts FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY ALL")

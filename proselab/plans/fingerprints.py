@@ -25,16 +25,20 @@ def r6(c):
 
 
 # RE2 has ASCII word classes: letters beyond ASCII become one, so that its word bounds fall where Unicode's do
-FEATURES_SQL = (
-    CORPUS_SQL
-    + """,
+def features_of(ctes: str, table: str = "corpus") -> str:
+    return (
+        ctes
+        + """,
 base AS (SELECT doc_id, lang, source, text AS body, lower(text) AS low, regexp_replace(text, '[ªµºÀ-ÖØ-öø-ɏ]', 'z', 'g') AS az,
   greatest(len(regexp_extract_all(text, '\\S+')), 1) AS wc, regexp_extract_all(lower(text), '[a-z][a-z''-]*') AS tok,
   list_filter(list_transform(string_split(regexp_replace(trim(text, ' \n\t\r'), '([.!?])\\s+([A-Z"''(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: trim(s, ' \n\t\r')), lambda s: s <> '') AS sents
   FROM corpus),
 feat AS (SELECT *, list_transform(sents, lambda s: len(regexp_extract_all(s, '\\S+'))) AS sw, list_transform(range(1, greatest(len(tok) - 2, 1)), lambda i: array_to_string(tok[i:i+3], ' ')) AS grams FROM base)
-"""
-)
+""".replace("FROM corpus)", f"FROM {table})")
+    )
+
+
+FEATURES_SQL = features_of(CORPUS_SQL)
 
 
 def _lg(x, m, s=8):
@@ -73,11 +77,20 @@ SIGNAL_SQL = {
     "modality_overload": _lg(_per100(_hits(lx.MODALS, True)), 2.0, 4),
 }
 _WSUM = sum(w for _, w in lx.WEIGHTS)
-SIGNALS_SQL = FEATURES_SQL + ", sig AS (SELECT doc_id, lang, source, body, " + ", ".join(f"{e} AS {n}" for n, e in SIGNAL_SQL.items()) + " FROM feat)"
-PRINT_SQL = (
-    SIGNALS_SQL
-    + f", prints AS (SELECT *, ({' + '.join(f'{n} * {w}' for n, w in lx.WEIGHTS)}) / {_WSUM} AS aggregate, list_filter([{', '.join(f'CASE WHEN round({n}, 6) >= 0.6 THEN {quoted(n)} END' for n, _ in lx.WEIGHTS)}], lambda x: x IS NOT NULL) AS flagged FROM sig)"
+
+
+
+def prints_of(features: str) -> str:
+    """The CTEs of features, signals and fingerprints."""
+    return features + SIGNALS_CTE + PRINTS_CTE
+
+
+SIGNALS_CTE = ", sig AS (SELECT doc_id, lang, source, body, " + ", ".join(f"{e} AS {n}" for n, e in SIGNAL_SQL.items()) + " FROM feat)"
+SIGNALS_SQL = FEATURES_SQL + SIGNALS_CTE
+PRINTS_CTE = (
+    f", prints AS (SELECT *, ({' + '.join(f'{n} * {w}' for n, w in lx.WEIGHTS)}) / {_WSUM} AS aggregate, list_filter([{', '.join(f'CASE WHEN {n} >= 0.6 THEN {quoted(n)} END' for n, _ in lx.WEIGHTS)}], lambda x: x IS NOT NULL) AS flagged FROM sig)"
 )
+PRINT_SQL = prints_of(FEATURES_SQL)
 
 
 def _signal_query(name: str):
@@ -119,23 +132,34 @@ def flag_histogram(spark, sf_dir):
     return f.groupBy("flag").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "flag").limit(13)
 
 
+_LINES = " || ".join(f"chr(10) || '  ' || printf('%.2f', round({n}, 6)) || ' ' || rpad(repeat('█', CAST(floor(round({n}, 6) * 20) AS BIGINT)), 20, ' ') || {quoted('  ' + lx.SIGNAL_NOTES[n])}" for n, _ in lx.WEIGHTS)
+
+
 @query(
     "fingerprint_report",
-    f"WITH {PRINT_SQL} SELECT doc_id, 'aggregate ' || printf('%.2f', round(aggregate, 2)) AS head, 'flagged: ' || array_to_string(flagged, ', ') AS tail FROM prints",
+    f"WITH {PRINT_SQL} SELECT doc_id, 'Aggregate AI-likeness: ' || printf('%.2f', round(aggregate, 6)) || {_LINES} || CASE WHEN len(flagged) > 0 THEN chr(10) || 'Flagged: ' || array_to_string(flagged, ', ') ELSE '' END AS report FROM prints",
 )
 def fingerprint_report(spark, sf_dir):
-    """F-16: first and last line of the report."""
-    f = fp.fingerprint(corpus(spark, sf_dir)).withColumn("aggregate", F.round("aggregate", 2))
-    return fp.explain(f).select("doc_id", F.element_at(F.split("report", "\n"), 1).alias("head"), F.element_at(F.split("report", "\n"), -1).alias("tail"))
+    """F-16, T-24: the whole report."""
+    f = fp.fingerprint(corpus(spark, sf_dir))
+    return fp.explain(f.withColumns({n: r6(n) for n in (*(n for n, _ in lx.WEIGHTS), "aggregate")})).select("doc_id", "report")
 
 
-@query(
-    "reduced_fingerprint",
-    f"WITH {SIGNALS_SQL} SELECT doc_id, round(CASE WHEN trim(body, ' \n\t\r') = '' THEN 1.0 ELSE ({' + '.join(f'{n} * {w}' for n, w in fp.REDUCED)}) / 6.6 END, 6) AS aggregate FROM sig",
-)
+_REDUCED_SQL = {
+    "burstiness": SIGNAL_SQL["burstiness"],
+    "stiff_transitions": _lg(_per100(_counts("body", lx.REDUCED_TRANSITIONS)), 0.8),
+    "favorite_words": _lg("len(list_filter(tok, lambda t: t IN (" + ", ".join(map(quoted, lx.REDUCED_FAVOURITES)) + "))) * 100.0 / greatest(len(tok), 1)", 1.0),
+    "hedging": _lg(_per100(_counts("low", lx.REDUCED_HEDGES)), 0.4),
+    "contraction_deficit": "coalesce({e} / nullif({c} + {e}, 0), 0.0)".format(e=_hits(lx.REDUCED_EXPANDED, True), c=_hits(lx.REDUCED_CONTRACTED, True)),
+}
+#: The weights as the survey gives them, not as the operator has them.
+REDUCED_PRINT = "CASE WHEN trim(body, ' \n\t\r') = '' THEN 1.0 ELSE (1.5 * ({burstiness}) + 1.3 * ({stiff_transitions}) + 1.6 * ({favorite_words}) + 1.2 * ({hedging}) + 1.0 * ({contraction_deficit})) / 6.6 END".format(**_REDUCED_SQL)
+
+
+@query("reduced_fingerprint", f"WITH {FEATURES_SQL} SELECT doc_id, round({REDUCED_PRINT}, 6) AS aggregate FROM feat")
 def reduced_fingerprint(spark, sf_dir):
     """F-17."""
-    f = fp.with_features(corpus(spark, sf_dir)).withColumns(fp.signals())
+    f = fp.with_features(corpus(spark, sf_dir))
     return f.select("doc_id", r6(fp.reduced_aggregate()).alias("aggregate"))
 
 

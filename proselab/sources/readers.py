@@ -3,16 +3,46 @@
 from __future__ import annotations
 
 import json
-import os
+import tempfile
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proselab.functions import lexicon as lx
+
 PAIR = "ai string, human string, source string, prompt_idx int, human_idx long"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder in ``spark.checkpoint.dir`` and read back, so that it is computed once."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="proselab-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the store that it names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def artefact(path: str, kind: str) -> str:
+    """M-13: where what is derived from a file goes, as ``<stem>.scrub-eval.json`` or ``<stem>.holdout.json``."""
+    folder, slash, name = path.rpartition("/")
+    return f"{folder}{slash}{name.rpartition('.')[0] or name}.{kind}.json"
+
+
 def text_input(spark: SparkSession, path: str | None = None, text: str | None = None) -> DataFrame:
     """S-01: a whole file before a given text; an error without either."""
     if path:
@@ -23,9 +53,9 @@ def text_input(spark: SparkSession, path: str | None = None, text: str | None =
 
 
 def jsonl_sources(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """S-02."""
+    """S-02, L-04: the source of each line that has one; with ``limit`` the first by a hash, so that they are always the same."""
     rows = spark.read.schema("source string").json(path).where("source is not null")
-    return rows.limit(limit) if limit is not None else rows
+    return rows.orderBy(F.xxhash64("source"), "source").limit(limit) if limit is not None else rows
 
 
 def pairs(spark: SparkSession, path: str, strict: bool = False, schema: str = PAIR) -> DataFrame:
@@ -47,8 +77,8 @@ def eval_json(spark: SparkSession, path: str, arrays: str = "outputs array<strin
 
 def variant_scores(spark: SparkSession, paths: list[str]) -> DataFrame:
     """S-06: detector, variant, prompt_idx, p_ai of the files that exist and parse."""
-    there = [p for p in paths if os.path.exists(p)]
-    rows = spark.read.schema("per_detector_per_variant map<string,map<string,array<double>>>").option("multiLine", True).json(there) if there else spark.createDataFrame([], "per_detector_per_variant map<string,map<string,array<double>>>")
+    found = [p for p in paths if there(spark, p)]
+    rows = spark.read.schema("per_detector_per_variant map<string,map<string,array<double>>>").option("multiLine", True).json(found) if found else spark.createDataFrame([], "per_detector_per_variant map<string,map<string,array<double>>>")
     d = rows.select(F.explode("per_detector_per_variant").alias("detector", "v"))
     return d.select("detector", F.explode("v").alias("variant", "p")).select("detector", "variant", F.posexplode("p").alias("prompt_idx", "p_ai"))
 
@@ -65,33 +95,61 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", drop: tuple =
 
 
 def write_report(summary: DataFrame, path: str) -> None:
-    """S-16: a summary of one row as indented JSON."""
-    with open(path, "w") as f:
-        json.dump(summary.first().asDict(recursive=True), f, indent=2)
-
-
-def provided(df: DataFrame, call: Callable[[str], str], text: str = "text", out: str = "output", retries: int = 2, n: int = 1, failed: str | None = None) -> DataFrame:
-    """S-20 to S-23, Q-01, Q-02, M-10: ``df`` with cand_idx and the answer of an external provider, n for each row.
-
-    ``call`` gets a text and is tried again ``retries`` times; the answer is ``failed`` where all tries fail.
+    """S-16: a summary of one row as indented JSON, in the store that the path names."""
+    spark = summary.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        stream.write(json.dumps(summary.first().asDict(recursive=True), indent=2).encode())
+    finally:
+        stream.close()
+
+
+def provided(df: DataFrame, call: Callable, text: str = "text", out: str = "output", retries: int = 2, n: int = 1, failed=None, kind: str = "string", wait: float = 0.0, prepare: Callable | None = None) -> DataFrame:
+    """S-20 to S-23, D-01, D-02, D-12, D-13, Q-01, Q-02, M-10, M-11: ``df`` with cand_idx and the answers of an external provider, n for each row.
+
+    ``call(text, cand_idx)`` is told which of the n samples it makes, so that it can set a seed. It may give a list,
+    as services with several choices do: then it is called again only for the samples that are still missing.
+    A call that fails is tried again ``retries`` times, after 1.5 times ``wait`` seconds more each time; the answer
+    is ``failed`` (a mark, or 0.5 for a neutral score) where all tries fail. ``kind`` is the type of an answer.
+    ``prepare()`` runs once a task before its first call and gives what is passed on as ``call``'s third argument,
+    for a client or a model.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", cand_idx int, `{out}` string"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", cand_idx int, `{out}` {kind}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(t):
-            for _ in range(retries + 1):
+        held: list = []
+
+        def one(t, k):
+            if prepare and not held:
+                held.append(prepare())
+            for turn in range(retries + 1):
                 try:
-                    return call(t)
+                    return call(t, k, *held)
                 except Exception:  # noqa: BLE001  a provider may fail in any way
-                    continue
+                    if turn < retries:
+                        time.sleep(1.5 * wait * (turn + 1))
             return failed
 
+        def samples(t):
+            found: list = []
+            while len(found) < n:
+                got = one(t, len(found))
+                found += got or [failed] if isinstance(got, list) else [got]
+            return found[:n]
+
         for b in batches:
-            yield pd.concat([b.assign(**{"cand_idx": k, out: [one(t) for t in b[text]]}) for k in range(n)])
+            answers = [samples(t) for t in b[text]]
+            yield pd.concat([b.assign(**{"cand_idx": k, out: [a[k] for a in answers]}) for k in range(n)])
 
     return df.mapInPandas(run, schema)
 
 
+def succeeded(df: DataFrame, out: str = "output", mark: str = lx.FAILED) -> DataFrame:
+    """P-10: the rows whose answer is there and does not begin with the mark of a failure."""
+    return df.where(F.col(out).isNotNull() & ~F.startswith(F.col(out), F.lit(mark)))
+
+
 def routed(messages: DataFrame) -> DataFrame:
     """S-24: id, type, ok, error of JSON-lines messages; bad JSON and unknown types get an error."""
     m = F.from_json("value", "type string, id long, text string, n int")

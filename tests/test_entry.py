@@ -32,4 +32,4 @@ def test_command_line(spark, capsys):
     from proselab import cli
 
     assert cli.main(["scrub", "It is late."], spark).first()["rewrite"] == "It's late."
-    assert "aggregate" in cli.main(["patterns", "It is late."], spark).first()["report"]
+    assert "Aggregate" in cli.main(["patterns", "It is late."], spark).first()["report"]

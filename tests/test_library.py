@@ -76,6 +76,28 @@ def test_rate_limiter(spark):
     assert got[0][1] == 2 and got[3][2] == 1
 
 
+@pytest.mark.parametrize("run", [7, 30, 50_000])
+def test_windows_over_runs(spark, run):
+    """Windows dealt by runs of a key's rows give what one window a key gives; ties in time and null keys among them."""
+    import random
+
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice(["a", "b", None]), rnd.randrange(0, 9) * 1800 + rnd.randrange(3), rnd.random()) for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, k string, t int, v double").withColumn("ts", F.timestamp_seconds("t"))
+    by = defaultdict(list)
+    for i, k, t, v in sorted(rows, key=lambda r: (r[2], r[0])):
+        by[k].append((i, t, v))
+    means, waits = {}, {}
+    for held in by.values():
+        for n, (i, t, _) in enumerate(held):
+            last = [v for *_, v in held[max(0, n - 4) : n + 1]]
+            means[i], waits[i] = (len(last), sum(last) / len(last)), t - held[n - 1][1] if n else None
+    got = logs.trailing_mean(df, "v", "k", "ts", ["ts", "i"], 5, run).collect()
+    assert len(got) == 400 and all((r.n, pytest.approx(r["mean"])) == means[r.i] for r in got)
+    got = logs.gaps(df, "k", "ts", ["ts", "i"], 100, run).collect()
+    assert {r.i: r.gap_s for r in got} == waits and all(r.stalled == ((waits[r.i] or 0) > 100) for r in got)
+
+
 def test_rates(spark):
     df = spark.createDataFrame([("3/second",), ("10 / minute",)], "s string")
     assert [tuple(r.r) for r in df.select(tx.rate("s").alias("r")).collect()] == [(3, 1), (10, 60)]
@@ -109,14 +131,30 @@ def test_sources(spark, tmp_path):
 
 
 def test_provider(spark):
-    def call(text):
+    def call(text, k):
         if text == "bad":
             raise ValueError
-        return text.upper()
+        return f"{text}{k}" if text == "ok" else [text + "!", text + "?"][: 2 - k]
+
+    df = spark.createDataFrame([("ok",), ("bad",), ("list",)], "text string")
+    out = readers.provided(df, call, n=3, failed=readers.lx.FAILED)
+    rows = {(r.text, r.cand_idx): r.output for r in out.collect()}
+    assert [rows["ok", k] for k in range(3)] == ["ok0", "ok1", "ok2"]
+    assert [rows["list", k] for k in range(3)] == ["list!", "list?", "__ERROR__"]
+    assert {rows["bad", k] for k in range(3)} == {"__ERROR__"}
+    assert {(r.text, r.cand_idx) for r in readers.succeeded(out).collect()} == {("ok", 0), ("ok", 1), ("ok", 2), ("list", 0), ("list", 1)}
+
+
+def test_provider_of_scores(spark):
+    """Numbers, a neutral score for failures, and one set-up a task."""
 
-    df = spark.createDataFrame([("ok",), ("bad",)], "text string")
-    rows = {(r.text, r.cand_idx): r.output for r in readers.provided(df, call, n=2, failed="").collect()}
-    assert rows == {("ok", 0): "OK", ("ok", 1): "OK", ("bad", 0): "", ("bad", 1): ""}
+    def call(text, k, lengths):
+        lengths.append(len(text))
+        return 1.0 / lengths[-1]
+
+    df = spark.createDataFrame([("abcd",), ("",), ("ab",)], "text string").coalesce(1)
+    rows = {r.text: r.p for r in readers.provided(df, call, out="p", kind="double", failed=0.5, prepare=list).collect()}
+    assert rows == {"abcd": 0.25, "": 0.5, "ab": 0.5}
 
 
 def test_refine(spark):
@@ -125,6 +163,22 @@ def test_refine(spark):
     assert {r.doc_id: round(r.p, 2) for r in out.collect()} == {1: 0.15, 2: 0.05}
 
 
+def test_refine_calls_once_a_row_and_pass(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def step(d):
+        def call(text, k):
+            calls.add(1)
+            return text + "x"
+
+        return readers.provided(d.drop("cand_idx", "next"), call, out="next").withColumn("text", F.col("next"))
+
+    df = spark.createDataFrame([(1, "a", 0, ""), (2, "ab", 0, "")], "doc_id int, text string, cand_idx int, next string")
+    out = selection.refine(df, step, F.length("text") >= 3, 3)
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "axx", 2: "abx"} and out.count() == 2
+    assert calls.value == 3
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from proselab.streaming import jobs
 
