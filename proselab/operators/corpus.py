@@ -50,6 +50,17 @@ def news_clean(text: Column | str) -> Column:
     return tx.strip(F.regexp_replace(out, r"(?U)\s+", " "))
 
 
+def short_news(text: Column | str) -> Column:
+    """S-11: white space becomes single spaces."""
+    return tx.strip(F.regexp_replace(tx.col(text), r"(?U)\s+", " "))
+
+
+def minibatch(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """L-06, L-08: the first n rows in an order that a seed gives, with their place in it; Spark keeps n rows a task."""
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return df.withColumn("place", place).orderBy("place", key).limit(n)
+
+
 def pair_grid(docs: DataFrame, prompts: int) -> DataFrame:
     """J-02: every document with every prompt number."""
     return docs.withColumn("prompt_idx", F.explode(F.sequence(F.lit(0), F.lit(prompts - 1))))

@@ -41,6 +41,11 @@ def reward(p_ai: Column, sim: Column, pattern: Column, penalty: Column, perplexi
     return F.when(sim < floor, -1.0).otherwise(total)
 
 
+def first_reward(p_ai: Column, pattern: Column) -> Column:
+    """D-17: the reward of the first runs."""
+    return (1 - p_ai) + 0.5 * (1 - pattern)
+
+
 def pairwise(p_ai: Column, pattern: Column, sim: Column) -> Column:
     """D-18; without a detector's score only pattern and similarity count."""
     return F.coalesce(0.6 * (1 - p_ai), F.lit(0.0)) + 0.3 * (1 - pattern) + 0.1 * sim

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from proselab.plans import corpora, fingerprints, scores
+from proselab.plans import corpora, fingerprints, scores, services
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (fingerprints, scores, corpora):
+for _module in (fingerprints, scores, corpora, services):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL

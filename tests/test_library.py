@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proselab.functions import text as tx
-from proselab.operators import corpus, facts, logs, scoring, selection
+from proselab.operators import corpus, facts, jobs, logs, registry, rewrite, scoring, selection
 from proselab.sources import readers
 
 
@@ -190,3 +190,111 @@ def test_stream_equals_batch(spark, tmp_path):
     names = ["key", "ident", "status", "remaining", "retry_after"]
     batch = logs.rate_limited(events, "user_id", "ts", "event_id", 3, 3600.0)
     assert sorted(map(tuple, spark.table("limited").select(names).collect())) == sorted(map(tuple, batch.select(names).collect()))
+
+
+def test_judges_of_a_configuration():
+    keys = {"PANGRAM_API_KEY": "k", "GPTZERO_API_KEY": "", "ORIGINALITY_API_KEY": "x"}
+    assert registry.judge(registry.JUDGES, keys)[0] == "ensemble(originality+pangram)"
+    assert registry.judge(registry.JUDGES, keys, prefer=["pangram", "gptzero"])[0] == "pangram"
+    assert registry.judge(registry.JUDGES, {}) == ("local", [])
+    assert [j.name for j in registry.configured(registry.JUDGES, keys)] == ["originality", "pangram"]
+    with pytest.raises(LookupError):
+        registry.judge(registry.JUDGES, {}, local=False)
+    assert registry.ensemble(lite=True) == registry.ensemble()[:1]
+
+
+def test_no_member_of_an_ensemble(spark):
+    scores = spark.createDataFrame([(1, "a", 0.5)], "doc_id int, detector string, p_ai double")
+    with pytest.raises(LookupError, match="no detector"):
+        registry.available(scores, spark.createDataFrame([("a", False)], "detector string, loaded boolean"))
+    assert registry.available(scores, spark.createDataFrame([("a", True), ("b", False)], "detector string, loaded boolean")).count() == 1
+
+
+def test_budget_guard(spark):
+    df = spark.createDataFrame([(100,), (10_000_000,)], "n long").withColumn("p", jobs.token_plan(F.col("n"), 2, 1.0))
+    assert [r.allowed for r in df.orderBy("n").select("p.allowed").collect()] == [True, False]
+    assert df.where("n = 100").select(jobs.within_budget(F.col("p")).alias("c")).first().c == 200
+    with pytest.raises(Exception, match="over the limit"):
+        df.select(jobs.within_budget(F.col("p"))).collect()
+
+
+def test_pair_job_goes_on_where_it_ended(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id long, text string")
+    path, seen = str(tmp_path / "pairs"), spark.sparkContext.accumulator(0)
+
+    def answered(fails):
+        def call(text, k):
+            seen.add(1)
+            return "__ERROR__ late" if text in fails else text.upper()
+
+        return lambda grid: readers.provided(grid.withColumn("source", F.lit("s")), call, text="human", out="ai").drop("cand_idx")
+
+    jobs.generate_pairs(docs, 2, answered({"text 1", "text 4"}), path)
+    assert spark.read.json(path).count() == 8 and seen.value == 12
+    jobs.generate_pairs(docs, 2, answered({"text 4"}), path)
+    assert spark.read.json(path).count() == 10 and seen.value == 16
+    assert {(r.human_idx, r.prompt_idx) for r in spark.read.json(path).collect()} == {(i, k) for i in (0, 1, 2, 3, 5) for k in (0, 1)}
+
+
+def test_report_and_names(spark, tmp_path):
+    assert readers.artefact("a/run.1.json", "holdout") == "a/run.1.holdout.json" and readers.artefact("x", "scrub-eval") == "x.scrub-eval.json"
+    readers.write_report(spark.createDataFrame([(1, 0.5)], "n int, p double"), str(tmp_path / "r.json"))
+    assert json.loads((tmp_path / "r.json").read_text()) == {"n": 1, "p": 0.5}
+    readers.write_jsonl(spark.createDataFrame([("b", 1), (None, 2), ("a", 3)], "source string, tmp int"), str(tmp_path / "s"), drop=("tmp",))
+    assert readers.jsonl_sources(spark, str(tmp_path / "s")).count() == 2
+    assert readers.jsonl_sources(spark, str(tmp_path / "s"), 1).collect() == readers.jsonl_sources(spark, str(tmp_path / "s"), 1).collect()
+    assert "tmp" not in spark.read.json(str(tmp_path / "s")).columns
+
+
+def test_worker_messages(spark):
+    lines = ['{"type":"detect","id":1}', '{"type":"dance","id":2}', "{bad", '{"id":3}']
+    got = [(r.id, r.ok, r.error) for r in readers.routed(spark.createDataFrame([(x,) for x in lines], "value string")).collect()]
+    assert got == [(1, True, None), (2, False, "unknown type"), (None, False, "bad json"), (3, False, "unknown type")]
+
+
+def test_stems_natively(spark):
+    import re
+
+    texts = ["the planning planner planned a plan", "Running runners run RUNNING on", "walk walked walking talk", "no stem here", "état étatique était"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = [re.sub(r"\b((\w{4,})\w*)\s+\2\w*\b", r"\1", t, flags=re.I) for t in texts]
+    assert [r.t for r in df.select(rewrite.stems_native(F.col("t")).alias("t")).collect()] == want
+
+
+def test_fold_counts_edits(spark):
+    df = spark.createDataFrame([("it is so and It is not",)], "t string")
+    r = df.select(rewrite.native_fold(F.col("t"), [(r"\bit is\b", "it's"), ("so", "thus $1")]).alias("r")).first().r
+    assert (r.text, r.edits) == ("it's thus $1 and it's not", 3)
+
+
+def test_labelled_and_capitals(spark):
+    df = spark.createDataFrame([(1, 1, "abc"), (2, None, "été"), (3, 0, "")], "i int, l int, t string")
+    assert [r.i for r in readers.labelled(df, "l", 0).orderBy("i").collect()] == [2, 3]
+    assert [r.t for r in df.orderBy("i").select(tx.capitalised("t").alias("t")).collect()] == ["Abc", "Été", ""]
+
+
+def test_summary_of_no_rows(spark):
+    s = jobs.summary(jobs.evaluated(spark.createDataFrame([], "doc_id long, text string"), lambda t: t)).withColumn("s", jobs.summary_text()).first()
+    assert s.n == 0 and s.mean_p_ai == 0 and s.s.startswith("n=0\nmean_p_ai=0.000\nasr_ensemble=0.00%")
+
+
+def test_event_time_streams(spark, tmp_path):
+    """Windows, sessions and the bounded buffer over a folder of files equal their batch counts."""
+    from proselab.streaming import jobs as streams
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = lambda: streams.read(spark, str(tmp_path / "in"), events.schema)
+
+    def run(df, name, mode):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.table(name).collect()
+
+    assert sum(r.n for r in run(streams.windowed(source()), "w", "complete")) == events.count()
+    assert sum(r.n for r in run(streams.sessions(source()), "s", "complete")) == events.count()
+    last = {r.event_type: r.n for r in run(streams.last_outputs(source(), 50), "l", "update")}
+    assert last == {r.event_type: min(50, r["count"]) for r in events.groupBy("event_type").count().collect()}
+    q = streams.to_jsonl(source().select("event_id"), str(tmp_path / "out"), str(tmp_path / "c"))
+    q.awaitTermination(120)
+    assert spark.read.json(str(tmp_path / "out")).count() == events.count()
