@@ -22,14 +22,14 @@ from proselab.functions import lexicon as lx
 from proselab.functions import text as tx
 
 STAGES = ("transition_drop", "transition_soften", "hedging_drop", "phrase_swap", "favorite_word", "contraction", "em_dash_thin", "tricolon_break", "sentence_split", "sentence_merge", "variance_inject", "redundancy_collapse")
-_BOUND = re.compile(r"(?<=[.!?])\s+(?=[A-Z\"'(])")
+_BOUND = re.compile(lx.SENTENCE_BOUND)
 _START = re.compile(r"(^|(?<=[.!?])\s+)([a-z])")
-_COORDINATOR = re.compile(r",\s+(?:and|but|so|yet|or)\s+")
-_LIST = re.compile(r"\b([\w-]+(?:\s[\w-]+){0,3}),\s+([\w-]+(?:\s[\w-]+){0,3}),\s+(and|or)\s+([\w-]+(?:\s[\w-]+){0,5})")
-_ARTICLE = re.compile(r"\b(an?)(\s+)([a-z][a-z'-]*)", re.I)
-_STEM = re.compile(r"\b(\w{4,})\w*\s+\1\w*\b", re.I)
+_COORDINATOR = re.compile(lx.COORDINATOR)
+_LIST = re.compile(lx.LIST_OF_THREE)
+_ARTICLE = re.compile(lx.ARTICLE, re.I)
+_STEM = re.compile(lx.SAME_STEM, re.I)
 _SIGNS = "".join(map(chr, range(0xE000, 0xF900)))
-_MASKED = re.compile(rf'"[^"]*"|“[^”]*”|[{_SIGNS[0]}-{_SIGNS[-1]}]')
+_MASKED = re.compile(rf"{lx.QUOTED}|[{_SIGNS[0]}-{_SIGNS[-1]}]")
 
 
 @dataclass(frozen=True)

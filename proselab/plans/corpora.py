@@ -216,7 +216,16 @@ def corpora_union(spark, sf_dir):
     return co.registry(spark, loaders, ["documents", "none", "benchmark", "conversations"]).groupBy(F.col("source").alias("source_name")).agg(F.count("*").alias("n"))
 
 
-@query("chunker")
+_CHUNK_SENTS = "list_filter(list_transform(string_split(regexp_replace(trim(text, ' \n\t\r'), '([.!?])\\s+([A-Z\"])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: trim(s, ' \n\t\r')), lambda s: s <> '')"
+
+
+@query(
+    "chunker",
+    f"""WITH {CORPUS_SQL}, s AS (SELECT doc_id, list_transform({_CHUNK_SENTS}, lambda s: {{'done': CAST([] AS VARCHAR[]), 'held': s, 'n': len(regexp_extract_all(s, '\\S+'))}}) AS parts FROM corpus),
+r AS (SELECT doc_id, list_reduce(parts, lambda a, x: CASE WHEN a.n + x.n > 160 AND a.n >= 80 THEN {{'done': list_append(a.done, a.held), 'held': x.held, 'n': x.n}} ELSE {{'done': a.done, 'held': a.held || ' ' || x.held, 'n': a.n + x.n}} END) AS a FROM s WHERE len(parts) > 0),
+c AS (SELECT doc_id, CASE WHEN a.n >= 80 THEN list_append(a.done, a.held) ELSE a.done END AS chunks FROM r)
+SELECT doc_id, CAST(unnest(range(len(chunks))) AS INTEGER) AS chunk_no, unnest(chunks) AS chunk FROM c""",
+)
 def chunker(spark, sf_dir):
     """C-01, W-07."""
     return co.chunked(corpus(spark, sf_dir))
@@ -300,7 +309,15 @@ def telemetry_records(spark, sf_dir):
     return t.groupBy("path", "status", "error").agg(F.count("*").alias("n"), F.sum("attempts").alias("attempts"))
 
 
-@query("rate_limiter")
+@query(
+    "rate_limiter",
+    f"""WITH {_EVENTS}, c AS (SELECT user_id, list({{'seen': [us / 1e6], 'calls': [{{'id': event_id, 'status': 200, 'remaining': 2, 'wait': 0}}]}} ORDER BY us, event_id) AS calls FROM e GROUP BY user_id),
+r AS (SELECT user_id, list_reduce(calls, lambda a, x: CASE WHEN len(list_filter(a.seen, lambda t: t >= x.seen[1] - 3600.0)) >= 3
+  THEN {{'seen': list_filter(a.seen, lambda t: t >= x.seen[1] - 3600.0), 'calls': list_append(a.calls, {{'id': x.calls[1].id, 'status': 429, 'remaining': 0, 'wait': CAST(greatest(1, trunc(3600.0 - (x.seen[1] - list_filter(a.seen, lambda t: t >= x.seen[1] - 3600.0)[1]))) AS INTEGER)}})}}
+  ELSE {{'seen': list_append(list_filter(a.seen, lambda t: t >= x.seen[1] - 3600.0), x.seen[1]), 'calls': list_append(a.calls, {{'id': x.calls[1].id, 'status': 200, 'remaining': CAST(2 - len(list_filter(a.seen, lambda t: t >= x.seen[1] - 3600.0)) AS INTEGER), 'wait': 0}})}} END) AS a FROM c),
+u AS (SELECT user_id, unnest(a.calls) AS k FROM r)
+SELECT user_id AS key, k.id AS ident, k.status AS status, k.remaining AS remaining, k.wait AS retry_after FROM u""",
+)
 def rate_limiter(spark, sf_dir):
     """ST-01: three calls an hour by user."""
     return logs.rate_limited(read(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 3600.0)
