@@ -38,12 +38,12 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(col(text)), F.lit("[a-z][a-z'-]*"), F.lit(0))
 
 
-def ngrams(items: Column | str, n: int = 4) -> Column:
-    """T-05."""
+def ngrams(items: Column | str, n: int = 4, of=lambda piece: F.concat_ws(" ", piece), kind: str = "string") -> Column:
+    """T-05: the runs of n items, joined by spaces or as what ``of`` makes of them."""
     items = col(items)
     last = F.size(items) - (n - 1)
-    none = F.array().cast("array<string>")
-    return F.when(last < 1, none).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(items, i, n))))
+    none = F.array().cast(f"array<{kind}>")
+    return F.when(last < 1, none).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: of(F.slice(items, i, n))))
 
 
 def count_of(text: Column | str, piece: str) -> Column:

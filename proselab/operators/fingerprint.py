@@ -43,8 +43,8 @@ def _per_100(hits: Column, n: Column) -> Column:
 
 
 def _repeats(items: Column) -> Column:
-    """How many items of an array equal another one, from the runs in sorted order."""
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("hits"))
+    """How many of an array's whole numbers equal another one, from the runs in sorted order."""
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("hits"))
 
     def step(acc, x):
         again = acc["last"].eqNullSafe(x)
@@ -89,7 +89,7 @@ def signals() -> dict[str, Column]:
         "hedging": tx.logistic(_per_100(tx.count_all(c["low"], lx.HEDGES), c["wc"]), 0.4),
         "tricolons": tx.logistic(_per_100(tx.matches(c["body"], lx.TRICOLON), c["wc"]), 0.8),
         "contraction_deficit": F.when(contracted + expanded < 2, 0.0).otherwise(expanded / F.greatest(contracted + expanded, F.lit(1))),
-        "ngram_repetition": F.when(n_tok < 9, 0.0).otherwise(F.least(F.lit(1.0), _repeats(tx.ngrams(c["tok"])) / grams / F.lit(0.15))),
+        "ngram_repetition": F.when(n_tok < 9, 0.0).otherwise(F.least(F.lit(1.0), _repeats(tx.ngrams(c["tok"], 4, F.xxhash64, "long")) / grams / F.lit(0.15))),
         "type_token": F.when(n_tok < 50, 0.5).otherwise(_unit((F.lit(0.65) - F.size(F.array_distinct(c["tok"])) / some) / 0.25)),
         "sentence_start_uniformity": F.when(n_sents < 4, 0.0).otherwise(F.least(F.lit(1.0), (_mode_count(starts) - 1) / F.greatest(n_sents - 1, F.lit(1)))),
         "abstract_subject": F.when(n_sents < 3, 0.0).otherwise(tx.logistic(abstract / F.greatest(n_sents, F.lit(1)), 0.20, 10.0)),
