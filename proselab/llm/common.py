@@ -90,6 +90,17 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+#: A table under so many bytes a core, in fewer files than cores, is dealt out to all cores before work on its texts.
+SMALL = 8 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A small table in few files is few tasks; a large one is left as its scan splits it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores and 0 < len(df.inputFiles()) < cores else df
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64-bit words."""
     x = x.astype(U64, copy=True)

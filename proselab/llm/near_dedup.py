@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proselab.llm.common import U64, discard, documents, materialise, mix64, runs, spread
+from proselab.llm.common import U64, dealt, discard, documents, materialise, mix64, runs, spread
 from proselab.llm.graphs import components
 
 WORDS = 5
@@ -292,7 +292,7 @@ def _pieces(count: Column, volume: Column) -> Column:
 def classes(df: DataFrame, least: float = 0.8, width: int = WORDS) -> DataFrame:
     """doc_id, print (xxhash64 of the text), class_id (the smallest doc_id of the class), class_size, kept for every row."""
     docs = documents(df)
-    rows = materialise(signed(docs, width), "signatures")
+    rows = materialise(signed(dealt(docs), width), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("id_known"), "doc_id", "row"))
     nodes = materialise(rows.groupBy("bag").agg(F.min("row").alias("node"), first.alias("first"), F.count("*").alias("size")), "nodes")
     own = materialise(rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "total", "n", "keys"), "own")
@@ -310,8 +310,8 @@ def classes(df: DataFrame, least: float = 0.8, width: int = WORDS) -> DataFrame:
     light, heavy = F.least("total", "centre_total"), F.greatest("total", "centre_total")
     spokes = materialise(shared.where((F.col("node") != F.col("centre")) & (light >= F.lit(least) * heavy)).select("centre", "node", "n").distinct(), "spokes")
     stars = spokes.groupBy("centre").agg(_pieces(F.count("*"), F.sum("n")).alias("pieces"))
-    dealt = spokes.join(stars, "centre").select(F.col("centre").alias("c1"), F.pmod(F.xxhash64("node"), F.col("pieces")).alias("c2"), F.lit(0).cast("long").alias("c3"), F.lit(1).alias("side"), "node")
-    cells = materialise(dealt.unionByName(dealt.select("c1", "c2", "c3", F.lit(0).alias("side"), F.col("c1").alias("node")).distinct()), "stars")
+    placed_spokes = spokes.join(stars, "centre").select(F.col("centre").alias("c1"), F.pmod(F.xxhash64("node"), F.col("pieces")).alias("c2"), F.lit(0).cast("long").alias("c3"), F.lit(1).alias("side"), "node")
+    cells = materialise(placed_spokes.unionByName(placed_spokes.select("c1", "c2", "c3", F.lit(0).alias("side"), F.col("c1").alias("node")).distinct()), "stars")
     links = materialise(_star_links(cells, bag_table, least), "links")
 
     # the rest of each bucket whose nodes are not all linked to that one, whole

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proselab.llm.common import documents
+from proselab.llm.common import dealt, documents
 
 SAMPLE, DIMENSIONS = 10_000, 1 << 14
 GOOD, BAD, NONE = "+", "-", "0"
@@ -166,7 +166,7 @@ class Scorer:
 
 
 def train(df: DataFrame, sample: int = SAMPLE) -> Scorer:
-    docs = documents(df)
+    docs = dealt(documents(df))
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -206,7 +206,7 @@ def scored(df: DataFrame, model: Scorer) -> DataFrame:
             v = [votes(t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": s, "votes": v, "posterior": [model.posterior.get(x, 0.5) for x in v], "kept": s >= 0.5})
 
-    return documents(df).mapInPandas(run, "doc_id long, score double, votes string, posterior double, kept boolean")
+    return dealt(documents(df)).mapInPandas(run, "doc_id long, score double, votes string, posterior double, kept boolean")
 
 
 def keep(df: DataFrame, model: Scorer, least: float = 0.5) -> DataFrame:
@@ -216,4 +216,4 @@ def keep(df: DataFrame, model: Scorer, least: float = 0.5) -> DataFrame:
     def good(text: pd.Series) -> pd.Series:
         return pd.Series([model.score(t) >= least for t in text], dtype=bool)
 
-    return df.where(good("text"))
+    return dealt(df).where(good("text"))
