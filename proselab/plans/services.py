@@ -172,11 +172,11 @@ def request_validation(spark, sf_dir):
 
 
 @query(
-    "humanize_job",
+    "request_job",
     f"""WITH {_CHECKED}, r AS ({scores._rejection_sql(0.2, 0.05, 0.0, False)})
 SELECT doc_id, status, detail, CASE WHEN status = 200 THEN passed END AS passed, CASE WHEN status = 200 THEN p_ai END AS score, CASE WHEN status = 200 THEN CAST(round(attempts * 0.001 + judge_calls * 0.003, 6) AS DOUBLE) END AS cost FROM checked JOIN r USING (doc_id)""",
 )
-def humanize_job(spark, sf_dir):
+def request_job(spark, sf_dir):
     """V-01: validation, rejection, response."""
     out = jobs.responses(requests(spark, sf_dir), scores.candidates(spark, sf_dir), max_chars=2000)
     return out.select("doc_id", "status", "detail", "passed", r6("score").alias("score"), r6("cost").alias("cost"))
