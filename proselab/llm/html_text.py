@@ -43,12 +43,16 @@ OUT = RAW | frozenset("nav header footer aside form button select option noscrip
 BLOCK = frozenset("address article aside blockquote body br button canvas caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 CONTAINERS = frozenset("article main section div td body".split())
 PARAGRAPHS = frozenset("p pre blockquote li dd h1 h2 h3 h4 h5 h6 figcaption td".split())
-#: Words of a class or id that mark what is not the article.
+#: Words of a class or id that mark what is not the article, anywhere among its parts.
 AWAY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side|rail|footer|header|masthead|cookies?|consent|gdpr|notices?|alert|popup|modal|"
-    r"overlay|newsletter|subscri\w*|signup|login|share|sharing|social|related|recommend\w*|comments?|disqus|replies|respond|widget\w*|toolbar|pagination|pager|skip|tags?)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|footer|header|masthead|cookies?|consent|gdpr|notices?|popup|modal|"
+    r"overlay|newsletter|subscri\w*|signup|login|recommend\w*|comments?|disqus|replies|respond|toolbar|pagination|pager)(?:$|[\s_-])",
     re.I,
 )
+#: Words that mark it only as the whole name, or with a word for a place or kind beside them: side-by-side and tag-line are none.
+PLACE = r"(?:article|post|entry|page|site|content|story|news|main)"
+KIND = r"(?:bar|box|list|links?|block|section|area|panel|wrap(?:per)?|container|content|buttons?|icons?|nav|posts?|articles?|stories|items?|cloud|left|right)"
+AWAY_ALONE = re.compile(rf"(?:^|\s)(?:{PLACE}[-_])?(?:side|rail|tags?|skip|social|share|sharing|related|alert|widgets?)(?:[-_]{KIND})?(?:$|\s)", re.I)
 #: An open element is closed by a start tag of these.
 CLOSED_BY = {"p": BLOCK - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: Behind these the search for an element to close stops.
@@ -159,7 +163,7 @@ def parse(html: str) -> Node:
         node = opened.stack[-1]
         attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[3])} if m[3] else {}
         marks = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-        out = name in OUT and not (name == "header" and node.article) or "hidden" in attributes or name not in ("body", "html", "article", "main") and marks != " " and bool(AWAY.search(marks))
+        out = name in OUT and not (name == "header" and node.article) or "hidden" in attributes or name not in ("body", "html", "article", "main") and marks != " " and bool(AWAY.search(marks) or AWAY_ALONE.search(marks))
         own = Node(name, node, _step(name, attributes), out or attributes.get("role", "") in ("navigation", "banner", "complementary", "contentinfo", "search"))
         node.children.append(own)
         if name in RAW:

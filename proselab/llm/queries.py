@@ -104,6 +104,38 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+#: Similarities of all documents that share a run of five words, and the closure of the links.
+OP7_SQL = """
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS g FROM t),
+b AS (SELECT doc_id, g, count(*) AS n FROM s GROUP BY ALL),
+total AS (SELECT doc_id, sum(n) AS n FROM b GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, sum(least(x.n, y.n)) AS c FROM b x JOIN b y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+linked AS (
+  SELECT c.a, c.b FROM common c JOIN total x ON x.doc_id = c.a JOIN total y ON y.doc_id = c.b WHERE c.c / CAST(x.n + y.n - c.c AS DOUBLE) >= 0.8
+  UNION ALL SELECT (SELECT min(doc_id) FROM t WHERE len(w) = 0) AS a, doc_id AS b FROM t WHERE len(w) = 0),
+ways AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, ways.b FROM reach r JOIN ways ON ways.a = r.other),
+class AS (SELECT doc_id, min(other) AS class_id FROM reach GROUP BY doc_id)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS kept FROM class
+"""
+
+#: Every string of fifty bytes, as hexadecimal digits, with the smallest document that has it.
+OP9_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(greatest(len(h) // 2 - 49, 0))) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT w.doc_id, w.i, lag(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS before FROM w JOIN m USING (s) WHERE m.first < w.doc_id),
+run AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM hit),
+span AS (SELECT doc_id, r, min(i) AS a, max(i) + 50 AS b FROM run GROUP BY ALL),
+gone AS (SELECT doc_id, list(a ORDER BY a) AS aa, list(b ORDER BY a) AS bb, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id),
+kept AS (SELECT d.doc_id, len(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN aa IS NULL THEN h ELSE array_to_string(list_transform(range(len(aa) + 1), lambda j: substr(h, 2 * CASE WHEN j = 0 THEN 0 ELSE bb[j] END + 1, 2 * (CASE WHEN j = len(aa) THEN len(h) // 2 ELSE aa[j + 1] END - CASE WHEN j = 0 THEN 0 ELSE bb[j] END))), '') END AS k
+  FROM d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, n_bytes, n_removed, n_spans, sha256(unhex(k)) AS kept_sha256 FROM kept
+"""
+
+
 def _op10_sql() -> str:
     from proselab.llm.secret_scan import BASE, RULES
 
@@ -142,4 +174,4 @@ QUERIES = {
     "op9_repeats": op9_repeats,
     "op10_secret_scan": op10_secret_scan,
 }
-SQL = {"op2_mixing": OP2_SQL, "op3_pivot_topk": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op10_secret_scan": _op10_sql()}
+SQL = {"op2_mixing": OP2_SQL, "op3_pivot_topk": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op7_near_dedup": OP7_SQL, "op9_repeats": OP9_SQL, "op10_secret_scan": _op10_sql()}

@@ -644,6 +644,12 @@ def test_html_headers_of_articles_stay():
     assert html_text.extract(page, None) == "Title one"
 
 
+@pytest.mark.parametrize(("name", "kept"), [("side-by-side", True), ("tag-line", True), ("price_tag", True), ("related-work", True), ("side", False), ("post-tags", False), ("share-buttons", False), ("x related", False), ("alert", False), ("ad", False), ("top-ad-box", False)])
+def test_html_names_of_blocks(name, kept):
+    page = f"<article><p>one</p><div class='{name}'><p>two</p></div><div id='{name}'><p>three</p></div></article>"
+    assert html_text.extract(page, None) == ("one two three" if kept else "one")
+
+
 def test_html_against_a_plain_program(spark):
     """Votes counted and pages extracted in a loop; repeated pages, ties of votes and pages without a url among them."""
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html").limit(40).collect()
