@@ -206,13 +206,13 @@ def prompt_format(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", prompt.alias("prompt"), F.size(turns).alias("turns"), turns[0]["role"].alias("first_role"))
 
 
-@query("rates", "SELECT event_type AS spec_of, 3 AS n, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 60 WHEN 'signup' THEN 3600 ELSE 86400 END AS seconds, count(*) AS uses FROM events GROUP BY ALL")
+@query("rates", "SELECT event_id % 50 + 1 AS n, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 60 WHEN 'signup' THEN 3600 ELSE 86400 END AS seconds, count(*) AS uses FROM events GROUP BY ALL")
 def rates(spark, sf_dir):
-    """T-25: rate limits by event type, parsed from their specifications."""
+    """T-25: rate limits parsed from their specifications, with spaces and in either case."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    unit = F.when(F.col("event_type") == "view", "second").when(F.col("event_type") == "click", "minute").when(F.col("event_type") == "signup", "hour").otherwise("day")
-    rate = tx.rate(F.concat(F.lit("3/"), unit))
-    return e.select("event_type", rate.alias("r")).groupBy(F.col("event_type").alias("spec_of"), "r.n", "r.seconds").agg(F.count("*").alias("uses"))
+    unit = F.when(F.col("event_type") == "view", " / second").when(F.col("event_type") == "click", "/Minute ").when(F.col("event_type") == "signup", "/ hour").otherwise("/DAY")
+    rate = tx.rate(F.concat(F.lit(" "), (F.col("event_id") % 50 + 1).cast("string"), unit))
+    return e.select(rate.alias("r")).groupBy(F.col("r.n").cast("long").alias("n"), "r.seconds").agg(F.count("*").alias("uses"))
 
 
 @query("durations", "SELECT l_orderkey, l_linenumber, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm ' || (s % 60) || 's' ELSE (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' END AS took FROM (SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice / 7) AS BIGINT) AS s FROM lineitem)")

@@ -228,15 +228,20 @@ def advantage_window(spark, sf_dir):
     return candidates(spark, sf_dir).select("doc_id", "round", "cand_idx", r6(sc.advantage(F.col("p_ai"), Window.partitionBy("doc_id", "round"))).alias("advantage"))
 
 
-_PAYLOAD = """CASE doc_id % 8
- WHEN 0 THEN '{"documents":[{"class_probabilities":{"ai":0.8,"mixed":0.1}}]}' WHEN 1 THEN '{"documents":[{"completely_generated_prob":0.42}]}'
- WHEN 2 THEN '{"success":true,"score":{"ai":0.97}}' WHEN 3 THEN '{"success":false,"score":{"ai":0.97}}' WHEN 4 THEN '{"ai_score":0.62}'
- WHEN 5 THEN '{"fraction_ai":0.6,"fraction_ai_assisted":0.3}' WHEN 6 THEN '{"predicted_class":"human","confidence":0.9}' ELSE '{"predicted_class":"mixed"}' END"""
+_P = "format_string('%.2f', (doc_id % 101) / 100)"
+_PAYLOAD = f"""CASE doc_id % 8
+ WHEN 0 THEN concat('{{"documents":[{{"class_probabilities":{{"ai":', {_P}, ',"mixed":0.1}}}}]}}') WHEN 1 THEN concat('{{"documents":[{{"completely_generated_prob":', {_P}, '}}]}}')
+ WHEN 2 THEN concat('{{"success":true,"score":{{"ai":', {_P}, '}}}}') WHEN 3 THEN concat('{{"success":false,"score":{{"ai":', {_P}, '}}}}') WHEN 4 THEN concat('{{"ai_score":', {_P}, '}}')
+ WHEN 5 THEN concat('{{"fraction_ai":', {_P}, ',"fraction_ai_assisted":0.3}}') WHEN 6 THEN concat('{{"predicted_class":"human","confidence":', {_P}, '}}') ELSE '{{"predicted_class":"mixed"}}' END"""
 
 
-@query("payload_parse", "SELECT doc_id, CAST(CASE doc_id % 8 WHEN 0 THEN 0.85 WHEN 1 THEN 0.42 END AS DOUBLE) AS a, CAST(CASE doc_id % 8 WHEN 2 THEN 0.97 WHEN 4 THEN 0.62 END AS DOUBLE) AS b, CAST(CASE doc_id % 8 WHEN 5 THEN 0.75 WHEN 6 THEN 0.1 WHEN 7 THEN 0.5 END AS DOUBLE) AS c FROM documents")
+@query(
+    "payload_parse",
+    """WITH d AS (SELECT doc_id, doc_id % 8 AS k, (doc_id % 101) / CAST(100 AS DOUBLE) AS p FROM documents)
+SELECT doc_id, round(CASE k WHEN 0 THEN least(1, p + 0.05) WHEN 1 THEN p END, 6) AS a, round(CASE k WHEN 2 THEN p WHEN 4 THEN p END, 6) AS b, round(CASE k WHEN 5 THEN least(1, p + 0.15) WHEN 6 THEN 1 - p WHEN 7 THEN 0.5 END, 6) AS c FROM d""",
+)
 def payload_parse(spark, sf_dir):
-    """D-04 to D-06."""
+    """D-04 to D-06: payloads of seven shapes with a score of each document's own."""
     d = docs(spark, sf_dir).select("doc_id", F.expr(_PAYLOAD).alias("raw"))
     return d.select("doc_id", *(r6(f(F.col("raw"))).alias(n) for n, f in (("a", sc.payload_a), ("b", sc.payload_b), ("c", sc.payload_c))))
 
