@@ -1,6 +1,13 @@
 """The pipeline's stages on a small table, each against what it should keep."""
 
+import collections
+import hashlib
+import math
+import re
+import struct
+
 import numpy as np
+import pytest
 
 import corpus_pipeline as cp
 
@@ -75,3 +82,70 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], SCHEMA)
     for name, stage in cp.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0, name
+
+
+def near_classes(data):
+    """The smallest id of each text's class, by comparing all pairs."""
+    bags = [collections.Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) for w in (t.lower().split() for _, t in data)]
+    top = list(range(len(data)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in range(len(data)):
+        for b in range(a):
+            every = sum((bags[a] | bags[b]).values())
+            if sum((bags[a] & bags[b]).values()) / every >= 0.8:
+                x, y = find(a), find(b)
+                top[max(x, y)] = min(x, y)
+    low = {}
+    for k, (i, _) in enumerate(data):
+        low[find(k)] = min(i, low.get(find(k), i))
+    return {low[find(k)] for k in range(len(data))}
+
+
+def mixed_ids(docs, limit=1.5):
+    """doc_ids as often as the mix takes them; docs are (doc_id, text, source)."""
+    n, by = collections.Counter(), collections.defaultdict(list)
+    for i, t, s in docs:
+        k = len(re.findall(r"\S+", t, re.ASCII))
+        n[s] += k
+        by[s].append((i, k))
+    most, least = max(n.values()), min(c for c in n.values() if c)
+    x = next(k / 10_000 for k in range(10_001) if k == 10_000 or (most / least) ** (1 - k / 10_000) <= limit)
+    out = []
+    for s, rows in by.items():
+        budget = math.floor(n[s] * (most / n[s]) ** (1 - x) + 0.5) if n[s] else 0
+        passes = budget // n[s] if n[s] else 1
+        rest, upto = budget - passes * n[s], 0
+        out += [i for i, _ in rows] * passes
+        for _, k, i in sorted((hashlib.md5(f"0:{passes}:{i}".encode()).hexdigest(), k, i) for i, k in rows):
+            upto += k
+            if rest > 0 and upto <= rest:
+                out.append(i)
+    return out
+
+
+def test_pipeline_by_a_plain_program(spark):
+    """The whole run against loops over the documents; only the trained classifier is the operator's own."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from proselab.llm import bpe, quality
+
+    sf = "/root/testdata/sf0.001"
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train(df)
+    docs = {r.doc_id: (r.text or "", r.source or "") for r in df.collect()}
+    good = {i: t for i, (t, _) in docs.items() if model.score(t) >= 0.5}
+    last = {}
+    for i, t in good.items():
+        last[t] = max(i, last.get(t, i))
+    left = near_classes(sorted((i, t) for t, i in last.items()))
+    enc = bpe._encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    want = []
+    for i in mixed_ids([(i, *docs[i]) for i in left]):
+        ids = enc.encode_ordinary(docs[i][0])
+        want.append((i, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(docs[i][0].encode()).hexdigest()))
+    assert sorted(map(tuple, cp.run(spark, sf).collect())) == sorted(want)
+    assert len(left) < len(last) < len(docs)
