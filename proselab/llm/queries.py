@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from proselab.llm.common import table
@@ -70,6 +72,24 @@ def op9_repeats(spark, sf_dir):
     return repeats.remove(table(spark, sf_dir, "documents"), digest=True)
 
 
+def op11_filter_audit(spark, sf_dir):
+    from proselab.llm import filter_audit
+
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_centroids(spark, sf_dir):
+    from proselab.llm import centroids
+
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_url_filter(spark, sf_dir):
+    from proselab.llm import url_filter
+
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 OP2_SQL = """
 WITH units AS (
   SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '\\S+'))) AS BIGINT) AS n_tokens
@@ -162,6 +182,73 @@ FROM documents d LEFT JOIN by_blob b ON sha256(coalesce(d.text, '')) = b.blob
 """
 
 
+#: Every document against every prefix of every order.
+OP11_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first,
+         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+f AS (
+  SELECT d.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+         (CASE WHEN len(words) < 100 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END)
+         || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END)
+         || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN d.doc_id > first THEN 'E' ELSE '' END) AS fails
+  FROM d LEFT JOIN (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)),
+orders(o) AS (SELECT '' UNION ALL SELECT o || k FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k) WHERE NOT contains(o, k)),
+steps AS (SELECT o, CAST(unnest(range(1, 6)) AS INTEGER) AS step FROM orders WHERE length(o) = 5),
+s AS (SELECT o, step, o[step] AS k, o[1:step - 1] AS before FROM steps),
+x AS (SELECT f.*, s.*, contains(fails, k) AS here, length(translate(fails, before, '')) < length(fails) AS gone FROM f, s),
+c AS (
+  SELECT part, o AS filter_order, step, k, count(*) FILTER (WHERE NOT gone AND NOT here) AS kept, count(*) FILTER (WHERE here AND NOT gone) AS removed,
+         count(*) FILTER (WHERE here AND gone) AS redundant, count(*) FILTER (WHERE fails = k) AS unique_fails,
+         CAST(coalesce(sum(good) FILTER (WHERE here AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (WHERE here AND NOT gone), 0) AS BIGINT) AS toxic_lost
+  FROM x GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley FROM c
+"""
+
+
+def _op12_sql(k: int = 40, rounds: int = 5, size: int = 64) -> str:
+    """Every vector against every centroid, round by round."""
+    d = "list_sum(list_transform(range(1, {0} + 1), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))".format(size)
+    ctes = [
+        f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS INTEGER) AS cluster, q FROM v ORDER BY cluster LIMIT {k})"""
+    ]
+    for r in range(rounds + 1):
+        ctes.append(
+            f"a{r} AS MATERIALIZED (SELECT row, vec_id, q, near.cluster AS cluster, near.d AS distance FROM (SELECT v.row, v.vec_id, v.q, min({{'d': CAST({d} AS BIGINT), 'cluster': c.cluster}}) AS near FROM v, c{r} c GROUP BY ALL))"
+        )
+        if r < rounds:
+            ctes.append(f"""m{r} AS (SELECT cluster, list(CAST(floor(s / CAST(n AS DOUBLE)) AS BIGINT) ORDER BY pos) AS q FROM
+  (SELECT cluster, pos, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(q) AS x, unnest(range({size})) AS pos FROM a{r}) GROUP BY ALL) GROUP BY cluster)""")
+            ctes.append(f"c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.q, c.q) AS q FROM c{r} c LEFT JOIN m{r} m USING (cluster))")
+    return f"""{", ".join(ctes)}
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c USING (cluster)
+"""
+
+
+def _op13_sql() -> str:
+    """Rules by string functions, globs as regular expressions, one test a rule."""
+    from proselab.llm.url_filter import GLOBS, SITES
+
+    def regex(glob: str) -> str:
+        return "".join({"**": ".*", "*": "[^/]*", "?": "[^/]"}.get(t) or re.escape(t) for t in re.findall(r"\*+|[^*]", glob))
+
+    by_site = "".join(
+        f" WHEN (host = '{s.host}' OR ends_with(host, '.{s.host}')) AND starts_with(path, '{s.path}') THEN {{'rule': '{s.name}', 'verdict': '{s.verdict}'}}"
+        for s in sorted(SITES, key=lambda s: -len(s.name))
+    )
+    by_glob = "".join(f" WHEN regexp_full_match(host || path, '(?s:{regex(g.glob)})') THEN {{'glob': '{g.glob}', 'verdict': '{g.verdict}'}}" for g in GLOBS)
+    return f"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+j AS (SELECT *, CASE{by_site} END AS s, CASE{by_glob} END AS g FROM u)
+SELECT page_id, host, path, s.rule AS rule, coalesce(s.verdict, g.verdict, 'allow') AS verdict, g.glob AS glob FROM j
+"""
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_mixing": op2_mixing,
@@ -173,5 +260,8 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_repeats": op9_repeats,
     "op10_secret_scan": op10_secret_scan,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_centroids": op12_centroids,
+    "op13_url_filter": op13_url_filter,
 }
-SQL = {"op2_mixing": OP2_SQL, "op3_pivot_topk": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op7_near_dedup": OP7_SQL, "op9_repeats": OP9_SQL, "op10_secret_scan": _op10_sql()}
+SQL = {"op2_mixing": OP2_SQL, "op3_pivot_topk": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op7_near_dedup": OP7_SQL, "op9_repeats": OP9_SQL, "op10_secret_scan": _op10_sql(), "op11_filter_audit": OP11_SQL, "op12_centroids": _op12_sql(), "op13_url_filter": _op13_sql()}

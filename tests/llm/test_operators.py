@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import pickle
 import re
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from proselab.llm import blocks, bpe, exact_dedup, html_text, mixing, near_dedup, ngram_lm, pivot_search, quality, repeats, secret_scan
+from proselab.llm import blocks, bpe, centroids, exact_dedup, filter_audit, html_text, mixing, near_dedup, ngram_lm, pivot_search, quality, repeats, secret_scan, url_filter
 
 WORDS = [f"word{i}" for i in range(40)] + ["Été", "naïve", "don't", "3,000", "—"]
 
@@ -745,3 +746,139 @@ def test_quality(spark):
     assert [r.kept for r in quality.scored(odd, model).orderBy("doc_id").collect()] == [True, False, False]
     assert quality.keep(odd, model).columns == odd.columns
     assert quality.scored(odd.where("false"), model).count() == 0
+
+
+def plain_audit(data, known, names="ABCDE"):
+    """(part, order, step) -> counts, one document at a time."""
+    first = {}
+    for i, t, _ in data:
+        if i is not None:
+            first[t or ""] = min(first.get(t or "", i), i)
+    fails = []
+    for i, t, part in data:
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        said = {
+            "A": len(w) < 100, "B": 100 * len(set(w)) < 80 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 10 * len(t),
+            "D": bool(re.search(r"[#$%&*|]", t)), "E": i is not None and first[t] < i,
+        }
+        fails.append((part or "", {k for k, v in said.items() if v}, *((any(k[0] == i and k[at] == 1 for k in known) if i is not None else False) for at in (1, 2))))
+    out, shares = {}, collections.Counter()
+    for order in map("".join, itertools.permutations(names)):
+        for step, k in enumerate(order):
+            before = set(order[:step])
+            for part in {f[0] for f in fails}:
+                own = [f for f in fails if f[0] == part]
+                gone = [f for f in own if k in f[1] and not f[1] & before]
+                out[part, order, step + 1] = [
+                    sum(not f[1] & before and k not in f[1] for f in own), len(gone), sum(k in f[1] and bool(f[1] & before) for f in own),
+                    sum(f[1] == {k} for f in own), sum(f[2] for f in gone), sum(f[3] for f in gone),
+                ]
+                shares[part, k] += len(gone)
+    return {key: (*v, shares[key[0], key[1][key[2] - 1]]) for key, v in out.items()}
+
+
+def test_filter_audit(spark, docs, empty):
+    data = [(i, t, None if k % 5 == 0 else f"l{k % 3}") for k, (i, t) in enumerate(rows())] + [(41, "SHOUT " * 120, ""), (42, "a#b", None), (43, "a#b", "l1"), (43, "a#b", "l1")]
+    known = [(20, 1, 0), (21, 0, 1), (21, 1, 0), (2, 1, 1), (43, None, 1), (None, 1, 1), (999, 1, 1)]
+    # names that the operator uses inside clash with columns of the input
+    frame = spark.createDataFrame([(*d, 0, "x", 1) for d in data], "doc_id long, text string, lang string, mask int, part string, n int").repartition(3)
+    labels = spark.createDataFrame([(*k, 5) for k in known], "doc_id long, quality int, toxic int, mask int")
+    got = {(r.part, r.filter_order, r.step): tuple(r)[3:] for r in filter_audit.audit(frame, labels).collect()}
+    assert got == plain_audit(data, known)
+    some = filter_audit.audit(frame, labels.where("false"), orders=["EDCBA"]).collect()
+    assert {r.filter_order for r in some} == {"EDCBA"} and all(r.good_lost == r.toxic_lost == 0 for r in some)
+    assert filter_audit.audit(frame.where("false"), labels).count() == 0
+
+
+def plain_means(vectors, k, rounds, seed="2"):
+    """Clusters and squared distances of (id, whole numbers), all pairs, in unbounded whole numbers."""
+    name = lambda i: hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest()
+    centroids = [v for _, v in sorted(vectors, key=lambda x: (name(x[0]), x[1]))[:k]]
+    for r in range(rounds + 1):
+        near = [min((sum((a - b) ** 2 for a, b in zip(v, c)), j) for j, c in enumerate(centroids)) for _, v in vectors]
+        if r < rounds:
+            for j in range(len(centroids)):
+                own = [v for (_, v), (_, n) in zip(vectors, near) if n == j]
+                if own:
+                    centroids[j] = [sum(x) // len(own) for x in zip(*own)]
+    total = sum(d for d, _ in near)
+    out = []
+    for (i, _), (d, j) in zip(vectors, near):
+        digest = hashlib.sha256(",".join(map(str, centroids[j])).encode()).hexdigest()
+        out.append((i, j, *(min(x, 2**63 - 1) for x in (d, sum(e for e, n in near if n == j), total)), digest))
+    return sorted(map(repr, out))
+
+
+def vectors_frame(spark, data):
+    return spark.createDataFrame([(i, v, 7, "x") for i, v in data], "vec_id long, embedding array<double>, cluster int, v string").repartition(3)
+
+
+@pytest.mark.parametrize("scale_up", [1.0, 1e4, 1e14, 1e30])
+def test_centroids(spark, scale_up):
+    rng = np.random.default_rng(5)
+    made = (rng.normal(size=(5, 4))[rng.integers(0, 5, 60)] + 0.1 * rng.normal(size=(60, 4))) * scale_up
+    data = [(i, v) for i, v in enumerate(made.tolist())]
+    data += [(100, data[3][1]), (101, data[3][1]), (4, data[4][1]), (4, data[5][1]), (None, data[6][1]), (None, data[7][1])]  # ties and repeated ids
+    odd = [(200, None), (201, [1.0, 2.0]), (202, [1.0, None, 0.0, 0.0]), (203, [float("nan"), 0.0, 0.0, 0.0]), (204, [float("inf"), 0.0, 0.0, 0.0]), (205, [])]
+    limit = lambda x: max(-(2**63), min(2**63 - 1, math.floor(256 * x)))
+    want = plain_means([(i, [limit(x) for x in v]) for i, v in data], 7, 4)
+    got = centroids.cluster(vectors_frame(spark, data + odd), k=7, rounds=4, size=4)
+    assert sorted(repr(tuple(r)) for r in got.collect()) == want
+
+
+def test_centroids_of_few_and_of_none(spark):
+    few = [(i, [float(i % 2), 1.0]) for i in range(3)]
+    got = centroids.cluster(vectors_frame(spark, few), k=9, rounds=3, size=2)
+    assert sorted(repr(tuple(r)) for r in got.collect()) == plain_means([(i, [256 * int(x) for x in v]) for i, v in few], 9, 3)
+    one = centroids.cluster(vectors_frame(spark, few), k=1, rounds=3, size=2).collect()
+    assert {r.cluster for r in one} == {0}
+    assert centroids.cluster(vectors_frame(spark, few).where("false"), size=2).columns == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+    assert centroids.cluster(vectors_frame(spark, few).where("false"), size=2).count() == 0
+
+
+def test_bounds_spare_most_scans(spark):
+    rng = np.random.default_rng(6)
+    data = [(i, v) for i, v in enumerate((4 * rng.normal(size=(8, 16))[rng.integers(0, 8, 3000)] + 0.2 * rng.normal(size=(3000, 16))).tolist())]
+    trace = []
+    centroids.cluster(vectors_frame(spark, data), k=8, rounds=6, size=16, trace=trace).count()
+    assert trace[0] == (3000, 3000) and [n for n, _ in trace] == [3000] * 7
+    assert sum(s for _, s in trace[1:]) < 0.3 * 3000 * 6
+
+
+def test_url_filter(spark):
+    hosts = ["example.com", "www.example.com", "a.www.example.com", "notexample.com", "com", "x.net", "net", "xnet", "big-casino.org", "ads-1.org", "b.ads-1.org", "EXAMPLE.Com", "user@h.net:80", "é.org", ""]
+    paths = ["", "/", "/en", "/en/", "/en/x", "/EN/x", "/fr/1", "/es/", "/big-casino", "/a/login", "/x.exe", "/www.example.com/en/", "/日本/login/", "/a:b"]
+    urls = [f"{s}{h}{p}{t}" for s in ("http://", "x://y://", "") for h in hosts for p in paths for t in ("", "?q=/es/", "#/fr/", "?a#b")] + [None, "", "://", "http:/x.net/es/", "http://x.net\n/es/", "h://" + "a" * 30_000 + ".net/es/" + "b" * 9000]
+    data = [(i, u, "clash", "rule") for i, u in enumerate(urls)] + [(None, "http://x.net/es/", "", ""), (0, urls[0], "", "")]
+    frame = spark.createDataFrame(data, "page_id long, url string, host string, rule string").repartition(3)
+
+    def plain(url):
+        after = (url or "").partition("://")[2]
+        host = re.split("[/?#]", after)[0]
+        path = re.split("[?#]", after[len(host) :])[0]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        fit = [s for s in url_filter.SITES if (host == s.host or host.endswith("." + s.host)) and path.startswith(s.path)]
+        best = max(fit, key=lambda s: len(s.name), default=None)
+        as_regex = lambda g: "".join({"**": "(?s:.*)", "*": "[^/]*", "?": "[^/]"}.get(t) or re.escape(t) for t in re.findall(r"\*\*|.", g))
+        glob = next((g for g in url_filter.GLOBS if re.fullmatch(as_regex(g.glob), host + path)), None)
+        return host, path, best and best.name, (best or glob or url_filter.Site("allow", "", "")).verdict, glob and glob.glob
+
+    got = [(r.page_id, r.host, r.path, r.rule, r.verdict, r.glob) for r in url_filter.judge(frame).collect()]
+    assert sorted(map(repr, got)) == sorted(repr((d[0], *plain(d[1]))) for d in data)
+    assert len({g[4] for g in got}) == 2 and len({g[3] for g in got}) == 6 and len({g[5] for g in got}) >= 6
+    assert url_filter.judge(frame.where("false")).count() == 0
+
+
+def test_wildcards_over_many_words():
+    rng = np.random.default_rng(7)
+    sign = lambda n, signs: "".join(rng.choice(list(signs), n))
+    globs = ["", "*", "**", "?", "a**b", "*/b", *(sign(int(rng.integers(1, 60)), "ab/?*") for _ in range(60))]
+    globs = [re.sub(r"\*{3,}", "**", g) for g in globs]
+    texts = ["", "é", "/", *(sign(int(rng.integers(0, 12)), "ab/é") for _ in range(400))]
+    automaton = url_filter.Automaton(globs)
+    assert automaton.words > 5
+    want = [[bool(re.fullmatch("".join({"**": "(?s:.*)", "*": "[^/]*", "?": "[^/]"}.get(t) or re.escape(t) for t in re.findall(r"\*\*|.", g)), t)) for g in globs] for t in texts]
+    assert (automaton.matches(texts) == np.array(want)).all() and np.array(want).any(0).sum() > 15
+    with pytest.raises(ValueError):
+        url_filter.judge(None, sites=[url_filter.Site("block", "*.com", "/")])
