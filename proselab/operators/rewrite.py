@@ -7,8 +7,8 @@ seed, rule and occurrence, so a text's rewrite is always the same.
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
@@ -69,7 +69,7 @@ def in_case_of(found: str, new: str) -> str:
 
 def pick(variants, seed: int, rule: str, nth: int) -> str:
     """R-02, L-13: a variant by hash."""
-    return variants[zlib.crc32(f"{seed}:{rule}:{nth}".encode()) % len(variants)]
+    return variants[int(hashlib.md5(f"{seed}:{rule}:{nth}".encode()).hexdigest()[:8], 16) % len(variants)]
 
 
 def _varied(text: str, rule: str, variants, seed: int) -> tuple[str, int]:

@@ -130,27 +130,6 @@ def contraction_native(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", F.md5(rw.contractions_native(F.col("text")).cast("binary")).alias("rewrite"))
 
 
-@query("scrub_full")
-def scrub_full(spark, sf_dir):
-    """R-01 to R-15, with length ratio (T-13)."""
-    s = rw.scrubbed(corpus(spark, sf_dir))
-    return s.select("doc_id", "rewrite", "edits", F.to_json("edits_by_kind").alias("edits_by_kind"), r6(tx.length_ratio("rewrite", "text")).alias("ratio"))
-
-
-@query("scrub_effect")
-def scrub_effect(spark, sf_dir):
-    """A-07 on rewrites: mean aggregate before and after by language."""
-    s = rw.scrubbed(corpus(spark, sf_dir)).select("doc_id", "lang", "text", "rewrite")
-    both = s.select("lang", "text", F.lit("before").alias("v")).unionByName(s.select("lang", F.col("rewrite").alias("text"), F.lit("after").alias("v")))
-    return fp.fingerprint(both).groupBy("lang").pivot("v", ["before", "after"]).agg(r6(F.avg("aggregate")))
-
-
-@query("burstiness_full")
-def burstiness_full(spark, sf_dir):
-    """B-01 to B-05."""
-    return rw.postprocessed(corpus(spark, sf_dir)).select("doc_id", "bursty")
-
-
 # --- corpus preparation
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from proselab.plans import corpora, fingerprints, scores, services
+from proselab.plans import corpora, fingerprints, rewrites, scores, services
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (fingerprints, scores, corpora, services):
+for _module in (fingerprints, scores, corpora, services, rewrites):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
