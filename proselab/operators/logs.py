@@ -88,6 +88,22 @@ def step_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     return lines.where(F.regexp_like(line, F.lit(lx.STEP_LINE))).withColumns({n: part(k + 1, t) for k, (n, t) in enumerate(names)})
 
 
+def pace(df: DataFrame, by: str, ts: str) -> DataFrame:
+    """W-02: by run its steps, lasted_s from the first to the last, and step_s, the mean time of a step; null with a single one."""
+    r = df.groupBy(by).agg(F.count("*").alias("steps"), ((micros(F.max(ts)) - micros(F.min(ts))) / 1e6).alias("lasted_s"))
+    return r.withColumn("step_s", F.col("lasted_s") / F.nullif(F.col("steps") - 1, F.lit(0)))
+
+
+def remaining(steps: Column, step_s: str = "step_s") -> Column:
+    """W-02: seconds that so many more steps take at the mean pace; null without one."""
+    return F.col(step_s) * steps
+
+
+def rental(seconds: Column, hourly: float) -> Column:
+    """A-25: cost at a rate an hour."""
+    return seconds / 3600 * hourly
+
+
 #: A-22: judge and generation calls of each path, in dollars.
 UNIT_COST = {"generation": 0.001, "judge": 0.003}
 

@@ -16,13 +16,11 @@ class Judge(NamedTuple):
     weight: float
 
 
-#: In the order in which an ensemble names them.
-JUDGES = (Judge("originality", "ORIGINALITY_API_KEY", 1.0), Judge("pangram", "PANGRAM_API_KEY", 1.0), Judge("gptzero", "GPTZERO_API_KEY", 1.0))
 LOCAL = "local"
 
 
 def configured(judges: Iterable[Judge], keys: dict[str, str], prefer: list[str] | None = None) -> list[Judge]:
-    """J-09, M-09: the judges whose keys are set, of those preferred."""
+    """J-09, M-09: the judges, in the order in which an ensemble names them, whose keys are set, of those preferred."""
     return [j for j in judges if (prefer is None or j.name in prefer) and keys.get(j.key)]
 
 

@@ -46,14 +46,19 @@ def first_reward(p_ai: Column, pattern: Column) -> Column:
     return (1 - p_ai) + 0.5 * (1 - pattern)
 
 
+def reduction(before: Column, after: Column) -> Column:
+    """A-07: how much less ``after`` is, as a share of ``before``; null where that is 0."""
+    return (before - after) / F.nullif(before, F.lit(0.0))
+
+
 def pairwise(p_ai: Column, pattern: Column, sim: Column) -> Column:
     """D-18; without a detector's score only pattern and similarity count."""
     return F.coalesce(0.6 * (1 - p_ai), F.lit(0.0)) + 0.3 * (1 - pattern) + 0.1 * sim
 
 
 def ratio_score(observer: Column, performer: Column) -> Column:
-    """D-03: logistic of the ratio of two models' cross-entropies."""
-    return 1 / (1 + F.exp(-25 * (0.9015 - observer / performer)))
+    """D-03: logistic of the ratio of two models' cross-entropies; null where the performer's is 0, as there is no ratio."""
+    return 1 / (1 + F.exp(-25 * (0.9015 - observer / F.nullif(performer, F.lit(0)))))
 
 
 def advantage(r: Column, window) -> Column:
@@ -91,6 +96,7 @@ def payload_c(raw: Column, assisted_weight: float = 0.5) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """D-11; vectors of doubles."""
+    """D-11; vectors of doubles. A vector of zeros is similar to none (0); null where the lengths differ or an element is null."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norm == 0, F.when(F.size(a) == F.size(b), 0.0)).otherwise(dot(a, b) / F.nullif(norm, F.lit(0.0)))

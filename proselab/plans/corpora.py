@@ -223,12 +223,12 @@ def trailing30(spark, sf_dir):
 
 @query(
     "eta_cost",
-    f"WITH {_EVENTS} SELECT event_type, count(*) AS steps, round((max(us) - min(us)) / 1e6 / (count(*) - 1) * 100, 3) AS eta_s, round((max(us) - min(us)) / 1e6 / 3600 * 0.4, 6) AS cost FROM e GROUP BY event_type",
+    f"WITH {_EVENTS} SELECT event_type, count(*) AS steps, round((max(us) - min(us)) / 1e6 / nullif(count(*) - 1, 0) * 100, 3) AS eta_s, round((max(us) - min(us)) / 1e6 / 3600 * 0.4, 6) AS cost FROM e GROUP BY event_type",
 )
 def eta_cost(spark, sf_dir):
     """W-02, A-25: time for a hundred more steps at the mean pace, and cost at a rate an hour."""
-    s = (logs.micros(F.max("ts")) - logs.micros(F.min("ts"))) / 1e6
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("steps"), F.round(s / (F.count("*") - 1) * 100, 3).alias("eta_s"), r6(s / 3600 * 0.4).alias("cost"))
+    p = logs.pace(read(spark, sf_dir, "events"), "event_type", "ts")
+    return p.select("event_type", "steps", F.round(logs.remaining(F.lit(100)), 3).alias("eta_s"), r6(logs.rental(F.col("lasted_s"), 0.4)).alias("cost"))
 
 
 @query("stall_gaps", f"WITH {_EVENTS}, g AS (SELECT *, us / 1e6 - lag(us) OVER (PARTITION BY event_type ORDER BY ts, event_id) / 1e6 AS gap FROM e) SELECT event_type, count(*) FILTER (WHERE gap > 600) AS stalls, round(max(gap), 3) AS longest FROM g GROUP BY event_type")
@@ -249,12 +249,17 @@ def cost_by_path(spark, sf_dir):
     return e.groupBy("path").agg(F.count("*").alias("n"), r6(F.sum(logs.path_cost(F.col("path"), F.col("k"), F.col("k") * 2))).alias("cost"))
 
 
-@query("estimates", "SELECT n AS candidates, r AS rounds, round(CAST(n * 0.004 AS DOUBLE), 6) AS expected, round(CAST(n * r * 0.004 AS DOUBLE), 6) AS worst FROM range(1, 17) AS a(n), range(1, 9) AS b(r)")
+@query(
+    "estimates",
+    "WITH p AS (SELECT source, least(1 + coalesce(n_chars, 0) // 1000, 16) AS c, least(1 + coalesce(n_chars, 0) // 4000, 8) AS r FROM documents) "
+    "SELECT source, count(*) AS n, CAST(sum(c) AS BIGINT) AS candidates, round(CAST(sum(c) * 0.004 AS DOUBLE), 6) AS expected, round(CAST(sum(c * r) * 0.004 AS DOUBLE), 6) AS worst FROM p GROUP BY source",
+)
 def estimates(spark, sf_dir):
-    """A-22, A-23, V-04, P-09: every request that the ranges allow."""
-    g = spark.range(1, 17).withColumnRenamed("id", "candidates").withColumn("rounds", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(8).cast("long"))))
+    """A-22, A-23, V-04, P-09: what rewriting every document may cost, with more candidates and rounds for longer ones."""
+    size = lambda per, most: F.least(1 + F.floor(F.coalesce("n_chars", F.lit(0)) / per), F.lit(most))
+    p = read(spark, sf_dir, "documents").select("source", size(1000, 16).alias("candidates"), size(4000, 8).alias("rounds"))
     e = logs.estimate(F.col("candidates"), F.col("rounds"))
-    return g.select("candidates", "rounds", r6(e["expected"]).alias("expected"), r6(e["worst"]).alias("worst"))
+    return p.withColumn("e", e).groupBy("source").agg(F.count("*").alias("n"), F.sum("candidates").cast("long").alias("candidates"), r6(F.sum("e.expected")).alias("expected"), r6(F.sum("e.worst")).alias("worst"))
 
 
 @query(

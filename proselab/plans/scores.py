@@ -101,13 +101,13 @@ def strategy_comparison(spark, sf_dir):
 
 @query(
     "run_reduction",
-    f"WITH {CAND}, r AS (SELECT round, {mean_sql('CASE WHEN cand_idx = 0 THEN p_ai END')} AS before, {mean_sql('CASE WHEN cand_idx > 0 THEN p_ai END')} AS after FROM cand GROUP BY round) SELECT round, round(before, 9) AS before, round(after, 9) AS after, round((before - after) / before, 9) AS reduction, round(after - min(after) OVER (), 9) AS over_best FROM r",
+    f"WITH {CAND}, r AS (SELECT round, {mean_sql('CASE WHEN cand_idx = 0 THEN p_ai END')} AS before, {mean_sql('CASE WHEN cand_idx > 0 THEN p_ai END')} AS after FROM cand GROUP BY round) SELECT round, round(before, 9) AS before, round(after, 9) AS after, round((before - after) / nullif(before, 0), 9) AS reduction, round(after - min(after) OVER (), 9) AS over_best FROM r",
 )
 def run_reduction(spark, sf_dir):
     """A-07, A-15, J-11, E-03: means before and after by run, relative reduction, distance from the best run."""
     r = candidates(spark, sf_dir).groupBy("round").agg(mean_of_hundredths(F.when(F.col("cand_idx") == 0, F.col("p_ai"))).alias("before"), mean_of_hundredths(F.when(F.col("cand_idx") > 0, F.col("p_ai"))).alias("after"))
     best = Window.partitionBy(F.lit(0))
-    return r.select("round", r9("before").alias("before"), r9("after").alias("after"), r9((F.col("before") - F.col("after")) / F.col("before")).alias("reduction"), r9(F.col("after") - F.min("after").over(best)).alias("over_best"))
+    return r.select("round", r9("before").alias("before"), r9("after").alias("after"), r9(sc.reduction(F.col("before"), F.col("after"))).alias("reduction"), r9(F.col("after") - F.min("after").over(best)).alias("over_best"))
 
 
 @query(

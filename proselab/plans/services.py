@@ -241,15 +241,16 @@ def best_of_n_gain(spark, sf_dir):
     f"WITH {corpora._OVERLAP_SQL} SELECT count(*) AS n, round(avg(share), 6) AS mean, " + ", ".join(f"count(*) FILTER (WHERE share >= {t}) AS ge{k}, count(*) FILTER (WHERE share >= {t}) * 100 // count(*) AS pct{k}" for k, t in ((5, 0.5), (7, 0.7), (8, 0.8))) + " FROM o",
 )
 def fact_coverage(spark, sf_dir):
-    """X-07: shares at three thresholds with whole percents, rounded down."""
+    """X-07: shares at three thresholds with whole percents, rounded down; null percents without documents."""
     part = [(k, F.count_if(F.col("share") >= t)) for k, t in ((5, 0.5), (7, 0.7), (8, 0.8))]
-    out = [x for k, n in part for x in (n.alias(f"ge{k}"), F.floor(n * 100 / F.count("*")).cast("long").alias(f"pct{k}"))]
+    out = [x for k, n in part for x in (n.alias(f"ge{k}"), F.floor(n * 100 / F.nullif(F.count("*"), F.lit(0))).cast("long").alias(f"pct{k}"))]
     return corpora.overlaps(spark, sf_dir).agg(F.count("*").alias("n"), r6(F.avg("share")).alias("mean"), *out)
 
 
 # --- registries
 
-_NAMES = [j.name for j in registry.JUDGES]
+_JUDGES = tuple(registry.Judge(n, f"{n.upper()}_KEY", 1.0) for n in ("first", "second", "third"))
+_NAMES = [j.name for j in _JUDGES]
 _BITS = [f"CASE WHEN doc_id & {1 << k} <> 0 THEN {quoted(n)} END" for k, n in enumerate(_NAMES)]
 
 
@@ -259,8 +260,8 @@ _BITS = [f"CASE WHEN doc_id & {1 << k} <> 0 THEN {quoted(n)} END" for k, n in en
 )
 def judge_resolution(spark, sf_dir):
     """D-10, J-09, M-09: the bits of doc_id are the keys that a configuration sets."""
-    judges = spark.createDataFrame([(k, *j) for k, j in enumerate(registry.JUDGES)], "place int, name string, key string, weight double")
-    keys = F.array(F.lit(None).cast("string"), *(F.when(F.col("doc_id").bitwiseAND(1 << k) != 0, j.key) for k, j in enumerate(registry.JUDGES)), F.lit("OTHER_KEY"))
+    judges = spark.createDataFrame([(k, *j) for k, j in enumerate(_JUDGES)], "place int, name string, key string, weight double")
+    keys = F.array(F.lit(None).cast("string"), *(F.when(F.col("doc_id").bitwiseAND(1 << k) != 0, j.key) for k, j in enumerate(_JUDGES)), F.lit("OTHER_KEY"))
     return registry.resolved(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(keys).alias("key")), judges)
 
 

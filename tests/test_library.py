@@ -193,16 +193,34 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_judges_of_a_configuration():
-    keys = {"PANGRAM_API_KEY": "k", "GPTZERO_API_KEY": "", "ORIGINALITY_API_KEY": "x"}
-    assert registry.judge(registry.JUDGES, keys)[0] == "ensemble(originality+pangram)"
-    assert registry.judge(registry.JUDGES, keys, prefer=["pangram", "gptzero"])[0] == "pangram"
-    assert registry.judge(registry.JUDGES, {}) == ("local", [])
-    assert [j.name for j in registry.configured(registry.JUDGES, keys)] == ["originality", "pangram"]
+    judges = [registry.Judge(n, f"{n.upper()}_KEY", 1.0) for n in ("first", "second", "third")]
+    keys = {"SECOND_KEY": "k", "THIRD_KEY": "", "FIRST_KEY": "x"}
+    assert registry.judge(judges, keys)[0] == "ensemble(first+second)"
+    assert registry.judge(judges, keys, prefer=["second", "third"])[0] == "second"
+    assert registry.judge(judges, {}) == ("local", [])
+    assert [j.name for j in registry.configured(judges, keys)] == ["first", "second"]
     with pytest.raises(LookupError):
-        registry.judge(registry.JUDGES, {}, local=False)
+        registry.judge(judges, {}, local=False)
     assert registry.ensemble(lite=True) == registry.ensemble()[:1]
 
 
+def test_ratios_without_a_divisor(spark):
+    v = lambda *x: [list(map(float, x))]
+    rows = spark.createDataFrame([(*v(0, 0), *v(1, 2)), (*v(1, 2), *v(2, 4)), (*v(1, 0), *v(0, 1)), (*v(0, 0), *v(1)), (*v(1, 2), *v(1)), (None, *v(1)), ([], [])], "a array<double>, b array<double>")
+    found = [r[0] for r in rows.select(scoring.cosine(F.col("a"), F.col("b"))).collect()]
+    assert found[0] == 0.0 and found[1] == pytest.approx(1.0) and found[2] == 0.0 and found[3:6] == [None, None, None] and found[6] == 0.0
+    pairs = spark.createDataFrame([(1.0, 0.0), (0.0, 1.0), (None, 1.0)], "x double, y double")
+    assert [r[0] is None for r in pairs.select(scoring.ratio_score(F.col("x"), F.col("y"))).collect()] == [True, False, True]
+    assert [r[0] for r in pairs.select(scoring.reduction(F.col("y"), F.col("x"))).collect()] == [None, 1.0, None]
+
+
+def test_pace_of_a_single_step(spark):
+    rows = spark.createDataFrame([("one", 0), ("two", 0), ("two", 60)], "run string, s int").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r.run: (r.steps, r.step_s, r.eta, r.cost) for r in logs.pace(rows, "run", "ts").withColumns({"eta": logs.remaining(F.lit(10)), "cost": logs.rental(F.col("lasted_s"), 0.6)}).collect()}
+    assert got == {"one": (1, None, None, 0.0), "two": (2, 60.0, 600.0, pytest.approx(0.01))}
+    assert logs.pace(rows.where("false"), "run", "ts").count() == 0
+
+
 def test_no_member_of_an_ensemble(spark):
     scores = spark.createDataFrame([(1, "a", 0.5)], "doc_id int, detector string, p_ai double")
     with pytest.raises(LookupError, match="no detector"):
