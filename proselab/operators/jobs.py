@@ -37,7 +37,8 @@ def responses(requests: DataFrame, cand: DataFrame, threshold: float = 0.2, earl
     """V-01: doc_id, status, detail, passed, score, attempts, judge_calls, cost of each request, by rejection over its candidates."""
     checked = validated(requests, max_chars).select("doc_id", "status", "detail")
     good = checked.where("status = 200").select("doc_id")
-    found = selection.rejection(cand.join(good, "doc_id", "left_semi"), good, threshold, early)
+    # written first: the selection reads the candidates twice, and a provider is to be called once
+    found = selection.rejection(readers.settled(cand.join(good, "doc_id", "left_semi")), good, threshold, early)
     cost = logs.path_cost(F.lit("/humanize"), F.col("attempts"), F.col("judge_calls"))
     return checked.join(found.select("doc_id", "passed", F.col("p_ai").alias("score"), "attempts", "judge_calls", cost.alias("cost")), "doc_id", "left")
 

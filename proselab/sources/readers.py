@@ -17,18 +17,22 @@ from proselab.functions import lexicon as lx
 PAIR = "ai string, human string, source string, prompt_idx int, human_idx long"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder in ``spark.checkpoint.dir`` and read back, so that it is computed once."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new path below the shared folder in ``spark.checkpoint.dir``; only a local master may do without and gets its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="proselab-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+        found = "file://" + tempfile.mkdtemp(prefix="proselab-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that it is computed once."""
+    path = folder(df.sparkSession, "settled")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def there(spark: SparkSession, path: str) -> bool:
