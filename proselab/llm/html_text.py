@@ -13,6 +13,10 @@ Within the container, navigation, headers (but the article's own), footers, side
 reader comments are left out, by tag or by a word of their class or id. Character references are decoded, white
 space inside a block becomes one space, and blocks are joined in page order by one space.
 
+Names count for blocks alone, not for what stands inside a sentence, and not where they tell what a wrapper has or how
+it stands (``has-sidebar``, ``nav-open``). An element that holds most of a page's running text together with its first
+heading, or all of that text, is the page's wrapper and never left out for its name.
+
 Null html counts as empty and gives an empty text; a null url has its votes with all other pages without a host.
 Null and repeated page_ids get a row each. Html of any length is read whole, also where it is cut off or its
 tags do not match. An empty table gives an empty result. Only page_id, url and html are read.
@@ -30,8 +34,8 @@ from pyspark.sql import functions as F
 
 from proselab.llm.common import materialise
 
-#: Comments, declarations and tags; quoted attribute values may hold the sign that ends a tag.
-TAG = re.compile(r"""<!--(?s:.*?)(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""")
+#: Comments, declarations and tags; a quote right after the equals sign opens a value, which may hold the sign that ends a tag.
+TAG = re.compile(r"""<!--(?:-?>|(?s:.*?)(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*"[^"]*"|=\s*'[^']*'|=)*?)(?:>|\Z)""")
 #: One name with its value, read from left to right, so that names inside quoted values are not seen; a quote left open ends with the tag.
 ATTRIBUTE = re.compile(r"""([^\s/>="'][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,9 +47,10 @@ OUT = RAW | frozenset("nav header footer aside form button select option noscrip
 BLOCK = frozenset("address article aside blockquote body br button canvas caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 CONTAINERS = frozenset("article main section div td body".split())
 PARAGRAPHS = frozenset("p pre blockquote li dd h1 h2 h3 h4 h5 h6 figcaption td".split())
-#: Words of a class or id that mark what is not the article, anywhere among its parts.
+#: Words of a class or id that mark what is not the article, anywhere among its parts; inside an article a header is its own.
+HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead)(?:$|[\s_-])", re.I)
 AWAY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|footer|header|masthead|cookies?|consent|gdpr|notices?|popup|modal|"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|footer|cookies?|consent|gdpr|notices?|popup|modal|"
     r"overlay|newsletter|subscri\w*|signup|login|recommend\w*|comments?|disqus|replies|respond|toolbar|pagination|pager)(?:$|[\s_-])",
     re.I,
 )
@@ -53,6 +58,16 @@ AWAY = re.compile(
 PLACE = r"(?:article|post|entry|page|site|content|story|news|main)"
 KIND = r"(?:bar|box|list|links?|block|section|area|panel|wrap(?:per)?|container|content|buttons?|icons?|nav|posts?|articles?|stories|items?|cloud|left|right)"
 AWAY_ALONE = re.compile(rf"(?:^|\s)(?:{PLACE}[-_])?(?:side|rail|tags?|skip|social|share|sharing|related|alert|widgets?)(?:[-_]{KIND})?(?:$|\s)", re.I)
+#: Names that tell what a page or wrapper has or how it stands, not what it is.
+STATE = re.compile(
+    r"(?:^|(?<=\s))(?:(?:has|no|not|with|without|show|shows|hide|hides|enable|disable|js|can)[-_]\S+"
+    r"|\S+[-_](?:open|opened|closed|collapsed|expanded|enabled|disabled|active|visible|hidden|ready|loaded|layout|template|theme|sticky))(?=\s|$)",
+    re.I,
+)
+#: Elements inside a sentence, whose names say nothing about the page.
+PHRASE = frozenset("span em strong b i u s small big sub sup code kbd samp var tt mark q cite abbr acronym time dfn bdi bdo font del".split())
+#: What running text stands in.
+TEXTUAL = PARAGRAPHS - frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element is closed by a start tag of these.
 CLOSED_BY = {"p": BLOCK - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: Behind these the search for an element to close stops.
@@ -108,6 +123,12 @@ def _step(name: str, attributes: dict[str, str]) -> str:
     return ".".join([name, *classes])
 
 
+def _away(marks: str, article: Node | None) -> bool:
+    """Whether a class or id names something beside the article."""
+    marks = STATE.sub("", marks)
+    return bool(AWAY.search(marks) or AWAY_ALONE.search(marks) or article is None and HEADER.search(marks))
+
+
 class _Open:
     """The open elements: a stack, and the places of each name in it, so that none is searched for."""
 
@@ -163,7 +184,7 @@ def parse(html: str) -> Node:
         node = opened.stack[-1]
         attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(m[3])} if m[3] else {}
         marks = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-        out = name in OUT and not (name == "header" and node.article) or "hidden" in attributes or name not in ("body", "html", "article", "main") and marks != " " and bool(AWAY.search(marks) or AWAY_ALONE.search(marks))
+        out = name in OUT and not (name == "header" and node.article) or "hidden" in attributes or name not in PHRASE and name not in ("body", "html", "article", "main") and marks != " " and _away(marks, node.article)
         own = Node(name, node, _step(name, attributes), out or attributes.get("role", "") in ("navigation", "banner", "complementary", "contentinfo", "search"))
         node.children.append(own)
         if name in RAW:
@@ -174,6 +195,36 @@ def parse(html: str) -> Node:
     return root
 
 
+def _restore(root: Node) -> None:
+    """Take back the leaving out of an element that is the page's wrapper, whatever its name.
+
+    It holds most of the page's running text, and with it the page's first heading or main, or all of that text.
+    """
+    nodes, stack = [], [(root, False, False)]
+    own: dict[Node, list[int]] = {}
+    while stack:
+        x, link, running = stack.pop()
+        nodes.append(x)
+        own[x] = counts = [0, int(x.name in ("h1", "main"))]
+        link, running = link or x.name == "a", running or x.name in TEXTUAL
+        for c in x.children:
+            if isinstance(c, Node):
+                if c.name not in RAW:
+                    stack.append((c, link, running))
+            elif running and not link:
+                counts[0] += len(c.strip())
+    # children stand behind their parents
+    for x in reversed(nodes):
+        if x.parent is not None:
+            for k in (0, 1):
+                own[x.parent][k] += own[x][k]
+    every, tops = own[root][0], own[root][1]
+    for x in nodes:
+        text, heads = own[x]
+        if x.out and x.name not in ("nav", "footer", "aside", "template", "noscript") and 2 * text > every and (heads and heads == tops or text == every):
+            x.out = False
+
+
 def _tree(root: Node, within=None) -> Iterator[tuple[Node | str, Node | None]]:
     """Nodes and texts with their parents in page order, without what is left out."""
     stack: list = [(root, None)]
@@ -189,6 +240,7 @@ class Page:
 
     def __init__(self, html: str):
         self.root = parse(html)
+        _restore(self.root)
         scores: dict[Node, float] = {}
         self._held: set[Node] = set()
         #: The outermost articles in each main.

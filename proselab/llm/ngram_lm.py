@@ -5,8 +5,8 @@ of a word mixes the trigram, bigram and unigram maximum-likelihood estimates and
 words and one unknown word. A pair of words is a trigram's context from its second occurrence on; before, and at a
 text's first word, the bigram is the highest estimate. The weights depend on a bucket of the context's frequency
 (its binary logarithm, apart for pairs and single words) and are learned by expectation-maximisation: one fold of
-the training documents is held out of the counts, and the weights maximise the likelihood of its counts under the
-estimates from the other folds. The scores then use the counts of all training documents with these weights.
+the training documents is held out of the counts, and the weights maximise the likelihood of its counts, and of one more token for each estimate, under the
+estimates from the other folds, so that none is ever 0. The scores then use the counts of all training documents with these weights.
 
 Counts cover every training document. Words are told apart by 64-bit hashes, bigrams and trigrams by 40 bits
 beside the slice that owns them, which holds about a million. The expectation-maximisation reads the held-out tokens' estimates grouped
@@ -219,7 +219,8 @@ def learn_weights(cells: pd.DataFrame, rounds: int = 60, least: int = 100) -> di
         w = np.full(4, 1 / 4)
         for _ in range(rounds if len(g) else 0):
             share = w[:, None] * odds
-            w = (share / share.sum(0) * n).sum(1)
+            # one token more for each estimate: no weight, and so no probability, ever falls to 0
+            w = (share / share.sum(0) * n).sum(1) + 1
             w /= w.sum()
         out[k] = tuple(map(float, w))
     return out

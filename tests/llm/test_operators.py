@@ -10,6 +10,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -882,3 +883,52 @@ def test_wildcards_over_many_words():
     assert (automaton.matches(texts) == np.array(want)).all() and np.array(want).any(0).sum() > 15
     with pytest.raises(ValueError):
         url_filter.judge(None, sites=[url_filter.Site("block", "*.com", "/")])
+
+
+ONE_TWO = "<h1>Title</h1><p>First paragraph of some length here.</p><p>Second one, as long as that.</p>"
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        *((f'<div class="{c}">{ONE_TWO}</div>', "Title First paragraph of some length here. Second one, as long as that.") for c in ("site has-sidebar", "no-comments", "nav-open", "sidebar", "page-banner", "wrap menu-collapsed")),
+        (f'<div class="has-sidebar"><div class="sidebar"><p>Other words of the side.</p></div>{ONE_TWO}</div>', "Title First paragraph of some length here. Second one, as long as that."),
+        (f'<form id="aspnetForm" class="popup">{ONE_TWO}<div class="comments"><p>Me too!</p></div></form>', "Title First paragraph of some length here. Second one, as long as that."),
+        ('<p class="a"">He said hello to "everyone" here.</p><p>Second para.</p>', 'He said hello to "everyone" here. Second para.'),
+        ("<p title=it's>Hello it is fine and don't worry.</p><p>More.</p>", "Hello it is fine and don't worry. More."),
+        ('<p title = "a > b" class=\'c > "d\'>One</p><p data-x=">Two.</p>', "One Two."),
+        ("<p>Before.</p><!--><p>After one.</p><!---><p>After two.</p><!-- > --><p>End.</p>", "Before. After one. After two. End."),
+        ('<article><div class="entry-header"><h1>Title</h1></div><p>Some text of it.</p><div class="comment-header"><p>By me</p></div></article>', "Title Some text of it."),
+        ('<article><p>Use the code <span class="promo-code">AB12</span> with <em class="notice">care</em>, <a href="x">now</a>.</p></article>', "Use the code AB12 with care, now."),
+        (f'<div class="main">{ONE_TWO}</div><div id="comments"><article><p>{"A comment that is much longer than the article. " * 9}</p></article></div>', "Title First paragraph of some length here. Second one, as long as that."),
+    ],
+)
+def test_html_keeps_the_article(html, text):
+    assert html_text.extract(html, None) == text
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_html_of_pages_made_from_their_text(seed):
+    """Pages put together from an article's blocks, which are the answer, and from what surrounds them."""
+    rng = np.random.default_rng(seed)
+    any_of = lambda *x: x[int(rng.integers(len(x)))]
+    said = [prose(1000 * seed + k, int(rng.integers(15, 60))) for k in range(int(rng.integers(2, 7)))]
+    escaped = lambda t: t.replace("&", "&amp;").replace("é", "&eacute;").replace("'", "&#39;").replace(" ", any_of(" ", "\n  ", "\t"), 1)
+    inside = lambda t: t.replace(" ", any_of(' <b class="ads">', " <em>", ' <span class="notice-x">'), 1).replace("</", "<!-- </p> --></") if any_of(0, 1) else t
+    body = "".join(any_of("<p>{}</p>", "<p class=x>{}", '<blockquote title="a>b">{}</blockquote>', "<ul><li>{}</li></ul>").format(inside(escaped(t))) for t in said)
+    wrap = any_of("<article>{}</article>", '<main id="c">{}</main>', '<div class="post has-sidebar">{}</div>', '<div class="site nav-open"><article class=p>{}</article></div>')
+    around = ['<nav><a href="/">Home</a></nav>', '<div class="sidebar"><p>Short.</p></div>', "<footer><p>All rights.</p></footer>", '<div id=comments><p>Nice one!</p></div>', "<script>var p = '<p>x</p>';</script>", '<aside><p>See too</p></aside>', "<form><p>Name <input></p></form>"]
+    cut = int(rng.integers(len(around)))
+    html = "<!DOCTYPE html><html><head><title>T</title></head><body>" + "".join(around[:cut]) + wrap.format(body) + "".join(around[cut:]) + "</body></html>"
+    assert html_text.extract(html, None) == " ".join(" ".join(said).split())
+
+
+def test_language_model_of_copies(spark):
+    """Held-out words that are all well foretold must not take all the weight: an unknown word stays possible."""
+    words = " ".join(f"w{i}" for i in range(300))
+    data = [(i, words) for i in range(200)] + [(i, "w1 w2 zzz w10 w11 qqq") for i in range(200, 400) if zlib.crc32(str(i).encode()) % 7 == 2]
+    got = ngram_lm.score(spark.createDataFrame(data, "doc_id long, text string")).where("doc_id >= 200").collect()
+    assert got and all(math.isfinite(r.score) and r.score > 2 * r.base_score for r in got)
+    cells = pd.DataFrame({"bucket": [70, 5], "tri": [12, ngram_lm.NO_ESTIMATE], "bi": [12, 12], "uni": [3, 3], "n": [10**6, 10**6]})
+    for w in ngram_lm.learn_weights(cells, rounds=400).values():
+        assert min(w) > 0 and sum(w) == pytest.approx(1)
