@@ -83,12 +83,12 @@ def evaluated(df: DataFrame, rewrite: Callable[[Column], Column], text: str = "t
 
 
 def summary(rows: DataFrame, lite: bool = False, *by: str) -> DataFrame:
-    """A-02, A-03, A-05: n, the share under 0.5 of the ensemble and each detector, and the means; zeros without rows."""
+    """A-02, A-03, A-05: n, the share under 0.5 of the ensemble and each detector, and the means; zeros without rows. A perplexity of NaN, of an empty text, does not count."""
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
     each = [F.coalesce(scoring.success_rate(f"p_{n}"), F.lit(0.0)).alias(f"asr_{n}") for n, _ in registry.ensemble(lite)]
     return rows.groupBy(*by).agg(
         F.count("*").alias("n"), mean("p_ai").alias("mean_p_ai"), F.coalesce(scoring.success_rate("p_ai"), F.lit(0.0)).alias("asr_ensemble"), *each,
-        mean("similarity").alias("mean_similarity"), mean("perplexity").alias("mean_perplexity"), mean("cv").alias("mean_cv"),
+        mean("similarity").alias("mean_similarity"), mean(F.nanvl("perplexity", F.lit(None).cast("double"))).alias("mean_perplexity"), mean("cv").alias("mean_cv"),
     )
 
 

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from proselab.functions import lexicon as lx
 from proselab.functions import text as tx
 from proselab.operators import fingerprint as fp
-from proselab.operators import frontier, jobs
+from proselab.operators import frontier, jobs, spans
+from proselab.operators import perplexity as px
 from proselab.plans import fingerprints as fps
 from proselab.plans.fingerprints import r6
-from proselab.plans.seeded import CORPUS_SQL, corpus, quoted
+from proselab.plans.seeded import CORPUS_SQL, corpus, perplexity_sql, quoted
 from proselab.sources import readers
 
 QUERIES, SQL = {}, {}
@@ -80,3 +81,58 @@ FROM o LEFT JOIN tried t USING (doc_id, round) LEFT JOIN called k USING (doc_id,
 def rejection_rounds(spark, sf_dir):
     """Q-04, A-22: what each round of the same selection asks for."""
     return frontier.costs(_rounds(spark, sf_dir, _sentenced(spark, sf_dir)))
+
+
+# --- facts as spans
+
+_LETTERS = "[ªµºÀ-ÖØ-öø-ɏ]"
+
+
+def _matches_sql(rank: int, pattern: str, plain: str = "az") -> str:
+    """doc_id, rank, start, stop of every match; gaps and matches alternate."""
+    p = quoted(pattern)
+    starts = "list_transform(range(1, len(m) + 1), lambda i: CAST(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda g: length(g))), 0) AS BIGINT))"
+    return f"SELECT doc_id, {rank} AS rank, unnest({starts}) AS start, unnest(list_transform(m, lambda g: length(g))) AS len FROM (SELECT doc_id, string_split_regex({plain}, {p}) AS gaps, regexp_extract_all({plain}, {p}) AS m FROM t WHERE regexp_matches({plain}, {p}))"
+
+
+_SPANS = " UNION ALL ".join(_matches_sql(k, ("(?i)" if kind != "proper_noun" else "") + p) for k, (kind, p) in enumerate(lx.FACTS))
+_CLAIMS = ", ".join(
+    ["k0 AS (SELECT * FROM every WHERE rank = 0)"]
+    + [f"k{k} AS (SELECT * FROM k{k - 1} UNION ALL SELECT * FROM every e WHERE rank = {k} AND NOT EXISTS (SELECT 1 FROM k{k - 1} c WHERE c.doc_id = e.doc_id AND c.start < e.stop AND e.start < c.stop))" for k in range(1, len(lx.FACTS))]
+)
+_FACT_SPANS = f"""{CORPUS_SQL}, t AS (SELECT doc_id, text, regexp_replace(text, '{_LETTERS}', '_', 'g') AS az FROM corpus),
+every AS MATERIALIZED (SELECT doc_id, rank, start, start + len AS stop FROM ({_SPANS})), {_CLAIMS},
+facts AS (SELECT k.doc_id, ([{', '.join(quoted(k) for k, _ in lx.FACTS)}])[rank + 1] AS kind, start, stop, substr(text, start + 1, stop - start) AS found FROM k{len(lx.FACTS) - 1} k JOIN corpus USING (doc_id))"""
+
+
+@query(
+    "fact_spans",
+    f"WITH {_FACT_SPANS} SELECT doc_id, kind, start, stop, CASE WHEN kind = 'proper_noun' THEN found ELSE replace(lower(regexp_replace(trim(found, ' \n\t'), '\\s+', ' ', 'g')), ',', '') END AS value FROM facts",
+)
+def fact_spans(spark, sf_dir):
+    """X-01, X-02, J-05: every fact with its place; a match that overlaps a higher kind's is skipped."""
+    return spans.facts(corpus(spark, sf_dir).select("doc_id", "text")).drop("row")
+
+
+@query(
+    "plain_paragraphs",
+    f"""WITH {_FACT_SPANS}, w AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM corpus),
+p AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, l FROM w),
+s AS (SELECT doc_id, CAST(coalesce(list_sum(list_transform(l[1:i - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS start, length(l[i]) AS n FROM p WHERE l[i] <> '')
+SELECT doc_id, start, start + n AS stop FROM s WHERE NOT EXISTS (SELECT 1 FROM facts f WHERE f.doc_id = s.doc_id AND f.start < s.start + s.n AND s.start < f.stop)""",
+)
+def plain_paragraphs(spark, sf_dir):
+    """J-05, X-02: the lines of each text that hold no fact, by an interval anti-join."""
+    docs = corpus(spark, sf_dir).select("doc_id", "text")
+    lines = spans.matched(docs, [r"[^\n]+"]).select("doc_id", "start", "stop")
+    return spans.outside(lines, spans.facts(docs).select("doc_id", "start", "stop"), "doc_id", 512)
+
+
+# --- perplexity
+
+
+@query("ngram_perplexity", f"WITH {CORPUS_SQL}, {perplexity_sql('corpus', 'corpus', 'pp')} SELECT doc_id, tokens, round(perplexity, 4) AS perplexity, round(worst, 4) AS worst FROM pp")
+def ngram_perplexity(spark, sf_dir):
+    """D-13: each document under a model of the others, and its least likely window of 64 tokens."""
+    p = px.perplexity(corpus(spark, sf_dir), window=64, stride=32)
+    return p.select("doc_id", "tokens", F.round("perplexity", 4).alias("perplexity"), F.round("worst", 4).alias("worst"))

@@ -55,3 +55,20 @@ def quoted(s: str) -> str:
 CORPUS_SQL = f"""corpus AS (
   SELECT doc_id, lang, source, coalesce(text, '') || repeat(' ' || ([{', '.join(map(quoted, SENTENCES))}])[doc_id % {len(SENTENCES)} + 1], CAST(doc_id // {len(SENTENCES)} % 3 + 1 AS BIGINT)) AS text
   FROM documents)"""
+
+
+def perplexity_sql(fit: str, asked: str, out: str, folds: int = 5, share: float = 0.7, window: int = 64, stride: int = 32) -> str:
+    """CTEs from tables (doc_id, text) to ``out`` (doc_id, tokens, perplexity, worst), token by token."""
+    tokens = lambda t, name: f"""{out}_{name} AS MATERIALIZED (SELECT doc_id, fold, w, CASE WHEN i = 1 THEN '' ELSE l[i - 1] END AS h, i - 1 AS pos FROM (
+  SELECT doc_id, fold, l, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, CAST('0x' || md5(CAST(doc_id AS VARCHAR))[1:8] AS BIGINT) % {folds} AS fold, regexp_extract_all(lower(text), '[a-z][a-z''-]*') AS l FROM {t})))"""
+    return f"""{tokens(fit, 'f')}, {tokens(asked, 'a')},
+{out}_k AS (SELECT unnest(range({folds})) AS k),
+{out}_b AS MATERIALIZED (SELECT k, h, w, count(*) AS c FROM {out}_k, {out}_f WHERE fold <> k GROUP BY ALL),
+{out}_h AS MATERIALIZED (SELECT k, h, sum(c) AS c FROM {out}_b GROUP BY ALL), {out}_w AS MATERIALIZED (SELECT k, w, sum(c) AS c FROM {out}_b GROUP BY ALL),
+{out}_t AS (SELECT k, sum(c) AS n, count(*) AS v FROM {out}_w GROUP BY k),
+{out}_p AS (SELECT a.doc_id, a.pos, -ln(CASE WHEN h.c > 0 THEN {share} * coalesce(b.c, 0) / h.c + {1 - share} * one ELSE one END) AS nll FROM (
+  SELECT a.*, (coalesce(x.c, 0) + 1) / CAST(t.n + t.v + 1 AS DOUBLE) AS one FROM {out}_a a LEFT JOIN {out}_w x ON x.k = a.fold AND x.w = a.w JOIN {out}_t t ON t.k = a.fold) a
+  LEFT JOIN {out}_h h ON h.k = a.fold AND h.h = a.h LEFT JOIN {out}_b b ON b.k = a.fold AND b.h = a.h AND b.w = a.w),
+{out}_s AS (SELECT doc_id, pos // {stride} AS block, count(*) AS n, sum(nll) AS nll FROM {out}_p GROUP BY ALL),
+{out}_v AS (SELECT *, exp(sum(nll) OVER o / sum(n) OVER o) AS slid FROM {out}_s WINDOW o AS (PARTITION BY doc_id ORDER BY block ROWS {max(1, window // stride) - 1} PRECEDING)),
+{out} AS (SELECT d.doc_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS tokens, coalesce(exp(sum(nll) / sum(n)), 'nan'::DOUBLE) AS perplexity, coalesce(max(slid), 'nan'::DOUBLE) AS worst FROM {asked} d LEFT JOIN {out}_v USING (doc_id) GROUP BY d.doc_id)"""

@@ -10,11 +10,13 @@ from proselab.operators import corpus as co
 from proselab.operators import facts as fa
 from proselab.operators import fingerprint as fp
 from proselab.operators import jobs, logs, registry, selection
+from proselab.operators import perplexity as px
 from proselab.operators import rewrite as rw
 from proselab.operators import scoring as sc
 from proselab.plans import corpora, scores
 from proselab.plans import fingerprints as fps
-from proselab.plans.seeded import CORPUS_SQL, SENTENCES, corpus, quoted
+from proselab.plans.seeded import CORPUS_SQL, SENTENCES, corpus, perplexity_sql, quoted
+from proselab.sources import readers
 
 QUERIES, SQL = {}, {}
 
@@ -67,20 +69,22 @@ def final_scores(spark, sf_dir):
 
 
 _RATE = "avg(CASE WHEN {} < 0.5 THEN 1.0 ELSE 0.0 END)"
-_SUMMARY = f"SELECT count(*) AS n, avg(p_ai) AS mean_p_ai, {_RATE.format('p_ai')} AS asr, {_RATE.format('p_pattern')} AS a, {_RATE.format('p_reduced')} AS b, {_RATE.format('p_evenness')} AS c, avg(similarity) AS sim, avg(cv) AS cv FROM done"
+_SUMMARY = f"SELECT count(*) AS n, avg(p_ai) AS mean_p_ai, {_RATE.format('p_ai')} AS asr, {_RATE.format('p_pattern')} AS a, {_RATE.format('p_reduced')} AS b, {_RATE.format('p_evenness')} AS c, avg(similarity) AS sim, avg(cv) AS cv, avg(CASE WHEN isnan(perplexity) THEN NULL ELSE perplexity END) AS ppl FROM done JOIN pp USING (doc_id)"
 
 
 @query(
     "evaluate_job",
-    f"""WITH {_REWRITTEN}, s AS ({_SUMMARY})
-SELECT n, round(mean_p_ai, 6) AS mean_p_ai, round(sim, 6) AS mean_similarity, 'n=' || n || chr(10) || printf('mean_p_ai=%.3f', mean_p_ai) || chr(10) || printf('asr_ensemble=%.2f', asr * 100) || '%' || chr(10) || 'asr_per_detector:'
+    f"""WITH {_REWRITTEN}, made AS (SELECT doc_id, body AS text FROM done), {perplexity_sql('corpus', 'made', 'pp', window=1024, stride=512)}, s AS ({_SUMMARY})
+SELECT n, round(mean_p_ai, 6) AS mean_p_ai, round(ppl, 4) AS mean_perplexity, round(sim, 6) AS mean_similarity, 'n=' || n || chr(10) || printf('mean_p_ai=%.3f', mean_p_ai) || chr(10) || printf('asr_ensemble=%.2f', asr * 100) || '%' || chr(10) || 'asr_per_detector:'
   || chr(10) || '  ' || rpad('pattern', 50, ' ') || printf(' %.2f', a * 100) || '%' || chr(10) || '  ' || rpad('reduced', 50, ' ') || printf(' %.2f', b * 100) || '%' || chr(10) || '  ' || rpad('evenness', 50, ' ') || printf(' %.2f', c * 100) || '%'
-  || chr(10) || printf('mean_similarity=%.3f', sim) || chr(10) || 'mean_perplexity=0.0' || chr(10) || printf('mean_burstiness_cv=%.2f', cv) AS summary FROM s""",
+  || chr(10) || printf('mean_similarity=%.3f', sim) || chr(10) || printf('mean_perplexity=%.1f', ppl) || chr(10) || printf('mean_burstiness_cv=%.2f', cv) AS summary FROM s""",
 )
 def evaluate_job(spark, sf_dir):
-    """E-01, A-05, M-05: rewrite, score, summarise."""
-    s = jobs.summary(rewritten(spark, sf_dir)).withColumn("summary", jobs.summary_text())
-    return s.select("n", r6("mean_p_ai").alias("mean_p_ai"), r6("mean_similarity").alias("mean_similarity"), "summary")
+    """E-01, A-05, M-05, D-13: rewrite, score, also by a language model of the other documents, summarise."""
+    rows = readers.settled(rewritten(spark, sf_dir).drop("perplexity"))
+    found = px.perplexity(rows.select("doc_id", F.col("rewrite").alias("text")), corpus(spark, sf_dir))
+    s = jobs.summary(rows.join(found.select("doc_id", "perplexity"), "doc_id")).withColumn("summary", jobs.summary_text())
+    return s.select("n", r6("mean_p_ai").alias("mean_p_ai"), r6("mean_similarity").alias("mean_similarity"), F.round("mean_perplexity", 4).alias("mean_perplexity"), "summary")
 
 
 @query(
