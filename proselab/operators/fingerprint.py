@@ -161,3 +161,14 @@ def sentence_stats(df: DataFrame, text: str = "text") -> DataFrame:
         "n_sentences": F.size(w), "mean_words": mean, "std_words": cv * mean, "cv_words": cv,
         "min_words": F.coalesce(F.array_min(w), F.lit(0)), "max_words": F.coalesce(F.array_max(w), F.lit(0)),
     }).drop(*FEATURES)
+
+
+def vocabularies(df: DataFrame, *by: str, text: str = "text", precision: int = 14) -> DataFrame:
+    """A-21, mergeable: ``by`` and sketch, the distinct tokens of each group's texts; sketches of parts can be united later."""
+    each = df.select(*by, F.explode(tx.tokens(F.coalesce(F.col(text), F.lit("")))).alias("token"))
+    return each.groupBy(*by).agg(F.hll_sketch_agg("token", F.lit(precision)).alias("sketch"))
+
+
+def distinct_by(sketches: DataFrame, *by: str) -> DataFrame:
+    """A-21: ``by`` and estimate, the number of distinct tokens of the united sketches, within about a hundredth at the default precision."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch", F.lit(False))).alias("estimate"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from proselab.functions import text as tx
 from proselab.operators.facts import KINDS, _pattern
+from proselab.sources.readers import settled
 
 
 def overlap(a_start: Column, a_stop: Column, b_start: Column, b_stop: Column) -> Column:
@@ -74,7 +75,8 @@ def outside(a: DataFrame, b: DataFrame, by: str, width: int = 1 << 16) -> DataFr
     """
     bins = F.sequence(F.floor(F.col("start") / width), F.floor((F.col("stop") - 1) / width))
     whole = F.col(by).isNotNull() & (F.col("start") < F.col("stop"))
-    ours = a.withColumn("_id", F.monotonically_increasing_id())
+    # written: both readings below must see the same numbers
+    ours = settled(a.withColumn("_id", F.monotonically_increasing_id()))
     sides = [d.where(whole).select(F.col(by).alias("_by"), "start", "stop", i.alias("_id"), F.explode(bins).alias("_bin")) for d, i in ((ours, F.col("_id")), (b, F.lit(None).cast("long")))]
     order = Window.partitionBy("_by", "_bin").orderBy("start", F.col("_id").isNotNull())
     theirs = lambda c: F.when(F.col("_id").isNull(), F.col(c))

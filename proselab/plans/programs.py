@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from proselab.functions import lexicon as lx
 from proselab.functions import text as tx
 from proselab.operators import fingerprint as fp
-from proselab.operators import frontier, jobs, spans
+from proselab.operators import alignment, batches, frontier, jobs, spans
 from proselab.operators import perplexity as px
 from proselab.plans import fingerprints as fps
 from proselab.plans.fingerprints import r6
@@ -136,3 +136,57 @@ def ngram_perplexity(spark, sf_dir):
     """D-13: each document under a model of the others, and its least likely window of 64 tokens."""
     p = px.perplexity(corpus(spark, sf_dir), window=64, stride=32)
     return p.select("doc_id", "tokens", F.round("perplexity", 4).alias("perplexity"), F.round("worst", 4).alias("worst"))
+
+
+# --- alignment, vocabularies, batches
+
+
+_GRAMS = "list_distinct(list_transform(range(1, length({0}) + 1), lambda i: ('<' || {0} || '>')[i:i + 2]))"
+
+
+def _aligned_sql(a: str, b: str, out: str) -> str:
+    """CTE ``out`` (doc_id, share): mean over the words of list ``a`` of the best cosine to a word of list ``b`` in table al."""
+    return f"""{out}_w AS (SELECT doc_id, word, count(*) AS n, any_value(list_contains(others, word)) AS there FROM (SELECT doc_id, unnest({a}) AS word, {b} AS others FROM al) GROUP BY ALL),
+{out}_g AS (SELECT doc_id, word, unnest(g) AS gram, len(g) AS size FROM (SELECT doc_id, word, {_GRAMS.format('word')} AS g FROM {out}_w WHERE NOT there)),
+{out}_h AS (SELECT doc_id, o, unnest(g) AS gram, len(g) AS size FROM (SELECT doc_id, o, {_GRAMS.format('o')} AS g FROM (SELECT doc_id, unnest(list_distinct({b})) AS o FROM al))),
+{out}_c AS (SELECT doc_id, word, o, count(*) / sqrt(any_value(g.size) * any_value(h.size)) AS alike FROM {out}_g g JOIN {out}_h h USING (doc_id, gram) GROUP BY ALL),
+{out}_b AS (SELECT doc_id, word, max(alike) AS alike FROM {out}_c GROUP BY ALL),
+{out}_m AS (SELECT doc_id, sum(n * CASE WHEN there THEN 1.0 ELSE coalesce(alike, 0.0) END) AS s FROM {out}_w LEFT JOIN {out}_b USING (doc_id, word) GROUP BY doc_id),
+{out} AS (SELECT doc_id, CASE WHEN len({a}) = 0 THEN CASE WHEN len({b}) = 0 THEN 1.0 ELSE 0.0 END ELSE s / len({a}) END AS share FROM al LEFT JOIN {out}_m USING (doc_id))"""
+
+
+_WORDS = "regexp_extract_all(lower({}), '[a-z][a-z''-]*')"
+_PART = "substr(text, CAST(length(text) // 10 AS BIGINT) + 1, length(text))"
+
+
+@query(
+    "word_alignment",
+    f"""WITH {CORPUS_SQL}, al AS (SELECT doc_id, {_WORDS.format(_PART)} AS c, {_WORDS.format('text')} AS r FROM corpus), {_aligned_sql('c', 'r', 'p')}, {_aligned_sql('r', 'c', 'q')}
+SELECT doc_id, round(p.share, 6) AS precision, round(q.share, 6) AS recall, round(coalesce(2 * p.share * q.share / nullif(p.share + q.share, 0), 0), 6) AS f1 FROM p JOIN q USING (doc_id)""",
+)
+def word_alignment(spark, sf_dir):
+    """D-12: how well each text without its first tenth stands for the whole."""
+    c = corpus(spark, sf_dir).select("doc_id", "text", F.expr("substr(text, int(length(text) div 10) + 1)").alias("part"))
+    out = alignment.aligned(c, "part", "text")
+    return out.select("doc_id", *(r6(x).alias(x) for x in ("precision", "recall", "f1")))
+
+
+@query("vocabulary_sketch", f"WITH {CORPUS_SQL}, w AS (SELECT lang, unnest({_WORDS.format('text')}) AS word FROM corpus) SELECT lang, count(DISTINCT word) AS types, true AS close FROM w GROUP BY lang")
+def vocabulary_sketch(spark, sf_dir):
+    """A-21: distinct words by language from sketches of every source, against the exact number."""
+    c = corpus(spark, sf_dir).select("lang", "source", "text")
+    estimate = fp.distinct_by(fp.vocabularies(c, "lang", "source"), "lang")
+    exact = c.select("lang", F.explode(tx.tokens("text")).alias("word")).groupBy("lang").agg(F.countDistinct("word").alias("types"))
+    return exact.join(estimate, "lang").select("lang", "types", (F.abs(F.col("estimate") / F.col("types") - 1) <= 0.02).alias("close"))
+
+
+@query(
+    "length_batches",
+    f"""WITH {CORPUS_SQL}, n AS (SELECT doc_id, len({_WORDS.format('text')}) AS n FROM corpus), p AS (SELECT *, (row_number() OVER (ORDER BY n, doc_id) - 1) // 32 AS batch FROM n),
+m AS (SELECT *, max(n) OVER (PARTITION BY batch) AS width FROM p) SELECT doc_id, CAST(batch AS BIGINT) AS batch, CAST(width AS INTEGER) AS width, CAST(n AS INTEGER) AS learned FROM m""",
+)
+def length_batches(spark, sf_dir):
+    """T-19: batches of 32 texts of like length, each padded to the longest."""
+    c = corpus(spark, sf_dir).select("doc_id", F.transform(tx.tokens("text"), lambda w: F.crc32(w.cast("binary"))).alias("ids"))
+    p = batches.padded(c, "ids", 32, "doc_id")
+    return p.select("doc_id", "batch", F.size("padded").alias("width"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("learned"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import tempfile
+import threading
 import time
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -109,7 +111,7 @@ def write_report(summary: DataFrame, path: str) -> None:
         stream.close()
 
 
-def provided(df: DataFrame, call: Callable, text: str = "text", out: str = "output", retries: int = 2, n: int = 1, failed=None, kind: str = "string", wait: float = 0.0, prepare: Callable | None = None) -> DataFrame:
+def provided(df: DataFrame, call: Callable, text: str = "text", out: str = "output", retries: int = 2, n: int = 1, failed=None, kind: str = "string", wait: float = 0.0, prepare: Callable | None = None, at_once: int = 1) -> DataFrame:
     """S-20 to S-23, D-01, D-02, D-12, D-13, Q-01, Q-02, M-10, M-11: ``df`` with cand_idx and the answers of an external provider, n for each row.
 
     ``call(text, cand_idx)`` is told which of the n samples it makes, so that it can set a seed. It may give a list,
@@ -117,16 +119,19 @@ def provided(df: DataFrame, call: Callable, text: str = "text", out: str = "outp
     A call that fails is tried again ``retries`` times, after 1.5 times ``wait`` seconds more each time; the answer
     is ``failed`` (a mark, or 0.5 for a neutral score) where all tries fail. ``kind`` is the type of an answer.
     ``prepare()`` runs once a task before its first call and gives what is passed on as ``call``'s third argument,
-    for a client or a model.
+    for a client or a model. Up to ``at_once`` rows of a task are answered at the same time, by threads; each waits
+    for its own retries alone, and answers keep the order of the rows.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", cand_idx int, `{out}` {kind}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
+        first = threading.Lock()
 
         def one(t, k):
-            if prepare and not held:
-                held.append(prepare())
+            with first:
+                if prepare and not held:
+                    held.append(prepare())
             for turn in range(retries + 1):
                 try:
                     return call(t, k, *held)
@@ -142,9 +147,13 @@ def provided(df: DataFrame, call: Callable, text: str = "text", out: str = "outp
                 found += got or [failed] if isinstance(got, list) else [got]
             return found[:n]
 
-        for b in batches:
-            answers = [samples(t) for t in b[text]]
-            yield pd.concat([b.assign(**{"cand_idx": k, out: [a[k] for a in answers]}) for k in range(n)])
+        with ThreadPoolExecutor(max(1, at_once)) as pool:
+            for b in batches:
+                yield from answered(b, pool.map(samples, b[text]) if at_once > 1 else map(samples, b[text]))
+
+    def answered(b: pd.DataFrame, given: Iterable[list]) -> Iterator[pd.DataFrame]:
+        answers = list(given)
+        yield pd.concat([b.assign(**{"cand_idx": k, out: [a[k] for a in answers]}) for k in range(n)])
 
     return df.mapInPandas(run, schema)
 
