@@ -1,12 +1,14 @@
 """Exact top-k inner-product search by a pivot-distance index.
 
-Components become floor(scale * x) as whole numbers. One more component, sqrt(M - |v|^2) with M the largest
-squared length, makes every vector as long as every other, so that the largest inner product is the smallest
-distance (a query's own extra component is zero). The index keys each vector by its nearest pivot and its
+Components become floor(scale * x) as whole numbers. The index keys each vector by its nearest pivot and its
 distance to it, sorts by that key, and cuts the order into annuli of bounded size, some annuli to a slab. A query
 first sees its own annulus, which gives it a k-th best score; it then goes only to slabs, and within
-them, nearest annuli first, only to annuli that the triangle inequality lets beat that score. Scores are exact
-whole numbers; bounds have a margin for rounding.
+them, most promising annuli first, only to annuli whose bound reaches that score, which rises on the way. The bound is the least of three: the
+triangle inequality says how near a vector of the annulus can come to the query, and an inner product is half of what
+the squared lengths have more than the squared distance; the score of the pivot and the query's length times
+the annulus's outer radius; the product of both lengths. Scores are exact whole numbers; bounds have a margin for rounding. Vectors
+in clusters are found after a small share of the comparisons; where all directions are alike, as in noise of many
+components, no bound can tell annuli apart and all are compared.
 
 Pivots, about an eighth of the root of the number of vectors, are spread over a bounded sample by farthest-first
 choice; they only steer the order, so the sample never costs a result. All vectors are indexed. A vector that very
@@ -44,6 +46,8 @@ LEAST_SAMPLE = 2048
 ANNULUS, SLAB = 2048, 16
 #: Summaries of a block, batches of queries that a block or a slab meets in one task.
 SUMMARIES, BATCHES = 65_536, 64
+RINGS = "slab long, kind int, size int, pivot int, low double, high double, most double, data binary"
+RING = [c.split()[0] for c in RINGS.split(", ")]
 LONG = 2**63 - 1
 NONE = -(2**63)
 
@@ -70,12 +74,8 @@ def _spread_pivots(sample: list, most: int) -> dict[int, np.ndarray]:
     return out
 
 
-def _pivot_distances(m: np.ndarray, pivots: np.ndarray, most: float, query: bool = False) -> np.ndarray:
-    """Distances with the extra component; queries have zero there, pivots are stored vectors."""
-    p_sq, sq = (pivots**2).sum(1), (m**2).sum(1)
-    extra = np.zeros(len(m)) if query else np.sqrt(np.maximum(most - sq, 0))
-    d = sq[:, None] + p_sq - 2 * (m @ pivots.T) + (extra[:, None] - np.sqrt(np.maximum(most - p_sq, 0))) ** 2
-    return np.sqrt(np.maximum(d, 0))
+def _pivot_distances(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((m**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * (m @ pivots.T), 0))
 
 
 def _products(a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
@@ -104,17 +104,35 @@ def _highest(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int):
     return np.take_along_axis(scores, at, 1), ids[at]
 
 
-def _bounds(sq_q, most, d, low, high):
-    """Upper bounds of the inner product of queries with an annulus, from their distances to its pivot."""
-    least = np.maximum(np.maximum(low - d, d - high) - 1e-6 * (1 + d + np.sqrt(most)), 0)
-    return (sq_q + most - least**2) / 2 + 1e-6 * (1 + sq_q + most)
+class _Asked:
+    """Queries, and the upper bounds of their inner products with annuli."""
 
+    def __init__(self, m: np.ndarray, pivots: np.ndarray | None):
+        self.sq = (m.astype(float) ** 2).sum(1)
+        self.long = np.sqrt(self.sq)
+        self.scores = m.astype(float) @ pivots.T if pivots is not None else None
+        self.dist = _pivot_distances(m.astype(float), pivots) if pivots is not None else None
 
-def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of each query. ``is_query`` is a condition on vec_id."""
+    def bounds(self, pivot: np.ndarray, low: np.ndarray, high: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """A row for each query, a column for each annulus: its pivot, radii and largest squared length of a vector."""
+        out = self.long[:, None] * np.sqrt(most)
+        if self.dist is not None:
+            d, at = self.dist[:, pivot], pivot >= 0
+            far = np.maximum(np.maximum(low - d, d - high) - 1e-6 * (1 + d + high), 0)
+            near = np.minimum((self.sq[:, None] + most - far**2) / 2, self.scores[:, pivot] + self.long[:, None] * high)
+            out = np.where(at, np.minimum(out, near), out)
+        return out + 1e-6 * (1 + self.sq[:, None] + most)
+
+
+def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, compared=None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best of each query. ``is_query`` is a condition on vec_id.
+
+    ``compared``, an accumulator, gets the number of pairs of query and vector whose score was computed.
+    """
     rows = materialise(quantised(df, scale).withColumn("copy", F.monotonically_increasing_id()), "vectors")
     n, most = rows.agg(F.count("*"), F.max("sq")).first()
     most = float(most or 0) * (1 + 1e-9)
+    count = compared.add if compared is not None else lambda n: None
     wanted = min(MOST_PIVOTS, max(PIVOTS, math.isqrt(n) // 8))
 
     def flat(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,10 +149,8 @@ def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> Dat
             for s in np.unique(size):
                 own = np.flatnonzero(size == s)
                 if s in pivots:
-                    d = _pivot_distances(np.array(b["v"].iloc[own].tolist(), float).reshape(len(own), s), pivots[s], most)
+                    d = _pivot_distances(np.array(b["v"].iloc[own].tolist(), float).reshape(len(own), s), pivots[s])
                     near[own], dist[own] = d.argmin(1), d.min(1)
-                else:
-                    dist[own] = np.sqrt(most)
             yield b[["vec_id", "copy", "v", "query"]].assign(size=size, pivot=near, dist=dist)
 
     keyed = rows.select("vec_id", "copy", "v", is_query.alias("query")).mapInPandas(key, "vec_id long, copy long, v array<long>, query boolean, size int, pivot int, dist double")
@@ -148,13 +164,15 @@ def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> Dat
             part = part.sort_values("vec_id")
             m, ids = np.array(part["v"].tolist(), np.int64).reshape(len(part), int(part["size"].iloc[0])), part["vec_id"].to_numpy()
             s, p = int(part["size"].iloc[0]), int(part["pivot"].iloc[0])
-            out = [(slab, 0, s, p, float(part["dist"].min()), float(part["dist"].max()), pack((ids, m)))]
+            longest = float((m.astype(float) ** 2).sum(1).max())
+            out = [(slab, 0, s, p, float(part["dist"].min()), float(part["dist"].max()), longest, pack((ids, m)))]
             asks = np.flatnonzero(part["query"].to_numpy(bool))
             if len(asks):
+                count(len(asks) * len(m))
                 scores, _ = _highest(_products(m[asks], m, most), ids, ids[asks], k)
                 kth = scores.min(1) if scores.shape[1] >= k else np.full(len(asks), NONE)
-                out.append((slab, 1, s, p, 0.0, 0.0, pack((ids[asks], m[asks], kth))))
-            return pd.DataFrame(out, columns=["slab", "kind", "size", "pivot", "low", "high", "data"])
+                out.append((slab, 1, s, p, 0.0, 0.0, 0.0, pack((ids[asks], m[asks], kth))))
+            return pd.DataFrame(out, columns=RING)
 
         for b in batches:
             held = pd.concat([held, b]) if len(held) else b
@@ -170,10 +188,10 @@ def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> Dat
             yield annulus(held)
 
     sorted_rows = keyed.repartitionByRange(slabs, "size", "pivot", "dist", F.xxhash64("vec_id", "copy")).sortWithinPartitions("size", "pivot", "dist")
-    index = materialise(sorted_rows.mapInPandas(cut, "slab long, kind int, size int, pivot int, low double, high double, data binary"), "annuli")
+    index = materialise(sorted_rows.mapInPandas(cut, RINGS), "annuli")
 
     # each batch of queries meets every block of summaries; a task has one block and some batches
-    summary = materialise(index.where("kind = 0").groupBy("slab", "size", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high")), "summaries")
+    summary = materialise(index.where("kind = 0").groupBy("slab", "size", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("most").alias("most")), "summaries")
     asking = index.where("kind = 1").select("size", "data")
     n_blocks, n_salts = max(1, -(-summary.count() // SUMMARIES)), max(1, -(-asking.count() // BATCHES))
 
@@ -189,17 +207,14 @@ def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> Dat
         for size, data in zip(batches["size"], batches["data"]):
             ids, m, kth = unpack(data)
             fit = known[known["size"] == size]
-            slab, pivot = fit["slab"].to_numpy(), fit["pivot"].to_numpy()
-            hit = np.ones((len(ids), len(fit)), bool)
-            if size in pivots:
-                sq, d = (m.astype(float) ** 2).sum(1), _pivot_distances(m.astype(float), pivots[size], most, True)
-                hit = (_bounds(sq[:, None], most, d[:, pivot], fit["low"].to_numpy(), fit["high"].to_numpy()) >= kth[:, None]) | (pivot < 0)
+            slab, ring = fit["slab"].to_numpy(), [fit[c].to_numpy() for c in ("pivot", "low", "high", "most")]
+            hit = _Asked(m, pivots.get(size)).bounds(*ring) >= kth[:, None]
             for to in np.unique(slab[hit.any(0)]).tolist():
                 some = hit[:, slab == to].any(1)
-                out.append((to, 1, size, 0, 0.0, 0.0, pack((ids[some], m[some], kth[some]))))
-        return pd.DataFrame(out, columns=["slab", "kind", "size", "pivot", "low", "high", "data"])
+                out.append((to, 1, size, 0, 0.0, 0.0, 0.0, pack((ids[some], m[some], kth[some]))))
+        return pd.DataFrame(out, columns=RING)
 
-    routed = batched.groupBy("part", "salt").cogroup(blocked.groupBy("part", "salt")).applyInPandas(route, "slab long, kind int, size int, pivot int, low double, high double, data binary")
+    routed = batched.groupBy("part", "salt").cogroup(blocked.groupBy("part", "salt")).applyInPandas(route, RINGS)
     asked = materialise(routed, "asked")
     pieces = materialise(asked.groupBy("slab").agg(F.ceil(F.count("*") / BATCHES).cast("int").alias("pieces")), "pieces")
     dealt = asked.join(pieces, "slab").withColumn("piece", F.pmod(F.xxhash64("data"), F.col("pieces")).cast("int")).drop("pieces")
@@ -209,21 +224,22 @@ def search(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> Dat
         """A slab's annuli against the batches of queries sent to it, nearest annuli first for each batch."""
         rings, now = [], None
         for b in batches:
-            for slab, piece, kind, size, p, low, high, data in b[["slab", "piece", "kind", "size", "pivot", "low", "high", "data"]].itertuples(index=False):
+            for slab, piece, kind, size, p, low, high, longest, data in b[["slab", "piece", "kind", "size", "pivot", "low", "high", "most", "data"]].itertuples(index=False):
                 if (slab, piece) != now:
                     rings, now = [], (slab, piece)
                 if kind == 0:
-                    rings.append((size, p, low, high, unpack(data)))
+                    rings.append((size, p, low, high, longest, unpack(data)))
                     continue
                 ids, m, kth = unpack(data)
-                sq = (m.astype(float) ** 2).sum(1)
-                d = _pivot_distances(m.astype(float), pivots[size], most, True) if size in pivots else None
-                bounds = [(_bounds(sq, most, d[:, p], low, high) if p >= 0 else np.full(len(ids), np.inf), ring) for s, p, low, high, ring in rings if s == size]
+                own = [ring for ring in rings if ring[0] == size]
+                every = _Asked(m, pivots.get(size)).bounds(*(np.array([ring[c] for ring in own]) for c in (1, 2, 3, 4))) if own else np.zeros((len(ids), 0))
+                bounds = [(every[:, j], ring[5]) for j, ring in enumerate(own)]
                 best, names = np.full((len(ids), k), NONE), np.full((len(ids), k), LONG)
                 for bound, (vec_ids, vectors) in sorted(bounds, key=lambda x: -x[0].max()):
                     ask = np.flatnonzero(bound >= np.maximum(kth, best[:, -1]))
                     if not len(ask):
                         continue
+                    count(len(ask) * len(vectors))
                     s, i = _highest(_products(m[ask], vectors, most), vec_ids, ids[ask], k)
                     s, i = np.concatenate([best[ask], s], 1), np.concatenate([names[ask], i], 1)
                     order = np.lexsort((i, ~s), axis=1)[:, :k]

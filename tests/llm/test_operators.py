@@ -932,3 +932,19 @@ def test_language_model_of_copies(spark):
     cells = pd.DataFrame({"bucket": [70, 5], "tri": [12, ngram_lm.NO_ESTIMATE], "bi": [12, 12], "uni": [3, 3], "n": [10**6, 10**6]})
     for w in ngram_lm.learn_weights(cells, rounds=400).values():
         assert min(w) > 0 and sum(w) == pytest.approx(1)
+
+
+def test_pivot_bounds_spare_comparisons(spark):
+    """Vectors in clusters: most pairs are never compared, and the results are those of all pairs."""
+    rng = np.random.default_rng(8)
+    n, size = 12_000, 24
+    made = (6 * rng.normal(size=(60, size)))[rng.integers(0, 60, n)] + 0.15 * rng.normal(size=(n, size))
+    frame = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": made.tolist()}))
+    compared = spark.sparkContext.accumulator(0)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in pivot_search.search(frame, F.col("vec_id") % 50 == 0, compared=compared).collect()}
+    m = np.floor(256 * made).astype(np.int64)
+    for q in range(0, n, 50):
+        scores = m @ m[q]
+        order = [i for i in np.lexsort((np.arange(n), -scores))[:7].tolist() if i != q][:5]
+        assert [got[q, k + 1] for k in range(5)] == [(i, int(scores[i])) for i in order]
+    assert 0 < compared.value < 0.4 * (n // 50) * n
