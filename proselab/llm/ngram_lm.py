@@ -2,7 +2,7 @@
 
 A trigram model over ASCII-lower-cased words that end at white space, with one end token a text. The probability
 of a word mixes the trigram, bigram and unigram maximum-likelihood estimates and a uniform share over the known
-words and one unknown word. A pair of words is a trigram's context from its second occurrence on; before, and at a
+words and one unknown word. Where the pair of words before is unknown, and at a
 text's first word, the bigram is the highest estimate. The weights depend on a bucket of the context's frequency
 (its binary logarithm, apart for pairs and single words) and are learned by expectation-maximisation: one fold of
 the training documents is held out of the counts, and the weights maximise the likelihood of its counts, and of one more token for each estimate, under the
@@ -37,8 +37,6 @@ END, START = b" ", b"\t"
 TEST, DEVELOPMENT, TRAIN = 2, 1, 0
 #: Steps for a factor of two in the estimates that the expectation-maximisation sees.
 STEPS = 2
-#: Occurrences from which on a pair of words is a context.
-LEAST_CONTEXT = 2
 #: Buckets of pairs start here; those of single words are below.
 PAIRS = 64
 NO_ESTIMATE = -1_000_000
@@ -103,10 +101,10 @@ class Block:
     def payload(self) -> bytes:
         return pack((self.ids, self.folds, self.lens, planes(self.flat), self.short.tobytes()))
 
-    def trigrams(self, pair_count: np.ndarray):
+    def trigrams(self, pair_count: np.ndarray, least: int):
         """Which places have a pair as context, their distinct trigrams, and the hashes of these."""
         some = np.flatnonzero(self.flat[self.at] != 0)
-        some = some[pair_count[self.pair[some - 1]] >= LEAST_CONTEXT]
+        some = some[pair_count[self.pair[some - 1]] >= least]
         n = len(self.short)
         codes, which = np.unique(self.pair[some - 1].astype(np.int64) * n + self.word[some], return_inverse=True)
         return some, which.astype(np.int32), mix64(self.pair_key[codes // n] * U64(0xC2B2AE3D27D4EB4F) + self.short[codes % n])
@@ -167,10 +165,11 @@ def _merge_keys(channels):
 class Counts:
     """What a block knows of its tokens: numbers of contexts, and estimates, by all training or without development."""
 
-    def __init__(self, x: blocks.Exchange, payload: bytes, replies: dict[int, bytes], more: dict[int, bytes]):
+    def __init__(self, x: blocks.Exchange, payload: bytes, replies: dict[int, bytes], more: dict[int, bytes], least: int):
+        self.least = least
         self.block = b = Block.read(payload)
         self.words, self.pairs = _answers(x, [b.short, b.pair_key], replies)
-        self.some, self.which, keys = b.trigrams(self.pairs[0])
+        self.some, self.which, keys = b.trigrams(self.pairs[0], least)
         self.triples = _answers(x, [keys], more)[0] if len(keys) else (np.zeros(0, np.int64),) * 2
 
     def estimates(self, version: int, n_tokens: int):
@@ -180,7 +179,7 @@ class Counts:
         two = pairs[b.pair] / np.maximum(context, 1)
         three, bucket = np.zeros(len(b.at)), _bucket(context)
         pair = pairs[b.pair[self.some - 1]]
-        used = pair >= LEAST_CONTEXT
+        used = pair >= self.least
         some = self.some[used]
         three[some] = self.triples[version][self.which][used] / pair[used]
         bucket[some] = PAIRS + _bucket(pair[used])
@@ -234,11 +233,12 @@ def _weight_table(weights: dict[int, tuple[float, ...]], most: int) -> np.ndarra
     return table / np.maximum(table.sum(1, keepdims=True), 1e-300)
 
 
-def score(docs: DataFrame, folds: int = 7, held_out: int = 2, development: int = 6) -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, held_out: int = 2, development: int = 6, least_context: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document.
 
     Documents teach the model unless crc32 of their doc_id's decimal digits is ``held_out`` modulo ``folds``;
-    those at ``development`` are held out of the counts behind the mixture weights. base_score is the add-one
+    those at ``development`` are held out of the counts behind the mixture weights. A pair of words that occurs
+    ``least_context`` times or more in them is a trigram's context. base_score is the add-one
     unigram log10 probability of all tokens, score that of the interpolated model.
     """
     docs = documents(docs)
@@ -255,7 +255,7 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, development: int =
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
         own, replies = blocks.gathered(pdf)
         b = Block.read(own[blocks.PAYLOAD])
-        some, which, keys = b.trigrams(_answers(x, [b.short, b.pair_key], replies)[1][0])
+        some, which, keys = b.trigrams(_answers(x, [b.short, b.pair_key], replies)[1][0], least_context)
         asked = blocks.asked(x, [_channel(x, keys, _by_fold(which, b.fold[b.at[some]], len(keys)))])
         return pd.DataFrame(list(blocks.sent(x, int(pdf["dest"].iloc[0]), asked)), columns=blocks.FIELDS)
 
@@ -265,7 +265,7 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, development: int =
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             third = pdf["kind"] == TRIGRAMS
             own, replies = blocks.gathered(pdf[~third])
-            return done(Counts(x, own[blocks.PAYLOAD], replies, {int(g): d for g, d in zip(pdf["n1"][third], pdf["data"][third])}))
+            return done(Counts(x, own[blocks.PAYLOAD], replies, {int(g): d for g, d in zip(pdf["n1"][third], pdf["data"][third])}, least_context))
 
         return rows.unionByName(more).groupBy("dest").applyInPandas(run, schema)
 
