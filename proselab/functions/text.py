@@ -38,6 +38,11 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(col(text)), F.lit("[a-z][a-z'-]*"), F.lit(0))
 
 
+def first_words(text: Column | str, most: int = 512) -> Column:
+    """D-02: the text up to the end of its first ``most`` words, what a model with that window sees of it."""
+    return F.regexp_extract(col(text), rf"(?sU)\A\s*(?:\S+\s+){{0,{most - 1}}}\S*", 0)
+
+
 def ngrams(items: Column | str, n: int = 4, of=lambda piece: F.concat_ws(" ", piece), kind: str = "string") -> Column:
     """T-05: the runs of n items, joined by spaces or as what ``of`` makes of them."""
     items = col(items)

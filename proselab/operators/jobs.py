@@ -6,6 +6,8 @@ services come from ``sources.readers.provided`` as rows of the same shape.
 
 from __future__ import annotations
 
+import functools
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -101,6 +103,29 @@ def summary_text(lite: bool = False) -> Column:
     return F.concat_ws("\n", *lines)
 
 
+def benchmark(df: DataFrame, strategies: dict[str, Callable[[DataFrame], DataFrame]], text: str = "text", lite: bool = False) -> DataFrame:
+    """E-02: by strategy its prompts, those that failed, means of p_ai, pattern and similarity, success rate and seconds.
+
+    A strategy gets the rows and gives them back with ``output``; it runs once, over all rows, and is timed until its outputs
+    are written. A prompt without an output has the empty one and counts in the means. Without rows all means are 0.
+    """
+    made = []
+    for name, run in strategies.items():
+        began = time.monotonic()
+        out = readers.settled(run(df).select(F.col(text).alias("source"), F.col("output")))
+        made.append(out.withColumns({"strategy": F.lit(name), "seconds": F.lit(time.monotonic() - began)}))
+    rows = functools.reduce(DataFrame.unionAll, made).withColumn("failed", F.col("output").isNull()).withColumn("output", F.coalesce("output", F.lit("")))
+    scored = scores(rows, "output", lite).withColumn("p_ai", p_ai(lite)).withColumn("similarity", shared_words(F.col("output"), F.coalesce("source", F.lit(""))))
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    found = scored.groupBy("strategy").agg(
+        F.count("*").alias("n"), F.count_if("failed").alias("failed"), mean("p_ai").alias("mean_p_ai"), mean("p_pattern").alias("mean_pattern"),
+        mean("similarity").alias("mean_similarity"), F.coalesce(scoring.success_rate("p_ai"), F.lit(0.0)).alias("asr"), F.max("seconds").alias("seconds"),
+    )
+    # a strategy over no rows has its line as well
+    names = df.sparkSession.createDataFrame([(name,) for name in strategies], "strategy string")
+    return names.join(found, "strategy", "left").na.fill(0).na.fill(0.0)
+
+
 def variants(df: DataFrame, trained: Callable[[Column], Column], scrub: Callable[[Column], Column], text: str = "text") -> DataFrame:
     """M-12, J-10: ``df`` four times: base, base_scrub, trained and trained_scrub, with the column variant and that variant's text."""
     t = F.col(text)

@@ -66,6 +66,28 @@ def advantage(r: Column, window) -> Column:
     return (r - F.avg(r).over(window)) / (F.stddev_samp(r).over(window) + 1e-6)
 
 
+# Parts of a label's name that mark the class of machine-made texts.
+MADE_LABELS = ("fake", "ai", "machine", "generated", "llm", "label_1")
+
+
+def made_label(labels: list[str]) -> int:
+    """D-02: the place of the first label that names machine-made texts, else of the last one."""
+    return next((k for k, label in enumerate(labels) if any(part in label.lower() for part in MADE_LABELS)), len(labels) - 1)
+
+
+def softmax(logits: Column) -> Column:
+    """D-02: probabilities of an array of logits, from the largest down, so that none overflows; null if a logit is."""
+    top = F.array_max(logits)
+    odds = F.transform(logits, lambda x: F.exp(x - top))
+    total = F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
+    return F.when(total.isNotNull(), F.transform(logits, lambda x: F.exp(x - top) / total))
+
+
+def classified(logits: Column, labels: list[str]) -> Column:
+    """D-02: the probability that a classifier with these labels gives to machine-made."""
+    return F.get(softmax(logits), F.lit(made_label(labels)))
+
+
 def _unit(x: Column) -> Column:
     return F.when(x.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 

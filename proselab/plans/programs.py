@@ -9,7 +9,10 @@ from proselab.functions import text as tx
 from proselab.operators import fingerprint as fp
 from proselab.operators import alignment, batches, frontier, jobs, spans
 from proselab.operators import perplexity as px
+from proselab.operators import rewrite as rw
+from proselab.operators import scoring as sc
 from proselab.plans import fingerprints as fps
+from proselab.plans import services
 from proselab.plans.fingerprints import r6
 from proselab.plans.seeded import CORPUS_SQL, corpus, perplexity_sql, quoted
 from proselab.sources import readers
@@ -190,3 +193,43 @@ def length_batches(spark, sf_dir):
     c = corpus(spark, sf_dir).select("doc_id", F.transform(tx.tokens("text"), lambda w: F.crc32(w.cast("binary"))).alias("ids"))
     p = batches.padded(c, "ids", 32, "doc_id")
     return p.select("doc_id", "batch", F.size("padded").alias("width"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("learned"))
+
+
+# --- classifiers and strategies
+
+
+@query(
+    "classifier_scores",
+    "WITH l AS (SELECT vec_id, list_transform(embedding[1:3], lambda x: CAST(x AS DOUBLE) * 4) AS z FROM embeddings) SELECT vec_id, round(exp(z[2] - list_max(z)) / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))), 6) AS p_ai FROM l",
+)
+def classifier_scores(spark, sf_dir):
+    """D-02: a classifier's logits, here three components of each vector, as the chance of its machine-made class."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    logits = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * 4)
+    return e.select("vec_id", r6(sc.classified(logits, ["human", "Machine-written", "mixed"])).alias("p_ai"))
+
+
+@query("classifier_window", f"WITH {CORPUS_SQL} SELECT doc_id, md5(regexp_extract(text, '(?s)^\\s*(?:\\S+\\s+){{0,63}}\\S*')) AS seen, len(regexp_extract_all(text, '\\S+')) > 64 AS cut FROM corpus")
+def classifier_window(spark, sf_dir):
+    """D-02: what a classifier of 64 words sees of each text."""
+    c = corpus(spark, sf_dir)
+    return c.select("doc_id", F.md5(tx.first_words("text", 64).cast("binary")).alias("seen"), (tx.word_count("text") > 64).alias("cut"))
+
+
+_STRATEGIES = {"raw": "text", "lower": "lower(text)", "phrases": services._TRAINED, "contractions": services._FORMS["base_scrub"], "both": services._FORMS["trained_scrub"], "cautious": "CASE WHEN contains(text, '—') THEN NULL ELSE text END", "none": "CAST(NULL AS VARCHAR)"}
+_TRIED = f"{CORPUS_SQL}, tried AS (SELECT doc_id, lang, text AS given, unnest([{', '.join(map(quoted, _STRATEGIES))}]) AS source, unnest([{', '.join(_STRATEGIES.values())}]) AS output FROM corpus), var AS (SELECT doc_id, lang, source, coalesce(output, '') AS text FROM tried)"
+
+
+@query(
+    "strategy_benchmark",
+    f"""WITH {fps.features_of(_TRIED, 'var')}{services._SCORED}, sim AS (SELECT e.source, e.p_ai, e.p_pattern, t.output IS NULL AS failed, list_distinct(e.tok) AS x, list_distinct(regexp_extract_all(lower(t.given), '[a-z][a-z''-]*')) AS y FROM en e JOIN tried t USING (doc_id, source)),
+s AS (SELECT *, {_DICE} AS similarity FROM sim)
+SELECT source AS strategy, count(*) AS n, count(*) FILTER (WHERE failed) AS failed, round(avg(p_ai), 6) AS mean_p_ai, round(avg(p_pattern), 6) AS mean_pattern, round(avg(similarity), 6) AS mean_similarity, round({services._RATE.format('p_ai')}, 6) AS asr FROM s GROUP BY source""",
+)
+def strategy_benchmark(spark, sf_dir):
+    """E-02: seven strategies over the same prompts, two of which fail on some or on all."""
+    t = F.col("text")
+    both = rw.contractions_native(rw.phrases_native(t))
+    forms = {"raw": t, "lower": F.lower(t), "phrases": rw.phrases_native(t), "contractions": rw.contractions_native(t), "both": both, "cautious": F.when(~F.contains(t, F.lit("—")), t), "none": F.lit(None).cast("string")}
+    out = jobs.benchmark(corpus(spark, sf_dir).select("text"), {name: (lambda df, x=x: df.withColumn("output", x)) for name, x in forms.items()})
+    return out.select("strategy", "n", "failed", *(r6(c).alias(c) for c in ("mean_p_ai", "mean_pattern", "mean_similarity", "asr")))
