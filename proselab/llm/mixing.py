@@ -45,18 +45,9 @@ def _bisected(fits) -> float:
     return high / GRID
 
 
-def _over_grid(held: DataFrame, measure) -> float:
-    """The smallest exponent on the grid at which ``measure``, an aggregate that does not grow, is at most 0; else 1.
-
-    Two jobs: every hundredth exponent, then those between two of them.
-    """
-    low, high = 0, GRID
-    for step in (GRID // 100, 1):
-        tried = range(low, high + 1, step)
-        found = held.agg(*(measure(F.lit(k / GRID)).alias(f"m{k}") for k in tried)).first()
-        fit = next((k for k in tried if found[f"m{k}"] <= 0), high)
-        low, high = max(low, fit - step + 1), fit
-    return high / GRID
+def _bisected_over(held: DataFrame, measure) -> float:
+    """The smallest exponent on the grid at which ``measure``, an aggregate that does not grow, is at most 0; else 1."""
+    return _bisected(lambda x: x == 1 or held.agg(measure(F.lit(x)).alias("m")).first().m <= 0)
 
 
 def exponent(sources: DataFrame, repetition: float | None, entropy: float | None, total: int | None) -> float:
@@ -73,10 +64,10 @@ def exponent(sources: DataFrame, repetition: float | None, entropy: float | None
             return F.log(F.sum(p)) - F.sum(p * F.log(p)) / F.sum(p) - entropy
 
         # the entropy falls as the exponent grows: the largest exponent that reaches the target
-        return max(0.0, _over_grid(held, lambda x: F.when(over(x) >= 0, 1.0).otherwise(-1.0)) - 1 / GRID) if held.agg(over(F.lit(1.0)).alias("m")).first().m < 0 else 1.0
+        return max(0.0, _bisected_over(held, lambda x: F.when(over(x) >= 0, 1.0).otherwise(-1.0)) - 1 / GRID) if held.agg(over(F.lit(1.0)).alias("m")).first().m < 0 else 1.0
     if total is None:
         return _bisected(lambda x: x == 1 or (most / least) ** (1 - x) <= repetition)
-    return _over_grid(held, lambda x: F.lit(float(total)) * F.pow(F.lit(float(least)), x - 1) / F.sum(F.pow(n, x)) - repetition)
+    return _bisected_over(held, lambda x: F.lit(float(total)) * F.pow(F.lit(float(least)), x - 1) / F.sum(F.pow(n, x)) - repetition)
 
 
 def shares(sources: DataFrame, repetition: float | None = 1.5, entropy: float | None = None, total: int | None = None) -> DataFrame:
