@@ -12,8 +12,9 @@ Counts cover every training document. Words are told apart by 64-bit hashes, big
 beside the slice that owns them, which holds about a million. The expectation-maximisation reads the held-out tokens' estimates grouped
 in steps of a half in their binary logarithms, a table whose size the steps bound.
 
-Blocks of documents ask the owners of words and bigrams first, and then those of the trigrams whose contexts these
-counts allow.
+Blocks of documents ask the owners of words and bigrams first, and then those of the trigrams whose contexts occur
+twice or more. A pair that occurs once has one trigram: with its bigram a block says what follows it (32 bits of a hash),
+and a block that asks for such a pair of another one is told, so that these trigrams, most of all, are not sent.
 
 A null or empty text has its end token alone. A null doc_id counts as training. Repeated rows each count;
 texts may have any length; an empty table gives an empty result. Only doc_id and text are read.
@@ -37,6 +38,8 @@ END, START = b" ", b"\t"
 TEST, DEVELOPMENT, TRAIN = 2, 1, 0
 #: Steps for a factor of two in the estimates that the expectation-maximisation sees.
 STEPS = 2
+#: Bits of a word's hash that tell what follows a pair.
+FOLLOWER = U64(0xFFFFFFFF)
 #: Buckets of pairs start here; those of single words are below.
 PAIRS = 64
 NO_ESTIMATE = -1_000_000
@@ -101,10 +104,18 @@ class Block:
     def payload(self) -> bytes:
         return pack((self.ids, self.folds, self.lens, planes(self.flat), self.short.tobytes()))
 
+    def follower(self) -> np.ndarray:
+        """What follows each distinct pair that the block's training documents have once, as 32 bits of its hash; else 0."""
+        some = np.flatnonzero((self.flat[self.at] != 0) & (self.fold[self.at] != TEST))
+        pair, out = self.pair[some - 1], np.zeros(len(self.pair_key), U64)
+        out[pair] = self.short[self.word[some]] & FOLLOWER
+        out[np.bincount(pair, minlength=len(out)) != 1] = 0
+        return out
+
     def trigrams(self, pair_count: np.ndarray, least: int):
         """Which places have a pair as context, their distinct trigrams, and the hashes of these."""
         some = np.flatnonzero(self.flat[self.at] != 0)
-        some = some[pair_count[self.pair[some - 1]] >= least]
+        some = some[pair_count[self.pair[some - 1]] >= max(2, least)]
         n = len(self.short)
         codes, which = np.unique(self.pair[some - 1].astype(np.int64) * n + self.word[some], return_inverse=True)
         return some, which.astype(np.int32), mix64(self.pair_key[codes // n] * U64(0xC2B2AE3D27D4EB4F) + self.short[codes % n])
@@ -120,15 +131,15 @@ def _channel(x: blocks.Exchange, keys: np.ndarray, counts: list[np.ndarray], bit
     return _slices(keys[order], x.parts), [keys[order] >> U64(max(0, 64 - bits - (x.parts - 1).bit_length())), *(c[order].astype(U64) for c in counts)]
 
 
-def _answers(x: blocks.Exchange, keys: list[np.ndarray], replies: dict[int, bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """By channel, the counts of keys in all training documents and in those without the development fold."""
+def _answers(x: blocks.Exchange, keys: list[np.ndarray], replies: dict[int, bytes]) -> list[tuple[np.ndarray, ...]]:
+    """By channel, the counts of keys in all training documents and in those without the development fold, and what else was told."""
     orders = [np.argsort(k) for k in keys]
     out = []
     for order, columns in zip(orders, blocks.answered(x, [_slices(k[o], x.parts) for k, o in zip(keys, orders)], replies)):
-        both, dev = (np.zeros(len(order), np.int64) for _ in range(2))
-        if columns:
-            both[order], dev[order] = (c.astype(np.int64) for c in columns)
-        out.append((both, both - dev))
+        both, dev, more = (np.zeros(len(order), np.int64) for _ in range(3))
+        for c, column in zip((both, dev, more), columns or ()):
+            c[order] = column.astype(np.int64)
+        out.append((both, both - dev, more))
     return out
 
 
@@ -139,7 +150,8 @@ def _count(ids, texts, x: blocks.Exchange, fold):
     b = Block(ids, np.array([fold(i) for i in ids], np.int8), lens, np.concatenate(seqs), short)
     yield None, blocks.PAYLOAD, b.payload()
     words = _channel(x, b.short, _by_fold(b.flat, b.fold, len(b.short)), 64)
-    yield from blocks.asked(x, [words, _channel(x, b.pair_key, _by_fold(b.pair, b.fold[b.at], len(b.pair_key)))])
+    pairs = [*_by_fold(b.pair, b.fold[b.at], len(b.pair_key)), b.follower()]
+    yield from blocks.asked(x, [words, _channel(x, b.pair_key, pairs)])
 
 
 def _total(keys: np.ndarray, train: np.ndarray, dev: np.ndarray):
@@ -154,7 +166,16 @@ def _merge(channels):
     distinct, which, train, dev = _total(*words)
     both, token = train + dev, distinct != U64(xxhash.xxh3_64_intdigest(START))
     stats = (both[token].sum(), (both[token] > 0).sum(), train[token].sum(), (train[token] > 0).sum())
-    return [[both[which], dev[which]], _merge_keys([pairs])[0][0]], [stats]
+    return [[both[which], dev[which]], _merge_pairs(*pairs)], [stats]
+
+
+def _merge_pairs(keys: np.ndarray, train: np.ndarray, dev: np.ndarray, follower: np.ndarray) -> list[np.ndarray]:
+    """Counts of pairs; who asks for a pair that another block alone has, and once, is told what follows it there."""
+    _, which, all_train, all_dev = _total(keys, train, dev)
+    own, every = train + dev, all_train + all_dev
+    known = np.zeros(len(every), U64)
+    known[which[own == 1]] = follower[own == 1]
+    return [every[which], all_dev[which], np.where((every[which] == 1) & (own == 0), known[which], U64(0))]
 
 
 def _merge_keys(channels):
@@ -171,6 +192,12 @@ class Counts:
         self.words, self.pairs = _answers(x, [b.short, b.pair_key], replies)
         self.some, self.which, keys = b.trigrams(self.pairs[0], least)
         self.triples = _answers(x, [keys], more)[0] if len(keys) else (np.zeros(0, np.int64),) * 2
+        #: Places whose pair occurs once in all training documents, and whether the word there is what follows it.
+        self.once = np.flatnonzero(b.flat[b.at] != 0) if least < 2 else np.zeros(0, np.int64)
+        at = b.pair[self.once - 1]
+        self.once, at = self.once[self.pairs[0][at] == 1], at[self.pairs[0][at] == 1]
+        told = np.maximum(self.pairs[2].astype(U64), b.follower())[at]
+        self.follows = (told == b.short[b.word[self.once]] & FOLLOWER).astype(float)
 
     def estimates(self, version: int, n_tokens: int):
         """bucket, trigram, bigram and unigram estimate of each token; version 0: of all training documents, 1: without development."""
@@ -183,6 +210,10 @@ class Counts:
         some = self.some[used]
         three[some] = self.triples[version][self.which][used] / pair[used]
         bucket[some] = PAIRS + _bucket(pair[used])
+        # a pair that only development documents have is unknown without them
+        some = self.once[self.pairs[version][b.pair[self.once - 1]] == 1]
+        three[some] = self.follows[self.pairs[version][b.pair[self.once - 1]] == 1]
+        bucket[some] = PAIRS + _bucket(np.ones(len(some)))
         return bucket, three, two, word / max(n_tokens, 1)
 
 

@@ -88,7 +88,7 @@ def test_language_model(docs, empty):
     assert ngram_lm.score(empty).count() == 0
 
 
-def plain_scores(data):
+def plain_scores(data, least=1):
     """Deleted interpolation by counters over all tokens, with an expectation-maximisation of its own."""
 
     def fold(i):
@@ -111,7 +111,7 @@ def plain_scores(data):
         for k in range(1, len(w)):
             c, pair = uni[w[k - 1]], bi[w[k - 2], w[k - 1]] if k > 1 else 0
             two, one = (bi[w[k - 1], w[k]] / c if c else 0.0), uni[w[k]] / n
-            if pair >= 2:
+            if pair >= least:
                 yield 64 + pair.bit_length(), tri[w[k - 2], w[k - 1], w[k]] / pair, two, one
             else:
                 yield c.bit_length(), 0.0, two, one
@@ -127,7 +127,8 @@ def plain_scores(data):
             for _, *odds in cells:
                 total = sum(x * o for x, o in zip(w, odds))
                 new = [a + x * o / total for a, x, o in zip(new, w, odds)]
-            w = [x / len(cells) for x in new]
+            # one more token for each estimate
+            w = [(x + 1) / (len(cells) + 4) for x in new]
         return w
 
     def weights(bucket, cache={}):
