@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from proselab.plans import corpora, fingerprints, programs, rewrites, scores, services
+from proselab.plans import corpora, exchange, fingerprints, programs, rewrites, scores, services
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (fingerprints, scores, corpora, services, rewrites, programs):
+for _module in (fingerprints, scores, corpora, services, rewrites, programs, exchange):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
