@@ -13,8 +13,8 @@ beside the slice that owns them, which holds about a million. The expectation-ma
 in steps of a half in their binary logarithms, a table whose size the steps bound.
 
 Blocks of documents ask the owners of words and bigrams first, and then those of the trigrams whose contexts occur
-twice or more. A pair that occurs once has one trigram: with its bigram a block says what follows it (32 bits of a hash),
-and a block that asks for such a pair of another one is told, so that these trigrams, most of all, are not sent.
+twice or more. A pair that occurs once has one trigram, which its own document knows; it is sent only where a document
+that teaches nothing asks for the pair, which the pair's owner tells.
 
 A null or empty text has its end token alone. A null doc_id counts as training. Repeated rows each count;
 texts may have any length; an empty table gives an empty result. Only doc_id and text are read.
@@ -38,8 +38,6 @@ END, START = b" ", b"\t"
 TEST, DEVELOPMENT, TRAIN = 2, 1, 0
 #: Steps for a factor of two in the estimates that the expectation-maximisation sees.
 STEPS = 2
-#: Bits of a word's hash that tell what follows a pair.
-FOLLOWER = U64(0xFFFFFFFF)
 #: Buckets of pairs start here; those of single words are below.
 PAIRS = 64
 NO_ESTIMATE = -1_000_000
@@ -104,18 +102,18 @@ class Block:
     def payload(self) -> bytes:
         return pack((self.ids, self.folds, self.lens, planes(self.flat), self.short.tobytes()))
 
-    def follower(self) -> np.ndarray:
-        """What follows each distinct pair that the block's training documents have once, as 32 bits of its hash; else 0."""
-        some = np.flatnonzero((self.flat[self.at] != 0) & (self.fold[self.at] != TEST))
-        pair, out = self.pair[some - 1], np.zeros(len(self.pair_key), U64)
-        out[pair] = self.short[self.word[some]] & FOLLOWER
-        out[np.bincount(pair, minlength=len(out)) != 1] = 0
-        return out
+    def trigrams(self, pair_count: np.ndarray, wanted: np.ndarray, least: int):
+        """Which places have a pair as context, their distinct trigrams, and the hashes of these.
 
-    def trigrams(self, pair_count: np.ndarray, least: int):
-        """Which places have a pair as context, their distinct trigrams, and the hashes of these."""
+        A training document's pair that occurs nowhere else has its one trigram for certain, which is left out unless
+        a document that teaches nothing has the pair: in another block, where ``wanted`` says so, or in this one.
+        """
         some = np.flatnonzero(self.flat[self.at] != 0)
-        some = some[pair_count[self.pair[some - 1]] >= max(2, least)]
+        pair = self.pair[some - 1]
+        test = self.fold[self.at[some]] == TEST
+        met = wanted.astype(bool)
+        met[pair[test]] = True
+        some = some[(pair_count[pair] >= least) & ((pair_count[pair] > 1) | test | met[pair])]
         n = len(self.short)
         codes, which = np.unique(self.pair[some - 1].astype(np.int64) * n + self.word[some], return_inverse=True)
         return some, which.astype(np.int32), mix64(self.pair_key[codes // n] * U64(0xC2B2AE3D27D4EB4F) + self.short[codes % n])
@@ -150,8 +148,7 @@ def _count(ids, texts, x: blocks.Exchange, fold):
     b = Block(ids, np.array([fold(i) for i in ids], np.int8), lens, np.concatenate(seqs), short)
     yield None, blocks.PAYLOAD, b.payload()
     words = _channel(x, b.short, _by_fold(b.flat, b.fold, len(b.short)), 64)
-    pairs = [*_by_fold(b.pair, b.fold[b.at], len(b.pair_key)), b.follower()]
-    yield from blocks.asked(x, [words, _channel(x, b.pair_key, pairs)])
+    yield from blocks.asked(x, [words, _channel(x, b.pair_key, _by_fold(b.pair, b.fold[b.at], len(b.pair_key)))])
 
 
 def _total(keys: np.ndarray, train: np.ndarray, dev: np.ndarray):
@@ -169,13 +166,12 @@ def _merge(channels):
     return [[both[which], dev[which]], _merge_pairs(*pairs)], [stats]
 
 
-def _merge_pairs(keys: np.ndarray, train: np.ndarray, dev: np.ndarray, follower: np.ndarray) -> list[np.ndarray]:
-    """Counts of pairs; who asks for a pair that another block alone has, and once, is told what follows it there."""
+def _merge_pairs(keys: np.ndarray, train: np.ndarray, dev: np.ndarray) -> list[np.ndarray]:
+    """Counts of pairs, and for one that occurs once whether another block asks for it that has it in no training document."""
     _, which, all_train, all_dev = _total(keys, train, dev)
-    own, every = train + dev, all_train + all_dev
-    known = np.zeros(len(every), U64)
-    known[which[own == 1]] = follower[own == 1]
-    return [every[which], all_dev[which], np.where((every[which] == 1) & (own == 0), known[which], U64(0))]
+    every, asks = all_train + all_dev, (train + dev) == 0
+    wanted = np.bincount(which[asks], minlength=len(every)) > 0
+    return [every[which], all_dev[which], ((every == 1) & wanted)[which].astype(U64)]
 
 
 def _merge_keys(channels):
@@ -190,14 +186,11 @@ class Counts:
         self.least = least
         self.block = b = Block.read(payload)
         self.words, self.pairs = _answers(x, [b.short, b.pair_key], replies)
-        self.some, self.which, keys = b.trigrams(self.pairs[0], least)
+        self.some, self.which, keys = b.trigrams(self.pairs[0], self.pairs[2], least)
         self.triples = _answers(x, [keys], more)[0] if len(keys) else (np.zeros(0, np.int64),) * 2
-        #: Places whose pair occurs once in all training documents, and whether the word there is what follows it.
-        self.once = np.flatnonzero(b.flat[b.at] != 0) if least < 2 else np.zeros(0, np.int64)
-        at = b.pair[self.once - 1]
-        self.once, at = self.once[self.pairs[0][at] == 1], at[self.pairs[0][at] == 1]
-        told = np.maximum(self.pairs[2].astype(U64), b.follower())[at]
-        self.follows = (told == b.short[b.word[self.once]] & FOLLOWER).astype(float)
+        places = np.flatnonzero(b.flat[b.at] != 0)
+        #: Places in training documents whose pair occurs there alone: what follows it is certain.
+        self.sure = places[(self.pairs[0][b.pair[places - 1]] == 1) & (b.fold[b.at[places]] != TEST)] if least < 2 else places[:0]
 
     def estimates(self, version: int, n_tokens: int):
         """bucket, trigram, bigram and unigram estimate of each token; version 0: of all training documents, 1: without development."""
@@ -210,10 +203,9 @@ class Counts:
         some = self.some[used]
         three[some] = self.triples[version][self.which][used] / pair[used]
         bucket[some] = PAIRS + _bucket(pair[used])
-        # a pair that only development documents have is unknown without them
-        some = self.once[self.pairs[version][b.pair[self.once - 1]] == 1]
-        three[some] = self.follows[self.pairs[version][b.pair[self.once - 1]] == 1]
-        bucket[some] = PAIRS + _bucket(np.ones(len(some)))
+        # without its development document such a pair is unknown
+        some = self.sure[self.pairs[version][b.pair[self.sure - 1]] == 1]
+        three[some], bucket[some] = 1.0, PAIRS + _bucket(np.ones(1))[0]
         return bucket, three, two, word / max(n_tokens, 1)
 
 
@@ -286,7 +278,8 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, development: int =
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
         own, replies = blocks.gathered(pdf)
         b = Block.read(own[blocks.PAYLOAD])
-        some, which, keys = b.trigrams(_answers(x, [b.short, b.pair_key], replies)[1][0], least_context)
+        count, _, wanted = _answers(x, [b.short, b.pair_key], replies)[1]
+        some, which, keys = b.trigrams(count, wanted, least_context)
         asked = blocks.asked(x, [_channel(x, keys, _by_fold(which, b.fold[b.at[some]], len(keys)))])
         return pd.DataFrame(list(blocks.sent(x, int(pdf["dest"].iloc[0]), asked)), columns=blocks.FIELDS)
 
