@@ -26,24 +26,27 @@ RUN = 50_000
 
 
 def numbered(df: DataFrame, by: str, ts: str, order: list) -> DataFrame:
-    """``df`` with place: a key's rows numbered from 0 in their order, which must begin with ``ts``. An hour is a task's share."""
-    hour = F.date_trunc("hour", ts)
-    rows = df.withColumn("_hour", hour)
-    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1))
-    starts = rows.groupBy(by, "_hour").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0))).select(F.col(by).alias("_by"), F.col("_hour").alias("_h"), "_before")
-    within = F.row_number().over(Window.partitionBy(by, "_hour").orderBy(*order))
-    joined = rows.withColumn("_within", within).join(starts, F.col(by).eqNullSafe(F.col("_by")) & F.col("_hour").eqNullSafe(F.col("_h")))
-    return joined.withColumn("place", F.col("_before") + F.col("_within") - 1).drop("_hour", "_within", "_by", "_h", "_before")
+    """``df`` with place: a key's rows numbered from 0 in their order, which must begin with ``ts``. An hour is a task's share.
+
+    Key and hour are one struct, which is never null itself, so that window and join share one exchange.
+    """
+    rows = df.withColumn("_hour", F.struct(F.col(by).alias("by"), F.date_trunc("hour", ts).alias("hour")))
+    before = F.sum("_n").over(Window.partitionBy("_hour.by").orderBy("_hour.hour").rowsBetween(Window.unboundedPreceding, -1))
+    starts = rows.groupBy("_hour").agg(F.count("*").alias("_n")).select("_hour", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_hour").orderBy(*order))
+    return rows.withColumn("_within", within).join(starts, "_hour").withColumn("place", F.col("_before") + F.col("_within") - 1).drop("_hour", "_within", "_before")
 
 
 def over_last(df: DataFrame, by: str, ts: str, order: list, rows: int, columns, run: int = RUN) -> DataFrame:
     """``df`` with ``columns(window)``, columns over the last ``rows`` rows of a key up to and with each one."""
     run = max(run, rows)
-    n = numbered(df, by, ts, order).withColumn("_run", F.floor(F.col("place") / run))
-    reach = n.where(F.col("place") % run >= run - rows + 1).withColumn("_run", F.col("_run") + 1).withColumn("_own", F.lit(False))
-    dealt = n.withColumn("_own", F.lit(True)).unionByName(reach)
+    at = F.floor(F.col("place") / run)
+    own = F.struct(at.alias("run"), F.lit(True).alias("own"))
+    # the last rows of a run go to the next one as well, whose first windows reach them
+    both = F.when(F.col("place") % run >= run - rows + 1, F.array(own, F.struct((at + 1).alias("run"), F.lit(False).alias("own")))).otherwise(F.array(own))
+    dealt = numbered(df, by, ts, order).withColumn("_to", F.explode(both)).withColumns({"_run": F.col("_to.run"), "_own": F.col("_to.own")})
     window = Window.partitionBy(by, "_run").orderBy("place").rowsBetween(1 - rows, 0)
-    return dealt.withColumns(columns(window)).where("_own").drop("_own", "_run", "place")
+    return dealt.withColumns(columns(window)).where("_own").drop("_own", "_run", "_to", "place")
 
 
 def trailing_mean(df: DataFrame, value: str, by: str, ts: str, order: list, rows: int = 30, run: int = RUN) -> DataFrame:
