@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from proselab.functions import lexicon as lx
 from proselab.sources.readers import settled
 
 LAST = 1_000_000
@@ -93,5 +94,4 @@ def guidance(flagged: Column, advice: dict[str, str]) -> Column:
 
 def refine_input(flagged: Column, text: Column, advice: dict[str, str]) -> Column:
     """Q-08: the prompt of a refining pass; the text alone where nothing is flagged."""
-    head = "This draft still reads as AI on these axes — fix THESE specifically:\n"
-    return F.when(F.size(flagged) == 0, text).otherwise(F.concat(F.lit(head), guidance(flagged, advice), F.lit("\n\nDraft:\n"), text))
+    return F.when(F.size(flagged) == 0, text).otherwise(F.concat(F.lit(lx.REFINE), guidance(flagged, advice), F.lit("\n\nDraft:\n"), text))

@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from proselab.functions import lexicon as lx
-from proselab.functions import text as tx
 from proselab.operators import corpus as co
 from proselab.operators import facts as fa
-from proselab.operators import fingerprint as fp
 from proselab.operators import logs
 from proselab.operators import rewrite as rw
 from proselab.plans.seeded import CORPUS_SQL, corpus, quoted
