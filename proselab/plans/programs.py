@@ -45,7 +45,8 @@ def _rounds(spark, sf_dir, docs):
 
 
 def _sentenced(spark, sf_dir):
-    return corpus(spark, sf_dir).select("doc_id", "text", tx.sentences("text").alias("sents"))
+    # written: every round reads them again
+    return readers.settled(corpus(spark, sf_dir).select("doc_id", "text", tx.sentences("text").alias("sents")))
 
 
 _LEFT = "list_filter(sents, lambda s, i: (i - 1 + c) % (r + 2) <> 0)"
