@@ -6,16 +6,64 @@ All are built-in expressions. Word and space classes follow Unicode, as in Pytho
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Unicode's white space, what ``(?U)\\s`` matches.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 
 def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)``, with the value computed once however often ``of`` uses it."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def strip(text: Column | str) -> Column:
-    return F.regexp_replace(col(text), r"(?U)^\s+|\s+$", "")
+    return F.btrim(col(text), F.lit(SPACES))
+
+
+def either(patterns: Iterable[str]) -> str:
+    """A pattern for any of ``patterns``, without regard to case, that tries their common beginnings once.
+
+    Of two that begin alike the longer one is tried first. A pattern with more than plain characters, escapes and quotes
+    stays whole.
+    """
+
+    def signs(p: str) -> list[str]:
+        if p.startswith("\\Q") and p.endswith("\\E"):
+            p = re.escape(p[2:-2])
+        whole = re.search(r"(?<!\\)[][(){}*+?|^$.]", p)
+        return [f"(?:{p})"] if whole else [x if x[0] == "\\" else x.lower() for x in re.findall(r"\\.|[^\\]", p)]
+
+    def tree(rest: list[list[str]]) -> str:
+        by: dict[str, list[list[str]]] = {}
+        for r in filter(None, rest):
+            by.setdefault(r[0], []).append(r[1:])
+        parts = [first + tree(then) for first, then in by.items()]
+        if all(rest):
+            return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+        return f"(?:{'|'.join(parts)})?" if parts else ""
+
+    return tree([signs(p) for p in patterns])
+
+
+#: What of a lower-cased text may stand for an ASCII letter in patterns that fold Unicode's cases.
+FOLDED = ("\u017f", "\u0131", "\u0307")
+
+
+def holds(low: Column | str, pieces: Iterable[str]) -> Column:
+    """Whether a text holds any of the pieces."""
+    found = F.lit(False)
+    for p in pieces:
+        found = found | F.contains(col(low), F.lit(p))
+    return found
 
 
 def sentences(text: Column | str, openers: str = "A-Z\"'(") -> Column:
@@ -53,7 +101,10 @@ def ngrams(items: Column | str, n: int = 4, of=lambda piece: F.concat_ws(" ", pi
 
 def count_of(text: Column | str, piece: str) -> Column:
     """T-06: occurrences that don't overlap."""
-    return ((F.length(col(text)) - F.length(F.replace(col(text), F.lit(piece), F.lit("")))) / F.lit(len(piece))).cast("int")
+    text = col(text)
+    shorter = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(piece), F.lit("")))
+    # most texts have none, and a look for one costs a tenth of the replacement
+    return F.when(F.contains(text, F.lit(piece)), (shorter / F.lit(len(piece.encode()))).cast("int")).when(text.isNotNull(), 0)
 
 
 def count_all(text: Column | str, pieces) -> Column:
@@ -63,9 +114,13 @@ def count_all(text: Column | str, pieces) -> Column:
     return total
 
 
-def matches(text: Column | str, pattern: str, any_case: bool = False) -> Column:
-    """T-07."""
-    return F.regexp_count(col(text), F.lit(("(?iuU)" if any_case else "(?U)") + pattern))
+def matches(text: Column | str, pattern: str, any_case: bool = False, low: Column | None = None, hints: Iterable[str] = ()) -> Column:
+    """T-07. With ``hints``, pieces of which every match in any case has one, texts without any, by their lower-cased form ``low``, are not searched."""
+    if any_case and pattern.startswith(r"\b"):
+        # no word begins behind one of these; the look is cheaper than at Unicode's word bounds
+        pattern = "(?-iuU:(?<![a-zA-Z0-9_]))" + pattern
+    found = F.regexp_count(col(text), F.lit(("(?iuU)" if any_case else "(?U)") + pattern))
+    return F.when(holds(low, (*hints, *FOLDED)), found).when(low.isNotNull(), 0) if hints else found
 
 
 def logistic(x: Column, middle: float, steep: float = 8.0) -> Column:

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from proselab.functions import lexicon as lx
 from proselab.functions import text as tx
 
+#: Pieces of which every match of a signal's pattern has one.
+_MODAL = ("must", "should", "ought", "need", "have", "has")
+_SHAPES = ("but", "whether", "from", "about")
+
 FEATURES = ("body", "low", "wc", "tok", "sents", "sent_words")
 
 
@@ -19,8 +23,13 @@ def with_features(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with body, low, wc (at least 1), tok, sents, sent_words; a null text counts as empty."""
     body = df.withColumn("body", F.coalesce(F.col(text), F.lit("")))
     return body.withColumns({
-        "low": F.lower("body"), "wc": F.greatest(tx.word_count("body"), F.lit(1)), "tok": tx.tokens("body"), "sents": tx.sentences("body"),
-    }).withColumn("sent_words", F.transform("sents", tx.word_count))
+        "low": F.lower("body"), "tok": tx.tokens("body"), "sents": tx.sentences("body"),
+    }).withColumn("sent_words", F.transform("sents", tx.word_count)).withColumn("wc", _words(F.col("sent_words")))
+
+
+def _words(counts: Column) -> Column:
+    """The words of a text, 1 at least, by those of its sentences: it is cut into them at white space only."""
+    return F.greatest(F.aggregate(counts, F.lit(0), lambda a, x: a + x), F.lit(1))
 
 
 def _mean(counts: Column) -> Column:
@@ -42,6 +51,11 @@ def _per_100(hits: Column, n: Column) -> Column:
     return hits * F.lit(100.0) / n
 
 
+def _hashes(items: Column, n: int) -> Column:
+    """The runs of n items of an array with that many, each as a hash."""
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - n, F.lit(0))), lambda i: F.xxhash64(*(F.get(items, i + k) for k in range(n))))
+
+
 def _repeats(items: Column) -> Column:
     """How many of an array's whole numbers equal another one, from the runs in sorted order."""
     start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("hits"))
@@ -71,15 +85,15 @@ def signals() -> dict[str, Column]:
     c = {k: F.col(k) for k in FEATURES}
     n_sents, n_tok = F.size(c["sents"]), F.size(c["tok"])
     some = F.greatest(n_tok, F.lit(1))
-    contracted, expanded = tx.matches(c["body"], lx.CONTRACTED, True), tx.matches(c["body"], lx.EXPANDED, True)
+    contracted, expanded = tx.matches(c["body"], lx.CONTRACTED, True, c["low"], ["'"]), tx.matches(c["body"], lx.EXPANDED, True)
     favourites = F.size(F.filter(c["tok"], lambda t: t.isin(*lx.FAVOURITES)))
     grams = F.greatest(n_tok - 3, F.lit(1))
     starts = F.transform(c["sents"], lambda s: F.regexp_extract(s, r"(?U)^\S+(?:\s+\S+)?", 0))
     starts = F.transform(starts, lambda s: F.regexp_replace(s, r"(?U)\s+", " "))
     abstract = F.size(F.filter(c["sents"], lambda s: F.lower(s).rlike("^(?:" + "|".join(lx.ABSTRACT_SUBJECTS) + ")")))
     shapes = F.lit(0)
-    for p in lx.ENUMERATIONS:
-        shapes = shapes + tx.matches(c["body"], p, True)
+    for p, word in zip(lx.ENUMERATIONS, _SHAPES, strict=True):
+        shapes = shapes + tx.matches(c["body"], p, True, c["low"], [word])
     dashes = tx.count_of(c["body"], "—") + tx.count_of(c["body"], "--")
     return {
         "burstiness": F.when(n_sents < 3, 0.5).otherwise(_unit(1 - spread(c["sent_words"]) / 0.7)),
@@ -88,13 +102,13 @@ def signals() -> dict[str, Column]:
         "em_dash_density": tx.logistic(_per_100(dashes, c["wc"]), 0.7),
         "hedging": tx.logistic(_per_100(tx.count_all(c["low"], lx.HEDGES), c["wc"]), 0.4),
         "tricolons": tx.logistic(_per_100(tx.matches(c["body"], lx.TRICOLON), c["wc"]), 0.8),
-        "contraction_deficit": F.when(contracted + expanded < 2, 0.0).otherwise(expanded / F.greatest(contracted + expanded, F.lit(1))),
-        "ngram_repetition": F.when(n_tok < 9, 0.0).otherwise(F.least(F.lit(1.0), _repeats(tx.ngrams(c["tok"], 4, F.xxhash64, "long")) / grams / F.lit(0.15))),
+        "contraction_deficit": tx.let(F.struct(contracted.alias("c"), expanded.alias("e")), lambda x: F.when(x["c"] + x["e"] < 2, 0.0).otherwise(x["e"] / F.greatest(x["c"] + x["e"], F.lit(1)))),
+        "ngram_repetition": F.when(n_tok < 9, 0.0).otherwise(F.least(F.lit(1.0), _repeats(_hashes(c["tok"], 4)) / grams / F.lit(0.15))),
         "type_token": F.when(n_tok < 50, 0.5).otherwise(_unit((F.lit(0.65) - F.size(F.array_distinct(c["tok"])) / some) / 0.25)),
         "sentence_start_uniformity": F.when(n_sents < 4, 0.0).otherwise(F.least(F.lit(1.0), (_mode_count(starts) - 1) / F.greatest(n_sents - 1, F.lit(1)))),
         "abstract_subject": F.when(n_sents < 3, 0.0).otherwise(tx.logistic(abstract / F.greatest(n_sents, F.lit(1)), 0.20, 10.0)),
         "enumeration_shape": tx.logistic(_per_100(shapes, c["wc"]), 0.7),
-        "modality_overload": tx.logistic(_per_100(tx.matches(c["body"], lx.MODALS, True), c["wc"]), 2.0, 4.0),
+        "modality_overload": tx.logistic(_per_100(tx.matches(c["body"], lx.MODALS, True, c["low"], _MODAL), c["wc"]), 2.0, 4.0),
     }
 
 
@@ -134,13 +148,13 @@ def reduced_signals(text: str = "text") -> dict[str, Column]:
     """F-17's signals over the columns of ``with_features``: smaller word lists, and no least number of contractions."""
     c = {k: F.col(k) for k in FEATURES}
     favourites = F.size(F.filter(c["tok"], lambda t: t.isin(*lx.REDUCED_FAVOURITES)))
-    contracted, expanded = tx.matches(c["body"], lx.REDUCED_CONTRACTED, True), tx.matches(c["body"], lx.REDUCED_EXPANDED, True)
+    contracted, expanded = tx.matches(c["body"], lx.REDUCED_CONTRACTED, True, c["low"], ["'"]), tx.matches(c["body"], lx.REDUCED_EXPANDED, True)
     return {
         "burstiness": F.when(F.size(c["sents"]) < 3, 0.5).otherwise(_unit(1 - spread(c["sent_words"]) / 0.7)),
         "stiff_transitions": tx.logistic(_per_100(tx.count_all(c["body"], lx.REDUCED_TRANSITIONS), c["wc"]), 0.8),
         "favorite_words": tx.logistic(_per_100(favourites, F.greatest(F.size(c["tok"]), F.lit(1))), 1.0),
         "hedging": tx.logistic(_per_100(tx.count_all(c["low"], lx.REDUCED_HEDGES), c["wc"]), 0.4),
-        "contraction_deficit": F.coalesce(expanded / F.nullif(contracted + expanded, F.lit(0)), F.lit(0.0)),
+        "contraction_deficit": tx.let(F.struct(contracted.alias("c"), expanded.alias("e")), lambda x: F.coalesce(x["e"] / F.nullif(x["c"] + x["e"], F.lit(0)), F.lit(0.0))),
     }
 
 

@@ -28,9 +28,7 @@ MASKED = f"{lx.QUOTED}|[\ue000-\uf8ff]"
 START = r"(?U)(?:^|(?<=[.!?])\s+)[a-z]"
 
 
-def let(value: Column, of: Callable[[Column], Column]) -> Column:
-    """``of(value)``, with the value computed once however often ``of`` uses it."""
-    return F.element_at(F.transform(F.array(value), of), 1)
+let = tx.let
 
 
 def result(text: Column, edits: Column) -> Column:
