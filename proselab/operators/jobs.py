@@ -126,14 +126,27 @@ def benchmark(df: DataFrame, strategies: dict[str, Callable[[DataFrame], DataFra
     return names.join(found, "strategy", "left").na.fill(0).na.fill(0.0)
 
 
+VARIANTS = ("base", "base_scrub", "trained", "trained_scrub")
+
+
 def variants(df: DataFrame, trained: Callable[[Column], Column], scrub: Callable[[Column], Column], text: str = "text") -> DataFrame:
     """M-12, J-10: ``df`` four times: base, base_scrub, trained and trained_scrub, with the column variant and that variant's text."""
     t = F.col(text)
-    forms = {"base": t, "base_scrub": scrub(t), "trained": trained(t), "trained_scrub": scrub(trained(t))}
-    each = F.explode(F.array(*(F.struct(F.lit(n).alias("variant"), x.alias("text")) for n, x in forms.items())))
+    named = lambda *forms: F.array(*(F.struct(F.lit(n).alias("variant"), x.alias("text")) for n, x in zip(VARIANTS, forms)))
+    each = F.explode(tx.let(trained(t), lambda x: named(t, scrub(t), x, scrub(x))))
     return df.withColumn("_v", each).withColumn("variant", F.col("_v.variant")).withColumn(text, F.col("_v.text")).drop("_v")
 
 
+def variant_scores(df: DataFrame, trained: Callable[[Column], Column], scrub: Callable[[Column], Column], text: str = "text", lite: bool = False) -> DataFrame:
+    """D-01 over ``variants``, without their texts: variants of a row with the same text are scored once."""
+    t = F.col(text)
+    forms = tx.let(trained(t), lambda x: F.array(t, scrub(t), x, scrub(x)))
+    each = df.withColumn("_f", forms).select(*(c for c in df.columns if c != text), "_f", F.explode(F.array_distinct("_f")).alias("_t"))
+    names = F.array(*map(F.lit, VARIANTS))
+    named = each.withColumn("_n", F.filter(names, lambda _, i: F.get("_f", i).eqNullSafe(F.col("_t")))).drop("_f")
+    return scores(named, "_t", lite).withColumn("p_ai", p_ai(lite)).withColumn("variant", F.explode("_n")).drop("_t", "_n")
+
+
 def held_out_summary(rows: DataFrame, variant: str = "variant", base: str = "base", trained: str = "trained") -> DataFrame:
     """A-16: means and success shares of two variants by a held-out ensemble's p_ai, and their differences; one row."""
     part = lambda v, x: F.avg(F.when(F.col(variant) == v, x))
@@ -184,12 +197,17 @@ def generate_pairs(docs: DataFrame, prompts: int, answered: Callable[[DataFrame]
 
 def stages(text: Column, named: dict[str, Callable[[Column], Column]]) -> Column:
     """Q-11: array of (stage, words, changed) as a text goes from one stage to the next."""
-    trace, now = [], text
-    for name, change in named.items():
-        then = change(now)
-        trace.append(F.struct(F.lit(name).alias("stage"), tx.word_count(then).alias("words"), (then != now).alias("changed")))
-        now = then
-    return F.array(*trace)
+
+    def behind(now: Column, rest: list[tuple[str, Callable[[Column], Column]]]) -> Column:
+        name, change = rest[0]
+
+        def of(then: Column) -> Column:
+            done = F.array(F.struct(F.lit(name).alias("stage"), tx.word_count(then).alias("words"), (then != now).alias("changed")))
+            return F.concat(done, behind(then, rest[1:])) if rest[1:] else done
+
+        return tx.let(change(now), of)
+
+    return tx.let(text, lambda t: behind(t, list(named.items())))
 
 
 def unigram_perplexity(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

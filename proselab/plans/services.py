@@ -58,8 +58,7 @@ def rewritten(spark, sf_dir):
 
 
 def variant_rows(spark, sf_dir):
-    v = jobs.variants(corpus(spark, sf_dir).select("doc_id", "text"), rw.phrases_native, rw.contractions_native)
-    return jobs.scores(v).withColumn("p_ai", jobs.p_ai())
+    return jobs.variant_scores(corpus(spark, sf_dir).select("doc_id", "text"), rw.phrases_native, rw.contractions_native)
 
 
 @query("final_scores", f"WITH {_REWRITTEN} SELECT doc_id, round(p_ai, 6) AS p_ai, round(p_pattern, 6) AS pattern, round(similarity, 6) AS similarity FROM done")
