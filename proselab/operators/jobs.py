@@ -213,10 +213,19 @@ def stages(text: Column, named: dict[str, Callable[[Column], Column]]) -> Column
 def unigram_perplexity(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """D-13's native stand-in: exp of the mean of -log(count / total) of a text's tokens in the corpus; null without tokens.
 
-    Tokens are counted within documents before they move, so that a common token costs one row a document.
+    Tokens are counted within a text, by the runs of its sorted ones, so that a common token costs one row a document, and
+    the counts of the corpus are written, so that Spark knows whether they can be sent to the texts instead.
     """
-    each = df.select(key, F.explode_outer(tx.tokens(F.coalesce(F.col(text), F.lit("")))).alias("token")).groupBy(key, "token").agg(F.count("token").alias("n"))
-    counts = each.where("token is not null").groupBy("token").agg(F.sum("n").alias("c"))
+    each = df.select(key, F.explode_outer(_counted(tx.tokens(F.coalesce(F.col(text), F.lit(""))))).alias("x")).select(key, "x.token", "x.n")
+    counts = readers.settled(each.where("token is not null").groupBy("token").agg(F.sum("n").alias("c")))
     total = counts.agg(F.sum("c").alias("total"))
     logs_ = each.join(counts, "token", "left").groupBy(key).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("c")).alias("s"))
     return logs_.select(key, F.when(F.col("n") > 0, F.exp(F.log(total.scalar().cast("double")) - F.col("s") / F.col("n"))).alias("perplexity"))
+
+
+def _counted(tokens: Column) -> Column:
+    """Array of (token, n) of the distinct tokens."""
+    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    run = lambda s, p, at, k: F.struct(F.get(s, at).alias("token"), (F.coalesce(F.get(p, k + 1), F.size(s)) - at).cast("long").alias("n"))
+    runs = lambda s: tx.let(starts(s), lambda p: F.transform(p, lambda at, k: run(s, p, at, k)))
+    return tx.let(F.sort_array(tokens), lambda s: F.when(F.size(s) > 0, runs(s)))
