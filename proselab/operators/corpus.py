@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from proselab.functions import text as tx
+from proselab.sources import readers
 
 Loader = Callable[[SparkSession], DataFrame]
 
@@ -93,6 +94,8 @@ def chunks(text: str, low: int, high: int) -> list[str]:
 def chunked(df: DataFrame, low: int = 80, high: int = 160) -> DataFrame:
     """C-01: doc_id, chunk_no, chunk."""
 
+    readers.few_rows(df.sparkSession)
+
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
         return pd.Series([chunks(t or "", low, high) for t in texts])

@@ -37,6 +37,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_rows(spark: SparkSession, most: int = 500) -> None:
+    """Arrow functions over whole texts get at most so many rows at a time, so that a worker's memory does not grow with its partition."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > most:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(most))
+
+
 def there(spark: SparkSession, path: str) -> bool:
     """Whether a path exists in the store that it names."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

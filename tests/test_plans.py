@@ -13,3 +13,22 @@ def test_flags_are_not_computed_again_before_the_scan(spark):
     plan = optimized(library.QUERIES["flag_histogram"](spark, SF))
     below = plan[plan.index("Generate"):]
     assert not [line for line in below.splitlines() if "Filter" in line]
+
+
+def test_candidates_do_not_move_to_their_strategies(spark):
+    df = library.QUERIES["strategy_lookup"](spark, SF)
+    assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_arrow_functions_get_few_texts_at_a_time(spark):
+    key, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    for name in ("chunker", "scrub_full", "scrub_effect", "burstiness_full"):
+        spark.conf.set(key, rows)
+        library.QUERIES[name](spark, SF)
+        assert int(spark.conf.get(key)) <= 500, name
+
+
+def test_tokens_are_counted_within_their_text(spark):
+    plan = library.QUERIES["unigram_perplexity"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line.split("Aggregate [")[1].split("]")[0] for line in plan.splitlines() if "Aggregate [" in line]
+    assert keys and not any("doc_id#" in k and "token#" in k for k in keys)
