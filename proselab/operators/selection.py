@@ -59,9 +59,12 @@ def rejection(cand: DataFrame, docs: DataFrame, threshold: float, early: float,
 
 
 def with_strategy(cand: DataFrame, strategies: DataFrame) -> DataFrame:
-    """J-08, Q-05: the strategy (round, name, temperature) of each candidate's round; the last one goes on."""
+    """J-08, Q-05: the strategy (round, name, temperature) of each candidate's round; the last one goes on.
+
+    Spark does not know the size of a table made of local rows: without the hint it sends all candidates to the strategies.
+    """
     last = strategies.agg(F.max("round")).first()[0]
-    return cand.withColumn("_r", F.least("round", F.lit(last))).join(strategies.withColumnRenamed("round", "_r"), "_r").drop("_r")
+    return cand.withColumn("_r", F.least("round", F.lit(last))).join(F.broadcast(strategies.withColumnRenamed("round", "_r")), "_r").drop("_r")
 
 
 def qa_gate(stages: Column, floor: float = 0.70) -> Column:
