@@ -48,8 +48,11 @@ def counts(facts: str = "facts") -> Column:
 
 def overlap(source: str, candidate: str, text: Column) -> Column:
     """X-04: share of the source's facts that the candidate has, as facts or in its ``text``; 1 without facts."""
-    low = F.lower(text)
-    digits = tx.joined_digits(low)
+    # named: else both are made again for every fact that is looked for
+    return tx.let(F.lower(text), lambda low: tx.let(tx.joined_digits(low), lambda digits: _overlap(source, candidate, low, digits)))
+
+
+def _overlap(source: str, candidate: str, low: Column, digits: Column) -> Column:
     kept = F.lit(0)
     for k in KINDS:
         there = F.col(f"{candidate}.{k}")

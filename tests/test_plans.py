@@ -32,3 +32,9 @@ def test_tokens_are_counted_within_their_text(spark):
     plan = library.QUERIES["unigram_perplexity"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     keys = [line.split("Aggregate [")[1].split("]")[0] for line in plan.splitlines() if "Aggregate [" in line]
     assert keys and not any("doc_id#" in k and "token#" in k for k in keys)
+
+
+def test_a_text_is_lowered_once_for_all_its_facts(spark):
+    plan = optimized(library.QUERIES["fact_overlap"](spark, SF))
+    share = plan.splitlines()[0]
+    assert share.count("(\\d),(\\d)") == 1
