@@ -1,6 +1,9 @@
 """What the plans of heavy text queries compute, and how often."""
 
+from pyspark.sql import functions as F
+
 from proselab import queries as library
+from proselab.operators import alignment
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,3 +41,9 @@ def test_a_text_is_lowered_once_for_all_its_facts(spark):
     plan = optimized(library.QUERIES["fact_overlap"](spark, SF))
     share = plan.splitlines()[0]
     assert share.count("(\\d),(\\d)") == 1
+
+
+def test_words_are_aligned_where_their_row_is(spark):
+    df = spark.range(3).select(F.lit("the old mill").alias("a"), F.lit("the mills").alias("b"))
+    plan = alignment.aligned(df, "a", "b")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
