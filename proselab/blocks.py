@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proselab.llm.common import U64, mix64, pack, planes, spread, unpack, unplanes
+from proselab.packing import U64, mix64, pack, planes, spread, unpack, unplanes
 
 ROW = "dest long, block long, kind int, n1 long, n2 long, n3 long, n4 long, data binary"
 FIELDS = ["dest", "block", "kind", "n1", "n2", "n3", "n4", "data"]

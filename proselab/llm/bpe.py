@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from proselab.llm import blocks
+from proselab import blocks
 from proselab.llm.common import documents, pack, planes, spread, text_bytes, unpack, unplanes
 
 #: Larger blocks than elsewhere: a block holds little beside its positions, and fewer blocks repeat fewer words.

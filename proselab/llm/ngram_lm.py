@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proselab.llm import blocks
+from proselab import blocks
 from proselab.llm.common import U64, discard, documents, materialise, mix64, pack, planes, text_bytes, unpack, unplanes
 
 #: Stand-ins that no word can equal, as words hold no white space; the start is a context only.

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proselab.llm import blocks
+from proselab import blocks
 from proselab.llm.common import U64, documents, materialise, mix64, pack, planes, spread, text_bytes, unpack, unplanes
 
 LENGTH, GRAM = 50, 28

@@ -1,9 +1,10 @@
 """What the plans of heavy text queries compute, and how often."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from proselab import queries as library
-from proselab.operators import alignment
+from proselab.operators import alignment, perplexity
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +48,20 @@ def test_words_are_aligned_where_their_row_is(spark):
     df = spark.range(3).select(F.lit("the old mill").alias("a"), F.lit("the mills").alias("b"))
     plan = alignment.aligned(df, "a", "b")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan
+
+
+def _mills(spark):
+    return spark.createDataFrame([(k, f"the old mill by the river {'of stone ' * k}") for k in range(9)], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("how", [(256, 1, 1), (4, 3, 2)])
+def test_tokens_do_not_move_for_perplexity(spark, monkeypatch, how):
+    plain = {r.doc_id: r.perplexity for r in perplexity.perplexity(_mills(spark), folds=3).collect()}
+    monkeypatch.setattr(perplexity.blocks, "exchange", lambda *_, **__: perplexity.blocks.Exchange(*how))
+    df = _mills(spark)
+    made = perplexity.perplexity(df, folds=3)
+    assert "before#" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.doc_id: r.perplexity for r in made.collect()} == pytest.approx(plain)
+    one = spark.createDataFrame([(5, "the old mill")], "doc_id long, text string")
+    rows = df.union(one).repartition(4)
+    assert perplexity.perplexity(rows, df, folds=3).where("doc_id = 5").count() == 2
