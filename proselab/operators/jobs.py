@@ -183,16 +183,27 @@ def within_budget(plan: Column) -> Column:
 
 def pair_rows(docs: DataFrame, prompts: int, answered: Callable[[DataFrame], DataFrame], done: DataFrame | None = None) -> DataFrame:
     """C-02: ai, human, prompt_idx, human_idx of every document and prompt that is not done and whose answer is none of the failed ones."""
-    grid = corpus.pair_grid(docs.select(F.col("doc_id").alias("human_idx"), F.col("text").alias("human")), prompts)
-    left = corpus.pending(grid, done, "human_idx", "prompt_idx") if done is not None else grid
+    rows = docs.select(F.col("doc_id").alias("human_idx"), F.col("text").alias("human"))
+    if done is None:
+        left = corpus.pair_grid(rows, prompts)
+    else:
+        # a text meets its done prompts once, before it is there for each prompt
+        did = done.groupBy("human_idx").agg(F.collect_set("prompt_idx").alias("_did"))
+        every = F.sequence(F.lit(0), F.lit(prompts - 1))
+        open_ = F.when(F.col("_did").isNull(), every).otherwise(F.filter(every, lambda p: ~F.array_contains("_did", p)))
+        left = rows.join(did, "human_idx", "left").withColumn("prompt_idx", F.explode(open_)).drop("_did")
     return readers.succeeded(answered(left), "ai").select("ai", "human", "prompt_idx", "human_idx")
 
 
-def generate_pairs(docs: DataFrame, prompts: int, answered: Callable[[DataFrame], DataFrame], path: str) -> None:
-    """C-02, S-14: the pairs that ``path`` does not have yet, appended to it as JSON lines; a run that ended early goes on."""
+def generate_pairs(docs: DataFrame, prompts: int, answered: Callable[[DataFrame], DataFrame], path: str, compression: str | None = None) -> None:
+    """C-02, S-14: the pairs that ``path`` does not have yet, appended to it as JSON lines; a run that ended early goes on.
+
+    The files that are there are listed before any is added, and answers go straight to their file. A line has its text
+    twice: a ``compression`` such as gzip finds the second one.
+    """
     spark = docs.sparkSession
     done = readers.pairs(spark, path) if readers.there(spark, path) else None
-    readers.write_jsonl(readers.settled(pair_rows(docs, prompts, answered, done)), path, "append")
+    readers.write_jsonl(pair_rows(docs, prompts, answered, done), path, "append", compression=compression)
 
 
 def stages(text: Column, named: dict[str, Callable[[Column], Column]]) -> Column:

@@ -113,8 +113,8 @@ def pairs_resumed(spark, sf_dir):
     path = readers.folder(spark, "made")
     docs = documents(spark, sf_dir).select("doc_id", "text")
     answered = lambda left: left.withColumn("ai", F.concat(F.lit("> "), F.col("human")))
-    jobs.generate_pairs(docs.where("doc_id % 2 = 0"), 3, answered, path)
-    jobs.generate_pairs(docs, 3, answered, path)
+    jobs.generate_pairs(docs.where("doc_id % 2 = 0"), 3, answered, path, "gzip")
+    jobs.generate_pairs(docs, 3, answered, path, "gzip")
     return readers.pairs(spark, path).select("human_idx", "prompt_idx", md5("ai").alias("ai"))
 
 

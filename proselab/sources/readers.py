@@ -101,9 +101,9 @@ def labelled(df: DataFrame, label: str, value: int, n: int | None = None) -> Dat
     return rows.limit(n) if n is not None else rows
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", drop: tuple = ()) -> None:
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", drop: tuple = (), compression: str | None = None) -> None:
     """S-13 to S-15, S-18."""
-    df.drop(*drop).write.mode(mode).json(path)
+    df.drop(*drop).write.mode(mode).json(path, compression=compression)
 
 
 def write_report(summary: DataFrame, path: str) -> None:

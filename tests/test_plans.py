@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proselab import queries as library
-from proselab.operators import alignment, perplexity
+from proselab.operators import alignment, jobs, perplexity
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,3 +65,12 @@ def test_tokens_do_not_move_for_perplexity(spark, monkeypatch, how):
     one = spark.createDataFrame([(5, "the old mill")], "doc_id long, text string")
     rows = df.union(one).repartition(4)
     assert perplexity.perplexity(rows, df, folds=3).where("doc_id = 5").count() == 2
+
+
+def test_a_text_moves_once_for_all_its_prompts(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(6)], "doc_id long, text string")
+    done = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 1), (None, 0)], "human_idx long, prompt_idx int")
+    rows = jobs.pair_rows(docs, 3, lambda left: left.withColumn("ai", F.col("human")), done)
+    plan = optimized(rows)
+    assert plan.index("Generate explode") < plan.index("Join")
+    assert {(r.human_idx, r.prompt_idx) for r in rows.collect()} == {(k, p) for k in range(6) for p in range(3)} - {(1, 0), (1, 1), (1, 2), (2, 1)}
