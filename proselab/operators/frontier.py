@@ -110,13 +110,13 @@ def costs(made: DataFrame) -> DataFrame:
     return made.groupBy("round").agg(F.count("*").alias("open"), F.sum("attempts").alias("attempts"), F.sum("calls").alias("calls"), F.count_if("passed").alias("passed"))
 
 
-def thinned(df: DataFrame, step: int, n: int, similarity: Callable[[Column, Column], Column], p_ai: Callable[[Column], Column], sents: str = "sents", text: str = "text") -> DataFrame:
+def thinned(df: DataFrame, step: int, n: int, similarity: Callable[[Callable[[str], Column]], Column], p_ai: Callable[[Callable[[str], Column]], Column], sents: str = "sents") -> DataFrame:
     """A proposer without a provider: n candidates a document, each without every ``step``-th sentence, from another one on.
 
-    ``similarity`` compares two texts; overlap is the share of the sentences that stay.
+    ``similarity`` and ``p_ai`` get a function that gives of an array of something by sentence what belongs to the sentences
+    that stay, so that a document's sentences are read once for all its candidates; overlap is the share of those that stay.
     """
-    each = df.select("doc_id", text, sents, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("cand_idx"))
-    kept = each.withColumn("left", F.filter(sents, lambda _, i: (i + F.col("cand_idx")) % step != 0))
-    said = kept.withColumn("output", F.array_join("left", " "))
-    share = F.size("left") / F.nullif(F.size(sents), F.lit(0))
-    return said.select("doc_id", "cand_idx", "output", similarity(F.col("output"), F.col(text)).alias("sim"), share.alias("overlap"), p_ai(F.col("left")).alias("p_ai"))
+    each = df.withColumn("cand_idx", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    left = lambda c: F.filter(c, lambda _, i: (i + F.col("cand_idx")) % step != 0)
+    share = F.size(left(sents)) / F.nullif(F.size(sents), F.lit(0))
+    return each.select("doc_id", "cand_idx", F.array_join(left(sents), " ").alias("output"), similarity(left).alias("sim"), share.alias("overlap"), p_ai(left).alias("p_ai"))

@@ -33,20 +33,28 @@ def query(name: str, sql: str):
 _ROUNDS, _EACH, _THRESHOLD, _EARLY, _FACTS = 4, 4, 0.3, 0.25, 0.4
 
 
-def evenness(sents):
-    """The signal of even sentence lengths, by a list of sentences."""
-    cv = fp.spread(F.transform(sents, tx.word_count))
-    return F.round(F.when(F.size(sents) < 3, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - cv / 0.7))), 9)
+def evenness(counts):
+    """The signal of even sentence lengths, by a list of the sentences' words."""
+    return F.round(F.when(F.size(counts) < 3, 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - fp.spread(counts) / 0.7))), 9)
+
+
+def _shared(left):
+    """Dice of the distinct tokens of the sentences that stay and of the whole text, which has them all."""
+    x = F.size(F.array_distinct(F.flatten(left("tok")))).cast("double")
+    return F.coalesce(2 * x / F.nullif(x + F.col("types"), F.lit(0.0)), F.lit(1.0))
 
 
 def _rounds(spark, sf_dir, docs):
-    propose = lambda rows, r: frontier.thinned(rows, r + 2, _EACH, jobs.shared_words, evenness)
+    propose = lambda rows, r: frontier.thinned(rows, r + 2, _EACH, _shared, lambda left: evenness(left("counts")))
     return frontier.rounds_of(docs, propose, readers.folder(spark, "rounds"), _THRESHOLD, _EARLY, facts=_FACTS, rounds=_ROUNDS)
 
 
 def _sentenced(spark, sf_dir):
-    # written: every round reads them again
-    return readers.settled(corpus(spark, sf_dir).select("doc_id", "text", tx.sentences("text").alias("sents")))
+    # written: every round reads them again. A sentence's tokens are the same in any text, as sentences are cut at white space
+    docs = corpus(spark, sf_dir).select("doc_id", tx.sentences("text").alias("sents"))
+    tok = F.transform("sents", lambda s: F.array_distinct(F.transform(tx.tokens(s), lambda w: F.xxhash64(w))))
+    docs = docs.withColumns({"tok": tok, "counts": F.transform("sents", tx.word_count)})
+    return readers.settled(docs.withColumn("types", F.size(F.array_distinct(F.flatten("tok")))))
 
 
 _LEFT = "list_filter(sents, lambda s, i: (i - 1 + c) % (r + 2) <> 0)"

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from proselab import queries as library
-from proselab.operators import alignment, jobs, perplexity
+from proselab.operators import alignment, frontier, jobs, perplexity
+from proselab.plans import programs
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +75,12 @@ def test_a_text_moves_once_for_all_its_prompts(spark):
     plan = optimized(rows)
     assert plan.index("Generate explode") < plan.index("Join")
     assert {(r.human_idx, r.prompt_idx) for r in rows.collect()} == {(k, p) for k in range(6) for p in range(3)} - {(1, 0), (1, 1), (1, 2), (2, 1)}
+
+
+def test_candidates_do_not_read_their_sentences_again(spark):
+    docs = spark.createDataFrame([(1, ["The mill.", "It is old.", "It is red."])], "doc_id long, sents array<string>")
+    docs = docs.withColumns({"tok": F.expr("array(array(1L, 2L), array(3L, 4L, 5L), array(3L, 4L, 6L))"), "counts": F.expr("array(2, 3, 3)"), "types": F.lit(6)})
+    rows = frontier.thinned(docs, 2, 2, programs._shared, lambda left: programs.evenness(left("counts")))
+    assert "regexp" not in optimized(rows)
+    got = {r.cand_idx: (r.output, round(r.sim, 6), round(r.overlap, 6)) for r in rows.collect()}
+    assert got == {0: ("It is old.", round(6 / 9, 6), round(1 / 3, 6)), 1: ("The mill. It is red.", round(10 / 11, 6), round(2 / 3, 6))}
