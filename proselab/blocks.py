@@ -211,6 +211,21 @@ def build(x: Exchange, docs: DataFrame, make: Callable[[list, list], Iterable[tu
     return docs.select(first, text).mapInArrow(run, ROW)
 
 
+def ask(x: Exchange, held: DataFrame, make: Callable[[bytes], Iterable[tuple[int | None, int, bytes]]]) -> DataFrame:
+    """Rows of ROW that ``make(payload)`` gives of each block of a written table, which then stays where it is.
+
+    So blocks' payloads take no part in the shuffles to owners and relays, which else carry them along.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for made in make(data.as_py()):
+                    yield _arrow(list(sent(x, block, [made])))
+
+    return held.where(F.col("kind") == PAYLOAD).select("block", "data").mapInArrow(run, ROW)
+
+
 def _each(rows: DataFrame, wanted: Callable[[int], bool], work: Callable[[int, pd.DataFrame], Iterable[tuple]]) -> DataFrame:
     """``work(dest, rows)`` for the destinations that are wanted; what is meant for others passes through."""
 
@@ -298,4 +313,4 @@ def finish(rows: DataFrame, done: Callable[[dict[int, bytes], dict[int, bytes]],
     return rows.where(F.col("kind") != STATS).groupBy("dest").applyInPandas(lambda pdf: done(*gathered(pdf)), schema)
 
 
-__all__ = ["BLOCK_CHARS", "KEYS", "PAYLOAD", "REPLY", "ROW", "STATS", "Exchange", "Ragged", "answered", "asked", "build", "exchange", "finish", "gathered", "own", "sent", "spread"]
+__all__ = ["BLOCK_CHARS", "KEYS", "PAYLOAD", "REPLY", "ROW", "STATS", "Exchange", "Ragged", "answered", "ask", "asked", "build", "exchange", "finish", "gathered", "own", "sent", "spread"]

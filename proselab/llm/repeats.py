@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proselab import blocks
-from proselab.llm.common import U64, documents, materialise, mix64, pack, planes, spread, text_bytes, unpack, unplanes
+from proselab.llm.common import U64, discard, documents, materialise, mix64, pack, planes, spread, text_bytes, unpack, unplanes
 
 LENGTH, GRAM = 50, 28
 WINDOW = LENGTH - GRAM + 1
@@ -131,25 +131,38 @@ def _apart(buf: np.ndarray, firsts: np.ndarray, counts: np.ndarray, part: np.nda
     return firsts, np.where(common, 1, np.repeat(counts, each)), part
 
 
-def _declare(ids: list, texts: list[str], x: blocks.Exchange):
-    """A block's documents and runs, and its names for their owners, marked where two of its documents hold them."""
+def _held(ids: list, texts: list[str]):
+    """A block's documents in the order of their ids."""
     order = sorted(range(len(ids)), key=lambda i: NO_ID if ids[i] is None else ids[i])
     ids, datas = [ids[i] for i in order], [texts[i].encode() for i in order]
-    lens = np.array([len(d) for d in datas], np.int64)
-    joined = b"".join(datas)
+    yield None, blocks.PAYLOAD, pack((ids, np.array([len(d) for d in datas], np.int64), b"".join(datas)))
+
+
+def _keys(ids: list) -> np.ndarray:
+    return np.array([NO_ID if i is None else i for i in ids], np.int64)
+
+
+def _named(payload: bytes, x: blocks.Exchange):
+    """A block's names for their owners, marked where two of its documents hold them."""
+    ids, lens, joined = unpack(payload)
     buf = np.frombuffer(joined, np.uint8)
     firsts, counts, anchors = _runs(buf, _inside(lens))
     names, which = _names(buf, anchors, x.parts)
-    doc = np.searchsorted(np.cumsum(lens), firsts, side="right")
-    key = np.array([NO_ID if i is None else i for i in ids], np.int64)[doc] if len(doc) else np.zeros(0, np.int64)
+    key = _keys(ids)[np.searchsorted(np.cumsum(lens), firsts, side="right")] if len(firsts) else np.zeros(0, np.int64)
     low, high = np.full(len(names), 2**63 - 1), np.full(len(names), NO_ID)
     np.minimum.at(low, which, key)
     np.maximum.at(high, which, key)
     ranks = _ranks(buf, firsts, counts, which, len(names))
-    yield None, blocks.PAYLOAD, pack((ids, lens, joined, planes(np.diff(firsts, prepend=0).astype(np.uint32)), planes(counts.astype(np.uint32)), planes((anchors - firsts).astype(np.uint8))))
     yield from blocks.asked(x, [((names >> U64(32)).astype(np.int64), [(names & U64(0xFFFFFFFF)).astype(np.uint32), low < high, ranks])])
 
 
+def _declare(ids: list, texts: list[str], x: blocks.Exchange):
+    """A block's documents, and its names for their owners."""
+    for held in _held(ids, texts):
+        yield held
+        yield from _named(held[-1], x)
+
+
 def _shared(keys: np.ndarray, several: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """For each name 1 if another document holds it, and 2 more if it is common."""
     names, which, uses = np.unique(keys, return_inverse=True, return_counts=True)
@@ -161,18 +174,17 @@ def _shared(keys: np.ndarray, several: np.ndarray, ranks: np.ndarray) -> np.ndar
 
 def _send(payload: bytes, replies: dict[int, bytes], x: blocks.Exchange):
     """The block's runs whose names others share, and each distinct snippet for its owner."""
-    ids, lens, joined, *runs = unpack(payload)
-    firsts, counts, offs = (unplanes(r).astype(np.int64) for r in runs)
-    firsts = np.cumsum(firsts)
+    ids, lens, joined = unpack(payload)
     buf = np.frombuffer(joined, np.uint8)
-    names, which = _names(buf, firsts + offs, x.parts)
+    # found again, as they take more room than they take time
+    firsts, counts, anchors = _runs(buf, _inside(lens))
+    names, which = _names(buf, anchors, x.parts)
     state = blocks.answered(x, [(names >> U64(32)).astype(np.int64)], replies)[0][0] if len(names) else np.zeros(0, np.uint8)
     shared, common = state > 0, state > 1
     own = np.flatnonzero(shared[which])
     which = which[own]
     firsts, counts, part = _apart(buf, firsts[own], counts[own], (names[which] >> U64(32)).astype(np.uint32), common[which], x.parts)
-    key = np.array([NO_ID if i is None else i for i in ids], np.int64)
-    doc = key[np.searchsorted(np.cumsum(lens), firsts, side="right")] if len(firsts) else np.zeros(0, np.int64)
+    doc = _keys(ids)[np.searchsorted(np.cumsum(lens), firsts, side="right")] if len(firsts) else np.zeros(0, np.int64)
     number: dict[bytes, int] = {}
     snippet = np.empty(len(firsts), np.uint32)
     for i, (a, n) in enumerate(zip(firsts.tolist(), (counts + LENGTH - 1).tolist())):
@@ -180,7 +192,7 @@ def _send(payload: bytes, replies: dict[int, bytes], x: blocks.Exchange):
     # documents stand in the order of their ids, so a snippet's first run has the smallest
     _, first = np.unique(snippet, return_index=True)
     low, part = doc[first], part[first].astype(np.uint32)
-    yield None, RUNS, pack((planes(firsts.astype(np.uint32)), planes(counts.astype(np.uint32)), planes(snippet), low, planes(part)))
+    yield None, RUNS, pack((planes(np.diff(firsts, prepend=0).astype(np.uint32)), planes(counts.astype(np.uint32)), planes(snippet), low, planes(part)))
     yield from blocks.asked(x, [(part.astype(np.int64), [low, list(number)])])
 
 
@@ -233,15 +245,15 @@ def _judge(low: np.ndarray, snippets: blocks.Ragged) -> blocks.Ragged:
 
 def _marked(payload: bytes, shared: bytes, replies: dict[int, bytes], x: blocks.Exchange):
     """doc_id, bytes, and mask of the removed ones, of each document."""
-    ids, lens, joined, *_ = unpack(payload)
+    ids, lens, joined = unpack(payload)
     *runs, low, part = unpack(shared)
     firsts, counts, snippet = (unplanes(r).astype(np.int64) for r in runs)
+    firsts = np.cumsum(firsts)
     none = np.zeros(0, np.int64)
     _, bits, begins = blocks.answered(x, [unplanes(part).astype(np.int64)], replies)[0][0] if len(low) else (none, none, none)
     bits = bits.astype(bool)
-    key = np.array([NO_ID if i is None else i for i in ids], np.int64)
     ends = np.cumsum(lens)
-    doc = key[np.searchsorted(ends, firsts, side="right")] if len(firsts) else np.zeros(0, np.int64)
+    doc = _keys(ids)[np.searchsorted(ends, firsts, side="right")] if len(firsts) else np.zeros(0, np.int64)
     hit = bits[spread(begins[snippet], counts)] | np.repeat(doc > low[snippet], counts)
     starts = spread(firsts, counts)[hit]
     step = np.zeros(len(joined) + LENGTH + 1, np.int32)
@@ -261,9 +273,6 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
     docs = documents(docs)
     x = blocks.exchange(text_bytes(docs))
 
-    def declare(ids, texts):
-        return _declare(ids, texts, x)
-
     def shared(channels):
         return [[_shared(*channels[0])]], []
 
@@ -287,7 +296,9 @@ def remove(docs: DataFrame, digest: bool = False) -> DataFrame:
         return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digest else "doc_id long, kept binary, spans array<struct<start:long,end:long>>"
-    held = materialise(blocks.own(x, blocks.build(x, docs, declare), shared), "names")
-    judged = materialise(blocks.own(x, held.groupBy("dest").applyInPandas(send, blocks.ROW), judge), "factors")
-    # the texts move from the first table, where their blocks stand, to meet the answers
-    return blocks.finish(held.where(F.col("kind") == blocks.PAYLOAD).unionByName(judged), done, schema)
+    # texts stand in a table of their own and move only to meet answers, not with the names and snippets
+    held = materialise(blocks.build(x, docs, _held), "blocks")
+    names = materialise(blocks.own(x, blocks.ask(x, held, lambda payload: _named(payload, x)), shared), "names")
+    judged = materialise(blocks.own(x, held.unionByName(names).groupBy("dest").applyInPandas(send, blocks.ROW), judge), "factors")
+    discard(names)
+    return blocks.finish(held.unionByName(judged), done, schema)

@@ -314,6 +314,19 @@ def test_repeats_spreads_a_phrase_in_many_contexts():
     assert len(sizes) == parts and max(sizes) < 1.5 * np.median(sizes)
 
 
+def test_repeats_keeps_texts_out_of_the_exchange(docs, monkeypatch):
+    """Texts of blocks move to meet answers only; what goes to owners are names and snippets."""
+    seen, own = [], blocks.own
+
+    def spied(x, rows, answer):
+        seen.append({r.kind for r in rows.select("kind").distinct().collect()})
+        return own(x, rows, answer)
+
+    monkeypatch.setattr(blocks, "own", spied)
+    assert repeats.remove(docs, digest=True).count() == docs.count()
+    assert seen == [{blocks.KEYS}, {blocks.KEYS, repeats.RUNS}]
+
+
 def asked_once(made, answer, x):
     """A block's own rows and the answers to its messages, without Spark."""
     own, replies = {}, {}
