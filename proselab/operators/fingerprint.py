@@ -1,30 +1,104 @@
 """The stylometric fingerprint: thirteen signals from 0 to 1, their weighted mean and flags (F-01 to F-18).
 
 ``with_features`` adds what the signals share once; every signal is an expression over those columns, so a
-fingerprint is one scan and one projection without a shuffle.
+fingerprint is one scan and one projection without a shuffle. Tokens, their runs and plain pieces are counted by one
+Arrow function, as Spark interprets such folds token by token, and so are patterns in any case, on a plain form of the
+text that has letters, white space and parts of words beyond ASCII as ASCII signs of their kind.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Callable
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from proselab.functions import lexicon as lx
 from proselab.functions import text as tx
+from proselab.sources import readers
 
 #: Pieces of which every match of a signal's pattern has one.
 _MODAL = ("must", "should", "ought", "need", "have", "has")
 _SHAPES = ("but", "whether", "from", "about")
 
-FEATURES = ("body", "low", "wc", "tok", "sents", "sent_words")
+FEATURES = ("body", "low", "wc", "tok", "sents", "sent_words", "_counts")
+#: T-04 of lower-cased texts.
+tokens = re.compile(r"[a-z][a-z'-]*").findall
+_FAVOURITES, _REDUCED = frozenset(lx.FAVOURITES), frozenset(lx.REDUCED_FAVOURITES)
+COUNTS = (
+    "tokens", "types", "repeats", "favourites", "transitions", "hedges", "contracted", "expanded", "shapes", "modals",
+    "reduced_favourites", "reduced_transitions", "reduced_hedges", "reduced_contracted", "reduced_expanded",
+)
+
+
+@lru_cache(1 << 16)
+def _kind(sign: str) -> str:
+    """What a sign beyond ASCII is to a pattern in any case: a letter, white space but no blank, part of a word, or neither."""
+    kind, code = unicodedata.category(sign), ord(sign)
+    word = kind[0] in "LM" or kind in ("Nd", "Nl", "Pc") or code in (0x200C, 0x200D) or 0x24B6 <= code <= 0x24E9 or 0x1F130 <= code <= 0x1F189
+    return _FOLDED.get(sign) or ("\t" if sign in tx.SPACES else "_" if word else "\x01")
+
+
+_FOLDED = dict(zip("\u017f\u212a\u0131\u0130", "skii"))
+_BEYOND = re.compile(r"[^\x00-\x7f]")
+
+
+def plain(text: str) -> str:
+    """A text in lower case with its signs beyond ASCII as ASCII ones of their kind."""
+    return (text if text.isascii() else _BEYOND.sub(lambda m: _kind(m[0]), text)).lower()
+
+
+def _pattern(p: str) -> Callable[[str], int]:
+    """How often a pattern, which is in ASCII, is in the lower-cased plain form of a text."""
+    found = re.compile(p.replace("|I)", "|i)"), re.ASCII).finditer
+    return lambda t: sum(1 for _ in found(t))
+
+
+_contracted, _expanded, _modals = map(_pattern, (lx.CONTRACTED, lx.EXPANDED, lx.MODALS))
+_reduced_contracted, _reduced_expanded = map(_pattern, (lx.REDUCED_CONTRACTED, lx.REDUCED_EXPANDED))
+_short = re.compile(r"'(?:t|s|re|m|ve|d|ll)\b", re.ASCII)
+_shapes = [(word, _pattern(p)) for word, p in zip(_SHAPES, lx.ENUMERATIONS, strict=True)]
+
+
+def repeats(tok: list[str], n: int = 4) -> int:
+    """How many of the runs of n tokens equal another one."""
+    runs = list(zip(*(tok[k:] for k in range(n))))
+    return 0 if len(set(runs)) == len(runs) else sum(c for c in Counter(runs).values() if c > 1)
+
+
+def _counts(body: str) -> tuple[int, ...]:
+    """What ``COUNTS`` names, of a text."""
+    low, ascii_ = body.lower(), plain(body)
+    tok = tokens(low)
+    among = lambda words: sum(map(words.__contains__, tok))
+    of = lambda t, pieces: sum(map(t.count, pieces))
+    # the reduced lists are parts of the others
+    contracted, expanded = _contracted(ascii_) if _short.search(ascii_) else 0, _expanded(ascii_)
+    return (
+        len(tok), len(set(tok)), repeats(tok), among(_FAVOURITES), of(body, lx.TRANSITIONS), of(low, lx.HEDGES),
+        contracted, expanded, sum(n(ascii_) for word, n in _shapes if word in ascii_), _modals(ascii_) if any(map(ascii_.__contains__, _MODAL)) else 0,
+        among(_REDUCED), of(body, lx.REDUCED_TRANSITIONS), of(low, lx.REDUCED_HEDGES), _reduced_contracted(ascii_) if contracted else 0, _reduced_expanded(ascii_) if expanded else 0,
+    )
+
+
+@F.pandas_udf(StructType([StructField(n, IntegerType()) for n in COUNTS]))
+def _counted(bodies: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_counts(b) for b in bodies], columns=COUNTS)
 
 
 def with_features(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with body, low, wc (at least 1), tok, sents, sent_words; a null text counts as empty."""
+    """``df`` with body, low, wc (at least 1), tok, sents, sent_words and _counts; a null text counts as empty."""
+    readers.few_rows(df.sparkSession)
     body = df.withColumn("body", F.coalesce(F.col(text), F.lit("")))
     return body.withColumns({
         "low": F.lower("body"), "tok": tx.tokens("body"), "sents": tx.sentences("body"),
-    }).withColumn("sent_words", F.transform("sents", tx.word_count)).withColumn("wc", _words(F.col("sent_words")))
+    }).withColumn("sent_words", F.transform("sents", tx.word_count)).withColumn("wc", _words(F.col("sent_words"))).withColumn("_counts", _counted("body"))
 
 
 def _words(counts: Column) -> Column:
@@ -51,23 +125,6 @@ def _per_100(hits: Column, n: Column) -> Column:
     return hits * F.lit(100.0) / n
 
 
-def _hashes(items: Column, n: int) -> Column:
-    """The runs of n items of an array with that many, each as a hash."""
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - n, F.lit(0))), lambda i: F.xxhash64(*(F.get(items, i + k) for k in range(n))))
-
-
-def _repeats(items: Column) -> Column:
-    """How many of an array's whole numbers equal another one, from the runs in sorted order."""
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("hits"))
-
-    def step(acc, x):
-        again = acc["last"].eqNullSafe(x)
-        hits = acc["hits"] + F.when(again, F.when(acc["run"] == 1, 2).otherwise(1)).otherwise(0)
-        return F.struct(x.alias("last"), F.when(again, acc["run"] + 1).otherwise(1).alias("run"), hits.alias("hits"))
-
-    return F.aggregate(F.sort_array(items), start, step, lambda acc: acc["hits"])
-
-
 def _mode_count(items: Column) -> Column:
     """Occurrences of the most frequent item: the longest run in sorted order."""
     ordered = F.sort_array(items)
@@ -83,32 +140,28 @@ def _mode_count(items: Column) -> Column:
 def signals() -> dict[str, Column]:
     """The signals by name, over the columns of ``with_features``."""
     c = {k: F.col(k) for k in FEATURES}
-    n_sents, n_tok = F.size(c["sents"]), F.size(c["tok"])
+    n_sents, n_tok = F.size(c["sents"]), c["_counts"]["tokens"]
     some = F.greatest(n_tok, F.lit(1))
-    contracted, expanded = tx.matches(c["body"], lx.CONTRACTED, True, c["low"], ["'"]), tx.matches(c["body"], lx.EXPANDED, True)
-    favourites = F.size(F.filter(c["tok"], lambda t: t.isin(*lx.FAVOURITES)))
+    contracted, expanded = c["_counts"]["contracted"], c["_counts"]["expanded"]
     grams = F.greatest(n_tok - 3, F.lit(1))
     starts = F.transform(c["sents"], lambda s: F.regexp_extract(s, r"(?U)^\S+(?:\s+\S+)?", 0))
     starts = F.transform(starts, lambda s: F.regexp_replace(s, r"(?U)\s+", " "))
     abstract = F.size(F.filter(c["sents"], lambda s: F.lower(s).rlike("^(?:" + "|".join(lx.ABSTRACT_SUBJECTS) + ")")))
-    shapes = F.lit(0)
-    for p, word in zip(lx.ENUMERATIONS, _SHAPES, strict=True):
-        shapes = shapes + tx.matches(c["body"], p, True, c["low"], [word])
     dashes = tx.count_of(c["body"], "—") + tx.count_of(c["body"], "--")
     return {
         "burstiness": F.when(n_sents < 3, 0.5).otherwise(_unit(1 - spread(c["sent_words"]) / 0.7)),
-        "stiff_transitions": tx.logistic(_per_100(tx.count_all(c["body"], lx.TRANSITIONS), c["wc"]), 0.8),
-        "favorite_words": F.when(n_tok == 0, 0.0).otherwise(tx.logistic(_per_100(favourites, some), 1.0)),
+        "stiff_transitions": tx.logistic(_per_100(c["_counts"]["transitions"], c["wc"]), 0.8),
+        "favorite_words": F.when(n_tok == 0, 0.0).otherwise(tx.logistic(_per_100(c["_counts"]["favourites"], some), 1.0)),
         "em_dash_density": tx.logistic(_per_100(dashes, c["wc"]), 0.7),
-        "hedging": tx.logistic(_per_100(tx.count_all(c["low"], lx.HEDGES), c["wc"]), 0.4),
+        "hedging": tx.logistic(_per_100(c["_counts"]["hedges"], c["wc"]), 0.4),
         "tricolons": tx.logistic(_per_100(tx.matches(c["body"], lx.TRICOLON), c["wc"]), 0.8),
-        "contraction_deficit": tx.let(F.struct(contracted.alias("c"), expanded.alias("e")), lambda x: F.when(x["c"] + x["e"] < 2, 0.0).otherwise(x["e"] / F.greatest(x["c"] + x["e"], F.lit(1)))),
-        "ngram_repetition": F.when(n_tok < 9, 0.0).otherwise(F.least(F.lit(1.0), _repeats(_hashes(c["tok"], 4)) / grams / F.lit(0.15))),
-        "type_token": F.when(n_tok < 50, 0.5).otherwise(_unit((F.lit(0.65) - F.size(F.array_distinct(c["tok"])) / some) / 0.25)),
+        "contraction_deficit": F.when(contracted + expanded < 2, 0.0).otherwise(expanded / F.greatest(contracted + expanded, F.lit(1))),
+        "ngram_repetition": F.when(n_tok < 9, 0.0).otherwise(F.least(F.lit(1.0), c["_counts"]["repeats"] / grams / F.lit(0.15))),
+        "type_token": F.when(n_tok < 50, 0.5).otherwise(_unit((F.lit(0.65) - c["_counts"]["types"] / some) / 0.25)),
         "sentence_start_uniformity": F.when(n_sents < 4, 0.0).otherwise(F.least(F.lit(1.0), (_mode_count(starts) - 1) / F.greatest(n_sents - 1, F.lit(1)))),
         "abstract_subject": F.when(n_sents < 3, 0.0).otherwise(tx.logistic(abstract / F.greatest(n_sents, F.lit(1)), 0.20, 10.0)),
-        "enumeration_shape": tx.logistic(_per_100(shapes, c["wc"]), 0.7),
-        "modality_overload": tx.logistic(_per_100(tx.matches(c["body"], lx.MODALS, True, c["low"], _MODAL), c["wc"]), 2.0, 4.0),
+        "enumeration_shape": tx.logistic(_per_100(c["_counts"]["shapes"], c["wc"]), 0.7),
+        "modality_overload": tx.logistic(_per_100(c["_counts"]["modals"], c["wc"]), 2.0, 4.0),
     }
 
 
@@ -147,14 +200,13 @@ REDUCED = (("burstiness", 1.5), ("stiff_transitions", 1.3), ("favorite_words", 1
 def reduced_signals(text: str = "text") -> dict[str, Column]:
     """F-17's signals over the columns of ``with_features``: smaller word lists, and no least number of contractions."""
     c = {k: F.col(k) for k in FEATURES}
-    favourites = F.size(F.filter(c["tok"], lambda t: t.isin(*lx.REDUCED_FAVOURITES)))
-    contracted, expanded = tx.matches(c["body"], lx.REDUCED_CONTRACTED, True, c["low"], ["'"]), tx.matches(c["body"], lx.REDUCED_EXPANDED, True)
+    contracted, expanded = c["_counts"]["reduced_contracted"], c["_counts"]["reduced_expanded"]
     return {
         "burstiness": F.when(F.size(c["sents"]) < 3, 0.5).otherwise(_unit(1 - spread(c["sent_words"]) / 0.7)),
-        "stiff_transitions": tx.logistic(_per_100(tx.count_all(c["body"], lx.REDUCED_TRANSITIONS), c["wc"]), 0.8),
-        "favorite_words": tx.logistic(_per_100(favourites, F.greatest(F.size(c["tok"]), F.lit(1))), 1.0),
-        "hedging": tx.logistic(_per_100(tx.count_all(c["low"], lx.REDUCED_HEDGES), c["wc"]), 0.4),
-        "contraction_deficit": tx.let(F.struct(contracted.alias("c"), expanded.alias("e")), lambda x: F.coalesce(x["e"] / F.nullif(x["c"] + x["e"], F.lit(0)), F.lit(0.0))),
+        "stiff_transitions": tx.logistic(_per_100(c["_counts"]["reduced_transitions"], c["wc"]), 0.8),
+        "favorite_words": tx.logistic(_per_100(c["_counts"]["reduced_favourites"], F.greatest(c["_counts"]["tokens"], F.lit(1))), 1.0),
+        "hedging": tx.logistic(_per_100(c["_counts"]["reduced_hedges"], c["wc"]), 0.4),
+        "contraction_deficit": F.coalesce(expanded / F.nullif(contracted + expanded, F.lit(0)), F.lit(0.0)),
     }
 
 

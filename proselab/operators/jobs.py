@@ -10,8 +10,10 @@ import functools
 import time
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from proselab.functions import text as tx
 from proselab.operators import corpus, fingerprint, logs, registry, scoring, selection
@@ -71,8 +73,16 @@ def p_ai(lite: bool = False) -> Column:
 
 def shared_words(a: Column, b: Column) -> Column:
     """A native stand-in for the similarity of two texts: twice the distinct tokens in both over those of each; 1 for two empty texts."""
-    x, y = F.array_distinct(tx.tokens(a)), F.array_distinct(tx.tokens(b))
-    return F.coalesce(2 * F.size(F.array_intersect(x, y)) / F.nullif(F.size(x) + F.size(y), F.lit(0)), F.lit(1.0))
+    return _dice(F.lower(a), F.lower(b))
+
+
+@F.pandas_udf(DoubleType())
+def _dice(a: pd.Series, b: pd.Series) -> pd.Series:
+    def share(x: str | None, y: str | None) -> float:
+        x, y = (set() if x is None or y is None else set(fingerprint.tokens(t)) for t in (x, y))
+        return 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
+
+    return pd.Series([share(*pair) for pair in zip(a, b)], dtype=float)
 
 
 def evaluated(df: DataFrame, rewrite: Callable[[Column], Column], text: str = "text", perplexity: Column | None = None, lite: bool = False) -> DataFrame:

@@ -6,7 +6,9 @@ from collections import defaultdict, deque
 import pytest
 from pyspark.sql import functions as F
 
+from proselab.functions import lexicon as lx
 from proselab.functions import text as tx
+from proselab.operators import fingerprint as fp
 from proselab.operators import corpus, facts, jobs, logs, registry, rewrite, scoring, selection
 from proselab.sources import readers
 
@@ -316,3 +318,16 @@ def test_event_time_streams(spark, tmp_path):
     q = streams.to_jsonl(source().select("event_id"), str(tmp_path / "out"), str(tmp_path / "c"))
     q.awaitTermination(120)
     assert spark.read.json(str(tmp_path / "out")).count() == events.count()
+
+
+def test_counts_are_those_of_unicode_patterns(spark):
+    """The plain form of a text gives what patterns with Unicode's classes and cases find in the text itself, and tokens cost no fold in Spark."""
+    texts = ["", "Must not; \u00e9must must\u0301 mu\u017ft SHOULD\u00a0need to it \u0131s It\u2003is I am \u0130t is we \u00adare", "don't \u00e9don't don't\u00e9 IT'S it\u2019s That's, they're\u24b6 I\u0131'm", "From \u00e0 la carte\u2003to tea \u4e16\u754c, it's not\u3000just about x. Both caf\u00e9 a\u0308b but\u00a0also z", "a b c d a b c d a b c d. \U0001d54f must\u200d have to\u203f"]
+    f = fp.with_features(spark.createDataFrame([(t,) for t in texts], "text string"))
+    shapes = sum((tx.matches("body", p, True) for p in lx.ENUMERATIONS), F.lit(0))
+    want = {"contracted": tx.matches("body", lx.CONTRACTED, True), "expanded": tx.matches("body", lx.EXPANDED, True), "modals": tx.matches("body", lx.MODALS, True), "shapes": shapes, "tokens": F.size("tok"), "types": F.size(F.array_distinct("tok")), "hedges": tx.count_all("low", lx.HEDGES)}
+    for row in f.select(*(c.alias(k) for k, c in want.items()), F.col("_counts").alias("got")).collect():
+        assert {k: row[k] for k in want} == {k: row.got[k] for k in want}
+    assert [r[0] for r in f.select("_counts.repeats").collect()] == [0, 0, 0, 0, 9]
+    plan = f.withColumns(fp.signals())._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" not in plan and "ArrowEvalPython" in plan
