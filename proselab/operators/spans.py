@@ -32,10 +32,12 @@ def matched(df: DataFrame, patterns: list[str], text: str = "text") -> DataFrame
     pieces = lambda p: F.arrays_zip(F.transform(F.split(t, p, -1), F.length).alias("gap"), F.regexp_extract_all(t, F.lit(p), F.lit(0)).alias("found"))
     each = F.array(*(F.struct(F.lit(k).alias("pattern"), F.filter(pieces(p), lambda x: x["found"].isNotNull()).alias("pieces")) for k, p in enumerate(patterns)))
     rows = df.withColumn("row", F.monotonically_increasing_id()).select("row", *others, F.explode(each).alias("e"))
-    rows = rows.select("row", *others, "e.pattern", F.posexplode("e.pieces").alias("at", "x")).repartition("row")
-    upto = F.sum(F.col("x.gap") + F.length("x.found")).over(Window.partitionBy("row", "pattern").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.select("row", *others, "e.pattern", F.posexplode("e.pieces").alias("at", "x"))
+    # what was found is no part of the places, so that it moves only where it is asked for
+    rows = rows.select("row", *others, "pattern", "at", "x.gap", F.length("x.found").alias("size"), "x.found").repartition("row")
+    upto = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy("row", "pattern").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
     stopped = rows.withColumn("stop", upto.cast("long"))
-    return stopped.select("row", *others, "pattern", (F.col("stop") - F.length("x.found")).alias("start"), "stop", F.col("x.found").alias("found"))
+    return stopped.select("row", *others, "pattern", (F.col("stop") - F.col("size")).alias("start"), "stop", "found")
 
 
 def settled_by_priority(spans: DataFrame, kinds: int, by: str = "row", kind: str = "pattern") -> DataFrame:

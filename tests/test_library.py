@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from proselab.functions import lexicon as lx
 from proselab.functions import text as tx
 from proselab.operators import fingerprint as fp
-from proselab.operators import corpus, facts, jobs, logs, registry, rewrite, scoring, selection
+from proselab.operators import corpus, facts, jobs, logs, registry, rewrite, scoring, selection, spans
 from proselab.sources import readers
 
 
@@ -331,3 +331,13 @@ def test_counts_are_those_of_unicode_patterns(spark):
     assert [r[0] for r in f.select("_counts.repeats").collect()] == [0, 0, 0, 0, 9]
     plan = f.withColumns(fp.signals())._jdf.queryExecution().optimizedPlan().toString()
     assert "xxhash64" not in plan and "ArrowEvalPython" in plan
+
+
+def test_places_move_without_what_was_found(spark):
+    """A text's pieces are no part of the shuffle when only their places are asked for."""
+    rows = spark.createDataFrame([(1, "a b\n\nc"), (2, None)], "doc_id long, text string")
+    places = spans.matched(rows, [r"[^\n]+"]).select("doc_id", "start", "stop")
+    assert sorted(map(tuple, places.collect())) == [(1, 0, 3), (1, 5, 6)]
+    lines = places._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    moved = lines[next(i for i, x in enumerate(lines) if "RepartitionByExpression" in x) + 1]
+    assert "size" in moved and "AS found" not in moved
