@@ -33,7 +33,7 @@ MASKED = f"{lx.QUOTED}|[\ue000-\uf8ff]"
 START = r"(?U)(?:\s(?<=[.!?]\s)\s*|^)[a-z]"
 #: What every list of three has behind its first item.
 _LISTED = r",\s+[\w-]+(?:\s[\w-]+){0,3},\s+(?:and|or)\s+[\w-]"
-#: The beginning of every wrong article and of some right ones; no vowel sound begins other words, nor a consonant these.
+#: Every wrong article matches, and some right ones do.
 _MISSAID = r"(?iU)a(?<!\wa)(?:\s+(?=[aeiou]|hour|hono)|n\s+(?=uni|use|europ|one|[a-z](?-i:(?<![aeiouAEIOU]))))"
 
 
@@ -380,7 +380,7 @@ def collapse_stems(text: Column) -> Column:
 
 
 def right_articles(text: Column) -> Column:
-    """R-13: a or an, by the next word. Edits are not those of right articles alone, and nothing reads them."""
+    """R-13: a or an, by the next word. The edits count right articles too, where any may be wrong; nothing reads them."""
     pattern = "(?iU)(?=a)" + lx.ARTICLE
 
     def fixed(m: Column) -> Column:
