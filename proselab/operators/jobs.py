@@ -6,7 +6,6 @@ services come from ``sources.readers.provided`` as rows of the same shape.
 
 from __future__ import annotations
 
-import functools
 import time
 from collections.abc import Callable
 
@@ -53,8 +52,8 @@ def samples(cand: DataFrame, n: int, strategies: DataFrame | None = None) -> Dat
     return selection.with_strategy(first, strategies) if strategies is not None else first
 
 
-def scores(df: DataFrame, text: str = "text", lite: bool = False) -> DataFrame:
-    """D-01, D-07: ``df`` with the detectors' scores of a text as columns p_<name>."""
+def scores(df: DataFrame, text: str = "text", lite: bool = False, more: dict[str, Column] | None = None) -> DataFrame:
+    """D-01, D-07: ``df`` with the detectors' scores of a text as columns p_<name>, and ``more`` over the fingerprint's features."""
     f = fingerprint.with_features(df, text)
     held = f.withColumns({f"_{k}": v for k, v in fingerprint.signals().items()})
     parts = {
@@ -62,7 +61,7 @@ def scores(df: DataFrame, text: str = "text", lite: bool = False) -> DataFrame:
         "reduced": fingerprint.reduced_aggregate(),
         "evenness": F.col("_burstiness"),
     }
-    return held.withColumns({f"p_{n}": parts[n] for n, _ in registry.ensemble(lite)}).drop(*fingerprint.FEATURES, *(f"_{k}" for k in fingerprint.signals()))
+    return held.withColumns({f"p_{n}": parts[n] for n, _ in registry.ensemble(lite)} | (more or {})).drop(*fingerprint.FEATURES, *(f"_{k}" for k in fingerprint.signals()))
 
 
 def p_ai(lite: bool = False) -> Column:
@@ -73,13 +72,15 @@ def p_ai(lite: bool = False) -> Column:
 
 def shared_words(a: Column, b: Column) -> Column:
     """A native stand-in for the similarity of two texts: twice the distinct tokens in both over those of each; 1 for two empty texts."""
-    return _dice(F.lower(a), F.lower(b))
+    return _dice(a, b)
 
 
 @F.pandas_udf(DoubleType())
 def _dice(a: pd.Series, b: pd.Series) -> pd.Series:
     def share(x: str | None, y: str | None) -> float:
-        x, y = (set() if x is None or y is None else set(fingerprint.tokens(t)) for t in (x, y))
+        if x is None or y is None or x == y:
+            return 1.0
+        x, y = (set(fingerprint.tokens(t.lower())) for t in (x, y))
         return 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
 
     return pd.Series([share(*pair) for pair in zip(a, b)], dtype=float)
@@ -89,9 +90,8 @@ def evaluated(df: DataFrame, rewrite: Callable[[Column], Column], text: str = "t
     """E-01, Q-10: ``df`` with rewrite, the detectors' scores of it, p_ai, similarity, cv and perplexity (null without one)."""
     body = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumn("rewrite", rewrite(body))
-    out = scores(out, "rewrite", lite).withColumn("p_ai", p_ai(lite)).withColumn("similarity", shared_words(F.col("rewrite"), body))
-    stats = fingerprint.spread(F.transform(tx.sentences("rewrite"), tx.word_count))
-    return out.withColumn("cv", stats).withColumn("perplexity", perplexity if perplexity is not None else F.lit(None).cast("double"))
+    out = scores(out, "rewrite", lite, {"cv": fingerprint.sentence_spread()}).withColumn("p_ai", p_ai(lite)).withColumn("similarity", shared_words(F.col("rewrite"), body))
+    return out.withColumn("perplexity", perplexity if perplexity is not None else F.lit(None).cast("double"))
 
 
 def summary(rows: DataFrame, lite: bool = False, *by: str) -> DataFrame:
@@ -117,23 +117,24 @@ def benchmark(df: DataFrame, strategies: dict[str, Callable[[DataFrame], DataFra
     """E-02: by strategy its prompts, those that failed, means of p_ai, pattern and similarity, success rate and seconds.
 
     A strategy gets the rows and gives them back with ``output``; it runs once, over all rows, and is timed until its outputs
-    are written. A prompt without an output has the empty one and counts in the means. Without rows all means are 0.
+    are written. They are scored and deleted before the next strategy runs, so that no two strategies' outputs take disk at
+    a time. A prompt without an output has the empty one and counts in the means. Without rows all means are 0.
     """
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
     made = []
     for name, run in strategies.items():
         began = time.monotonic()
-        out = readers.settled(run(df).select(F.col(text).alias("source"), F.col("output")))
-        made.append(out.withColumns({"strategy": F.lit(name), "seconds": F.lit(time.monotonic() - began)}))
-    rows = functools.reduce(DataFrame.unionAll, made).withColumn("failed", F.col("output").isNull()).withColumn("output", F.coalesce("output", F.lit("")))
-    scored = scores(rows, "output", lite).withColumn("p_ai", p_ai(lite)).withColumn("similarity", shared_words(F.col("output"), F.coalesce("source", F.lit(""))))
-    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
-    found = scored.groupBy("strategy").agg(
-        F.count("*").alias("n"), F.count_if("failed").alias("failed"), mean("p_ai").alias("mean_p_ai"), mean("p_pattern").alias("mean_pattern"),
-        mean("similarity").alias("mean_similarity"), F.coalesce(scoring.success_rate("p_ai"), F.lit(0.0)).alias("asr"), F.max("seconds").alias("seconds"),
-    )
-    # a strategy over no rows has its line as well
-    names = df.sparkSession.createDataFrame([(name,) for name in strategies], "strategy string")
-    return names.join(found, "strategy", "left").na.fill(0).na.fill(0.0)
+        out = readers.settled(run(df).select(F.col(text).alias("source"), F.col("output")), "zstd")
+        seconds = time.monotonic() - began
+        rows = out.withColumn("failed", F.col("output").isNull()).withColumn("output", F.coalesce("output", F.lit("")))
+        scored = scores(rows, "output", lite).withColumn("p_ai", p_ai(lite)).withColumn("similarity", shared_words(F.col("output"), F.coalesce("source", F.lit(""))))
+        found = scored.agg(
+            F.count("*").alias("n"), F.count_if("failed").alias("failed"), mean("p_ai").alias("mean_p_ai"), mean("p_pattern").alias("mean_pattern"),
+            mean("similarity").alias("mean_similarity"), F.coalesce(scoring.success_rate("p_ai"), F.lit(0.0)).alias("asr"),
+        ).first()
+        made.append((name, *found, seconds))
+        readers.discard(out)
+    return df.sparkSession.createDataFrame(made, "strategy string, n long, failed long, mean_p_ai double, mean_pattern double, mean_similarity double, asr double, seconds double")
 
 
 VARIANTS = ("base", "base_scrub", "trained", "trained_scrub")

@@ -30,11 +30,20 @@ def folder(spark: SparkSession, tag: str) -> str:
     return f"{found.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, compression: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back, so that it is computed once."""
     path = folder(df.sparkSession, "settled")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, compression=compression)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``settled`` that nothing unwritten reads any more."""
+    for t in tables:
+        where = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def few_rows(spark: SparkSession, most: int = 500) -> None:

@@ -333,6 +333,27 @@ def test_counts_are_those_of_unicode_patterns(spark):
     assert "xxhash64" not in plan and "ArrowEvalPython" in plan
 
 
+def test_sentences_are_counted_beside_tokens(spark):
+    """Sentences, their words and beginnings, dashes and lists come from the Arrow function as Spark's expressions find them, which the scores do without."""
+    texts = [
+        "", " \n", "One. Two words! \u00c9t\u00e9 (no. Yes) \"So\u2003it\u0085is.\" A\x1cb c.", "The system is. the rise  of. THE RISE OF x. The\nsystem.  The rise of.\u00a0The roles of y",
+        "a, b, and c, d, or e. x, and, and y \u00e9, \u00e9 , or z; \u00e0,\u2003\u00e8, or \u00ea, and -- \u2014--- o, p, And q, r, and s", "It's a dog. It's  a cat. It's\ta cow. Its a", "'a -b x'-y it is not we are had not have had",
+    ]
+    f = fp.with_features(spark.createDataFrame([(t,) for t in texts], "text string"))
+    total = F.aggregate("sent_words", F.lit(0), lambda a, x: a + x)
+    abstract = F.size(F.filter("sents", lambda s: F.lower(s).rlike("^(?:" + "|".join(lx.ABSTRACT_SUBJECTS) + ")")))
+    starts = F.transform("sents", lambda s: F.regexp_replace(F.regexp_extract(s, r"(?U)^\S+(?:\s+\S+)?", 0), r"(?U)\s+", " "))
+    most = F.coalesce(F.array_max(F.transform(starts, lambda s: F.size(F.filter(starts, lambda x: x == s)))), F.lit(0))
+    want = {
+        "sentences": F.size("sents"), "words": total, "squares": F.aggregate("sent_words", F.lit(0), lambda a, x: a + x * x), "starts": most, "abstract": abstract,
+        "dashes": tx.count_all("body", ["\u2014", "--"]), "tricolons": tx.matches("body", lx.TRICOLON), "tokens": F.size("tok"), "expanded": tx.matches("body", lx.EXPANDED, True),
+    }
+    for row in f.select(*(c.alias(k) for k, c in want.items()), F.col("_counts").alias("got"), fp.spread(F.col("sent_words")).alias("cv"), fp.sentence_spread().alias("cv_got")).collect():
+        assert {k: row[k] for k in want} == {k: row.got[k] for k in want} and row.cv == row.cv_got
+    plan = f.withColumns(fp.signals()).select(*fp.signals())._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "split" not in plan
+
+
 def test_places_move_without_what_was_found(spark):
     """A text's pieces are no part of the shuffle when only their places are asked for."""
     rows = spark.createDataFrame([(1, "a b\n\nc"), (2, None)], "doc_id long, text string")

@@ -1,6 +1,7 @@
 """The refitted discriminator against a plain program, and classifiers and strategies on small rows."""
 
 import json
+import os
 
 import numpy as np
 import pytest
@@ -80,3 +81,18 @@ def test_benchmark_of_strategies(spark):
     assert all(r.seconds > 0 for r in got.values())
     none = jobs.benchmark(rows.where("false"), {"raw": fails}).first()
     assert (none.strategy, none.n, none.mean_p_ai) == ("raw", 0, 0.0)
+
+
+def test_benchmark_holds_one_strategy_at_a_time(spark):
+    """The outputs of a strategy are gone before the next one runs, and none is left."""
+    rows = spark.createDataFrame([("It is late.",), ("",)], "text string")
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    held = lambda: {f for f in os.listdir(shared) if f.startswith("settled-")}
+    before, seen = held(), []
+
+    def looks(df):
+        seen.append(held() - before)
+        return df.withColumn("output", F.upper("text"))
+
+    got = jobs.benchmark(rows, {"a": looks, "b": looks}).collect()
+    assert seen == [set(), set()] and held() == before and [(r.strategy, r.n) for r in got] == [("a", 2), ("b", 2)]
