@@ -197,7 +197,8 @@ def build(x: Exchange, docs: DataFrame, make: Callable[[list, list], Iterable[tu
 
         for batch in batches:
             for i, t in zip(batch.column(0), batch.column(1)):
-                t = t.as_py()
+                # numbers stay in their batch's memory
+                t = t.values.to_numpy() if isinstance(t, pa.ListScalar) and t.is_valid and not t.values.null_count else t.as_py()
                 ids.append(i.as_py())
                 texts.append(t)
                 size += len(t)

@@ -78,9 +78,12 @@ def shared_words(a: Column, b: Column) -> Column:
 @F.pandas_udf(DoubleType())
 def _dice(a: pd.Series, b: pd.Series) -> pd.Series:
     def share(x: str | None, y: str | None) -> float:
-        if x is None or y is None or x == y:
+        if x is None or y is None:
             return 1.0
-        x, y = (set(fingerprint.tokens(t.lower())) for t in (x, y))
+        x, y = x.lower(), y.lower()
+        if x == y:
+            return 1.0
+        x, y = (set(fingerprint.tokens(t)) for t in (x, y))
         return 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
 
     return pd.Series([share(*pair) for pair in zip(a, b)], dtype=float)

@@ -238,7 +238,7 @@ SELECT source AS strategy, count(*) AS n, count(*) FILTER (WHERE failed) AS fail
 def strategy_benchmark(spark, sf_dir):
     """E-02: seven strategies over the same prompts, two of which fail on some or on all."""
     t = F.col("text")
-    both = rw.contractions_native(rw.phrases_native(t))
-    forms = {"raw": t, "lower": F.lower(t), "phrases": rw.phrases_native(t), "contractions": rw.contractions_native(t), "both": both, "cautious": F.when(~F.contains(t, F.lit("—")), t), "none": F.lit(None).cast("string")}
+    both = rw.contractions(rw.phrases(t))
+    forms = {"raw": t, "lower": F.lower(t), "phrases": rw.phrases(t), "contractions": rw.contractions(t), "both": both, "cautious": F.when(~F.contains(t, F.lit("—")), t), "none": F.lit(None).cast("string")}
     out = jobs.benchmark(corpus(spark, sf_dir).select("text"), {name: (lambda df, x=x: df.withColumn("output", x)) for name, x in forms.items()})
     return out.select("strategy", "n", "failed", *(r6(c).alias(c) for c in ("mean_p_ai", "mean_pattern", "mean_similarity", "asr")))

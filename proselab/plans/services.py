@@ -53,8 +53,12 @@ done AS (SELECT *, CASE WHEN len(x) + len(y) = 0 THEN 1.0 ELSE 2.0 * len(list_in
 )
 
 
+def rewrite(text):
+    return rw.contractions(rw.phrases(text))
+
+
 def rewritten(spark, sf_dir):
-    return jobs.evaluated(corpus(spark, sf_dir), lambda t: rw.contractions_native(rw.phrases_native(t)))
+    return jobs.evaluated(corpus(spark, sf_dir), rewrite)
 
 
 def variant_rows(spark, sf_dir):
@@ -80,7 +84,8 @@ SELECT n, round(mean_p_ai, 6) AS mean_p_ai, round(ppl, 4) AS mean_perplexity, ro
 )
 def evaluate_job(spark, sf_dir):
     """E-01, A-05, M-05, D-13: rewrite, score, also by a language model of the other documents, summarise."""
-    rows = readers.settled(rewritten(spark, sf_dir).drop("perplexity"))
+    # the texts themselves are not read again
+    rows = readers.settled(rewritten(spark, sf_dir).drop("perplexity", "lang", "source", "text"), "zstd")
     found = px.perplexity(rows.select("doc_id", F.col("rewrite").alias("text")), corpus(spark, sf_dir))
     s = jobs.summary(rows.join(found.select("doc_id", "perplexity"), "doc_id")).withColumn("summary", jobs.summary_text())
     return s.select("n", r6("mean_p_ai").alias("mean_p_ai"), r6("mean_similarity").alias("mean_similarity"), F.round("mean_perplexity", 4).alias("mean_perplexity"), "summary")

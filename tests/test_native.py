@@ -3,8 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from proselab.functions import lexicon as lx
+from proselab.operators import jobs
 from proselab.operators import native as nt
 from proselab.operators import rewrite as rw
+from proselab.plans import services
 from proselab.plans.seeded import SENTENCES
 
 LONG = "The old mill by the river stood empty for many years after the flood took its wheel, and the owners moved to the town where work in the new plants was easy to find."
@@ -63,3 +66,22 @@ def test_postprocessor(texts):
     got = {r.k: r.bursty for r in nt.postprocessed(texts).collect()}
     for k, t in enumerate(TEXTS):
         assert got[k] == rw.burstiness(t or ""), t
+
+
+def test_rules_in_one_arrow_function_are_the_native_ones(spark):
+    """Phrases fold ASCII's cases alone, contractions Unicode's, also where signs change their number of letters in lower case; a null stays one."""
+    texts = [a for a, _ in lx.PHRASES] + [f"{a.upper()} {a}x{a}" for a, _ in lx.PHRASES[::3]] + [p.replace(r"\b", "") for p, _ in lx.PLAIN_CONTRACTIONS]
+    texts += ["\u0130t \u0130s it \u0131s \u0130t is not, THE REALM OF the realm of\u0130", "I\u017f not i\u017f not \u00e9is not is not\u0301 is not\u2003IS NOT", "That is not it is not what is it is", "in the realm of the realm of a wide range of \u212anow that i am I AM", "cannot CANNOT c\u00e1nnot can not", ""]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    t = F.col("text")
+    got = df.select(rw.phrases(t), rw.phrases_native(t), rw.contractions(t), rw.contractions_native(t), rw.contractions(rw.phrases(t)), rw.contractions_native(rw.phrases_native(t))).collect()
+    assert [r[0::2] for r in got] == [r[1::2] for r in got]
+    assert sum(r[0] != x for r, x in zip(got, texts)) > 50 and sum(r[2] != x for r, x in zip(got, texts)) > 20
+
+
+def test_evaluation_interprets_no_pattern(spark):
+    """The jobs' rewrites, scores and spreads of sentences are counted in Arrow functions, not pattern by pattern in Spark."""
+    out = jobs.evaluated(spark.createDataFrame([(1, "It is late. We are here.")], "doc_id long, text string"), services.rewrite)
+    plan = out.drop("perplexity")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and "rlike" not in plan.lower() and "split" not in plan
+    assert out.first().rewrite == "it's late. we're here."
