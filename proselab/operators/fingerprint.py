@@ -206,7 +206,15 @@ def repeats(tok: list[bytes], types: set[bytes], n: int = 4) -> int:
 
 
 _FAVOURITES, _REDUCED = (frozenset(w.encode() for w in words) for words in (lx.FAVOURITES, lx.REDUCED_FAVOURITES))
-_TRANSITIONS, _HEDGES = {*lx.TRANSITIONS, *lx.REDUCED_TRANSITIONS}, {*lx.HEDGES, *lx.REDUCED_HEDGES}
+_TRANSITIONS = {*lx.TRANSITIONS, *lx.REDUCED_TRANSITIONS}
+
+
+def _inner(piece: str) -> list[bytes]:
+    """The words of a lower-cased piece that have a blank on both sides, so that they are tokens of every text with it."""
+    return [w.encode() for w in re.findall(r"(?<= )[a-z][a-z'-]*(?= )", piece)]
+
+
+_HEDGES = [(p, max(_inner(p), key=len, default=None)) for p in {*lx.HEDGES, *lx.REDUCED_HEDGES}]
 
 
 def _counts(body: str) -> tuple[int, ...]:
@@ -217,7 +225,7 @@ def _counts(body: str) -> tuple[int, ...]:
     types = set(tok)
     favourites = {w: tok.count(w) for w in (_FAVOURITES | _REDUCED) & types}
     # pieces of the reduced lists are mostly in the others as well
-    transitions, hedges = {p: body.count(p) for p in _TRANSITIONS}, {p: low.count(p) for p in _HEDGES}
+    transitions, hedges = {p: body.count(p) for p in _TRANSITIONS}, {p: low.count(p) if w is None or w in types else 0 for p, w in _HEDGES}
     (contracted, reduced_contracted), (expanded, reduced_expanded) = _contractions(any_case), _expansions(any_case)
     return (
         len(tok), len(types), repeats(tok, types), sum(n for w, n in favourites.items() if w in _FAVOURITES), sum(map(transitions.__getitem__, lx.TRANSITIONS)), sum(map(hedges.__getitem__, lx.HEDGES)),
