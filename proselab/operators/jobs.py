@@ -119,24 +119,35 @@ def summary_text(lite: bool = False) -> Column:
 def benchmark(df: DataFrame, strategies: dict[str, Callable[[DataFrame], DataFrame]], text: str = "text", lite: bool = False) -> DataFrame:
     """E-02: by strategy its prompts, those that failed, means of p_ai, pattern and similarity, success rate and seconds.
 
-    A strategy gets the rows and gives them back with ``output``; it runs once, over all rows, and is timed until its outputs
-    are written. They are scored and deleted before the next strategy runs, so that no two strategies' outputs take disk at
-    a time. A prompt without an output has the empty one and counts in the means. Without rows all means are 0.
+    A strategy gets the rows, with the scores of their texts, and gives them back with ``output``; it runs once, over all rows,
+    and is timed until its outputs are written. They are scored, where they are not the text itself, and deleted before the next
+    strategy runs, so that no two strategies' outputs take disk at a time. A prompt without an output has the empty one
+    and counts in the means. Without rows all means are 0.
     """
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    known = {"_text_p_ai": "p_ai", "_text_p_pattern": "p_pattern"}
+    given = scores(df.withColumn("_text", F.coalesce(text, F.lit(""))), "_text", lite).withColumn("p_ai", p_ai(lite))
+    given = readers.settled(given.select(*df.columns, *(F.col(c).alias(k) for k, c in known.items())), "zstd")
     made = []
     for name, run in strategies.items():
         began = time.monotonic()
-        out = readers.settled(run(df).select(F.col(text).alias("source"), F.col("output")), "zstd")
+        rows = run(given)
+        # a strategy that makes rows of its own has all its outputs scored
+        kept = set(known) <= set(rows.columns)
+        rows = rows.select(F.coalesce(F.col(text), F.lit("")).alias("source"), F.coalesce("output", F.lit("")).alias("output"), F.col("output").isNull().alias("failed"), *(F.col(k) if kept else F.lit(None).cast("double").alias(k) for k in known))
+        same = (F.col("source") == F.col("output")) & F.lit(kept)
+        rows = rows.select("failed", *known, same.alias("same"), *(F.when(~same, F.col(c)).alias(c) for c in ("source", "output")))
+        out = readers.settled(rows, "zstd")
         seconds = time.monotonic() - began
-        rows = out.withColumn("failed", F.col("output").isNull()).withColumn("output", F.coalesce("output", F.lit("")))
-        scored = scores(rows, "output", lite).withColumn("p_ai", p_ai(lite)).withColumn("similarity", shared_words(F.col("output"), F.coalesce("source", F.lit(""))))
-        found = scored.agg(
+        scored = scores(out.where("not same"), "output", lite).withColumn("p_ai", p_ai(lite)).withColumn("similarity", shared_words(F.col("output"), F.col("source")))
+        every = scored.select("failed", *known.values(), "similarity").unionAll(out.where("same").select("failed", *known, F.lit(1.0)))
+        found = every.agg(
             F.count("*").alias("n"), F.count_if("failed").alias("failed"), mean("p_ai").alias("mean_p_ai"), mean("p_pattern").alias("mean_pattern"),
             mean("similarity").alias("mean_similarity"), F.coalesce(scoring.success_rate("p_ai"), F.lit(0.0)).alias("asr"),
         ).first()
         made.append((name, *found, seconds))
         readers.discard(out)
+    readers.discard(given)
     return df.sparkSession.createDataFrame(made, "strategy string, n long, failed long, mean_p_ai double, mean_pattern double, mean_similarity double, asr double, seconds double")
 
 
