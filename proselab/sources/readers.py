@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from proselab.functions import lexicon as lx
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 PAIR = "ai string, human string, source string, prompt_idx int, human_idx long"
 
 
@@ -31,10 +32,16 @@ def folder(spark: SparkSession, tag: str) -> str:
 
 
 def settled(df: DataFrame, compression: str | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that it is computed once."""
-    path = folder(df.sparkSession, "settled")
-    df.write.parquet(path, compression=compression)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder and read back, so that it is computed once; shuffle files of the write end with it."""
+    spark, path = df.sparkSession, folder(df.sparkSession, "settled")
+    # without a default of ours, or the setting's own one is not told
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 

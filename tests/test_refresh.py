@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from proselab.functions import text as tx
 from proselab.operators import jobs, scoring
+from proselab.sources import readers
 from proselab.streaming import refresh
 
 
@@ -98,3 +100,17 @@ def test_benchmark_holds_one_strategy_at_a_time(spark):
     got = jobs.benchmark(rows, {"a": looks, "b": looks, "c": same, "d": lambda df: same(df).select("text", "output")}).collect()
     assert seen[0] == seen[1] and len(seen[0]) == 1 and held() == before and [(r.strategy, r.n) for r in got] == [(s, 2) for s in "abcd"]
     assert got[2][1:-1] == got[3][1:-1] and got[2].mean_p_ai > 0
+
+
+def test_settled_leaves_no_shuffle_files(spark):
+    """What a write was shuffled for goes with it, and the setting is as before."""
+    jvm, key = spark.sparkContext._jvm, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    dirs, was = list(jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()), spark.conf.get(key)
+    held = lambda: {f for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    before = held()
+    out = readers.settled(spark.range(1000).repartition(3))
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.2)
+    assert held() <= before and out.count() == 1000 and spark.conf.get(key) == was
